@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quillmesh.llm import bpe, line_dedup, secret_scan, substring_dedup
+from quillmesh.llm import bpe, line_dedup, packing, secret_scan, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
+    "op2_packing": packing.query,
     "op3_line_dedup": line_dedup.query,
     "op5_secret_scan": secret_scan.query,
     "op7_bpe": bpe.query,

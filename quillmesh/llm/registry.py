@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from quillmesh.llm import bpe, line_dedup, packing, secret_scan, substring_dedup
+from quillmesh.llm import bpe, line_dedup, packing, secret_scan, simhash, substring_dedup, vector_search
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
     "op2_packing": packing.query,
     "op3_line_dedup": line_dedup.query,
+    "op4_simhash": simhash.query,
     "op5_secret_scan": secret_scan.query,
+    "op6_top_k": vector_search.top_k_query,
     "op7_bpe": bpe.query,
+    "op8_nearest": vector_search.nearest_query,
 }
 ORACLES = {
     "op1_substring_dedup": substring_dedup.SQL,
     "op3_line_dedup": line_dedup.SQL,
+    "op6_top_k": vector_search.TOP_K_SQL,
 }

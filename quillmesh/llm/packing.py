@@ -32,7 +32,7 @@ def token_pieces(docs: DataFrame, path: str, *, size: int = SIZE, end_id: int =
     slim = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
 
     def run(batches):
-        coder = vocabulary(path)
+        coder = vocabulary(path, light=True)
         tail = int(end_id).to_bytes(4, "little")
         for whole in batches:
             for batch, texts in each_text(whole, 1):

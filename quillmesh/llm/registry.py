@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmesh.llm import bpe, line_dedup, packing, secret_scan, simhash, substring_dedup, vector_search
+from quillmesh.llm import bpe, line_dedup, packing, quality, secret_scan, sharding, simhash, substring_dedup, vector_search
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -13,9 +13,12 @@ QUERIES = {
     "op6_top_k": vector_search.top_k_query,
     "op7_bpe": bpe.query,
     "op8_nearest": vector_search.nearest_query,
+    "op9_sharding": sharding.query,
+    "op10_quality": quality.query,
 }
 ORACLES = {
     "op1_substring_dedup": substring_dedup.SQL,
     "op3_line_dedup": line_dedup.SQL,
     "op6_top_k": vector_search.TOP_K_SQL,
+    "op9_sharding": sharding.SQL,
 }

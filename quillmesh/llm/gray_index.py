@@ -13,7 +13,7 @@ import numpy as np
 from quillmesh.llm.common import U64
 
 HALF = 32
-STEP = 4
+STEP = 2
 #: (query, node) pairs handled at once
 FRONT = 400_000
 
@@ -99,12 +99,18 @@ class _Unions:
                 label[:] = up
 
 
+def lead_within(half: int, within: int) -> int:
+    """Bits by which the leading half may differ: links of more than this many in the first half have
+    fewer in the second than its share."""
+    return within // 2 if half == 0 else within - within // 2 - 1
+
+
 def linked(members: np.ndarray, visitors: np.ndarray, half: int, depth: int, within: int) -> np.ndarray:
     """Labels over members and then visitors: equal where links of at most ``within`` bits connect them.
 
     Links between two visitors are left to other shards.  Members share their first ``depth`` leading
-    bits.  Only links with at most half of ``within`` bits in the leading half count here: those of
-    more have at most as many in the other half, where they are found.
+    bits.  Only links with at most ``lead_within`` bits in the leading half count here; the other half
+    finds the rest.
     """
     n = len(members)
     turned_members = turned(members, half)
@@ -152,7 +158,7 @@ def linked(members: np.ndarray, visitors: np.ndarray, half: int, depth: int, wit
             q, node = np.repeat(q, m), np.tile(np.arange(m), len(q))
         differ = np.bitwise_count((queries[q] ^ patterns[k][node]) & top_mask(levels[k]))
         ahead = np.bitwise_count((queries[q] ^ patterns[k][node]) & top_mask(min(levels[k], HALF)) & lead)
-        keep = (differ <= within) & (ahead <= within // 2)
+        keep = (differ <= within) & (ahead <= lead_within(half, within))
         keep &= ~((q < n) & (ends[k][node] <= q))  # pairs of members are met from the smaller place
         keep &= ~(one_of[k][node] & (unions.label[q] == unions.label[starts[k][node]]))
         q, node = q[keep], node[keep]

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm.common import U64, documents, settled, slices, text_buffer, word_spans
 from quillmesh.llm.components import components
-from quillmesh.llm.gray_index import HALF, STEP, Router, linked, turned
+from quillmesh.llm.gray_index import HALF, STEP, Router, lead_within, linked, turned
 
 SHINGLE = 4
 WITHIN = 4
 SEED = 42
 CHUNK_BYTES = 1 << 20
 #: fingerprints that one shard should not exceed
-SHARD = 60_000
+SHARD = 16_000
 #: leading bits that the upper nodes look at
 UPPER = 16
 
@@ -101,7 +101,7 @@ def near_links(distinct: DataFrame, *, within: int = WITHIN, shard: int = SHARD)
     """Stars (a, b) that connect the fingerprints (``fp``, distinct) with at most ``within`` differing bits.
 
     Every fingerprint is a member of one shard for each half of its bits, and visits the later shards
-    whose shared leading bits differ from its own in at most half of ``within``.
+    whose shared leading bits differ from its own in no more than that half's share of ``within``.
     """
     routers = [Router(x) for x in _directory(distinct, shard)]
 
@@ -112,7 +112,7 @@ def near_links(distinct: DataFrame, *, within: int = WITHIN, shard: int = SHARD)
                 lead = turned(fp, half)
                 for i in range(0, len(fp), 20_000):
                     own = lead[i : i + 20_000]
-                    rows, depth, prefix = routers[half].visit(own, within // 2)
+                    rows, depth, prefix = routers[half].visit(own, lead_within(half, within))
                     at_home = (own[rows] >> (64 - np.maximum(depth, 1)).astype(U64)) == prefix
                     at_home |= depth == 0
                     # the order of shards is that of their prefixes, drawn out to full length

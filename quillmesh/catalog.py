@@ -1,12 +1,539 @@
-"""All queries of the library by name, with the SQL that states the same result."""
+"""All queries of the library by name, with the SQL that states the same result.
+
+Queries over the given tables have SQL over the same tables.  Queries over small fixtures, for cases
+that the tables don't show, have their known results as SQL values.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillmesh.functions import patterns as P
+from quillmesh.functions import text as T
+from quillmesh.functions import urls as U
+from quillmesh.functions.hashing import block_key, content_hash, fnv1a, snapshot_key
+from quillmesh.operators import classify as C
+from quillmesh.operators import diff as D
+from quillmesh.operators import discovery as N
+from quillmesh.operators import graph as K
+from quillmesh.operators import linking as L
+from quillmesh.operators import markers as I
+from quillmesh.operators.markdown_blocks import markdown_blocks
+from quillmesh.operators.metadata import metadata, record
+from quillmesh.operators.sections import flattened, section_tree
+from quillmesh.plans.options import GraphOptions, ReadOptions, cache_key, request_headers, resolve_agent
+from quillmesh.plans.read import build_graph, read_pages
+from quillmesh.sources.pages import jsonld_nodes, load_pages, page_blocks, page_facts, reconstructed, with_fetch_columns
+from quillmesh.sources.reconstruct import score_text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 
+def query(sql: str | None = None):
+    """Registers a query under its name, with the SQL of its result if there is one."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    """How many blocks of each label every page has."""
+    return C.histogram(C.classify(page_blocks(load_pages(spark, sf_dir))))
+
+
+# -- pages -------------------------------------------------------------------------------------------
+_BODY = r"regexp_replace(regexp_replace(regexp_extract(html, '(?is)<body[^>]*>(.*)', 1), '(?is)</body\s*>.*', ''), '(?is)<(script|style|noscript|iframe)\b.*?</(script|style|noscript|iframe)\s*>|<!--.*?-->', '', 'g')"
+_INJECTED = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_BODY}, '</span>\\s*<span', '</span> <span', 'gi'), '</div>\\s*<div', '</div> <div', 'gi'), '</span>\\s*<div', '</span> <div', 'gi'), '</div>\\s*<span', '</div> <span', 'gi'), '</h([1-6])>\\s*<h([1-6])', '</h\\1> <h\\2>', 'gi'), '</a>\\s*<a', '</a> <a', 'gi')"
+_ENT = "replace(replace(replace(replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+_TEXT = "regexp_replace(regexp_replace(regexp_replace(" + _ENT.format(f"regexp_replace({_INJECTED}, '<[^>]+>', '', 'g')") + r", '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+_TEXTS = f"(SELECT page_id, url, html, {_TEXT} AS t FROM pages)"
+_ORIGIN = r"regexp_extract(url, '^https?://[^/?#]+', 0)"
+
+
+@query(f"SELECT page_id, trim({_ENT.format(chr(39).join(['regexp_extract(html, ', '<title>([^<]*)</title>', ', 1)']))}) AS title, regexp_extract(html, '<html[^>]*lang=\"([^\"]*)\"', 1) AS lang FROM pages")
+def page_title_lang(spark, sf_dir):
+    facts = page_facts(load_pages(spark, sf_dir))
+    return facts.select("page_id", F.col("title_tag").alias("title"), "lang")
+
+
+@query(f"SELECT page_id, {_ORIGIN} || '/favicon.ico' AS favicon, {_ORIGIN} || '/sitemap.xml' AS sitemap, {_ORIGIN} || '/robots.txt' AS robots FROM pages")
+def page_default_urls(spark, sf_dir):
+    pages = load_pages(spark, sf_dir)
+    return metadata(page_facts(pages), pages).select("page_id", "favicon", "sitemap", "robots")
+
+
+@query(f"SELECT page_id, t AS text_content FROM {_TEXTS}")
+def page_text_content(spark, sf_dir):
+    """By tag stripping, in the JVM."""
+    return load_pages(spark, sf_dir).select("page_id", T.text_content(F.col("html")).alias("text_content"))
+
+
+@query(f"SELECT page_id, t AS text_content FROM {_TEXTS}")
+def page_parsed_text(spark, sf_dir):
+    """By the parse stage; the same text."""
+    return page_facts(load_pages(spark, sf_dir)).select("page_id", "text_content")
+
+
+@query(f"SELECT page_id, CAST(length(t) AS BIGINT) AS n_chars, CAST(len(regexp_extract_all(t, '[^\\s]+')) AS BIGINT) AS n_words, CAST(len(string_split(t, chr(10))) AS BIGINT) AS n_lines FROM {_TEXTS}")
+def page_text_stats(spark, sf_dir):
+    t = F.col("t")
+    rows = load_pages(spark, sf_dir).select("page_id", T.text_content(F.col("html")).alias("t"))
+    return rows.select("page_id", F.length(t).cast("long").alias("n_chars"), F.regexp_count(t, F.lit(r"[^\s]+")).cast("long").alias("n_words"), F.size(F.split(t, "\n", -1)).cast("long").alias("n_lines"))
+
+
+@query(f"SELECT page_id, length(t) >= 150 OR (length(t) > 30 AND regexp_matches(html, '(?i)<(p|h1|h2|h3|li|td)[\\s>]')) AS is_static FROM {_TEXTS}")
+def page_static_content(spark, sf_dir):
+    return load_pages(spark, sf_dir).select("page_id", T.is_static(T.text_content(F.col("html")), F.col("html")).alias("is_static"))
+
+
+@query(f"SELECT page_id, left(sha256(t), 32) AS content_hash, 'snapshot:' || left(sha256(url), 32) AS snapshot_key FROM {_TEXTS}")
+def page_content_hash(spark, sf_dir):
+    return load_pages(spark, sf_dir).select("page_id", content_hash(T.text_content(F.col("html"))).alias("content_hash"), snapshot_key(F.col("url")).alias("snapshot_key"))
+
+
+_LINKS = "SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 2)) AS text, unnest(range(len(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>')))) AS pos FROM pages"
+
+
+def _links(spark, sf_dir):
+    found = lambda k: F.regexp_extract_all("html", F.lit('<a href="([^"]*)">([^<]*)</a>'), F.lit(k))
+    return load_pages(spark, sf_dir).select("page_id", F.posexplode(F.arrays_zip(found(1).alias("href"), found(2).alias("text"))).alias("pos", "x")).select("page_id", F.col("pos").cast("long").alias("pos"), "x.href", "x.text")
+
+
+@query(f"SELECT page_id, pos, href, text FROM ({_LINKS})")
+def page_links(spark, sf_dir):
+    return _links(spark, sf_dir)
+
+
+@query(f"SELECT href, count(*) AS n_links, count(DISTINCT page_id) AS n_pages FROM ({_LINKS}) GROUP BY href")
+def link_target_counts(spark, sf_dir):
+    return _links(spark, sf_dir).groupBy("href").agg(F.count("*").alias("n_links"), F.countDistinct("page_id").alias("n_pages"))
+
+
+@query("SELECT page_id, CAST(len(regexp_extract_all(html, '<li>')) AS BIGINT) AS n_items FROM pages WHERE contains(html, '<ul>')")
+def nav_list_blocks(spark, sf_dir):
+    lists = page_blocks(load_pages(spark, sf_dir)).filter("type = 'list'")
+    return lists.groupBy("page_id").agg(F.sum(F.size("items")).alias("n_items"))
+
+
+@query("SELECT page_id, 1 AS level, trim(" + _ENT.format("regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '\\s+', ' ', 'g')") + ") AS heading FROM pages WHERE contains(html, '<h1>')")
+def page_headings(spark, sf_dir):
+    heads = page_blocks(load_pages(spark, sf_dir)).filter("type = 'heading'")
+    return heads.select("page_id", "level", F.regexp_replace("text", r"\\(.)", "$1").alias("heading"))
+
+
+@query()
+def page_blocks_flat(spark, sf_dir):
+    """Every block of every page as a flat row."""
+    return page_blocks(load_pages(spark, sf_dir)).select("page_id", "ord", "parent_ord", "depth", "type", "level", "text", "href", "tag_name")
+
+
+@query(f"SELECT page_id, url AS normalized, {_ORIGIN} AS origin, split_part(url, '#', 1) AS base FROM pages")
+def page_urls(spark, sf_dir):
+    url = F.col("url")
+    return load_pages(spark, sf_dir).select("page_id", U.normalize_url(url).alias("normalized"), U.url_origin(url).alias("origin"), U.document_base(url).alias("base"))
+
+
+@query("SELECT page_id, '' AS frameworks FROM pages WHERE NOT regexp_matches(html, '_next/static|_nuxt|__NUXT|/page-data/|gatsby|astro|ng-version|_ngcontent|data-v-|svelte|reactroot|wp-content|shopify|wix\\.com|squarespace|webflow|docusaurus|hugo|bootstrap\\.min')")
+def framework_detect(spark, sf_dir):
+    pages = load_pages(spark, sf_dir)
+    return metadata(page_facts(pages), pages).select("page_id", F.coalesce(F.array_join("frameworks", ","), F.lit("")).alias("frameworks"))
+
+
+@query(f"SELECT DISTINCT o AS origin, pos, o || p AS candidate FROM (SELECT {_ORIGIN} AS o FROM pages), (VALUES " + ", ".join(f"(CAST({k} AS BIGINT), '{p}')" for k, p in enumerate(N.SITEMAP_PATHS)) + ") AS c(pos, p)")
+def sitemap_candidates(spark, sf_dir):
+    sites = load_pages(spark, sf_dir).select(U.url_origin(F.col("url")).alias("origin"))
+    robots = spark.createDataFrame([], "origin string, body string")
+    return N.sitemap_candidates(sites, robots).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query()
+def page_markdown(spark, sf_dir):
+    return read_pages(load_pages(spark, sf_dir), ReadOptions(format="markdown")).select("page_id", "engine", "body")
+
+
+@query()
+def page_json(spark, sf_dir):
+    return read_pages(load_pages(spark, sf_dir), ReadOptions(format="json", classify=True)).select("page_id", "engine", "body")
+
+
+@query()
+def page_toon(spark, sf_dir):
+    return read_pages(load_pages(spark, sf_dir), ReadOptions(format="toon")).select("page_id", "engine", "body")
+
+
+@query()
+def page_marked_markdown(spark, sf_dir):
+    return read_pages(load_pages(spark, sf_dir), ReadOptions(marker=("paragraph", "list", "author"))).select("page_id", "body")
+
+
+@query(f"SELECT page_id, 'dom' AS engine, t AS body FROM {_TEXTS}")
+def page_text(spark, sf_dir):
+    return read_pages(load_pages(spark, sf_dir), ReadOptions(format="text")).select("page_id", "engine", "body")
+
+
+@query("SELECT page_id, 'raw' AS engine, html AS body FROM pages")
+def page_raw(spark, sf_dir):
+    return read_pages(load_pages(spark, sf_dir), ReadOptions(format="raw")).select("page_id", "engine", "body")
+
+
+@query()
+def page_graph(spark, sf_dir):
+    return build_graph(load_pages(spark, sf_dir), GraphOptions(link_entities=False))
+
+
+@query()
+def page_snapshots(spark, sf_dir):
+    blocks = flattened(page_blocks(load_pages(spark, sf_dir)))
+    return D.snapshots(blocks, F.lit("2024-01-01 00:00:00").cast("timestamp"))
+
+
+@query()
+def page_metadata_record(spark, sf_dir):
+    pages = load_pages(spark, sf_dir)
+    return metadata(page_facts(pages), pages).select("page_id", record().alias("record"))
+
+
+# -- lines of documents as blocks --------------------------------------------------------------------
+_LINES = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS ord FROM documents)"
+_LABEL = (
+    "CASE WHEN regexp_matches(t, '{price}') THEN 'pricing' WHEN regexp_matches(t, '{date}') THEN 'date' WHEN regexp_matches(t, '{rating}') THEN 'rating'"
+    " WHEN regexp_matches(t, '{email}') OR regexp_matches(t, '{phone}') THEN 'contact' WHEN regexp_matches(t, '{author}') AND length(t) < 120 THEN 'author'"
+    " WHEN regexp_matches(t, '{product}') THEN 'product' ELSE 'paragraph' END"
+).format(**{k: v.replace("'", "''") for k, v in P.SQL.items()})
+_LABELLED = f"(SELECT doc_id, ord, line, {_LABEL} AS label FROM (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS t FROM {_LINES}) WHERE t <> '')"
+
+
+def _lines(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n", -1)).alias("ord", "line"))
+
+
+def _labelled(spark, sf_dir):
+    rows = _lines(spark, sf_dir).withColumn("x", C.label(F.lit("paragraph"), F.col("line"))).filter("x IS NOT NULL")
+    return rows.select("doc_id", "lang", F.col("ord").cast("long").alias("ord"), "line", F.col("x.type").alias("label"), F.col("x.confidence").alias("confidence"))
+
+
+@query(f"SELECT doc_id, ord, label, CASE label WHEN 'pricing' THEN 0.85::DOUBLE WHEN 'date' THEN 0.8 WHEN 'rating' THEN 0.75 WHEN 'contact' THEN 0.8 WHEN 'author' THEN 0.6 WHEN 'product' THEN 0.65 ELSE 0.5 END AS confidence FROM {_LABELLED}")
+def classify_lines(spark, sf_dir):
+    return _labelled(spark, sf_dir).select("doc_id", "ord", "label", "confidence")
+
+
+@query(f"SELECT label, count(*) AS n_lines, count(DISTINCT doc_id) AS n_docs FROM {_LABELLED} GROUP BY label")
+def classification_histogram(spark, sf_dir):
+    return _labelled(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n_lines"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+@query(f"SELECT lang, label, count(*) AS n, grouping_id(lang, label) AS level FROM {_LABELLED} JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) GROUP BY CUBE (lang, label)")
+def label_cube(spark, sf_dir):
+    return _labelled(spark, sf_dir).cube("lang", "label").agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
+
+
+@query(f"SELECT doc_id, label, n, CAST(rank AS INTEGER) AS rank FROM (SELECT doc_id, label, count(*) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, label) AS rank FROM {_LABELLED} GROUP BY doc_id, label) WHERE rank <= 2")
+def top_labels(spark, sf_dir):
+    rows = _labelled(spark, sf_dir).groupBy("doc_id", "label").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("doc_id").orderBy(F.desc("n"), "label")
+    return rows.withColumn("rank", F.row_number().over(order)).filter("rank <= 2")
+
+
+_FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({0}, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: ((xor(h, c)) * 16777619) & 4294967295)"
+
+
+@query(f"SELECT doc_id, ord, 'paragraph:' || CASE WHEN line = '' THEN '811c9dc5' ELSE lpad(to_hex({_FNV.format('line')}), 8, '0') END AS block_key FROM {_LINES}".replace("to_hex(", "printf('%08x', "))
+def line_keys(spark, sf_dir):
+    return _lines(spark, sf_dir).select("doc_id", F.col("ord").cast("long").alias("ord"), block_key(F.lit("paragraph"), F.col("line")).alias("block_key"))
+
+
+@query(f"SELECT label, line, '<!-- {I.MARK}:' || label || ':' || k || ' -->' || chr(10) || line || chr(10) || '<!-- /{I.MARK}:' || label || ':' || k || ' -->' AS marked FROM (SELECT DISTINCT label, line, printf('%08x', {_FNV.format(chr(40) + 'label || chr(58) || line' + chr(41))}) AS k FROM {_LABELLED} WHERE label IN ('author', 'contact'))")
+def marker_wrap(spark, sf_dir):
+    rows = _labelled(spark, sf_dir).filter(F.col("label").isin("author", "contact")).select("label", "line").distinct()
+    return rows.withColumn("marked", I.wrapped(F.col("line"), F.col("label"), I.marker_id(F.col("label"), F.col("line"))))
+
+
+@query(f"SELECT doc_id, count(*) AS n, count(*) AS n_same FROM (SELECT doc_id, label, line FROM {_LABELLED} WHERE label IN ('author', 'contact')) GROUP BY doc_id")
+def marker_round_trip(spark, sf_dir):
+    """Marked lines of a document, put together and parsed again."""
+    rows = _labelled(spark, sf_dir).filter(F.col("label").isin("author", "contact"))
+    rows = rows.select("doc_id", "ord", "line", I.wrapped(F.col("line"), F.col("label"), I.marker_id(F.col("label"), F.col("line"))).alias("m"))
+    body = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "m"))), lambda x: x["m"]), "\n\n").alias("body"))
+    back = I.parse_markers(body, "body")
+    same = I.marker_id(F.col("marker_type"), F.col("content")) == F.col("marker_id")
+    return back.withColumn("same", same).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("same").alias("n_same"))
+
+
+@query("SELECT doc_id AS id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS INTEGER) AS ord, 'paragraph' AS type, t AS text FROM (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS t FROM " + _LINES + ") WHERE t <> '' AND NOT regexp_matches(t, '^(#{1,6}\\s|>|```|[-*+]\\s|[0-9]+\\.\\s|!?\\[)')")
+def markdown_paragraphs(spark, sf_dir):
+    blocks = markdown_blocks(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return blocks.select("id", "ord", "type", "text")
+
+
+@query("SELECT doc_id, " + ", ".join((rf"nullif(replace(coalesce(nullif(regexp_extract(text, '(?i)(?:\$|€|£|¥)\s?([0-9][0-9,.]*)', 1), ''), regexp_extract(text, '(?i)\b([0-9][0-9,.]*)\s*(?:USD|EUR|GBP)', 1)), ',', ''), '') AS price", r"nullif(regexp_extract(text, '[0-9A-Za-z_.+-]+@[0-9A-Za-z_.-]+\.[0-9A-Za-z_]{2,}', 0), '') AS email", r"nullif(trim(regexp_extract(text, '\+?[0-9\s().-]{10,}', 0), ' ' || chr(10) || chr(9)), '') AS phone")) + " FROM documents")
+def value_extract(spark, sf_dir):
+    text = F.col("text")
+    who = K.contact(text)
+    return _table(spark, sf_dir, "documents").select("doc_id", K.offer(text)["price"].alias("price"), who["email"].alias("email"), who["phone"].alias("phone"))
+
+
+_COUNTS = "length(text) AS n, len(regexp_extract_all(text, '<[a-zA-Z1-6]+[^>]*>')) AS o, len(regexp_extract_all(text, '</[a-zA-Z1-6]+>')) AS c, 30 * len(regexp_extract_all(text, '(?m)^#{1,6}\\s+\\S+')) + 20 * len(regexp_extract_all(text, '\\[[^\\]]+\\]\\([^)]+\\)')) + 10 * len(regexp_extract_all(text, '\\*\\*[^*]+\\*\\*')) + 15 * len(regexp_extract_all(text, '(?m)^\\s*[-*+]\\s+')) AS m, len(regexp_extract_all(text, '\\s+')) AS w"
+
+
+@query(f"SELECT doc_id, CASE WHEN n >= 50 AND o > 2 AND c > 2 THEN 'html' WHEN n >= 50 AND m > 10 THEN 'markdown' ELSE 'text' END AS kind, CAST(CASE WHEN n < 50 THEN 0 WHEN o > 2 AND c > 2 THEN n + 10 * o WHEN m > 10 THEN n + m WHEN w > 5 THEN n ELSE 0 END AS BIGINT) AS score FROM (SELECT doc_id, {_COUNTS} FROM documents)")
+def reconstruct_score(spark, sf_dir):
+    @F.pandas_udf("kind string, score long")
+    def scored(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([score_text(t or "") for t in texts], columns=["kind", "score"])
+
+    return _table(spark, sf_dir, "documents").select("doc_id", scored("text").alias("s")).select("doc_id", "s.kind", "s.score")
+
+
+# -- sections, merges, snapshots and diffs over other tables -----------------------------------------
+@query("""WITH b AS (SELECT o_custkey AS page_id, o_orderkey AS ord, CAST((o_orderkey * 7 + o_custkey) % 6 AS INTEGER) + 1 AS level FROM orders),
+p AS (SELECT b.page_id, b.ord AS section_ord, max(a.ord) AS parent_ord, any_value(b.level) AS level FROM b LEFT JOIN b AS a ON a.page_id = b.page_id AND a.ord < b.ord AND a.level < b.level GROUP BY b.page_id, b.ord)
+SELECT page_id, section_ord, parent_ord, level, CAST(row_number() OVER (PARTITION BY page_id, parent_ord ORDER BY section_ord) - 1 AS INTEGER) AS sibling_index FROM p""")
+def section_parents(spark, sf_dir):
+    """A customer's orders read as headings of six levels."""
+    level = ((F.col("o_orderkey") * 7 + F.col("o_custkey")) % 6).cast("int") + 1
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("page_id"), F.col("o_orderkey").alias("ord"), F.lit(0).alias("depth"), F.lit("heading").alias("type"), level.alias("level"), F.lit("h").alias("text"))
+    return section_tree(rows).drop("heading")
+
+
+@query("SELECT user_id % 7 AS page_id, event_type || user_id AS id, 'value' AS prop, min(event_id) AS n FROM events GROUP BY 1, 2")
+def graph_merge(spark, sf_dir):
+    """Events as nodes: of one id the first value stays."""
+    e = _table(spark, sf_dir, "events")
+    pairs = e.select((F.col("user_id") % 7).alias("page_id"), F.col("event_id").alias("node_ord"), F.concat("event_type", F.col("user_id").cast("string")).alias("id"), F.lit("value").alias("prop"), F.lit(0).alias("prop_ord"), F.col("event_id").alias("value"))
+    return K.merge_nodes(pairs).select("page_id", "id", "prop", F.col("value").alias("n"))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS url, max(ts) AS fetched_at, arg_max(CAST(event_id AS VARCHAR), (ts, event_id % 2)) AS content_hash FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1 GROUP BY user_id")
+def snapshot_upsert(spark, sf_dir):
+    """The latest of an old and a new table of snapshots; here each user's last even and odd events."""
+    e = _table(spark, sf_dir, "events")
+    w = Window.partitionBy("user_id", F.col("event_id") % 2).orderBy(F.desc("ts"), F.desc("event_id"))
+    rows = e.withColumn("k", F.row_number().over(w)).filter("k = 1").select(F.col("user_id").cast("string").alias("url"), F.col("ts").alias("fetched_at"), F.col("event_id").cast("string").alias("content_hash"), (F.col("event_id") % 2).alias("odd"))
+    return D.upsert_snapshots(rows.filter("odd = 0").drop("odd"), rows.filter("odd = 1").drop("odd"))
+
+
+_SIDES = "p AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS url, unnest(string_split(text, ' ')) AS w FROM conversations WHERE turn % 2 = 0), c AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS url, unnest(string_split(text, ' ')) AS w FROM conversations WHERE turn % 2 = 1), j AS (SELECT coalesce(c.url, p.url) AS url, coalesce(c.w, p.w) AS w, CASE WHEN p.w IS NULL THEN 'added' WHEN c.w IS NULL THEN 'removed' ELSE 'unchanged' END AS change FROM c FULL JOIN p ON c.url = p.url AND c.w = p.w)"
+
+
+def _word_sides(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("url"), "turn", F.posexplode(F.split("text", " ", -1)).alias("k", "text"))
+    rows = rows.select("url", "turn", (F.col("turn") * 1_000_000 + F.col("k")).alias("ord"), F.lit(None).cast("string").alias("classification"), F.concat(F.lit("paragraph:"), content_hash(F.col("text"))).alias("key"), F.col("text").alias("content"))
+    return rows.filter("turn % 2 = 0"), rows.filter("turn % 2 = 1")
+
+
+@query(f"WITH {_SIDES} SELECT url, change, coalesce(w, '') AS word FROM j")
+def diff_changes(spark, sf_dir):
+    """Words of even turns against those of odd turns of each conversation."""
+    return D.changes(*_word_sides(spark, sf_dir)).select("url", "change", F.coalesce("after", "before").alias("word"))
+
+
+@query(f"WITH {_SIDES} SELECT url, " + ", ".join(f"count(*) FILTER (WHERE change = '{k}') AS {k}" for k in ("added", "removed")) + ", CAST(0 AS BIGINT) AS changed, count(*) FILTER (WHERE change = 'unchanged') AS unchanged FROM j GROUP BY url")
+def diff_summary(spark, sf_dir):
+    return D.summary(D.changes(*_word_sides(spark, sf_dir)))
+
+
+@query()
+def diff_unified(spark, sf_dir):
+    return D.unified(D.changes(*_word_sides(spark, sf_dir)))
+
+
+# -- fixtures ----------------------------------------------------------------------------------------
+def _values(spark: SparkSession, rows: str, names: str) -> DataFrame:
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({names})")
+
+
+@query("SELECT * FROM (VALUES ('Example.COM/a', 'https://example.com/a'), ('http:/x.org', 'http://x.org/'), ('HTTP://X.org:80/%7Ea/../b?q=a b#f', 'http://x.org/b?q=a%20b#f'), ('https://x.org:8080/./', 'https://x.org:8080/'), ('  ', NULL), ('http://', NULL)) AS t(raw, url)")
+def url_normalize(spark, sf_dir):
+    rows = spark.createDataFrame([("Example.COM/a",), ("http:/x.org",), ("HTTP://X.org:80/%7Ea/../b?q=a b#f",), ("https://x.org:8080/./",), ("  ",), ("http://",)], "raw string")
+    return rows.select("raw", U.normalize_url(F.col("raw")).alias("url"))
+
+
+@query("SELECT * FROM (VALUES ('a', 'https://x.org/d/e?q', 'https://x.org/d/a'), ('../a', 'https://x.org/d/e/f', 'https://x.org/d/a'), ('/r', 'https://x.org/d', 'https://x.org/r'), ('//y.org/z', 'https://x.org/', 'https://y.org/z'), ('?n=1', 'https://x.org/d/e?q', 'https://x.org/d/e?n=1'), ('#f', 'https://x.org/d', 'https://x.org/d#f'), ('mailto:a@b.c', 'https://x.org/', 'mailto:a@b.c'), ('http://', 'https://x.org/', 'http://')) AS t(href, base, url)")
+def url_resolve(spark, sf_dir):
+    rows = spark.createDataFrame([("a", "https://x.org/d/e?q"), ("../a", "https://x.org/d/e/f"), ("/r", "https://x.org/d"), ("//y.org/z", "https://x.org/"), ("?n=1", "https://x.org/d/e?q"), ("#f", "https://x.org/d"), ("mailto:a@b.c", "https://x.org/"), ("http://", "https://x.org/")], "href string, base string")
+    return rows.select("href", "base", U.resolve_url(F.col("href"), F.col("base")).alias("url"))
+
+
+@query("SELECT * FROM (VALUES (1, '<span>a</span> <span>b</span>', 'x' || chr(10) || chr(10) || 'y'), (2, '<h1>a</h1> <h2>>b</h2>', 'p' || chr(10) || 'q'), (3, '<a>x</a> <a>y</a><b></b>', '')) AS t(id, spaced, collapsed)")
+def space_and_collapse(spark, sf_dir):
+    rows = spark.createDataFrame([(1, "<span>a</span><span>b</span>", " x \t\r\n\n\n\ny\n"), (2, "<h1>a</h1>\n<h2>b</h2>", "p\r\nq"), (3, "<a>x</a><a>y</a><b></b>", " \n ")], "id int, h string, t string")
+    return rows.select("id", T.space_injection(F.col("h")).alias("spaced"), T.collapse_whitespace(F.col("t")).alias("collapsed"))
+
+
+_META_PAGE = """<html lang="en"><head><title> T </title><meta property="og:title" content=" OG "><meta name="og:title" content="N"><meta property="og:image" content="/i.png"><meta property="og:image" content="/j.png"><meta name="twitter:card" content="s"><meta property="twitter:card" content="p"><meta name="author" content="Ann Lee"><meta property="article:published_time" content="2024-05-06"><link rel="apple-touch-icon" href="/t.png"><link rel="canonical" href="/c"><meta name="generator" content="Hugo 0.1"><script type="application/ld+json">[{"@type":"Product","@id":"#p","name":"Lamp"},{"@context":"x","@graph":[{"@type":"schema:Article","@id":"#a","author":{"name":"Ann Lee"}}]}]</script><script type="application/ld+json">{bad</script></head><body><div class="flex px-2 py-3 bg-red-5">Lamp by Ann Lee on 2024-05-06</div></body></html>"""
+
+
+def _meta_page(spark):
+    return with_fetch_columns(spark.createDataFrame([(1, "https://x.org/d/p", _META_PAGE)], "page_id long, url string, html string"))
+
+
+@query("SELECT 1 AS page_id, 'OG' AS title, 'https://x.org/i.png' AS image, 'https://x.org/t.png' AS favicon, 'https://x.org/c' AS canonical, 'Ann Lee' AS author, '2024-05-06' AS published_time, '/j.png' AS og_image, 'p' AS twitter_card, 'Hugo,Tailwind CSS' AS frameworks")
+def meta_precedence(spark, sf_dir):
+    pages = _meta_page(spark)
+    m = metadata(page_facts(pages), pages)
+    return m.select(F.col("page_id").cast("int").alias("page_id"), "title", "image", "favicon", "canonical", "author", "published_time", F.col("og")["image"].alias("og_image"), F.col("twitter")["card"].alias("twitter_card"), F.array_join("frameworks", ",").alias("frameworks"))
+
+
+@query("SELECT * FROM (VALUES (0, '#p', 'Product'), (1, '#a', 'schema:Article')) AS t(node_ord, id, type)")
+def jsonld_harvest(spark, sf_dir):
+    return jsonld_nodes(page_facts(_meta_page(spark))).select("node_ord", "id", F.element_at("types", 1).alias("type"))
+
+
+@query("SELECT '#p' AS main_id")
+def graph_main_entity(spark, sf_dir):
+    return K.main_entity(jsonld_nodes(page_facts(_meta_page(spark)))).select("main_id")
+
+
+@query("SELECT 'date' AS classification, 0.9::DOUBLE AS confidence")
+def classify_hints(spark, sf_dir):
+    """A publication time beats an author, which beats linked data."""
+    pages = _meta_page(spark)
+    facts = page_facts(pages)
+    found = C.classify(page_blocks(pages), C.linked_hints(jsonld_nodes(facts)), metadata(facts, pages))
+    return found.filter("type = 'paragraph'").select("classification", "confidence")
+
+
+_MD = "# T\ntext\n- a\n* [b](u)\n1. c\n\n> q\n![i](s)\n[l](h)\n```py\nx = 1\n\ny\n```\n```\nlost"
+
+
+@query("SELECT * FROM (VALUES (0, 'heading', 'T', NULL), (1, 'paragraph', 'text', NULL), (2, 'list', 'a|b', NULL), (3, 'list', 'c', NULL), (4, 'blockquote', 'q', NULL), (5, 'image', 'i', 's'), (6, 'link', 'l', 'h'), (7, 'code', 'x = 1' || chr(10) || chr(10) || 'y', 'py')) AS t(ord, type, said, target)")
+def markdown_forms(spark, sf_dir):
+    blocks = markdown_blocks(spark.createDataFrame([(1, _MD)], "id long, md string"), "id", "md")
+    items = F.array_join(F.transform("items", lambda i: i["text"]), "|")
+    return blocks.select("ord", "type", F.coalesce("text", "code", "alt", items).alias("said"), F.coalesce("href", "src", "language").alias("target"))
+
+
+_ROBOTS = "# c\nUser-agent: a\nUser-agent: b # x\nAllow: /p\nDisallow:\nDisallow: /q\nCrawl-delay: 2.5\nSitemap: https://x.org/s.xml\nsitemap: https://x.org/s.xml\nHost: x.org"
+
+
+def _robots(spark):
+    return spark.createDataFrame([("https://x.org", _ROBOTS)], "origin string, body string")
+
+
+@query("SELECT * FROM (VALUES (1, 'a', '', '', NULL::DOUBLE), (2, 'b', '/p', '/q', 2.5)) AS t(rule, agent, allow, disallow, crawl_delay)")
+def robots_rules(spark, sf_dir):
+    return N.robots_rules(_robots(spark)).select(F.col("rule").cast("int").alias("rule"), "agent", F.array_join("allow", ",").alias("allow"), F.array_join("disallow", ",").alias("disallow"), "crawl_delay")
+
+
+@query("SELECT 'https://x.org/s.xml' AS sitemaps, 'x.org' AS host, 'https://x.org/s.xml' AS hint")
+def robots_sitemaps(spark, sf_dir):
+    return N.robots_sites(_robots(spark)).crossJoin(_robots(spark).select("body")).select(F.array_join("sitemaps", ",").alias("sitemaps"), "host", N.sitemap_hint(F.col("body")).alias("hint"))
+
+
+_MAPS = [("https://x.org/s.xml", 200, "application/xml", None, "<sitemapindex><sitemap><loc> https://x.org/1.xml </loc></sitemap><sitemap><loc>/2.xml</loc></sitemap></sitemapindex>"), ("https://x.org/1.xml", 200, "text/xml", None, "<urlset><url><loc>https://x.org/a</loc></url><url><loc>https://x.org/a</loc></url></urlset>"), ("https://x.org/2.xml", 200, "text/xml", None, "<loc>https://x.org/b</loc>"), ("https://x.org/sitemap.xml", 404, "text/html", None, "no"), ("https://x.org/sitemap.txt", 200, "text/plain", None, "https://x.org/t")]
+
+
+def _resources(spark):
+    return spark.createDataFrame(_MAPS, "url string, status int, content_type string, location string, body string")
+
+
+@query("SELECT * FROM (VALUES ('https://x.org/s.xml', 'index', '', 'https://x.org/1.xml,/2.xml'), ('https://x.org/1.xml', 'urlset', 'https://x.org/a', ''), ('https://x.org/2.xml', 'urlset', 'https://x.org/b', ''), ('https://x.org/sitemap.xml', 'unknown', '', ''), ('https://x.org/sitemap.txt', 'unknown', '', '')) AS t(url, kind, urls, sitemaps)")
+def sitemap_parse(spark, sf_dir):
+    x = N.parsed_sitemap(F.col("body"))
+    return _resources(spark).select("url", x["kind"].alias("kind"), F.array_join(x["urls"], ",").alias("urls"), F.array_join(x["sitemaps"], ",").alias("sitemaps"))
+
+
+def _best(spark):
+    sites = spark.createDataFrame([("https://x.org",)], "origin string")
+    return N.best_sitemaps(N.sitemap_candidates(sites, _robots(spark)), _resources(spark))
+
+
+@query("SELECT 'https://x.org' AS origin, 'https://x.org/s.xml' AS sitemap_url, 'index' AS kind")
+def sitemap_best(spark, sf_dir):
+    return _best(spark).select("origin", "sitemap_url", F.col("sitemap.kind").alias("kind"))
+
+
+@query("SELECT * FROM (VALUES (0, 'https://x.org/1.xml', 'https://x.org/a'), (1, 'https://x.org/2.xml', 'https://x.org/b')) AS t(pos, child_url, urls)")
+def sitemap_expand(spark, sf_dir):
+    return N.expand_indexes(_best(spark), _resources(spark)).select("pos", "child_url", F.array_join("urls", ",").alias("urls"))
+
+
+@query("SELECT 'https://x.org/0' AS url, 'https://x.org/9' AS final_url, 200 AS status, 9 AS hops, NULL::VARCHAR AS error UNION ALL SELECT 'https://y.org/0', 'https://y.org/10', 502, 10, 'too many redirects' UNION ALL SELECT 'https://z.org/', 'https://z.org/', 502, 0, 'fetch failed'")
+def redirect_chase(spark, sf_dir):
+    """Nine hops land, ten are an error, and what isn't there fails."""
+    rows = [(f"https://{h}.org/{k}", 302 if k < n else 200, str(k + 1) if k < n else None) for h, n in (("x", 9), ("y", 10)) for k in range(n + 1)]
+    table = spark.createDataFrame(rows, "url string, status int, location string")
+    asked = spark.createDataFrame([("https://x.org/0",), ("https://y.org/0",), ("https://z.org/",)], "url string")
+    return N.chase_redirects(asked, table).select("url", "final_url", "status", F.size("redirects").alias("hops"), "error")
+
+
+_NODES = [(1, 0, "#a", ["Person"], " Ada ", None, None, None, None, None), (1, 1, "#b", ["WebPageElement"], None, "Berlin city", None, None, None, None), (1, 2, "#c", ["Table"], "No", None, None, None, None, None), (1, 3, "#d", ["http://schema.org/Place"], "Rome", None, None, None, None, ["https://www.wikidata.org/wiki/Q220"]), (1, 4, "#e", [], "Unknown", None, None, None, None, None)]
+_NODE_DDL = "page_id long, node_ord int, id string, types array<string>, name string, headline string, pref_label string, rdf_label string, text string, same_as array<string>"
+_KB = [("Ada", 1, "Q1", "Ada Lovelace", "alias"), ("Ada", 2, "Q2", "Ada", "label"), ("Berlin city", 1, "Q64", "Berlin", "alias"), ("Unknown", 1, "Q9", "Other", "alias")]
+
+
+def _candidates(spark):
+    return L.candidates(spark.createDataFrame(_NODES, _NODE_DDL))
+
+
+def _entity_links(spark):
+    return L.resolve(_candidates(spark), spark.createDataFrame(_KB, "search_label string, rank int, qid string, label string, match_type string"))
+
+
+@query("SELECT * FROM (VALUES ('#a', 'Ada', NULL), ('#b', 'Berlin city', NULL), ('#d', 'Rome', 'Q220'), ('#e', 'Unknown', NULL)) AS t(id, label, existing_qid)")
+def link_candidates(spark, sf_dir):
+    return _candidates(spark).select("id", "label", "existing_qid")
+
+
+@query("SELECT * FROM (VALUES ('#a', 'Q1', 'Ada Lovelace', 'exact'), ('#b', 'Q64', 'Berlin', 'exact'), ('#d', 'Q220', NULL, 'exact')) AS t(id, qid, label, confidence)")
+def entity_link(spark, sf_dir):
+    return _entity_links(spark).select("id", "qid", "label", "confidence")
+
+
+@query("SELECT * FROM (VALUES ('#a', 'Ada', 'http://www.wikidata.org/entity/Q1'), ('#b', 'Berlin', 'http://www.wikidata.org/entity/Q64'), ('#c', 'No', NULL), ('#d', 'Rome', 'https://www.wikidata.org/wiki/Q220,http://www.wikidata.org/entity/Q220'), ('#e', 'Unknown', NULL)) AS t(id, name, same_as)")
+def entity_attach(spark, sf_dir):
+    out = L.attach(spark.createDataFrame(_NODES, _NODE_DDL), _entity_links(spark))
+    return out.select("id", F.trim("name").alias("name"), F.array_join("same_as", ",").alias("same_as"))
+
+
+@query("SELECT 'http://www.wikidata.org/entity/Q64' AS id, 'Berlin' AS label, 'city' AS definition, 'wdt:P31=http://www.wikidata.org/entity/Q515;wdt:P569=1237-01-01,1307-01-01;wdt:P856=https://berlin.de' AS claims")
+def entity_nodes(spark, sf_dir):
+    claims = [("P856", 0, "string", '"https://berlin.de"'), ("P31", 0, "wikibase-entityid", '{"id":"Q515"}'), ("P569", 0, "time", '{"time":"+1237-01-01T00:00:00Z"}'), ("P569", 1, "time", '{"time":"+1307-01-01T00:00:00Z"}'), ("P625", 0, "globecoordinate", "{}")]
+    kb = spark.createDataFrame([("Q64", {"de": "Berlin"}, {"en": "city"}, claims), ("Q0", {}, {}, [])], "qid string, labels map<string,string>, descriptions map<string,string>, claims array<struct<property:string,rank:int,type:string,value:string>>")
+    told = F.array_join(F.transform("claims", lambda c: F.concat(c["prop"], F.lit("="), F.array_join(c["values"], ","))), ";")
+    return L.entity_nodes(_entity_links(spark), kb).select("id", "label", "definition", told.alias("claims"))
+
+
+@query("SELECT * FROM (VALUES (1, 'html', '<p>a <strong>b</strong></p>' || chr(10) || '<h2>c</h2>' || chr(10)), (2, 'text', '<p>' || repeat('word ', 12) || '</p>'), (3, NULL, NULL)) AS t(id, kind, html)")
+def reconstruct_best(spark, sf_dir):
+    rows = [(1, '{"x":[{"_type":"block","children":[{"text":"a "},{"text":"b","marks":["strong"]}]},{"_type":"block","style":"h2","children":[{"text":"c"}]}]}'), (2, '{"body":"' + "word " * 12 + '","z":"' + "long " * 30 + '"}'), (3, "{bad")]
+    out = reconstructed(spark.createDataFrame(rows, "id int, j string"), "j")
+    return out.select("id", "best.kind", "best.html")
+
+
+@query("SELECT 'https://q.org/read?_classify=1&_format=json&_marker=date%2Clink&a=1' AS key, 13 AS n_browser, 3 AS n_bot, true AS is_preset")
+def request_options(spark, sf_dir):
+    key = cache_key("https://q.org/read?a=1", ReadOptions(format="json", marker=("date", "link"), classify=True))
+    row = (key, len(request_headers(resolve_agent(None))), len(request_headers(resolve_agent("GoogleBot"))), resolve_agent("CHROME") == resolve_agent(None))
+    return spark.createDataFrame([row], "key string, n_browser int, n_bot int, is_preset boolean")
+
+
+_SNAP_SQL = "SELECT * FROM (VALUES ('added', 'new', NULL), ('changed', NULL, NULL), ('removed', 'old', NULL), ('unchanged', 'same', NULL)) AS t(change, said, classification)"
+
+
+@query(_SNAP_SQL)
+def diff_kinds(spark, sf_dir):
+    """An edited text is removed and added; a list whose links alone differ is changed."""
+    ddl = "url string, ord int, type string, text string, code string, href string, src string, alt string, ordered boolean, items array<struct<text:string,href:string>>, headers array<string>, rows array<array<string>>, html_id string, html_class string"
+
+    def side(*blocks):
+        rows = [("u", k, b[0], b[1], None, None, None, None, False, b[2], None, None, None, None) for k, b in enumerate(blocks)]
+        return D.keyed(spark.createDataFrame(rows, ddl))
+
+    before = side(("paragraph", "same", None), ("paragraph", "old", None), ("list", None, [("x", "/1")]))
+    after = side(("paragraph", "new", None), ("list", None, [("x", "/2")]), ("paragraph", "same", None))
+    out = D.changes(before, after)
+    said = F.when(F.col("change") != "changed", F.coalesce("after", "before"))
+    return out.select("change", said.alias("said"), "classification")

@@ -25,24 +25,31 @@ def label(kind: Column, text: Column) -> Column:
     """struct(type, confidence) of the first rule that holds; null for a blank text or a group."""
     t = trimmed(text)
 
+    # plain searches first: the patterns look around at every letter, and few texts can match them
+    digit, low = t.rlike("[0-9]"), F.lower(t)
+    price, date, rating, phone = (digit & t.rlike(p) for p in (P.PRICE, P.DATE, P.RATING, P.PHONE))
+    email = t.contains("@") & t.rlike(P.EMAIL)
+    author = (F.length(t) < 120) & (low.contains("by") | low.contains("author")) & t.rlike(P.AUTHOR)
+    product = (low.contains("product") | low.contains("sku") | low.contains("model") | low.contains("add to cart") | low.contains("buy now")) & t.rlike(P.PRODUCT)
+
     def is_(name: str, confidence: float) -> Column:
         return F.struct(F.lit(name).alias("type"), F.lit(confidence).alias("confidence"))
 
     return (
         F.when((t == "") | t.isNull() | kind.isNull() | (kind == "group"), F.lit(None))
         .when(kind == "code", is_("code", 1.0))
-        .when((kind == "table") & t.rlike(P.PRICE), is_("pricing", 0.7))
+        .when((kind == "table") & price, is_("pricing", 0.7))
         .when(kind == "table", is_("table", 0.9))
         .when(kind == "image", is_("image", 1.0))
         .when(kind == "link", is_("link", 0.9))
         .when(kind == "list", is_("list", 0.8))
         .when(kind == "heading", is_("heading", 1.0))
-        .when(t.rlike(P.PRICE), is_("pricing", 0.85))
-        .when(t.rlike(P.DATE), is_("date", 0.8))
-        .when(t.rlike(P.RATING), is_("rating", 0.75))
-        .when(t.rlike(P.EMAIL) | t.rlike(P.PHONE), is_("contact", 0.8))
-        .when(t.rlike(P.AUTHOR) & (F.length(t) < 120), is_("author", 0.6))
-        .when(t.rlike(P.PRODUCT), is_("product", 0.65))
+        .when(price, is_("pricing", 0.85))
+        .when(date, is_("date", 0.8))
+        .when(rating, is_("rating", 0.75))
+        .when(email | phone, is_("contact", 0.8))
+        .when(author, is_("author", 0.6))
+        .when(product, is_("product", 0.65))
         .otherwise(is_("paragraph", 0.5))
     )
 

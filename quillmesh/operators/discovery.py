@@ -95,18 +95,22 @@ def chase_redirects(requests: DataFrame, resources: DataFrame, most: int = MOST_
     """(url, final_url, status, redirects, error): every request followed hop by hop.
 
     ``most`` recorded hops are an error, even if the last one landed.  An address that isn't in the
-    table is a failed fetch (502).  Each hop is one join; finished requests leave the loop.
+    table is a failed fetch (502).  Each hop is one join, which finished requests don't take part in.
     """
     table = resources.select(F.col("url").alias("_u"), F.col("status").alias("_s"), F.col("location").alias("_l"))
-    open_ = requests.select("url", F.col("url").alias("at"), F.array().cast("array<string>").alias("redirects"))
-    done = None
+    state = requests.select("url", F.col("url").alias("at"), F.lit(None).cast("int").alias("status"), F.array().cast("array<string>").alias("redirects"), F.lit(None).cast("string").alias("error"))
     for _ in range(most):
-        hop = open_.join(table, open_["at"] == table["_u"], "left")
-        moved = F.col("_s").isin(*REDIRECTS) & F.col("_l").isNotNull() & (F.col("_l") != "")
-        landed = hop.filter(~F.coalesce(moved, F.lit(False))).select("url", F.col("at").alias("final_url"), F.coalesce("_s", F.lit(502)).alias("status"), "redirects", F.when(F.col("_s").isNull(), "fetch failed").alias("error"))
-        done = landed if done is None else done.unionByName(landed)
-        open_ = hop.filter(moved).select("url", F.coalesce(resolve_or_null(F.col("_l"), F.col("at")), "_l").alias("at"), F.array_append("redirects", F.col("at")).alias("redirects"))
-    return done.unionByName(open_.select("url", F.col("at").alias("final_url"), F.lit(502).alias("status"), "redirects", F.lit("too many redirects").alias("error")))
+        hop = state.join(table, (state["at"] == table["_u"]) & state["status"].isNull(), "left")
+        open_ = F.col("status").isNull()
+        moved = open_ & F.coalesce(F.col("_s").isin(*REDIRECTS) & (F.col("_l") != ""), F.lit(False))
+        state = hop.select(
+            "url",
+            F.when(moved, F.coalesce(resolve_or_null(F.col("_l"), F.col("at")), "_l")).otherwise(F.col("at")).alias("at"),
+            F.when(open_ & ~moved, F.coalesce("_s", F.lit(502))).otherwise(F.col("status")).alias("status"),
+            F.when(moved, F.array_append("redirects", F.col("at"))).otherwise(F.col("redirects")).alias("redirects"),
+            F.when(open_ & F.col("_s").isNull(), "fetch failed").otherwise(F.col("error")).alias("error"),
+        )
+    return state.select("url", F.col("at").alias("final_url"), F.coalesce("status", F.lit(502)).alias("status"), "redirects", F.when(F.col("status").isNull(), "too many redirects").otherwise(F.col("error")).alias("error"))
 
 
 def with_companions(pages: DataFrame, resources: DataFrame) -> DataFrame:

@@ -24,7 +24,8 @@ def section_tree(blocks: DataFrame, page: str = "page_id") -> DataFrame:
     sections = marked.select(page, F.col("ord").alias("section_ord"), nearest.alias("parent_ord"), "level", "heading")
     first = Window.partitionBy(page)
     loose = top.withColumn("_h", F.min(F.when(F.col("type") == "heading", F.col("ord"))).over(first)).filter("type <> 'heading' AND (_h IS NULL OR ord < _h)")
-    preamble = loose.select(page).distinct().select(page, F.lit(-1).alias("section_ord"), F.lit(None).cast("int").alias("parent_ord"), F.lit(0).alias("level"), F.lit(None).cast("string").alias("heading"))
+    kind = blocks.schema["ord"].dataType
+    preamble = loose.select(page).distinct().select(page, F.lit(-1).cast(kind).alias("section_ord"), F.lit(None).cast(kind).alias("parent_ord"), F.lit(0).alias("level"), F.lit(None).cast("string").alias("heading"))
     every = sections.unionByName(preamble)
     siblings = Window.partitionBy(page, "parent_ord").orderBy("section_ord")
     return every.withColumn("sibling_index", F.row_number().over(siblings) - 1)

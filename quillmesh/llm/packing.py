@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmesh.llm.bpe import default_vocabulary, each_text, vocabulary
+from quillmesh.llm.bpe import coding, default_vocabulary, each_text
 from quillmesh.llm.common import documents, settled
 
 SIZE = 2048
@@ -32,27 +32,27 @@ def token_pieces(docs: DataFrame, path: str, *, size: int = SIZE, end_id: int =
     slim = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
 
     def run(batches):
-        coder = vocabulary(path, light=True)
         tail = int(end_id).to_bytes(4, "little")
-        for whole in batches:
-            for batch, texts in each_text(whole, 1):
-                row, start, length, crc, total, bodies = [], [], [], [], [], []
-                for k, text in enumerate(texts):
-                    body = b"".join([e[3] for e in coder.entries(text)]) + tail
-                    n = len(body) // 4
-                    for at in range(0, n, size):
-                        part = body[4 * at : 4 * (at + size)]
-                        row.append(k)
-                        start.append(at)
-                        length.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
-                        total.append(n)
-                        if with_ids:
-                            bodies.append(np.frombuffer(part, "<u4").astype(np.int32))
-                arrays = [batch.column(0).take(pa.array(row, pa.int64())), *[pa.array(x, pa.int64()) for x in (start, length, crc, total)]]
-                if with_ids:
-                    arrays.append(pa.array(bodies, pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(arrays, names=["i", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids)
+        with coding(path, light=True) as coder:
+            for whole in batches:
+                for batch, texts in each_text(whole, 1):
+                    row, start, length, crc, total, bodies = [], [], [], [], [], []
+                    for k, text in enumerate(texts):
+                        body = b"".join([e[3] for e in coder.entries(text)]) + tail
+                        n = len(body) // 4
+                        for at in range(0, n, size):
+                            part = body[4 * at : 4 * (at + size)]
+                            row.append(k)
+                            start.append(at)
+                            length.append(len(part) // 4)
+                            crc.append(zlib.crc32(part))
+                            total.append(n)
+                            if with_ids:
+                                bodies.append(np.frombuffer(part, "<u4").astype(np.int32))
+                    arrays = [batch.column(0).take(pa.array(row, pa.int64())), *[pa.array(x, pa.int64()) for x in (start, length, crc, total)]]
+                    if with_ids:
+                        arrays.append(pa.array(bodies, pa.list_(pa.int32())))
+                    yield pa.RecordBatch.from_arrays(arrays, names=["i", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids)
 
     ddl = f"i {docs.schema[id_col].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
     return slim.mapInArrow(run, ddl).withColumnRenamed("i", id_col)

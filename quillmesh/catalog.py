@@ -220,7 +220,7 @@ def _lines(spark, sf_dir):
 
 
 def _labelled(spark, sf_dir):
-    rows = _lines(spark, sf_dir).withColumn("x", C.label(F.lit("paragraph"), F.col("line"))).filter("x IS NOT NULL")
+    rows = _lines(spark, sf_dir).withColumn("t", T.trimmed(F.col("line"))).filter("t <> ''").withColumn("x", C.label(F.lit("paragraph"), F.col("t")))
     return rows.select("doc_id", "lang", F.col("ord").cast("long").alias("ord"), "line", F.col("x.type").alias("label"), F.col("x.confidence").alias("confidence"))
 
 

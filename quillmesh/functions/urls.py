@@ -32,14 +32,15 @@ def canonical(url: str) -> str | None:
     body, mark, query = body.partition("?")
     host, slash, path = re.match(r"([^/\\]*)([/\\]?)(.*)$", body, re.S).groups()
     user, at, host = host.rpartition("@")
-    name, colon, port = host.partition(":") if not host.startswith("[") else (host, "", "")
+    six = re.fullmatch(r"(\[[0-9A-Fa-f:.]+\])(?::(\d*))?", host)
+    name, port = (six[1], six[2] or "") if six else (host.partition(":")[0], host.partition(":")[2])
     if port and not port.isdigit() or port and int(port) > 65535:
         return None
     try:
         name = name.lower() if name.isascii() else name.lower().encode("idna").decode()
     except UnicodeError:
         return None
-    if not name or not name.startswith("[") and _BAD_HOST.search(name):
+    if not name or not six and _BAD_HOST.search(name):
         return None
     port = str(int(port)) if port else ""
     out = f"{scheme}://{user + '@' if at and user else ''}{name}"

@@ -21,9 +21,11 @@ def block_text() -> Column:
     return F.coalesce(F.col("text"), F.col("code"), F.when(F.col("type") == "table", table), F.when(F.col("type") == "list", items), F.concat(F.lit(" "), F.col("href")), F.col("alt"), F.lit(""))
 
 
-def label(kind: Column, text: Column) -> Column:
-    """struct(type, confidence) of the first rule that holds; null for a blank text or a group."""
-    t = trimmed(text)
+def label(kind: Column, t: Column) -> Column:
+    """struct(type, confidence) of the first rule that holds; null for a blank text or a group.
+
+    ``t`` is trimmed and a column of its own, since every rule reads it.
+    """
 
     # plain searches first: the patterns look around at every letter, and few texts can match them
     digit, low = t.rlike("[0-9]"), F.lower(t)
@@ -76,7 +78,8 @@ def classify(blocks: DataFrame, hints: DataFrame | None = None, page_meta: DataF
     published_time.  Hints meet blocks of their own page only.
     """
     out = blocks.withColumn("_text", block_text())
-    out = out.withColumn("_rule", label(F.col("type"), F.col("_text")))
+    out = out.withColumn("_t", trimmed(F.col("_text")))
+    out = out.withColumn("_rule", label(F.col("type"), F.col("_t")))
     best = F.lit(None).cast("struct<type:string,confidence:double>")
     if hints is not None:
         own = out.select("page_id", "ord", "_text").join(hints.withColumnRenamed("ord", "_o"), "page_id").filter(F.col("_text").contains(F.col("hint")))
@@ -89,7 +92,7 @@ def classify(blocks: DataFrame, hints: DataFrame | None = None, page_meta: DataF
         meta = F.when(holds("_p"), F.lit("date")).when(holds("_a"), F.lit("author"))
         best = F.coalesce(F.when(meta.isNotNull(), F.struct(meta.alias("type"), F.lit(META).alias("confidence"))), best)
     chosen = F.when(F.col("type") != "group", F.coalesce(best, F.col("_rule")))
-    return out.withColumns({"classification": chosen["type"], "confidence": chosen["confidence"]}).drop("_text", "_rule", "_hint", "_a", "_p")
+    return out.withColumns({"classification": chosen["type"], "confidence": chosen["confidence"]}).drop("_text", "_t", "_rule", "_hint", "_a", "_p")
 
 
 def histogram(classified: DataFrame) -> DataFrame:

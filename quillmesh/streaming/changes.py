@@ -27,20 +27,21 @@ def fetch_hashes(pages: DataFrame, fetched_at=None) -> DataFrame:
 
 
 def change_stream(fetches: DataFrame, days: int = SNAPSHOT_DAYS) -> DataFrame:
-    """added, changed or unchanged for every fetch, by the last hash kept for its url; kept ones expire."""
+    """added, changed or unchanged for every fetch, by the last hash kept for its url.
+
+    A hash older than ``days`` at the next fetch has expired: the page counts as added again.
+    """
+    kept_for = pd.Timedelta(days=days)
 
     def step(key, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
+        last, when = state.get if state.exists else (None, None)
         rows = pd.concat(list(batches)).sort_values("fetched_at", kind="stable")
         out = []
         for h, at in zip(rows["content_hash"], rows["fetched_at"]):
-            out.append((key[0], at, "added" if last is None else "unchanged" if last == h else "changed", h))
-            last = h
-        state.update((last, rows["fetched_at"].iloc[-1].to_pydatetime()))
-        state.setTimeoutDuration(days * 86_400_000)
+            known = last is not None and pd.Timestamp(at) - pd.Timestamp(when) <= kept_for
+            out.append((key[0], at, "added" if not known else "unchanged" if last == h else "changed", h))
+            last, when = h, at
+        state.update((last, pd.Timestamp(when).to_pydatetime()))
         yield pd.DataFrame(out, columns=["url", "fetched_at", "change", "content_hash"])
 
-    return fetches.groupBy("url").applyInPandasWithState(step, _OUT, _STATE, "append", "ProcessingTimeTimeout")
+    return fetches.groupBy("url").applyInPandasWithState(step, _OUT, _STATE, "append", "NoTimeout")

@@ -73,11 +73,6 @@ def _split(values: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(values, edges), [len(values)]])
 
 
-def _blocks(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    own = F.xxhash64(F.lit(17), F.col(id_col))
-    return docs.withColumns({"_id": F.col(id_col).cast("long"), "_text": F.col(text_col).cast("string"), "_h": F.xxhash64(F.col(text_col).cast("string")), "_blk": F.pmod(own, F.lit(n))})
-
-
 def remove_repeats(docs: DataFrame, *, unit: str = "words", window: int = 20, prefilter: bool = True, id_col: str = "doc_id", text_col: str = "text", keep_columns: list[str] | None = None, with_text: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Removes units covered by a window that also starts earlier in the corpus.
 
@@ -98,8 +93,9 @@ def remove_repeats(docs: DataFrame, *, unit: str = "words", window: int = 20, pr
     n_symbol = shards_for(int(total / mean_unit * 0.2), BUCKET_ENTRIES, 8)
     n_window = shards_for(int(total / mean_unit * 0.3), BUCKET_ENTRIES, 8)
     carried = keep_columns or [id_col]
-    blocked = _blocks(docs, id_col, text_col, n_blocks)
-    slim = blocked.select("_blk", "_id", "_h", "_text", *[F.col(c).alias(f"c{i}_") for i, c in enumerate(carried)])
+    # all at once, so that the caller's columns may have any names
+    text = F.col(text_col).cast("string")
+    slim = docs.select(F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(n_blocks)).alias("_blk"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_h"), text.alias("_text"), *[F.col(c).alias(f"c{i}_") for i, c in enumerate(carried)])
     kind = unit
 
     def named(block: _Block):

@@ -12,6 +12,7 @@ from quillmesh.llm import registry
 from quillmesh.llm.components import components
 from quillmesh.llm.quality import classify
 from quillmesh.llm.sharding import assign_shards
+from quillmesh.llm.similar import similar_groups
 from quillmesh.llm.simhash import near_groups, near_links
 from quillmesh.llm.vector_search import nearest, top_k
 
@@ -147,3 +148,56 @@ def test_pipeline_keeps_its_promises(spark, data):
     assert all(r.n_chars == len(r.text) for r in at.collect())
     pieces = corpus_pipeline.run(spark, data)
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == {r.doc_id for r in at.collect()}
+
+
+def shingles(text, k=5):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} or ({tuple(words)} if words else set())
+
+
+def alike(x, y):
+    return x == y or 5 * len(x & y) >= 4 * len(x | y) > 0
+
+
+def edited(rng, words, edits):
+    out = list(words)
+    for k in rng.sample(range(len(out)), edits):
+        out[k] = f"n{rng.getrandbits(40)}"
+    return " ".join(out)
+
+
+def copies(seed=3):
+    """Texts and copies of them with similarities from about 0.6 to 1, a passage that many share, and short texts."""
+    rng = random.Random(seed)
+    texts = [None, "", " \n", "one", "one two", "One Two", "a b c d e", "a b c d e f"]
+    passage = [f"p{k}" for k in range(60)]
+    for size in (30, 100, 300):
+        for _ in range(8):
+            base = [f"w{rng.randint(0, 5000)}" for _ in range(size)]
+            texts += [edited(rng, base, rng.randint(0, max(2, size // 25))) for _ in range(5)]
+    texts += [" ".join([f"w{rng.randint(0, 5000)}" for _ in range(rng.choice([0, 5, 20, 90]))] + passage) for _ in range(40)]
+    texts += [edited(rng, base, rng.randint(1, 14)) for base in [base] for _ in range(40)]
+    return texts
+
+
+def groups_by_force(texts):
+    sets = [shingles(t) for t in texts]
+    return roots(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if alike(sets[i], sets[j])])
+
+
+@pytest.mark.parametrize("options", [{}, {"sampled": 10, "together": 50}])
+def test_similar_groups_against_all_pairs(spark, options):
+    texts = copies()
+    out = similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **options).collect()
+    want = groups_by_force(texts)
+    assert 10 < len(set(want)) < len(texts) - 40
+    assert {r.doc_id: r.component_id for r in out} == dict(enumerate(want))
+    assert len(out) == len(texts)
+    assert similar_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_near_duplicates_stage_against_all_pairs(spark):
+    texts = copies(4)
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(groups_by_force(texts)))

@@ -22,8 +22,12 @@ from quillmesh.llm.common import U64, documents, hash_spans, settled, slices, te
 CHUNK_BYTES = 1 << 20
 #: labelled rows that the models are trained on, the first by a hash of the id
 MAX_LABELS = 20_000
-#: word buckets of the toxic lexicon, and the most words that it keeps
+#: word and stem buckets of the toxic lexicon, and the most of them that it keeps
 BUCKET_BITS = 20
+#: bytes of a word that make its stem
+STEM = 4
+#: parts of the labelled rows, each judged by the lexicon of the others
+FOLDS = 4
 MAX_LEXICON = 4096
 #: site rows up to which the site table is broadcast; beyond, it is joined by shuffle
 BROADCAST_SITES = 200_000
@@ -47,7 +51,7 @@ def _per_row(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
 
 
 def style_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per row: style figures; and the row and bucket of each distinct (row, word), case and outer marks aside."""
+    """Per row: style figures; and the row and bucket of each distinct (row, word) and (row, stem), case and outer marks aside."""
     n = len(offsets) - 1
     starts, ends, rows = word_spans(data, offsets)
     words = np.bincount(rows, minlength=n).astype(np.float64)
@@ -86,8 +90,11 @@ def style_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         high = high - cut
         cut = (high > low) & _TRIM[data[np.minimum(low, max(len(data) - 1, 0))]] if len(low) else cut
         low = low + cut
-    bucket = (hash_spans(_FOLD[data], low, high) >> U64(64 - BUCKET_BITS)).astype(np.int64)
-    both = np.unique(rows.astype(np.int64) << BUCKET_BITS | bucket)
+    folded = _FOLD[data]
+    bucket = (hash_spans(folded, low, high) >> U64(64 - BUCKET_BITS)).astype(np.int64)
+    long = np.flatnonzero(high - low > STEM)
+    stem = (~hash_spans(folded, low[long], low[long] + STEM) >> U64(64 - BUCKET_BITS)).astype(np.int64)
+    both = np.unique(np.concatenate([rows, rows[long]]).astype(np.int64) << BUCKET_BITS | np.concatenate([bucket, stem]))
     return np.stack(figures, axis=1), both >> BUCKET_BITS, both & ((1 << BUCKET_BITS) - 1)
 
 
@@ -159,8 +166,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int, id_col: str)
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_LABELS) -> Model:
     """Fits both models on at most ``limit`` labelled rows; what reaches the driver is bounded by that.
 
-    Half the rows give the lexicon, the other half its weight as evidence, so a word that a few rows
-    hold by chance isn't trusted for those rows' sake.
+    All rows give the lexicon.  Its weight as evidence comes from each fold's figures under the lexicon
+    of the other folds, so a word that a few rows hold by chance isn't trusted for those rows' sake.
     """
     sample = settled(labelled_sample(docs.select(id_col, F.col(text_col).cast("string").alias("_t")), labels, limit, id_col).select(id_col, "_t", "quality", "toxic"))
 
@@ -178,37 +185,50 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
                 )
 
     slim = settled(sample.mapInArrow(gather, "i long, quality int, toxic int, style binary, words binary"))
-    half = F.pmod(F.xxhash64("i", F.lit(5)), F.lit(2)) == 0
+    fold = F.pmod(F.xxhash64("i", F.lit(5)), F.lit(FOLDS)).cast("int").alias("fold")
 
     def bags(batches):
         for batch in batches:
-            toxic = batch.column(0).to_pylist()
-            for want in (0, 1):
-                own = [np.frombuffer(b, np.int32) for b, t in zip(batch.column(1).to_pylist(), toxic) if t == want]
-                if own:
-                    words, n = np.unique(np.concatenate(own), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(np.full(len(words), want, np.int32)), pa.array(n.astype(np.int64))], names=["word", "toxic", "n"])
-
-    df = slim.filter(half).select("toxic", "words").mapInArrow(bags, "word int, toxic int, n long").groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"))
-    totals = {r["toxic"]: r["n"] for r in slim.filter(half).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    bad_docs, good_docs = totals.get(1, 0), totals.get(0, 0)
-    rate = F.log((F.col("bad") + 0.5) / (bad_docs + 1)) - F.log((F.col("good") + 0.5) / (good_docs + 1))
-    words = df.filter("bad >= 3").withColumn("gain", rate).filter("gain > 1.5").orderBy(F.desc("gain"), "word").limit(MAX_LEXICON).collect()
-    words = sorted((r["word"], r["gain"]) for r in words)
-    lexicon, weight = np.array([w for w, _ in words], np.int64), np.array([g for _, g in words])
-    rows = slim.withColumn("first", half).select("quality", "toxic", "style", "words", "first").toPandas()
+            kinds = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            for fold_, want in sorted({x for x in kinds if x[1] in (0, 1)}):
+                own = [np.frombuffer(b, np.int32) for b, x in zip(batch.column(2).to_pylist(), kinds) if x == (fold_, want)]
+                words, n = np.unique(np.concatenate(own), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(words), *[pa.array(np.full(len(words), x, np.int32)) for x in (fold_, want)], pa.array(n.astype(np.int64))], names=["word", "fold", "toxic", "n"])
+
+    counts = slim.select(fold, "toxic", "words").mapInArrow(bags, "word int, fold int, toxic int, n long")
+
+    def tally(toxic: int, without: int):
+        return F.sum(F.when((F.col("toxic") == toxic) & (F.col("fold") != without), F.col("n")).otherwise(0))
+
+    parts = [-1, *range(FOLDS)]  # all rows, and all but a fold
+    counts = settled(counts.groupBy("word").agg(*[tally(t, k).alias(f"{name}{k + 1}") for k in parts for t, name in ((1, "bad"), (0, "good"))]).filter("bad0 >= 3"))
+    totals = {(r["fold"], r["toxic"]): r["n"] for r in slim.groupBy(fold, "toxic").agg(F.count("*").alias("n")).collect()}
+
+    def lexicon_of(k: int) -> tuple[np.ndarray, np.ndarray]:
+        bad_docs, good_docs = (sum(n for (f, t), n in totals.items() if t == want and f != k) for want in (1, 0))
+        bad, good = F.col(f"bad{k + 1}"), F.col(f"good{k + 1}")
+        rate = F.log((bad + 0.5) / (bad_docs + 1)) - F.log((good + 0.5) / (good_docs + 1))
+        words = counts.filter(bad >= 3).select("word", rate.alias("gain")).filter("gain > 1.5").orderBy(F.desc("gain"), "word").limit(MAX_LEXICON).collect()
+        words = sorted((r["word"], r["gain"]) for r in words)
+        return np.array([w for w, _ in words], np.int64), np.array([g for _, g in words])
+
+    (lexicon, weight), *others = [lexicon_of(k) for k in parts]
+    rows = slim.select("quality", "toxic", "style", "words", fold).toPandas()
     if rows.empty:
         blank = (np.zeros(1 + 2 * STYLE - 1), np.zeros(2 * STYLE - 1), np.ones(2 * STYLE - 1))
         return Model(blank, (np.array([-10.0, 0, 0, 0]), np.zeros(3), np.ones(3)), lexicon, weight)
     style = np.stack([np.frombuffer(b, np.float64) for b in rows["style"]])
     junk = fit_logistic(_curved(style), (rows["quality"].to_numpy() == 0).astype(float))
-    second = rows[~rows["first"]]
-    if second.empty or not len(lexicon):
+    if not len(lexicon):
         return Model(junk, (np.array([-10.0, 0, 0, 0]), np.zeros(3), np.ones(3)), lexicon, weight)
-    bags_ = [np.frombuffer(b, np.int32) for b in second["words"]]
-    at = np.repeat(np.arange(len(bags_)), [len(b) for b in bags_])
-    figures = lexicon_figures(at, np.concatenate(bags_).astype(np.int64), style[~rows["first"].to_numpy()], lexicon, weight)
-    toxic = fit_logistic(figures, second["toxic"].to_numpy().astype(float))
+    figures = np.zeros((len(rows), 3))
+    for k in range(FOLDS):
+        own = np.flatnonzero(rows["fold"].to_numpy() == k)
+        if len(own):
+            bags_ = [np.frombuffer(b, np.int32) for b in rows["words"].iloc[own]]
+            at = np.repeat(np.arange(len(own)), [len(b) for b in bags_])
+            figures[own] = lexicon_figures(at, np.concatenate(bags_).astype(np.int64), style[own], *others[k])
+    toxic = fit_logistic(figures, rows["toxic"].to_numpy().astype(float))
     return Model(junk, toxic, lexicon, weight)
 
 

@@ -124,6 +124,16 @@ def test_classifier_on_held_out_rows(spark, data):
     assert np.mean([not r["_keep"] for r in junk]) > 0.9
 
 
+def test_classifier_finds_toxic_rows_of_each_language(spark, data):
+    docs, labels = (spark.read.parquet(f"{data.replace('sf0.001', 'sf0.1')}/{t}.parquet") for t in ("documents", "labels"))
+    seen = labels.filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(4)) > 0)
+    rest = labels.join(seen, "doc_id", "left_anti").select("doc_id", F.col("quality").alias("q"), F.col("toxic").alias("t"))
+    rows = classify(docs, seen).join(rest, "doc_id").select("lang", "_keep", "q", "t").collect()
+    for lang, least in (("en", 0.95), ("de", 0.85), ("fr", 0.7), ("es", 0.6)):
+        assert np.mean([not r["_keep"] for r in rows if r.t == 1 and r.lang == lang]) > least, lang
+    assert np.mean([r["_keep"] for r in rows if r.q == 1 and r.t == 0]) > 0.98
+
+
 def test_classifier_edges(spark):
     ddl = "doc_id long, text string, source string, lang string, quality int"
     docs = spark.createDataFrame([(1, None, None, None, 1), (2, "", "a", "en", 2), (3, "some text", "a", "en", 3), (3, "some text", "a", "en", 3)], ddl)

@@ -3,7 +3,8 @@
 Every document is cut into full sequences and one rest.  Rests are counted by length class, at most
 a few hundred numbers whatever the corpus.  On these the driver solves the cutting-stock linear
 program: columns are patterns of classes that fill a sequence, priced by a knapsack over the duals.
-Patterns are rounded down, what is left is packed best fit, and the pieces of each class, ranked over
+Patterns are rounded down, what is left is packed best fit, short rests are counted by the token and
+fill the room that patterns leave and then sequences of their own, and the pieces of each class, ranked over
 the whole corpus, take the slots that the patterns hold for their class.
 """
 
@@ -21,8 +22,9 @@ from quillmesh.llm.common import documents, settled
 
 SIZE = 2048
 END_ID = 1
-#: tokens by which length classes differ
+#: tokens by which length classes differ; rests of at most this part of a sequence have classes of one token
 GRAIN = 8
+SHORT = 32
 #: pieces that one window task ranks
 RANKED_TOGETHER = 200_000
 
@@ -130,6 +132,40 @@ def cutting_stock(sizes: list[int], demand: list[int], room: int, rounds: int =
     return plan
 
 
+def class_of(length, size: int, grain: int):
+    """The tokens that a piece counts for: its length if short, else the next multiple of the grain."""
+    return F.when(length <= size // SHORT, length).otherwise(F.ceil(length / grain) * grain).cast("int")
+
+
+def plan_of(histogram: dict[int, int], size: int, grain: int) -> list[tuple[dict[int, int], int]]:
+    """Patterns ({class: count}, times) of all pieces, given how many each class has."""
+    long = sorted(c for c in histogram if c > size // SHORT)
+    stock = cutting_stock([c // grain for c in long], [histogram[c] for c in long], size // grain)
+    left = {c: histogram[c] for c in sorted(histogram, reverse=True) if c <= size // SHORT}
+    plan: list[tuple[dict[int, int], int]] = []
+
+    def fill(pattern: dict[int, int], times: int | None) -> None:
+        """The pattern's sequences (or as many as it takes) with short pieces, the largest first."""
+        while times is None or times:
+            space, more = size - sum(c * k for c, k in pattern.items()), {}
+            for c, n in left.items():
+                if k := min(n, space // c):
+                    more[c] = k
+                    space -= c * k
+            if times is None and not more:
+                return
+            same = min([left[c] // k for c, k in more.items()] + [times] * (times is not None))
+            for c, k in more.items():
+                left[c] -= k * same
+            plan.append((pattern | more, same))
+            times = None if times is None else times - same
+
+    for pattern, times in stock:
+        fill({c * grain: k for c, k in pattern.items()}, times)
+    fill({}, None)
+    return plan
+
+
 def _slots(plan: list[tuple[dict[int, int], int]]) -> dict[int, tuple]:
     """Per class: first rank, pieces per sequence, first sequence and first slot of each pattern that holds it."""
     out: dict[int, list] = {}
@@ -167,14 +203,13 @@ def pack(docs: DataFrame, path: str, *, size: int = SIZE, end_id: int = END_ID,
     Returned per piece: the id, start, length, ids_crc32, doc_tokens, sequence_id and offset (and ids
     if asked for).  A null or empty text is the end token alone.  Repeated rows are packed as
     documents of their own, a null id as any other; columns besides id and text are not carried.  An
-    empty table gives an empty result.  Only the histogram reaches the driver: size / grain counts.
+    empty table gives an empty result.  Only the histogram reaches the driver: size / grain counts and
+    size / SHORT for short pieces.
     """
     pieces = token_pieces(docs, path, size=size, end_id=end_id, id_col=id_col, text_col=text_col, with_ids=with_ids)
-    pieces = settled(pieces.withColumn("_class", F.ceil(F.col("length") / grain).cast("int")))
+    pieces = settled(pieces.withColumn("_class", class_of(F.col("length"), size, grain)))
     histogram = {r["_class"]: r["n"] for r in pieces.groupBy("_class").agg(F.count("*").alias("n")).collect()}
-    sizes = sorted(histogram)
-    plan = cutting_stock(sizes, [histogram[s] for s in sizes], size // grain)
-    slots = _slots(plan)
+    slots = _slots(plan_of(histogram, size, grain))
     keys = ["start", id_col, "ids_crc32"]
     placed = ranked(pieces, "_class", keys, sum(histogram.values()))
 

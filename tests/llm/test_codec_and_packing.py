@@ -12,7 +12,7 @@ import pytest
 from quillmesh.llm.automaton import compile_rules
 from quillmesh.llm.bpe import bpe_decode, bpe_encode, default_vocabulary, round_trip, vocabulary
 from quillmesh.llm.common import text_buffer
-from quillmesh.llm.packing import cutting_stock, pack, ranked
+from quillmesh.llm.packing import cutting_stock, pack, plan_of, ranked
 from quillmesh.llm.secret_scan import RULES, _positions, scan_texts, secret_scan
 
 TEXTS = [None, "", " \n", "Hello, WORLD's 42nd <|endoftext|> né́e Σς", "a" * 3000, "word " * 900, "\x1c\x85 x", "👍🏽 日本語", "same", "same"]
@@ -78,6 +78,27 @@ def test_pack_of_nothing(spark):
     assert pack(frame(spark, []), default_vocabulary()).count() == 0
 
 
+def test_short_texts_are_not_padded(spark):
+    rows = pack(frame(spark, ["", None] * 2500), default_vocabulary(), size=2048).collect()
+    assert len({r.sequence_id for r in rows}) == 3
+    held = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == held.get(r.sequence_id, 0)
+        held[r.sequence_id] = r.offset + r.length
+    assert max(held.values()) == 2048
+
+
+def test_plan_of_short_and_long_pieces():
+    rng = random.Random(6)
+    for _ in range(20):
+        histogram = {c: rng.randint(1, 500) for c in [*rng.sample(range(1, 65), 30), *(8 * k for k in rng.sample(range(9, 257), 30))]}
+        plan = plan_of(histogram, 2048, 8)
+        assert all(k > 0 and sum(c * n for c, n in p.items()) <= 2048 for p, k in plan)
+        assert {c: sum(p.get(c, 0) * k for p, k in plan) for c in histogram} == histogram
+    assert plan_of({}, 2048, 8) == []
+    assert sum(k for _, k in plan_of({1: 2048 * 5}, 2048, 8)) == 5
+
+
 def test_cutting_stock_holds_every_piece():
     rng = random.Random(2)
     sizes = sorted(rng.sample(range(1, 65), 40))

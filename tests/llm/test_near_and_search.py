@@ -211,3 +211,18 @@ def test_near_duplicates_stage_against_all_pairs(spark):
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
     kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
     assert sorted(r.doc_id for r in kept) == sorted(set(groups_by_force(texts)))
+
+
+def test_near_duplicates_stage_keeps_one_row_of_a_group(spark):
+    base = [f"w{k}" for k in range(100)]
+    near_copy = " ".join(base[:50] + ["new"] + base[51:])
+    rows = [(5, " ".join(base), "a"), (5, " ".join(base), "a"), (5, " ".join(base), "b"), (5, near_copy, "a"), (2, near_copy, "a"), (2, "another text of this id", "a"), (None, "of no id", "a"), (None, "of no id", "b"), (None, " ".join(base), "c"), (None, "also of no id", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(r.text for r in kept) == sorted([near_copy, "another text of this id", "of no id", "also of no id"])
+    assert {r.doc_id for r in kept if r.text == near_copy} == {2}
+    repeated = corpus_pipeline.near_duplicates(spark, docs.filter("doc_id = 5"), "").collect()
+    assert [r.doc_id for r in repeated] == [5]
+    same = corpus_pipeline.near_duplicates(spark, docs.filter("doc_id = 5 AND lang = 'a'").limit(2), "").collect()
+    assert len(same) == 1
+    assert len(corpus_pipeline.near_duplicates(spark, docs.filter("doc_id = 5").limit(2), "").collect()) == 1

@@ -1,7 +1,8 @@
 """Operator 10, quality classifier: document evidence under a hierarchical empirical Bayes prior.
 
 Two small logistic models, trained here on labelled rows, give each document's chance to be junk or
-toxic.  Sites are two levels, host and path under it.  Grouped sums of the evidence give each host a
+toxic.  Sites are two levels, host and path under it; documents carry no URL, so by default the
+columns source and lang stand for them.  Grouped sums of the evidence give each host a
 posterior that is shrunk toward the corpus, and each path one that is shrunk toward its host, by
 precisions that the spread of the group means itself implies; a document's odds are then moved by
 its path's odds, with its own share of them taken out.

@@ -264,7 +264,7 @@ class Vocabulary:
         ids = b"".join([self.packed_id[k] for k in ranks])
         if self.light:
             return None, None, None, ids
-        return len(ranks), " ".join([self.decimal[k] for k in ranks]), " ".join([self.text[k] for k in ranks]), ids
+        return len(ranks), " ".join([self.decimal[k] for k in ranks]), self.decode(np.frombuffer(ids, "<u4").tolist()), ids
 
     def decode(self, ids: list[int]) -> str:
         """Token texts joined by one space, cut from the buffer by offset."""

@@ -163,3 +163,10 @@ def test_automaton_matches_like_re():
             longest = max((n for n in range(len(text) + 1) if re.fullmatch(pattern, text[:n])), default=-1)
             assert got == (longest if longest > 0 else -1), (pattern, text, m)
     assert len(RULES) > 3
+
+
+def test_the_decoded_digest_comes_from_the_offset_table(monkeypatch):
+    coder = vocabulary(default_vocabulary())
+    monkeypatch.setattr(coder, "decode", lambda ids: "|".join(map(str, ids)))
+    ranks = coder.encode_word("hello")
+    assert coder.packed(ranks)[2] == "|".join(map(str, np.frombuffer(coder.packed(ranks)[3], "<u4")))

@@ -35,12 +35,12 @@ def token_pieces(docs: DataFrame, path: str, *, size: int = SIZE, end_id: int =
 
     def run(batches):
         tail = int(end_id).to_bytes(4, "little")
-        with coding(path, light=True) as coder:
+        with coding(path) as coder:
             for whole in batches:
                 for batch, texts in each_text(whole, 1):
                     row, start, length, crc, total, bodies = [], [], [], [], [], []
                     for k, text in enumerate(texts):
-                        body = b"".join([e[3] for e in coder.entries(text)]) + tail
+                        body = coder.encode(text) + tail
                         n = len(body) // 4
                         for at in range(0, n, size):
                             part = body[4 * at : 4 * (at + size)]

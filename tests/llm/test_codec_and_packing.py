@@ -42,11 +42,11 @@ def test_round_trip_against_the_library(spark, library):
 
 
 def test_random_words_against_the_library(library):
-    rng, coder = random.Random(4), vocabulary(default_vocabulary(), True)
+    rng, coder = random.Random(4), vocabulary(default_vocabulary())
     tokens = [t.replace("</w>", "") for t in library.get_vocab() if t.isascii()]
     for _ in range(3000):
         text = "".join(rng.choice(tokens) for _ in range(rng.randint(1, 4))) if rng.random() < 0.5 else "".join(rng.choice("abcdefgé'., 12ñ\n") for _ in range(25))
-        ids = np.frombuffer(b"".join(e[3] for e in coder.entries(text)), "<u4").tolist()
+        ids = np.frombuffer(coder.encode(text), "<u4").tolist()
         assert ids == library.encode(text, add_special_tokens=False).ids
 
 
@@ -54,7 +54,48 @@ def test_encode_and_decode_frames(spark, library):
     coded = bpe_encode(frame(spark).drop("ids"), default_vocabulary())
     back = bpe_decode(coded, default_vocabulary()).orderBy("doc_id").collect()
     assert back[3].decoded == library.decode(library.encode(TEXTS[3], add_special_tokens=False).ids, skip_special_tokens=False)
-    assert back[0].decoded == "" and bpe_encode(frame(spark, []), default_vocabulary()).count() == 0
+    assert back[0].decoded == "" and bpe_encode(frame(spark, []), default_vocabulary(), out_col="tokens").count() == 0
+    kept = bpe_encode(frame(spark), default_vocabulary(), out_col="tokens")
+    assert kept.columns == ["doc_id", "ids", "length", "tokens"] and kept.filter("doc_id = 8").first().ids == "x"
+    with pytest.raises(ValueError):
+        bpe_encode(frame(spark), default_vocabulary())
+    with pytest.raises(ValueError):
+        bpe_decode(coded.withColumn("decoded", coded.doc_id), default_vocabulary())
+    odd = spark.createDataFrame([(1, [320, None, -5, 10**9, 320]), (2, None), (3, [])], "doc_id long, ids array<long>")
+    assert {r.doc_id: r.decoded for r in bpe_decode(odd, default_vocabulary()).collect()} == {1: " ".join([library.id_to_token(320)] * 2), 2: None, 3: ""}
+
+
+def test_memory_of_the_encoder_is_bounded_in_bytes(library):
+    from quillmesh.llm import bpe
+
+    coder, rng = bpe.Vocabulary(default_vocabulary()), random.Random(8)
+    long = ["".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(600)) for _ in range(2000)]
+    assert [np.frombuffer(coder.encode(t), "<u4").tolist() for t in long[:20]] == [library.encode(t, add_special_tokens=False).ids for t in long[:20]]
+    for t in long:
+        coder.encode(t)
+    assert coder.known.held < 1 << 20  # long stretches aren't remembered
+    old, bpe.REMEMBERED = bpe.REMEMBERED, 1 << 20
+    try:
+        for _ in range(40):
+            coder.encode(" ".join(f"w{rng.getrandbits(60)}" for _ in range(2000)))
+            assert coder.known.held + getattr(coder.known.old, "held", 0) < 4 << 20
+    finally:
+        bpe.REMEMBERED = old
+
+
+def test_very_long_texts_are_read_in_parts(library, monkeypatch):
+    from quillmesh.llm import bpe
+
+    monkeypatch.setattr(bpe, "PART", 50)
+    text = "Éa b\u0301c's <|endoftext|>1 \n" * 40 + "z" * 300
+    assert np.frombuffer(vocabulary(default_vocabulary()).encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_another_vocabulary_is_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError):
+        vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @pytest.mark.parametrize("size", [64, 2048])
@@ -165,8 +206,12 @@ def test_automaton_matches_like_re():
     assert len(RULES) > 3
 
 
-def test_the_decoded_digest_comes_from_the_offset_table(monkeypatch):
-    coder = vocabulary(default_vocabulary())
-    monkeypatch.setattr(coder, "decode", lambda ids: "|".join(map(str, ids)))
-    ranks = coder.encode_word("hello")
-    assert coder.packed(ranks)[2] == "|".join(map(str, np.frombuffer(coder.packed(ranks)[3], "<u4")))
+def test_the_offset_table_gives_texts_and_digests(monkeypatch):
+    from quillmesh.llm import bpe
+
+    monkeypatch.setattr(bpe, "IDS", 3)
+    table = bpe.OffsetTable([b"a", b"bcd", None, b"", b"\xc3\xa9"])
+    rows = [np.array(r, np.int64) for r in ([0, 1, 4, 1], [], [3], [4, 4, 4, 4, 4, 4, 0])]
+    said = [" ".join({0: "a", 1: "bcd", 3: "", 4: "é"}[i] for i in r.tolist()) for r in rows]
+    assert [table.text(r) for r in rows] == said
+    assert table.digests(rows) == [hashlib.sha256(t.encode()).hexdigest() for t in said]

@@ -98,6 +98,45 @@ def test_vector_search_edges(spark):
     assert top_k(frame.limit(0)).count() == 0
 
 
+def searched(rows, modulus, k, score):
+    """Every row's list by brute force: all rows but the query's own, by row and not by id."""
+    out = []
+    for a, (q, v) in enumerate(rows):
+        if q % modulus == 0:
+            best = sorted((-score(v, w), i) for b, (i, w) in enumerate(rows) if b != a)[:k]
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+def whole_product(v, w):
+    return sum(int(np.floor(64 * a)) * int(np.floor(64 * b)) for a, b in zip(v, w))
+
+
+def cosine(v, w):
+    return round(float(np.dot(v, w) / np.sqrt(np.dot(v, v) * np.dot(w, w))), 9)
+
+
+@pytest.mark.parametrize("options", [{}, {"columns": 3, "cell_bytes": 3000}, {"columns": 20, "cell_bytes": 900}])
+def test_search_by_row_where_ids_repeat(spark, options):
+    rng = random.Random(11)
+    rows = [(rng.randrange(40), [float(rng.randint(-2, 2)) + 0.25 for _ in range(4)]) for _ in range(150)]
+    rows += [(0, [1.0, 2.0, 3.0, 4.0])] * 3 + [(0, [4.0, 3.0, 2.0, 1.0]), (20, [1.0, 2.0, 3.0, 4.0])] + [(7, [1.25, 1.0, 1.0, 1.0])] * 30
+    frame = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, query_id string").repartition(5)
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(frame, k=6, **options).collect()]
+    assert sorted(got) == searched(rows, 20, 6, whole_product)
+    got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in nearest(frame, modulus=10, **options).collect()]
+    want = searched(rows, 10, 5, cosine)
+    assert [(q, n, s) for q, n, _, s in sorted(got, key=lambda x: (x[0], x[1], x[3], x[2]))] == [(q, n, s) for q, n, _, s in sorted(want, key=lambda x: (x[0], x[1], x[3], x[2]))]
+
+
+@pytest.mark.parametrize("scale", [2.0**20, 2.0**25, 2.0**40, 1e200])
+def test_products_of_any_size_keep_their_order(spark, scale):
+    rows = [(0, [scale, 1.0]), (1, [scale, 1.0]), (2, [scale, 1.5]), (3, [scale, 1.9]), (20, [-scale, 0.5]), (4, [scale * 1.375, 0.0])]
+    found = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=9).collect()
+    ends = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == [(q, n, i, ends(s)) for q, n, i, s in searched(rows, 20, 9, whole_product)]
+
+
 def test_products_past_doubles(spark):
     frame = spark.createDataFrame([(0, [2.0**40, 1.0]), (1, [2.0**40, 3.0]), (2, [2.0**40, 2.0])], "vec_id long, embedding array<double>")
     assert [r.vec_id for r in sorted(top_k(frame, k=2).filter("query_id = 0").collect(), key=lambda r: r["rank"])] == [1, 2]

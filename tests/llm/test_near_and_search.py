@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillmesh.llm import registry
+from quillmesh.llm import registry, similar
 from quillmesh.llm.components import components
 from quillmesh.llm.quality import classify
 from quillmesh.llm.sharding import assign_shards
@@ -234,10 +234,11 @@ def groups_by_force(texts):
     return roots(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if alike(sets[i], sets[j])])
 
 
-@pytest.mark.parametrize("options", [{}, {"sampled": 10, "together": 50}])
-def test_similar_groups_against_all_pairs(spark, options):
+@pytest.mark.parametrize("together", [2000, 3])
+def test_similar_groups_against_all_pairs(spark, monkeypatch, together):
+    monkeypatch.setattr(similar, "TOGETHER", together)
     texts = copies()
-    out = similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **options).collect()
+    out = similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     want = groups_by_force(texts)
     assert 10 < len(set(want)) < len(texts) - 40
     assert {r.doc_id: r.component_id for r in out} == dict(enumerate(want))

@@ -156,6 +156,14 @@ class Automaton:
         rows = self.table.reshape(-1, self.width)
         self.rows = [tuple(r) for r in rows[:, self.classes].tolist()]
         self.ends = self.accepts.tolist()
+        # the bits of rules that a state can still come to accept
+        reach = self.accepts.copy()
+        while True:
+            more = reach | np.bitwise_or.reduce(reach[rows], axis=1)
+            if (more == reach).all():
+                break
+            reach = more
+        self.reach = reach.tolist()
 
     def resets(self) -> np.ndarray:
         """Bytes after which every state is the start."""
@@ -167,24 +175,43 @@ class Automaton:
         rows = self.table.reshape(-1, self.width)
         return (rows[rows] == self.start).all(axis=0)
 
-    def longest(self, data: bytes, at: int, upto: int) -> int:
-        """End of the longest match that starts at ``at``; -1 if there is none."""
-        rows, ends, state, dead, found = self.rows, self.ends, self.start, self.dead, -1
+    def longest(self, data: bytes, at: int, upto: int, bit: int = 1, mark: int = 0) -> tuple[int, int]:
+        """Ends of the longest match of the rule ``bit``, and of the one of ``mark`` within it, that start at ``at``; -1 if there is none."""
+        rows, ends, reach, state, found, inner, last = self.rows, self.ends, self.reach, self.start, -1, -1, -1
         for i in range(at, upto):
             state = rows[state][data[i]]
-            if state == dead:
+            if not reach[state] & bit:
                 break
+            accepts = ends[state]
+            if accepts & mark:
+                inner = i + 1
+            if accepts & bit:
+                found, last = i + 1, inner
+        return found, last
+
+    def starts(self, data: bytes, at: int, upto: int) -> list[tuple[int, int]]:
+        """(place, rules) where a match begins, from left to right, for an automaton that reads backwards."""
+        rows, ends, state, out = self.rows, self.ends, self.start, []
+        for i in range(upto - 1, at - 1, -1):
+            state = rows[state][data[i]]
             if ends[state]:
-                found = i + 1
-        return found
+                out.append((i, ends[state]))
+        out.reverse()
+        return out
+
 
-    def starters(self) -> np.ndarray:
-        """Bytes with which a match can begin."""
-        return np.array([x != self.dead for x in self.rows[self.start]])
+def _mirrored(node):
+    """The tree of the same texts read backwards."""
+    kind = node[0]
+    if kind == "cat":
+        return ("cat", [_mirrored(x) for x in reversed(node[1])])
+    if kind == "alt":
+        return ("alt", [_mirrored(x) for x in node[1]])
+    return ("rep", _mirrored(node[1]), *node[2:]) if kind == "rep" else node
 
 
-def compile_rules(patterns: list[str], search: bool) -> Automaton:
-    """One automaton for all patterns; with ``search`` they may begin at any byte."""
+def compile_rules(patterns: list[str], search: bool, backwards: bool = False) -> Automaton:
+    """One automaton for all patterns; with ``search`` they may begin at any byte, ``backwards`` reads from right to left."""
     nfa = _Nfa()
     root = nfa.state()
     finals: dict[int, int] = {}
@@ -192,7 +219,8 @@ def compile_rules(patterns: list[str], search: bool) -> Automaton:
         parser = _Parser(pattern)
         own = nfa.state()
         nfa.empty[root].append(own)
-        end = nfa.build(parser.alternatives(), own)
+        tree = parser.alternatives()
+        end = nfa.build(_mirrored(tree) if backwards else tree, own)
         if parser.i != len(pattern):
             raise ValueError(f"cannot parse {pattern!r}")
         finals[end] = finals.get(end, 0) | 1 << k

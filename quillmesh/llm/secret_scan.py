@@ -28,7 +28,7 @@ def either(word: str) -> str:
 
 @dataclass(frozen=True)
 class Rule:
-    """``probe`` marks a line as worth a look; ``pattern`` gives the span, longest from its start.
+    """``pattern`` gives the span, longest from its start; ``probe``, what every span that passes holds, marks a line.
 
     If ``head`` is given, what follows it in the span must have ``least`` bytes; otherwise the
     whole span must.  Spans are leftmost and don't overlap; failing ones are dropped after that.
@@ -58,13 +58,10 @@ RULES = (
 
 @lru_cache(maxsize=4)
 def _compiled(rules: tuple[Rule, ...]):
-    whole = compile_rules([r.probe for r in rules], search=True)
-    own = []
-    for r in rules:
-        full = compile_rules([r.pattern], search=False)
-        head = compile_rules([r.head], search=False) if r.head else None
-        own.append((full, head, np.flatnonzero(full.starters())))
-    return whole, own
+    """Three automata of all rules: which lines to look at, where a match begins (read backwards), and how far one goes."""
+    patterns = [r.pattern for r in rules]
+    heads = [r.head or r.pattern for r in rules]
+    return compile_rules([r.probe for r in rules], search=True), compile_rules(patterns, search=True, backwards=True), compile_rules(patterns + heads, search=False)
 
 
 def flagged(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole) -> np.ndarray:
@@ -130,36 +127,35 @@ def _lanes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole):
     return begin, stop, line
 
 
-def _spans(rule: Rule, own, data: bytes, a: int, b: int) -> list[tuple[int, int]]:
-    """Leftmost non-overlapping matches in data[a:b] that pass the rule's length."""
-    full, head, firsts = own
-    view = np.frombuffer(data, np.uint8, b - a, a)
-    mark = np.zeros(256, bool)
-    mark[firsts] = True
-    out, upto = [], a
-    for i in (np.flatnonzero(mark[view]) + a).tolist():
-        if i < upto:
-            continue
-        end = full.longest(data, i, b)
-        if end < 0:
-            continue
-        upto = end
-        at = head.longest(data, i, end) if head else i
-        if end - at >= rule.least:
-            out.append((i, end))
+def _spans(rules: tuple[Rule, ...], backwards, anchored, data: bytes, a: int, b: int) -> list[tuple[int, int, int]]:
+    """(rule number, start, end) of the leftmost non-overlapping matches in data[a:b] that pass their rule's length.
+
+    One pass back over the bytes tells where matches begin; only these are followed, so a match that
+    nearly comes about costs nothing.
+    """
+    n = len(rules)
+    upto = [a] * n
+    out = []
+    for i, bits in backwards.starts(data, a, b):
+        for r in range(n):
+            if bits >> r & 1 and i >= upto[r]:
+                rule = rules[r]
+                end, at = anchored.longest(data, i, b, 1 << r, 1 << (n + r) if rule.head else 0)
+                upto[r] = end
+                if end - (at if rule.head else i) >= rule.least:
+                    out.append((r, i, end))
     return out
 
 
 def scan_texts(data: np.ndarray, offsets: np.ndarray, rules: tuple[Rule, ...] = RULES) -> list[list[tuple[int, int, int]]]:
     """Per row: (rule number, start, end) of the spans found, in bytes of the row, by start and rule."""
-    whole, own = _compiled(rules)
-    resets = whole.resets()
+    whole, backwards, anchored = _compiled(rules)
     n = len(offsets) - 1
     found: list[list[tuple[int, int, int]]] = [[] for _ in range(n)]
     if not len(data):
         return found
     # lines are independent where a line feed resets every rule and no rule's span holds one
-    apart = resets[10] and all(full.rows[s][10] == full.dead for full, _, _ in own for s in range(len(full.rows)))
+    apart = whole.resets()[10] and all(row[10] == anchored.dead for row in anchored.rows)
     starts, ends = offsets[:-1], offsets[1:]
     if apart:
         feeds = np.flatnonzero(data == 10)
@@ -174,9 +170,7 @@ def scan_texts(data: np.ndarray, offsets: np.ndarray, rules: tuple[Rule, ...] =
         a, b = int(starts[k]), int(ends[k])
         row = int(np.searchsorted(offsets, a, side="right")) - 1
         base = int(offsets[row])
-        for r in range(len(rules)):
-            if bits[k] >> r & 1:
-                found[row] += [(r, s - base, e - base) for s, e in _spans(rules[r], own[r], body, a, b)]
+        found[row] += [(r, s - base, e - base) for r, s, e in _spans(rules, backwards, anchored, body, a, b)]
     for row in found:
         row.sort(key=lambda x: (x[1], x[0]))
     return found
@@ -191,21 +185,24 @@ def _positions(raw: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[int,
     return [(r, int(points[a]), int(points[b])) for r, a, b in spans]
 
 
-def secret_scan(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, text_col: str = "text", redact: bool = False, with_text: bool = True) -> DataFrame:
-    """Adds secret_spans (kind, start, end in code points) to every row, or with ``redact`` replaces
+def secret_scan(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, text_col: str = "text", redact: bool = False, with_text: bool = True, spans_col: str = "secret_spans") -> DataFrame:
+    """Adds ``spans_col`` (kind, start, end in code points) to every row, or with ``redact`` replaces
     each span in the text by ``[kind]``.  ``with_text`` false leaves the text out.
 
-    All rules are compiled into one minimal automaton, which meets each byte once; lines that it marks
-    are then given exact spans by the marked rules' own automata.  Overlapping spans of several rules
-    are redacted together.  A null text stays null and has no spans, as has an empty one; other columns
-    and repeated rows are carried as they are; an empty table gives an empty result.
+    All rules are compiled into one minimal automaton, which meets each byte once and marks lines; on these,
+    one automaton of all rules read backwards tells where matches begin.  Overlapping spans of
+    several rules are redacted together.  A null text stays null and has no spans, as has an empty one;
+    other columns and repeated rows are carried as they are, and one that is called ``spans_col`` is refused
+    with a ValueError; an empty table gives an empty result.
     """
     schema = docs.schema
+    if not redact and spans_col in schema.fieldNames():
+        raise ValueError(f"the table already has a column {spans_col}; name another by spans_col")
     at = schema.fieldNames().index(text_col)
     kept = [c for c in range(len(schema)) if redact or with_text or c != at]
     out_ddl = StructType([schema[c] for c in kept])
     if not redact:
-        out_ddl = out_ddl.add("secret_spans", _SPANS)
+        out_ddl = out_ddl.add(spans_col, _SPANS)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
@@ -227,7 +224,7 @@ def secret_scan(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, text_col: s
                 else:
                     body = data.tobytes()
                     rows = [[{"kind": rules[r].kind, "start": a, "end": b} for r, a, b in _positions(body[offsets[k] : offsets[k + 1]], own)] if own else [] for k, own in enumerate(spans)]
-                    yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(rows, kind)], names=[*[batch.schema.names[c] for c in kept], "secret_spans"])
+                    yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(rows, kind)], names=[*[batch.schema.names[c] for c in kept], spans_col])
 
     return docs.mapInArrow(run, out_ddl)
 

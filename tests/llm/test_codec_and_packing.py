@@ -193,6 +193,33 @@ def test_secret_frames(spark):
     assert [[(s.kind, s.start, s.end) for s in r.secret_spans] for r in found] == [[], [], [("assign", 2, 16)], [("access", 0, 20)]]
     assert [r.text for r in secret_scan(rows, redact=True).orderBy("doc_id").collect()] == [None, "", "é [assign] x", "[access]"]
     assert secret_scan(frame(spark, [])).count() == 0
+    clash = rows.withColumnRenamed("secret_note", "secret_spans")
+    with pytest.raises(ValueError):
+        secret_scan(clash)
+    assert secret_scan(clash, spans_col="found").filter("doc_id = 2").first().secret_spans == "x"
+    assert secret_scan(clash, redact=True).columns == clash.columns
+
+
+def test_near_misses_cost_no_more_than_their_bytes():
+    import time
+
+    for text in ("eyJ" * 100_000, "token" * 60_000, "-----BEGIN " * 30_000, "eyJa." * 60_000, "password  " * 30_000):
+        data, offsets = text_buffer(pa.array([text + " token=abcdef12"]))
+        began = time.process_time()
+        (found,) = scan_texts(data, offsets)
+        assert time.process_time() - began < 5
+        assert (0, len(text) + 1, len(text) + 15) in found
+
+
+def test_added_rules_against_plain_regexes():
+    rng = random.Random(9)
+    plain_rules = [(re.compile(p), least) for p, least in (("gh[pousr]_[A-Za-z0-9]+", 40), (r"xox[abprs]-[A-Za-z0-9\-]+", 20), ("-----BEGIN [A-Z ]*PRIVATE KEY-----", 0), (r"eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+", 40))]
+    bits = ["ghp_", "A1b2C3d4E5F6", "xoxb-", "12-34", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "eyJ", ".", "_x-", " ", "\n", "zz"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(800)]
+    data, offsets = text_buffer(pa.array(texts))
+    for text, own in zip(texts, scan_texts(data, offsets)):
+        want = sorted((m.start(), k + 3, m.end()) for k, (p, least) in enumerate(plain_rules) for m in p.finditer(text) if m.end() - m.start() >= least)
+        assert [(a, r, b) for r, a, b in own if r >= 3] == want
 
 
 def test_automaton_matches_like_re():
@@ -200,7 +227,7 @@ def test_automaton_matches_like_re():
         auto = compile_rules([pattern], search=False)
         for text in ("abcdbe", "aaaa", "zzy", "zzzy", "abab", "A.1-2", "", "xx"):
             m = re.match(pattern.replace("{2}", "{2}"), text)
-            got = auto.longest(text.encode(), 0, len(text))
+            got = auto.longest(text.encode(), 0, len(text))[0]
             longest = max((n for n in range(len(text) + 1) if re.fullmatch(pattern, text[:n])), default=-1)
             assert got == (longest if longest > 0 else -1), (pattern, text, m)
     assert len(RULES) > 3

@@ -11,7 +11,7 @@ import corpus_pipeline
 from quillmesh.llm import registry, similar
 from quillmesh.llm.components import components
 from quillmesh.llm.quality import classify
-from quillmesh.llm.sharding import assign_shards
+from quillmesh.llm.sharding import assign_shards, write_shards
 from quillmesh.llm.similar import similar_groups
 from quillmesh.llm.simhash import near_groups, near_links
 from quillmesh.llm.vector_search import nearest, top_k
@@ -153,6 +153,38 @@ def test_shards(spark):
     assert assign_shards(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_shards_are_the_shallowest_that_fit(spark):
+    import hashlib
+
+    rng = random.Random(3)
+    rows = [(k, "x" * rng.choice([0, 5, 40, 300])) for k in range(3000)]
+    bits = {k: int(hashlib.md5(str(k).encode()).hexdigest()[:15], 16) for k, _ in rows}
+    out = {r.doc_id: (r.depth, r.prefix, r.part) for r in assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), limit=700).collect()}
+
+    def split(own, depth, prefix):
+        if sum(len(t) for _, t in own) <= 700 or len(own) == 1:
+            return {k: (depth, prefix, 0) for k, _ in own}
+        sides = [[x for x in own if bits[x[0]] >> (59 - depth) & 1 == side] for side in (0, 1)]
+        return {k: v for side in (0, 1) for k, v in split(sides[side], depth + 1, 2 * prefix + side).items()}
+
+    assert out == split(rows, 0, 0)
+
+
+def test_written_shards_hold_every_row_once(spark, tmp_path):
+    rows = [(1, "x" * 300, k, "a") for k in range(20)] + [(None, None, 1, None), (2, "y" * 5000, 2, "b"), (3, "", 3, "c")] + [(k, "w" * 90, k, "d") for k in range(10, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bytes long, depth string")
+    write_shards(docs, str(tmp_path / "s"), limit=1000)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    order = lambda x: sorted(map(str, x))
+    assert order(tuple(r) for r in back.select(*docs.columns).collect()) == order(rows)
+    held = {}
+    for r in back.collect():
+        held.setdefault(r.shard, []).append(len(r.text or ""))
+    assert all(sum(b) <= 1000 or len(b) == 1 for b in held.values())
+    with pytest.raises(ValueError):
+        write_shards(docs.withColumnRenamed("depth", "shard"), str(tmp_path / "t"))
+
+
 def test_classifier_on_held_out_rows(spark, data):
     docs, labels = (spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/{t}.parquet") for t in ("documents", "labels"))
     seen = labels.filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(4)) > 0)

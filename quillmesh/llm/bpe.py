@@ -13,6 +13,7 @@ import hashlib
 import json
 import re
 import struct
+import threading
 import unicodedata
 from contextlib import contextmanager
 from functools import lru_cache
@@ -26,7 +27,11 @@ from quillmesh.llm.common import documents, slices, text_buffer
 
 CHUNK_BYTES = 1 << 20
 #: bytes of stretches of text and their ids that a worker remembers, in each of two generations
-REMEMBERED = 96 << 20
+REMEMBERED = 64 << 20
+#: seconds without a task after which a worker forgets
+IDLE = 3.0
+#: marks of stretches met once, which aren't remembered until they come again
+MARKS = 1 << 22
 #: a longer stretch isn't remembered, and what one entry takes besides its own bytes
 LONGEST, ENTRY = 64, 190
 #: letters of a very long text that are read at once, and ids that are turned into text at once
@@ -108,18 +113,25 @@ class OffsetTable:
 
 
 class _Remembered(dict):
-    """Packed ids by stretch of lower-case text; what isn't known is encoded when it is looked up."""
+    """Packed ids by stretch of lower-case text; what isn't known is encoded when it is looked up.
 
-    __slots__ = ("coder", "old", "held")
+    Most stretches of a corpus come once, so a stretch is kept only when it comes again.
+    """
+
+    __slots__ = ("coder", "old", "held", "met")
 
     def __init__(self, coder: "Vocabulary", old: dict):
         super().__init__()
-        self.coder, self.old, self.held = coder, old, 0
+        self.coder, self.old, self.held, self.met = coder, old, 0, bytearray(MARKS)
 
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
             ids = self.coder.stretch(word)
+            mark = hash(word) & (MARKS - 1)
+            if not self.met[mark]:
+                self.met[mark] = 1
+                return ids
         if len(word) <= LONGEST:
             self.held += ENTRY + len(word) + len(ids)
             self[word] = ids
@@ -349,7 +361,7 @@ class Vocabulary:
         """Packed ids (little-endian, 32 bits) of a whole text."""
         if self.known.held > REMEMBERED:
             self.known.old = {}
-            self.known = _Remembered(self, self.known)
+            self.known = _Remembered(self, self.known)  # the marks begin anew
         if any(s in text for s in self.special):
             return b"".join([self.special.get(x) or self._plain(x) for x in self.special_split.split(text)])
         return self._plain(text)
@@ -392,18 +404,51 @@ def decimals(path: str) -> OffsetTable:
     return OffsetTable([str(i).encode() for i in range(len(vocabulary(path).tokens.known))])
 
 
+class _Idle:
+    """Lets a worker forget its vocabulary when no task has asked for it for a while, so that it leaves its memory to others."""
+
+    def __init__(self):
+        self.lock, self.tasks, self.timer = threading.Lock(), 0, None
+
+    def begin(self) -> None:
+        with self.lock:
+            self.tasks += 1
+            if self.timer is not None:
+                self.timer.cancel()
+
+    def end(self) -> None:
+        with self.lock:
+            self.tasks -= 1
+            if self.tasks == 0:
+                self.timer = threading.Timer(IDLE, self.forget)
+                self.timer.daemon = True
+                self.timer.start()
+
+    def forget(self) -> None:
+        with self.lock:
+            if self.tasks == 0:
+                vocabulary.cache_clear()
+                decimals.cache_clear()
+                gc.collect()
+                pa.default_memory_pool().release_unused()
+
+
+_idle = _Idle()
+
+
 @contextmanager
 def coding(path: str):
-    """The worker's vocabulary for one task; what it remembers stays for the worker's next task."""
-    coder = vocabulary(path)
+    """The worker's vocabulary for one task; what it remembers stays for the worker's next task, if that comes soon."""
+    _idle.begin()
     collects = gc.isenabled()
-    gc.disable()  # remembered words make no cycles, and walking them again and again is costly
     try:
+        coder = vocabulary(path)
+        gc.disable()  # remembered words make no cycles, and walking them again and again is costly
         yield coder
     finally:
         if collects:
             gc.enable()
-        pa.default_memory_pool().release_unused()
+        _idle.end()
 
 
 def each_text(batch: pa.RecordBatch, at: int):

@@ -77,12 +77,27 @@ def test_memory_of_the_encoder_is_bounded_in_bytes(library):
     old, bpe.REMEMBERED = bpe.REMEMBERED, 1 << 20
     try:
         for _ in range(40):
-            coder.encode(" ".join(f"w{rng.getrandbits(60)}" for _ in range(2000)))
+            coder.encode(" ".join(f"w{rng.getrandbits(60)}" for _ in range(2000)) * 3)
             assert coder.known.held + getattr(coder.known.old, "held", 0) < 4 << 20
     finally:
         bpe.REMEMBERED = old
 
 
+def test_a_worker_forgets_when_it_is_idle(monkeypatch):
+    import time
+
+    from quillmesh.llm import bpe
+
+    monkeypatch.setattr(bpe, "IDLE", 0.2)
+    with bpe.coding(default_vocabulary()) as coder:
+        time.sleep(0.5)
+        assert vocabulary(default_vocabulary()) is coder
+    with bpe.coding(default_vocabulary()) as again:
+        assert again is coder
+    time.sleep(0.6)
+    assert vocabulary.cache_info().currsize == 0
+
+
 def test_very_long_texts_are_read_in_parts(library, monkeypatch):
     from quillmesh.llm import bpe
 

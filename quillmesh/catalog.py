@@ -6,7 +6,6 @@ that the tables don't show, have their known results as SQL values.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,9 +23,9 @@ from quillmesh.operators.markdown_blocks import markdown_blocks
 from quillmesh.operators.metadata import metadata, record
 from quillmesh.operators.sections import flattened, section_tree
 from quillmesh.plans.options import GraphOptions, ReadOptions, cache_key, request_headers, resolve_agent
-from quillmesh.plans.read import build_graph, read_pages
-from quillmesh.sources.pages import jsonld_nodes, load_pages, page_blocks, page_facts, reconstructed, with_fetch_columns
-from quillmesh.sources.reconstruct import score_text
+from quillmesh.plans.graph import build_graph
+from quillmesh.plans.read import read_pages
+from quillmesh.sources.pages import exploded, jsonld_nodes, load_pages, page_blocks, page_facts, parse_pages, reconstructed, with_fetch_columns
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -64,14 +63,13 @@ _ORIGIN = r"regexp_extract(url, '^https?://[^/?#]+', 0)"
 
 @query(f"SELECT page_id, trim({_ENT.format(chr(39).join(['regexp_extract(html, ', '<title>([^<]*)</title>', ', 1)']))}) AS title, regexp_extract(html, '<html[^>]*lang=\"([^\"]*)\"', 1) AS lang FROM pages")
 def page_title_lang(spark, sf_dir):
-    facts = page_facts(load_pages(spark, sf_dir))
+    facts = parse_pages(load_pages(spark, sf_dir), want=("facts",))
     return facts.select("page_id", F.col("title_tag").alias("title"), "lang")
 
 
 @query(f"SELECT page_id, {_ORIGIN} || '/favicon.ico' AS favicon, {_ORIGIN} || '/sitemap.xml' AS sitemap, {_ORIGIN} || '/robots.txt' AS robots FROM pages")
 def page_default_urls(spark, sf_dir):
-    pages = load_pages(spark, sf_dir)
-    return metadata(page_facts(pages), pages).select("page_id", "favicon", "sitemap", "robots")
+    return metadata(page_facts(load_pages(spark, sf_dir))).select("page_id", "favicon", "sitemap", "robots")
 
 
 @query(f"SELECT page_id, t AS text_content FROM {_TEXTS}")
@@ -83,7 +81,7 @@ def page_text_content(spark, sf_dir):
 @query(f"SELECT page_id, t AS text_content FROM {_TEXTS}")
 def page_parsed_text(spark, sf_dir):
     """By the parse stage; the same text."""
-    return page_facts(load_pages(spark, sf_dir)).select("page_id", "text_content")
+    return parse_pages(load_pages(spark, sf_dir), want=("text",)).select("page_id", "text_content")
 
 
 @query(f"SELECT page_id, CAST(length(t) AS BIGINT) AS n_chars, CAST(len(regexp_extract_all(t, '[^\\s]+')) AS BIGINT) AS n_words, CAST(len(string_split(t, chr(10))) AS BIGINT) AS n_lines FROM {_TEXTS}")
@@ -147,8 +145,7 @@ def page_urls(spark, sf_dir):
 
 @query("SELECT page_id, '' AS frameworks FROM pages WHERE NOT regexp_matches(html, '_next/static|_nuxt|__NUXT|/page-data/|gatsby|astro|ng-version|_ngcontent|data-v-|svelte|reactroot|wp-content|shopify|wix\\.com|squarespace|webflow|docusaurus|hugo|bootstrap\\.min')")
 def framework_detect(spark, sf_dir):
-    pages = load_pages(spark, sf_dir)
-    return metadata(page_facts(pages), pages).select("page_id", F.coalesce(F.array_join("frameworks", ","), F.lit("")).alias("frameworks"))
+    return metadata(page_facts(load_pages(spark, sf_dir))).select("page_id", F.coalesce(F.array_join("frameworks", ","), F.lit("")).alias("frameworks"))
 
 
 @query(f"SELECT DISTINCT o AS origin, pos, o || p AS candidate FROM (SELECT {_ORIGIN} AS o FROM pages), (VALUES " + ", ".join(f"(CAST({k} AS BIGINT), '{p}')" for k, p in enumerate(N.SITEMAP_PATHS)) + ") AS c(pos, p)")
@@ -196,13 +193,12 @@ def page_graph(spark, sf_dir):
 @query()
 def page_snapshots(spark, sf_dir):
     blocks = flattened(page_blocks(load_pages(spark, sf_dir)))
-    return D.snapshots(blocks, F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    return D.snapshots(blocks, F.lit("2024-01-01 00:00:00").cast("timestamp")).drop("blocks")
 
 
 @query()
 def page_metadata_record(spark, sf_dir):
-    pages = load_pages(spark, sf_dir)
-    return metadata(page_facts(pages), pages).select("page_id", record().alias("record"))
+    return metadata(page_facts(load_pages(spark, sf_dir))).select("page_id", record().alias("record"))
 
 
 # -- lines of documents as blocks --------------------------------------------------------------------
@@ -289,11 +285,7 @@ _COUNTS = "length(text) AS n, len(regexp_extract_all(text, '<[a-zA-Z1-6]+[^>]*>'
 
 @query(f"SELECT doc_id, CASE WHEN n >= 50 AND o > 2 AND c > 2 THEN 'html' WHEN n >= 50 AND m > 10 THEN 'markdown' ELSE 'text' END AS kind, CAST(CASE WHEN n < 50 THEN 0 WHEN o > 2 AND c > 2 THEN n + 10 * o WHEN m > 10 THEN n + m WHEN w > 5 THEN n ELSE 0 END AS BIGINT) AS score FROM (SELECT doc_id, {_COUNTS} FROM documents)")
 def reconstruct_score(spark, sf_dir):
-    @F.pandas_udf("kind string, score long")
-    def scored(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([score_text(t or "") for t in texts], columns=["kind", "score"])
-
-    return _table(spark, sf_dir, "documents").select("doc_id", scored("text").alias("s")).select("doc_id", "s.kind", "s.score")
+    return _table(spark, sf_dir, "documents").select("doc_id", T.content_score(F.coalesce("text", F.lit(""))).alias("s")).select("doc_id", "s.kind", "s.score")
 
 
 # -- sections, merges, snapshots and diffs over other tables -----------------------------------------
@@ -381,8 +373,7 @@ def _meta_page(spark):
 
 @query("SELECT 1 AS page_id, 'OG' AS title, 'https://x.org/i.png' AS image, 'https://x.org/t.png' AS favicon, 'https://x.org/c' AS canonical, 'Ann Lee' AS author, '2024-05-06' AS published_time, '/j.png' AS og_image, 'p' AS twitter_card, 'Hugo,Tailwind CSS' AS frameworks")
 def meta_precedence(spark, sf_dir):
-    pages = _meta_page(spark)
-    m = metadata(page_facts(pages), pages)
+    m = metadata(page_facts(_meta_page(spark)))
     return m.select(F.col("page_id").cast("int").alias("page_id"), "title", "image", "favicon", "canonical", "author", "published_time", F.col("og")["image"].alias("og_image"), F.col("twitter")["card"].alias("twitter_card"), F.array_join("frameworks", ",").alias("frameworks"))
 
 
@@ -393,15 +384,15 @@ def jsonld_harvest(spark, sf_dir):
 
 @query("SELECT '#p' AS main_id")
 def graph_main_entity(spark, sf_dir):
-    return K.main_entity(jsonld_nodes(page_facts(_meta_page(spark)))).select("main_id")
+    return page_facts(_meta_page(spark)).select(K.main_id(F.col("linked")).alias("main_id"))
 
 
 @query("SELECT 'date' AS classification, 0.9::DOUBLE AS confidence")
 def classify_hints(spark, sf_dir):
     """A publication time beats an author, which beats linked data."""
-    pages = _meta_page(spark)
-    facts = page_facts(pages)
-    found = C.classify(page_blocks(pages), C.linked_hints(jsonld_nodes(facts)), metadata(facts, pages))
+    rows = metadata(parse_pages(_meta_page(spark), want=("facts", "linked", "blocks")), "linked", "blocks")
+    rows = rows.withColumn("hints", C.linked_hints(F.col("linked")))
+    found = C.classify(exploded(rows, "hints", "author", "published_time"))
     return found.filter("type = 'paragraph'").select("classification", "confidence")
 
 
@@ -429,7 +420,7 @@ def robots_rules(spark, sf_dir):
 
 @query("SELECT 'https://x.org/s.xml' AS sitemaps, 'x.org' AS host, 'https://x.org/s.xml' AS hint")
 def robots_sitemaps(spark, sf_dir):
-    return N.robots_sites(_robots(spark)).crossJoin(_robots(spark).select("body")).select(F.array_join("sitemaps", ",").alias("sitemaps"), "host", N.sitemap_hint(F.col("body")).alias("hint"))
+    return N.robots_sites(_robots(spark)).join(_robots(spark), "origin").select(F.array_join("sitemaps", ",").alias("sitemaps"), "host", N.sitemap_hint(F.col("body")).alias("hint"))
 
 
 _MAPS = [("https://x.org/s.xml", 200, "application/xml", None, "<sitemapindex><sitemap><loc> https://x.org/1.xml </loc></sitemap><sitemap><loc>/2.xml</loc></sitemap></sitemapindex>"), ("https://x.org/1.xml", 200, "text/xml", None, "<urlset><url><loc>https://x.org/a</loc></url><url><loc>https://x.org/a</loc></url></urlset>"), ("https://x.org/2.xml", 200, "text/xml", None, "<loc>https://x.org/b</loc>"), ("https://x.org/sitemap.xml", 404, "text/html", None, "no"), ("https://x.org/sitemap.txt", 200, "text/plain", None, "https://x.org/t")]

@@ -19,9 +19,8 @@ def fnv1a_text(text: str) -> str:
     return f"{h:08x}"
 
 
-@F.pandas_udf(StringType())
-def _fnv1a(texts: pd.Series) -> pd.Series:
-    """All rows of a batch advance together, one UTF-16 unit at a time."""
+def _fnv1a_batch(texts) -> np.ndarray:
+    """All texts of a batch advance together, one UTF-16 unit at a time."""
     raw = [None if t is None else np.frombuffer(t.encode("utf-16-le", "surrogatepass"), "<u2") for t in texts]
     length = np.array([0 if r is None else len(r) for r in raw])
     order = np.argsort(-length, kind="stable")
@@ -35,7 +34,12 @@ def _fnv1a(texts: pd.Series) -> pd.Series:
     out = np.empty(len(raw), object)
     for place, i in enumerate(order):
         out[i] = None if raw[i] is None else f"{int(h[place]):08x}"
-    return pd.Series(out)
+    return out
+
+
+@F.pandas_udf(StringType())
+def _fnv1a(texts: pd.Series) -> pd.Series:
+    return pd.Series(_fnv1a_batch(texts))
 
 
 def fnv1a(c: Column) -> Column:
@@ -43,6 +47,19 @@ def fnv1a(c: Column) -> Column:
     return _fnv1a(c)
 
 
+def fnv1a_expr(c: Column) -> Column:
+    """The same as an expression of the JVM, for use inside lambdas, where Python functions can't stand."""
+    step = lambda h, unit: (h.bitwiseXOR(unit) * _PRIME).bitwiseAND(0xFFFFFFFF)
+
+    def letter(h: Column, x: Column) -> Column:
+        code = F.ascii(x).cast("long")
+        high, low = F.lit(0xD800) + F.shiftright(code - 0x10000, 10), F.lit(0xDC00) + code.bitwiseAND(0x3FF)
+        return F.when(code < 0x10000, step(h, code)).otherwise(step(step(h, high), low))
+
+    letters = F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, "", -1))
+    return F.lower(F.lpad(F.hex(F.aggregate(F.filter(letters, lambda x: x != ""), F.lit(_BASIS).cast("long"), letter)), 8, "0"))
+
+
 def content_hash(c: Column) -> Column:
     """The first 32 hex digits of SHA-256."""
     return F.substring(F.sha2(c, 256), 1, 32)

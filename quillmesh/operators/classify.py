@@ -13,12 +13,12 @@ LABELS = ("pricing", "date", "author", "contact", "product", "rating", "code", "
 HINT, META = 0.95, 0.9
 
 
-def block_text() -> Column:
-    """What a block says, from its columns: text, code, cells, items, link or caption."""
-    cells = F.array_join(F.transform("rows", lambda r: F.array_join(r, " ")), " ")
-    table = F.trim(F.concat_ws(" ", F.coalesce(F.array_join("headers", " "), F.lit("")), F.coalesce(cells, F.lit(""))))
-    items = F.array_join(F.transform("items", lambda i: F.coalesce(i["text"], F.lit(""))), " ")
-    return F.coalesce(F.col("text"), F.col("code"), F.when(F.col("type") == "table", table), F.when(F.col("type") == "list", items), F.concat(F.lit(" "), F.col("href")), F.col("alt"), F.lit(""))
+def block_text(get=F.col) -> Column:
+    """What a block says, from its columns (or, by ``get``, its fields): text, code, cells, items, link or caption."""
+    cells = F.array_join(F.transform(get("rows"), lambda r: F.array_join(r, " ")), " ")
+    table = F.trim(F.concat_ws(" ", F.coalesce(F.array_join(get("headers"), " "), F.lit("")), F.coalesce(cells, F.lit(""))))
+    items = F.array_join(F.transform(get("items"), lambda i: F.coalesce(i["text"], F.lit(""))), " ")
+    return F.coalesce(get("text"), get("code"), F.when(get("type") == "table", table), F.when(get("type") == "list", items), F.concat(F.lit(" "), get("href")), get("alt"), F.lit(""))
 
 
 def label(kind: Column, t: Column) -> Column:
@@ -56,43 +56,58 @@ def label(kind: Column, t: Column) -> Column:
     )
 
 
-def linked_hints(nodes: DataFrame) -> DataFrame:
-    """(page_id, ord, hint, label): names, dates and prices that a page's linked data states."""
-    kind = F.lower(F.coalesce(F.element_at("types", 1), F.lit("")))
-    got = lambda *paths: F.coalesce(*[F.get_json_object("props", p) for p in paths])
-    said = F.array(
-        F.when(kind.contains("offer") | kind.contains("price"), F.struct(got("$.price", "$.offers.price").alias("hint"), F.lit("pricing").alias("label"))),
-        F.when(kind.contains("product"), F.struct(got("$.name").alias("hint"), F.lit("product").alias("label"))),
-        F.when(kind.contains("article"), F.struct(got("$.datePublished", "$.dateModified").alias("hint"), F.lit("date").alias("label"))),
-        F.when(kind.contains("article"), F.struct(got("$.author.name").alias("hint"), F.lit("author").alias("label"))),
-    )
-    rows = nodes.select("page_id", "node_ord", F.posexplode(F.array_compact(said)).alias("k", "s"))
-    return rows.select("page_id", (F.col("node_ord") * 4 + F.col("k")).alias("ord"), "s.hint", "s.label").filter("hint IS NOT NULL AND hint <> ''")
+def linked_hints(linked: Column) -> Column:
+    """array(hint, label): names, dates and prices that a page's linked data (array of id, types, props) states, in order."""
+
+    def of(node: Column) -> Column:
+        kind = F.lower(F.coalesce(F.try_element_at(node["types"], F.lit(1)), F.lit("")))
+        got = lambda *paths: F.coalesce(*[F.get_json_object(node["props"], p) for p in paths])
+        said = lambda hint, name: F.struct(hint.alias("hint"), F.lit(name).alias("label"))
+        return F.array(
+            F.when(kind.contains("offer") | kind.contains("price"), said(got("$.price", "$.offers.price"), "pricing")),
+            F.when(kind.contains("product"), said(got("$.name"), "product")),
+            F.when(kind.contains("article"), said(got("$.datePublished", "$.dateModified"), "date")),
+            F.when(kind.contains("article"), said(got("$.author.name"), "author")),
+        )
+
+    return F.filter(F.flatten(F.transform(linked, of)), lambda h: h["hint"].isNotNull() & (h["hint"] != ""))
 
 
-def classify(blocks: DataFrame, hints: DataFrame | None = None, page_meta: DataFrame | None = None) -> DataFrame:
-    """Adds classification and confidence.
+def chosen(kind: Column, text: Column, rule: Column, hints: Column | None, author: Column | None, published: Column | None) -> Column:
+    """struct(type, confidence) of a block.
 
     A block that holds a page's publication time is a date, else one that holds its author an author,
-    else the first hint that it holds decides, else the rules.  ``page_meta`` has page_id, author and
-    published_time.  Hints meet blocks of their own page only.
+    else the first hint that it holds decides, else the rule.
     """
+    said = lambda label_, confidence: F.when(label_.isNotNull(), F.struct(label_.alias("type"), F.lit(confidence).alias("confidence")))
+    holds = lambda c: F.lit(False) if c is None else F.coalesce(c != "", F.lit(False)) & text.contains(c)
+    best = [said(F.when(holds(published), F.lit("date")).when(holds(author), F.lit("author")), META)]
+    if hints is not None:
+        best.append(said(F.try_element_at(F.filter(hints, lambda h: text.contains(h["hint"])), F.lit(1))["label"], HINT))
+    return F.when(kind != "group", F.coalesce(*best, rule))
+
+
+def classify(blocks: DataFrame) -> DataFrame:
+    """Adds classification and confidence to rows of blocks.
+
+    Columns ``hints`` (see ``linked_hints``), ``author`` and ``published_time`` of the block's page are
+    heeded where the rows carry them; nothing is joined.
+    """
+    own = {c: F.col(c) if c in blocks.columns else None for c in ("hints", "author", "published_time")}
     out = blocks.withColumn("_text", block_text())
     out = out.withColumn("_t", trimmed(F.col("_text")))
     out = out.withColumn("_rule", label(F.col("type"), F.col("_t")))
-    best = F.lit(None).cast("struct<type:string,confidence:double>")
-    if hints is not None:
-        own = out.select("page_id", "ord", "_text").join(hints.withColumnRenamed("ord", "_o"), "page_id").filter(F.col("_text").contains(F.col("hint")))
-        first = own.groupBy("page_id", "ord").agg(F.min_by("label", "_o").alias("_hint"))
-        out = out.join(first, ["page_id", "ord"], "left")
-        best = F.when(F.col("_hint").isNotNull(), F.struct(F.col("_hint").alias("type"), F.lit(HINT).alias("confidence")))
-    if page_meta is not None:
-        out = out.join(page_meta.select("page_id", F.col("author").alias("_a"), F.col("published_time").alias("_p")), "page_id", "left")
-        holds = lambda c: F.col(c).isNotNull() & (F.col(c) != "") & F.col("_text").contains(F.col(c))
-        meta = F.when(holds("_p"), F.lit("date")).when(holds("_a"), F.lit("author"))
-        best = F.coalesce(F.when(meta.isNotNull(), F.struct(meta.alias("type"), F.lit(META).alias("confidence"))), best)
-    chosen = F.when(F.col("type") != "group", F.coalesce(best, F.col("_rule")))
-    return out.withColumns({"classification": chosen["type"], "confidence": chosen["confidence"]}).drop("_text", "_t", "_rule", "_hint", "_a", "_p")
+    best = chosen(F.col("type"), F.col("_text"), F.col("_rule"), own["hints"], own["author"], own["published_time"])
+    return out.withColumn("_best", best).withColumns({"classification": F.col("_best.type"), "confidence": F.col("_best.confidence")}).drop("_text", "_t", "_rule", "_best")
+
+
+def classified(blocks: Column, hints: Column | None = None, author: Column | None = None, published: Column | None = None) -> Column:
+    """An array of blocks with classification and confidence, in the page's own row."""
+    # the text is a field of its own, since every rule reads it
+    said = F.transform(blocks, lambda b: b.withField("_text", block_text(lambda c: b[c])))
+    said = F.transform(said, lambda b: b.withField("_t", trimmed(b["_text"])))
+    said = F.transform(said, lambda b: b.withField("_best", chosen(b["type"], b["_text"], label(b["type"], b["_t"]), hints, author, published)))
+    return F.transform(said, lambda b: b.withField("classification", b["_best"]["type"]).withField("confidence", b["_best"]["confidence"]).dropFields("_text", "_t", "_best"))
 
 
 def histogram(classified: DataFrame) -> DataFrame:

@@ -9,6 +9,9 @@ from quillmesh.functions.hashing import block_key, content_hash
 from quillmesh.operators.classify import block_text
 
 SNAPSHOT_DAYS = 30
+#: times as ISO 8601 writes them, in the session's zone
+_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"
+KINDS = ("added", "removed", "changed", "unchanged")
 
 
 def block_content() -> Column:
@@ -47,12 +50,16 @@ def changes(previous: DataFrame, current: DataFrame, group: str = "url") -> Data
 
 
 def summary(changed: DataFrame, group: str = "url") -> DataFrame:
-    counts = [F.count_if(F.col("change") == k).alias(k) for k in ("added", "removed", "changed", "unchanged")]
+    counts = [F.count_if(F.col("change") == k).alias(k) for k in KINDS]
     return changed.groupBy(group).agg(*counts)
 
 
-def unified(changed: DataFrame, group: str = "url", previous_at: Column | None = None, current_at: Column | None = None) -> DataFrame:
-    """(group, body): the changes as text, one hunk a change."""
+def unified(changed: DataFrame, group: str = "url", previous_at: DataFrame | None = None, current_at: Column | None = None) -> DataFrame:
+    """(group, body): the changes as text, one hunk a change.
+
+    ``previous_at`` (group, fetched_at) tells when the earlier side was fetched, ``current_at`` when the
+    later one was.
+    """
     line = lambda mark, c: F.when(c == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(c, "\n", -1), lambda x: F.concat(F.lit(mark), x)))
     none = F.array().cast("array<string>")
     gone = F.when(F.col("change").isin("removed", "changed"), line("-", F.coalesce("before", F.lit("")))).otherwise(none)
@@ -60,11 +67,15 @@ def unified(changed: DataFrame, group: str = "url", previous_at: Column | None =
     label = F.coalesce("classification", "change")
     hunk = F.concat(F.array(F.concat(F.lit("@@ "), label, F.lit(" @@"))), gone, come, F.array(F.lit("")))
     shown = F.when(F.col("change") != "unchanged", F.struct("change_ord", hunk.alias("lines")))
-    counts = {k: F.count_if(F.col("change") == k).alias(k) for k in ("added", "removed", "changed", "unchanged")}
-    rows = changed.groupBy(group).agg(F.array_sort(F.collect_list(shown)).alias("h"), *counts.values())
+    rows = changed.groupBy(group).agg(F.array_sort(F.collect_list(shown)).alias("h"), *[F.count_if(F.col("change") == k).alias(k) for k in KINDS])
+    before = F.lit(None).cast("string")
+    if previous_at is not None:
+        rows = rows.join(previous_at.select(group, F.date_format("fetched_at", _TIME).alias("_at")), group, "left")
+        before = F.col("_at")
+    after = F.lit("") if current_at is None else F.date_format(current_at, _TIME)
     escaped = F.replace(F.replace(F.col(group), F.lit("\t"), F.lit("\\t")), F.lit("\n"), F.lit("\\n"))
     head = F.array(
-        F.concat(F.lit("diff --quill "), escaped), F.concat(F.lit("--- "), F.coalesce(previous_at or F.lit(None).cast("string"), F.lit("/dev/null"))), F.concat(F.lit("+++ "), F.coalesce(current_at or F.lit(None).cast("string"), F.lit(""))),
+        F.concat(F.lit("diff --quill "), escaped), F.concat(F.lit("--- "), F.coalesce(before, F.lit("/dev/null"))), F.concat(F.lit("+++ "), after),
         F.concat(F.lit("@@ +"), F.col("added").cast("string"), F.lit(" -"), F.col("removed").cast("string"), F.lit(" ~"), F.col("changed").cast("string"), F.lit(" ("), F.col("unchanged").cast("string"), F.lit(" unchanged) @@")), F.lit(""),
     )
     body = F.when(F.size("h") == 0, F.array(F.lit(" (no changes)"))).otherwise(F.flatten(F.transform("h", lambda x: x["lines"])))
@@ -72,9 +83,14 @@ def unified(changed: DataFrame, group: str = "url", previous_at: Column | None =
 
 
 def snapshots(blocks: DataFrame, fetched_at: Column) -> DataFrame:
-    """(url, fetched_at, content_hash, n_blocks): a page's flattened blocks as one hash."""
-    rows = keyed(blocks).groupBy("url").agg(F.array_sort(F.collect_list(F.struct("ord", "content"))).alias("x"), F.count("*").alias("n_blocks"))
-    return rows.select("url", fetched_at.alias("fetched_at"), content_hash(F.array_join(F.transform("x", lambda x: x["content"]), "\n")).alias("content_hash"), "n_blocks")
+    """(url, fetched_at, content_hash, n_blocks, blocks): a page's flattened blocks, and one hash of all they say."""
+    rows = (blocks if "key" in blocks.columns else keyed(blocks)).groupBy("url").agg(F.array_sort(F.collect_list(F.struct("ord", "key", "content", "classification"))).alias("blocks"), F.count("*").alias("n_blocks"))
+    return rows.select("url", fetched_at.alias("fetched_at"), content_hash(F.array_join(F.transform("blocks", lambda x: x["content"]), "\n")).alias("content_hash"), "n_blocks", "blocks")
+
+
+def stored_blocks(table: DataFrame) -> DataFrame:
+    """(url, ord, key, content, classification): the blocks of snapshots as rows, to be one side of ``changes``."""
+    return table.select("url", F.explode("blocks").alias("b")).select("url", "b.*")
 
 
 def upsert_snapshots(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from quillmesh.functions.urls import resolve_or_null, url_origin
 # Where sitemaps usually are.
 SITEMAP_PATHS = ("/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/sitemap/sitemap.xml", "/wp-sitemap.xml", "/sitemap.txt")
 MOST_REDIRECTS, MOST_CHILDREN = 10, 20
+#: short rows (an address or two) up to which a table is broadcast, and parts over which common keys are dealt
+BROADCAST_ROWS, PARTS = 100_000, 16
 REDIRECTS = (301, 302, 303, 307, 308)
 
 
@@ -60,6 +62,21 @@ def fetched(resources: DataFrame) -> DataFrame:
     return resources.filter("status BETWEEN 200 AND 299")
 
 
+def one_each(table: DataFrame, key: str, *columns: str) -> DataFrame:
+    """One row for each key; of several, the one whose columns come first in order."""
+    return table.groupBy(key).agg(F.min(F.struct(*columns)).alias("_x")).select(key, *[f"_x.{c}" for c in columns])
+
+
+def looked_up(rows: DataFrame, key: Column, table: DataFrame, at: str) -> DataFrame:
+    """A left join on ``at``, unique in ``table``; short tables are broadcast, keys that many rows share are dealt over parts."""
+    keyed = rows.withColumn("_k", key)
+    if table.count() <= BROADCAST_ROWS:
+        return keyed.join(F.broadcast(table), F.col("_k") == F.col(at), "left").drop("_k", at)
+    keyed = keyed.withColumn("_p", F.pmod(F.xxhash64(*rows.columns[:2]), F.lit(PARTS)))
+    parts = table.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return keyed.join(parts, (F.col("_k") == F.col(at)) & (F.col("_p") == F.col("_q")), "left").drop("_k", "_p", "_q", at)
+
+
 def sitemap_candidates(sites: DataFrame, robots: DataFrame, home_links: DataFrame | None = None) -> DataFrame:
     """(origin, pos, candidate): addresses in robots files, linked from home pages (origin, pos, href), then the usual ones."""
     common = F.transform(F.array(*map(F.lit, SITEMAP_PATHS)), lambda p: F.concat(F.col("origin"), p))
@@ -75,12 +92,12 @@ def sitemap_candidates(sites: DataFrame, robots: DataFrame, home_links: DataFram
 
 
 def best_sitemaps(candidates: DataFrame, resources: DataFrame) -> DataFrame:
-    """(origin, sitemap_url, sitemap): the first candidate that answers and looks like a sitemap."""
+    """(origin, sitemap_url, sitemap, body): the first candidate that answers and looks like a sitemap."""
     hits = candidates.join(fetched(resources).select(F.col("url").alias("candidate"), F.coalesce("location", "url").alias("final"), F.lower(F.coalesce("content_type", F.lit(""))).alias("ct"), trimmed(F.col("body")).alias("b")), "candidate")
     xml = F.col("ct").contains("xml") | F.col("b").startswith("<?xml") | F.col("b").contains("<urlset") | F.col("b").contains("<sitemapindex")
     fit = hits.filter((F.col("b") != "") & (xml | F.col("ct").contains("text/plain")))
     best = fit.groupBy("origin").agg(F.min_by(F.struct("candidate", "b"), "pos").alias("x"))
-    return best.select("origin", F.col("x.candidate").alias("sitemap_url"), parsed_sitemap(F.col("x.b")).alias("sitemap"))
+    return best.select("origin", F.col("x.candidate").alias("sitemap_url"), parsed_sitemap(F.col("x.b")).alias("sitemap"), F.col("x.b").alias("body"))
 
 
 def expand_indexes(best: DataFrame, resources: DataFrame, most: int = MOST_CHILDREN) -> DataFrame:
@@ -95,26 +112,26 @@ def chase_redirects(requests: DataFrame, resources: DataFrame, most: int = MOST_
     """(url, final_url, status, redirects, error): every request followed hop by hop.
 
     ``most`` recorded hops are an error, even if the last one landed.  An address that isn't in the
-    table is a failed fetch (502).  Each hop is one join, which finished requests don't take part in.
+    table is a failed fetch (502).  Where a redirect leads is worked out once for each address; a hop is
+    a lookup in that table, broadcast if it is short, in which requests that landed find nothing.
     """
-    table = resources.select(F.col("url").alias("_u"), F.col("status").alias("_s"), F.col("location").alias("_l"))
-    state = requests.select("url", F.col("url").alias("at"), F.lit(None).cast("int").alias("status"), F.array().cast("array<string>").alias("redirects"), F.lit(None).cast("string").alias("error"))
+    known = one_each(resources, "url", "status", "location")
+    moves = known.filter(F.col("status").isin(*REDIRECTS) & (F.coalesce("location", F.lit("")) != ""))
+    moves = moves.select(F.col("url").alias("_u"), F.coalesce(resolve_or_null(F.col("location"), F.col("url")), "location").alias("_to"))
+    moves = F.broadcast(moves) if moves.count() <= BROADCAST_ROWS else moves
+    state = requests.select("url", F.col("url").alias("at"), F.array().cast("array<string>").alias("redirects"), F.lit(True).alias("open"))
     for _ in range(most):
-        hop = state.join(table, (state["at"] == table["_u"]) & state["status"].isNull(), "left")
-        open_ = F.col("status").isNull()
-        moved = open_ & F.coalesce(F.col("_s").isin(*REDIRECTS) & (F.col("_l") != ""), F.lit(False))
-        state = hop.select(
-            "url",
-            F.when(moved, F.coalesce(resolve_or_null(F.col("_l"), F.col("at")), "_l")).otherwise(F.col("at")).alias("at"),
-            F.when(open_ & ~moved, F.coalesce("_s", F.lit(502))).otherwise(F.col("status")).alias("status"),
-            F.when(moved, F.array_append("redirects", F.col("at"))).otherwise(F.col("redirects")).alias("redirects"),
-            F.when(open_ & F.col("_s").isNull(), "fetch failed").otherwise(F.col("error")).alias("error"),
-        )
-    return state.select("url", F.col("at").alias("final_url"), F.coalesce("status", F.lit(502)).alias("status"), "redirects", F.when(F.col("status").isNull(), "too many redirects").otherwise(F.col("error")).alias("error"))
+        ask = F.when(F.col("open"), F.col("at")).otherwise(F.concat(F.lit("\n"), "url"))
+        hop = state.join(moves, ask == F.col("_u"), "left")
+        moved = F.col("_u").isNotNull()
+        state = hop.select("url", F.coalesce("_to", "at").alias("at"), F.when(moved, F.array_append("redirects", F.col("at"))).otherwise(F.col("redirects")).alias("redirects"), moved.alias("open"))
+    ends = state.join(known.select(F.col("url").alias("_u"), F.col("status").alias("_s")), F.col("at") == F.col("_u"), "left")
+    error = F.when(F.col("open"), "too many redirects").when(F.col("_s").isNull(), "fetch failed")
+    return ends.select("url", F.col("at").alias("final_url"), F.when(error.isNull(), F.col("_s")).otherwise(502).alias("status"), "redirects", error.alias("error"))
 
 
 def with_companions(pages: DataFrame, resources: DataFrame) -> DataFrame:
-    """Adds robots_body and robots_sitemap of each page's site."""
-    own = pages.withColumn("_r", F.concat(url_origin(F.col("url")), F.lit("/robots.txt")))
-    found = fetched(resources).select(F.col("url").alias("_r"), F.col("body").alias("robots_body"))
-    return own.join(found, "_r", "left").withColumn("robots_sitemap", sitemap_hint(F.col("robots_body"))).drop("_r")
+    """Adds robots_sitemap, the address that the robots file of each page's site names."""
+    files = one_each(fetched(resources).filter(F.col("url").endswith("/robots.txt")), "url", "body")
+    hints = files.select(F.col("url").alias("_r"), sitemap_hint(F.col("body")).alias("robots_sitemap")).filter("robots_sitemap IS NOT NULL")
+    return looked_up(pages, F.concat(url_origin(F.col("url")), F.lit("/robots.txt")), hints, "_r")

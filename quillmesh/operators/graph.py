@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.functions.hashing import block_key, fnv1a
+from quillmesh.functions.hashing import fnv1a_expr
 from quillmesh.functions.patterns import S
 from quillmesh.functions.text import EDGE, trimmed
-from quillmesh.functions.urls import document_base, resolve_url
+from quillmesh.functions.urls import document_base
 from quillmesh.operators.classify import block_text
-from quillmesh.operators.sections import section_tree, with_section
 
 # The context of every document, and the types that can be a page's main entity.
 CONTEXT = '["https://schema.org",{"wd":"http://www.wikidata.org/entity/","wdt":"http://www.wikidata.org/prop/direct/","rdfs":"http://www.w3.org/2000/01/rdf-schema#","skos":"http://www.w3.org/2004/02/skos/core#"}]'
@@ -46,103 +45,128 @@ def _pairs(**props: Column) -> Column:
     return F.array_compact(F.array(*[F.when(v.isNotNull(), F.struct(F.lit(k).alias("prop"), v.alias("value"))) for k, v in props.items()]))
 
 
-def _quoted(c: Column) -> Column:
+def quoted(c: Column) -> Column:
     """A string as a JSON value."""
     return F.when(c.isNotNull(), F.regexp_replace(F.to_json(F.struct(c.alias("v"))), r'^\{"v":(.*)\}$', "$1"))
 
 
+def json_values(values: Column) -> Column:
+    """Strings as JSON: one as it is, several as an array, none as null."""
+    each = F.transform(values, quoted)
+    return F.when(F.size(values) == 1, each[0]).when(F.size(values) > 1, F.concat(F.lit("["), F.array_join(each, ","), F.lit("]")))
+
+
 def _ref(c: Column) -> Column:
-    return F.when(c.isNotNull(), F.concat(F.lit('{"@id":'), _quoted(c), F.lit("}")))
+    return F.when(c.isNotNull(), F.concat(F.lit('{"@id":'), quoted(c), F.lit("}")))
 
 
 def _refs(ids: Column) -> Column:
-    return F.concat(F.lit('{"@list":['), F.array_join(F.transform(ids, lambda i: F.concat(F.lit('{"@id":'), _quoted(i), F.lit("}"))), ","), F.lit("]}"))
+    return F.concat(F.lit('{"@list":['), F.array_join(F.transform(ids, lambda i: F.concat(F.lit('{"@id":'), quoted(i), F.lit("}"))), ","), F.lit("]}"))
+
+
+def _node(k: int, ord_: Column, id_: Column, type_: Column, pairs: Column) -> Column:
+    return F.struct(F.lit(k).alias("k"), ord_.cast("int").alias("o"), id_.alias("id"), type_.alias("type"), pairs.alias("pairs"))
 
 
-def block_nodes(classified: DataFrame, bases: DataFrame) -> DataFrame:
-    """(page_id, ord, id, type, pairs) of every top-level block that is no section heading.
+def block_node(b: Column, key: Column, base: Column) -> Column:
+    """The node of a top-level block that is no section heading; a group is one element without text, and its blocks have none.
 
-    ``bases`` has page_id and base.  A group is one element without text; its blocks have no nodes.
+    ``b`` has the block's fields and its text as ``said``; ``key`` is its block key.
     """
-    rows = classified.filter("depth = 0 AND NOT (type = 'heading')").join(bases, "page_id")
-    rows = rows.withColumns({"_t": block_text(), "_c": F.coalesce("classification", "type")})
-    text, kind, said = F.col("_t"), F.col("type"), F.col("_t") != ""
+    text, kind, own = b["said"], b["type"], F.coalesce(b["classification"], b["type"])
     cut = lambda n: F.nullif(F.substring(text, 1, n), F.lit(""))
-    is_ = lambda name: (kind == name) | (F.col("_c") == name)
-    labelled = lambda name: (F.col("_c") == name) & said
-    entry = lambda x, i: F.concat(F.lit('{"@type":"ListItem","position":'), (i + 1).cast("string"), F.lit(',"name":'), _quoted(F.coalesce(x["text"], F.lit(""))), F.coalesce(F.concat(F.lit(',"item":'), _quoted(F.nullif(x["href"], F.lit("")))), F.lit("")), F.lit("}"))
-    sale, who = offer(text), contact(text)
+    is_ = lambda name: (kind == name) | (own == name)
+    labelled = lambda name: (own == name) & (text != "")
+    entry = lambda x, i: F.concat(F.lit('{"@type":"ListItem","position":'), (i + 1).cast("string"), F.lit(',"name":'), quoted(F.coalesce(x["text"], F.lit(""))), F.coalesce(F.concat(F.lit(',"item":'), quoted(F.nullif(x["href"], F.lit("")))), F.lit("")), F.lit("}"))
+    sale, who, stars = offer(text), contact(text), rating(text)
     cases = (
-        (is_("image"), "ImageObject", _pairs(contentUrl=_quoted(resolve_url(F.col("src"), F.col("base"))), caption=_quoted(F.coalesce(F.nullif(F.col("alt"), F.lit("")), F.col("text"))))),
-        (is_("code"), "SoftwareSourceCode", _pairs(text=_quoted(F.coalesce(F.col("code"), text)), programmingLanguage=_quoted(F.nullif(F.col("language"), F.lit(""))))),
-        (is_("list"), "ItemList", _pairs(itemListElement=F.concat(F.lit("["), F.array_join(F.transform("items", entry), ","), F.lit("]")))),
-        (is_("table"), "Table", _pairs(description=_quoted(cut(500)))),
-        (labelled("rating"), "AggregateRating", _pairs(ratingValue=rating(text).cast("string"), bestRating=F.when(rating(text).isNotNull(), "5"), description=_quoted(cut(240)))),
-        (labelled("pricing") & sale.isNotNull(), "Offer", _pairs(price=_quoted(sale["price"]), priceCurrency=_quoted(sale["currency"]), description=_quoted(cut(240)))),
-        (labelled("product"), "Product", _pairs(name=_quoted(cut(160)), description=_quoted(cut(500)))),
-        (labelled("author"), "Person", _pairs(name=_quoted(cut(120)))),
-        (labelled("contact"), "ContactPoint", _pairs(description=_quoted(cut(240)), email=_quoted(who["email"]), telephone=_quoted(who["phone"]))),
-        (is_("link"), "WebPageElement", _pairs(url=_quoted(resolve_url(F.col("href"), F.col("base"))), name=_quoted(F.nullif(F.col("text"), F.lit(""))))),
-        (is_("heading"), "WebPageElement", _pairs(name=_quoted(F.nullif(text, F.lit(""))), headline=_quoted(F.nullif(text, F.lit(""))), position=F.col("level").cast("string"))),
-        (kind == "blockquote", "Quotation", _pairs(text=_quoted(F.nullif(text, F.lit(""))))),
+        (is_("image"), "ImageObject", _pairs(contentUrl=quoted(b["src_url"]), caption=quoted(F.coalesce(F.nullif(b["alt"], F.lit("")), b["text"])))),
+        (is_("code"), "SoftwareSourceCode", _pairs(text=quoted(F.coalesce(b["code"], text)), programmingLanguage=quoted(F.nullif(b["language"], F.lit(""))))),
+        (is_("list"), "ItemList", _pairs(itemListElement=F.concat(F.lit("["), F.array_join(F.transform(b["items"], entry), ","), F.lit("]")))),
+        (is_("table"), "Table", _pairs(description=quoted(cut(500)))),
+        (labelled("rating"), "AggregateRating", _pairs(ratingValue=stars.cast("string"), bestRating=F.when(stars.isNotNull(), "5"), description=quoted(cut(240)))),
+        (labelled("pricing") & sale.isNotNull(), "Offer", _pairs(price=quoted(sale["price"]), priceCurrency=quoted(sale["currency"]), description=quoted(cut(240)))),
+        (labelled("product"), "Product", _pairs(name=quoted(cut(160)), description=quoted(cut(500)))),
+        (labelled("author"), "Person", _pairs(name=quoted(cut(120)))),
+        (labelled("contact"), "ContactPoint", _pairs(description=quoted(cut(240)), email=quoted(who["email"]), telephone=quoted(who["phone"]))),
+        (is_("link"), "WebPageElement", _pairs(url=quoted(b["href_url"]), name=quoted(F.nullif(b["text"], F.lit(""))))),
+        (is_("heading"), "WebPageElement", _pairs(name=quoted(F.nullif(text, F.lit(""))), headline=quoted(F.nullif(text, F.lit(""))), position=b["level"].cast("string"))),
+        (kind == "blockquote", "Quotation", _pairs(text=quoted(F.nullif(text, F.lit(""))))),
     )
-    type_, pairs = F.lit("WebPageElement"), _pairs(text=_quoted(F.nullif(text, F.lit(""))))
+    type_, pairs = F.lit("WebPageElement"), _pairs(text=quoted(F.nullif(text, F.lit(""))))
     for cond, name, props in reversed(cases):
         type_, pairs = F.when(cond, F.lit(name)).otherwise(type_), F.when(cond, props).otherwise(pairs)
-    id_ = F.concat(F.col("base"), F.lit("#block-"), F.replace(block_key(F.col("_c"), text), F.lit(":"), F.lit("-")))
-    return rows.select("page_id", "ord", id_.alias("id"), type_.alias("type"), pairs.alias("pairs"))
+    return _node(1, b["ord"], F.concat(base, F.lit("#block-"), F.replace(key, F.lit(":"), F.lit("-"))), type_, pairs)
 
 
-def page_base(metadata: DataFrame) -> DataFrame:
-    return metadata.select("page_id", document_base(F.coalesce("final_url", "url")).alias("base"))
+def main_id(linked: Column) -> Column:
+    """The id of the first linked-data node of a main type that has one."""
+    plain = lambda types: F.transform(types, lambda t: F.regexp_replace(F.regexp_replace(t, r"(?i)^https?://schema\.org/", ""), "(?i)^schema:", ""))
+    fit = F.filter(linked, lambda n: n["id"].isNotNull() & F.arrays_overlap(plain(n["types"]), F.array(*map(F.lit, MAIN_TYPES))))
+    return F.try_element_at(fit, F.lit(1))["id"]
 
 
-def main_entity(nodes: DataFrame) -> DataFrame:
-    """(page_id, main_id): the first linked-data node of a main type that has an id."""
-    plain = F.transform("types", lambda t: F.regexp_replace(F.regexp_replace(t, r"(?i)^https?://schema\.org/", ""), "(?i)^schema:", ""))
-    fit = nodes.filter(F.col("id").isNotNull() & F.arrays_overlap(plain, F.array(*map(F.lit, MAIN_TYPES))))
-    return fit.groupBy("page_id").agg(F.min_by("id", "node_ord").alias("main_id"))
+def linked_node(n: Column, i: Column) -> Column:
+    """The node of a linked-data object, its properties as they are."""
+    value = lambda e: F.when(e["value"].rlike(r"^[\[{]"), e["value"]).otherwise(quoted(e["value"]))
+    props = F.filter(F.map_entries(F.from_json(n["props"], "map<string,string>")), lambda e: ~e["key"].isin("@id", "@type"))
+    pairs = F.transform(props, lambda e: F.struct(e["key"].alias("prop"), value(e).alias("value")))
+    return _node(2, i, F.coalesce(n["id"], F.concat(F.lit("_:anon"), i.cast("string"))), F.try_element_at(n["types"], F.lit(1)), pairs)
+
+
+def sections_of(blocks: Column) -> Column:
+    """array(ord, level, heading, parent, place) of a page's sections; ``parent`` is the nearest earlier heading of a smaller level.
+
+    Blocks before any heading make one section without a heading, of level 0 and ord -1.  ``place``
+    counts earlier sections of the same parent.
+    """
+    tops = F.filter(blocks, lambda b: b["depth"] == 0)
+    heads = F.transform(F.filter(tops, lambda b: b["type"] == "heading"), lambda b: F.struct(b["ord"].alias("ord"), b["level"].alias("level"), b["text"].alias("heading")))
+    loose = F.exists(tops, lambda b: (b["type"] != "heading") & (b["section_ord"] == -1))
+    first = F.struct(F.lit(-1).alias("ord"), F.lit(0).alias("level"), F.lit(None).cast("string").alias("heading"))
+    every = F.when(loose, F.concat(F.array(first), heads)).otherwise(heads)
+    above = lambda s: F.when(s["level"] > 0, F.try_element_at(F.filter(heads, lambda h: (h["ord"] < s["ord"]) & (h["level"] < s["level"])), F.lit(-1))["ord"])
+    return F.transform(every, lambda s: F.struct(s["ord"].alias("ord"), s["level"].alias("level"), s["heading"].alias("heading"), above(s).alias("parent")))
 
 
-def graph_pairs(metadata: DataFrame, classified: DataFrame, linked: DataFrame) -> DataFrame:
+def graph_pairs(rows: DataFrame) -> DataFrame:
     """(page_id, node_ord, id, prop, prop_ord, value): all nodes of each page before merging.
 
-    Order: the page, its sections and blocks, linked data, the author.
+    ``rows`` are metadata rows that carry a page's blocks (with classification, if any) and linked data,
+    so a page's nodes are built in its own row.  Order: the page, its sections and blocks, linked data,
+    the author.
     """
-    bases = page_base(metadata)
-    blocks = with_section(classified)
-    nodes = block_nodes(blocks, bases)
-    tree = section_tree(classified).join(bases, "page_id")
-    label = F.when(F.coalesce(F.col("heading"), F.lit("")) != "", fnv1a(F.col("heading"))).otherwise("preamble")
-    tree = tree.withColumn("sid", F.concat(F.col("base"), F.lit("#section-l"), F.col("level").cast("string"), F.lit("-"), label, F.lit("-"), F.col("sibling_index").cast("string")))
-    parts = nodes.join(blocks.select("page_id", "ord", "section_ord"), ["page_id", "ord"]).select("page_id", "section_ord", F.struct(F.lit(0).alias("k"), "ord", "id").alias("x"))
-    kids = tree.filter("parent_ord IS NOT NULL").select("page_id", F.col("parent_ord").alias("section_ord"), F.struct(F.lit(1).alias("k"), F.col("section_ord").alias("ord"), F.col("sid").alias("id")).alias("x"))
-    held = parts.unionByName(kids).groupBy("page_id", "section_ord").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["id"]).alias("ids"))
-    parents = tree.select("page_id", F.col("section_ord").alias("parent_ord"), F.col("sid").alias("parent_id"))
-    sections = tree.join(held, ["page_id", "section_ord"], "left").join(parents, ["page_id", "parent_ord"], "left")
+    base = F.col("base")
     none = F.array().cast("array<string>")
-    s_pairs = _pairs(isPartOf=_ref(F.coalesce("parent_id", F.concat(F.col("base"), F.lit("#webpage")))), name=_quoted(F.nullif(F.col("heading"), F.lit(""))), headline=_quoted(F.nullif(F.col("heading"), F.lit(""))), position=F.when(F.col("level") > 0, F.col("level").cast("string")), hasPart=_refs(F.coalesce("ids", none)))
-    section_rows = sections.select("page_id", F.lit(1).alias("k"), F.col("section_ord").alias("o"), F.col("sid").alias("id"), F.lit("WebPageElement").alias("type"), s_pairs.alias("pairs"))
-    block_rows = nodes.select("page_id", F.lit(1).alias("k"), F.col("ord").alias("o"), "id", "type", "pairs")
-    tops = tree.filter("parent_ord IS NULL").groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("section_ord", "sid"))), lambda x: x["sid"]).alias("tops"))
-    main = main_entity(linked)
-    person = F.concat(F.col("base"), F.lit("#person-"), fnv1a(F.col("author")))
-    m = metadata.join(bases, "page_id").join(tops, "page_id", "left").join(main, "page_id", "left").withColumn("person", F.when(F.col("author").isNotNull(), person))
+    rows = rows.withColumn("base", document_base(F.coalesce("final_url", "url")))
+    if "classification" not in rows.schema["blocks"].dataType.elementType.names:
+        rows = rows.withColumn("blocks", F.transform("blocks", lambda b: b.withField("classification", F.lit(None).cast("string"))))
+    tops = F.filter("blocks", lambda b: (b["depth"] == 0) & (b["type"] != "heading"))
+    rows = rows.withColumn("tops", F.transform(tops, lambda b: b.withField("said", block_text(lambda c: b[c])))).withColumn("sections", sections_of(F.col("blocks")))
+    own = lambda b: F.coalesce(b["classification"], b["type"])
+    rows = rows.withColumn("nodes", F.transform("tops", lambda b: block_node(b, F.concat_ws(":", own(b), fnv1a_expr(b["said"])), base)))
+    place = lambda s: F.size(F.filter("sections", lambda x: x["parent"].eqNullSafe(s["parent"]) & (x["ord"] < s["ord"])))
+    label = lambda s: F.when(F.coalesce(s["heading"], F.lit("")) != "", fnv1a_expr(s["heading"])).otherwise("preamble")
+    sid = lambda s: F.concat(base, F.lit("#section-l"), s["level"].cast("string"), F.lit("-"), label(s), F.lit("-"), place(s).cast("string"))
+    rows = rows.withColumn("sections", F.transform("sections", lambda s: s.withField("sid", sid(s))))
+    held = lambda s: F.concat(F.transform(F.filter(F.arrays_zip("tops", "nodes"), lambda x: x["tops"]["section_ord"] == s["ord"]), lambda x: x["nodes"]["id"]), F.transform(F.filter("sections", lambda x: x["parent"] == s["ord"]), lambda x: x["sid"]))
+    above = lambda s: F.coalesce(F.try_element_at(F.filter("sections", lambda x: x["ord"] == s["parent"]), F.lit(1))["sid"], F.concat(base, F.lit("#webpage")))
+    title = lambda s: quoted(F.nullif(s["heading"], F.lit("")))
+    section = lambda s: _node(1, s["ord"], s["sid"], F.lit("WebPageElement"), _pairs(isPartOf=_ref(above(s)), name=title(s), headline=title(s), position=F.when(s["level"] > 0, s["level"].cast("string")), hasPart=_refs(held(s))))
+    person = F.when(F.col("author").isNotNull(), F.concat(base, F.lit("#person-"), fnv1a_expr(F.col("author"))))
+    rows = rows.withColumns({"person": person, "main": main_id(F.col("linked")), "first": F.transform(F.filter("sections", lambda s: s["parent"].isNull()), lambda s: s["sid"])})
     w_pairs = _pairs(
-        url=_quoted(F.col("final_url")), name=_quoted(F.col("title")), description=_quoted(F.col("description")), inLanguage=_quoted(F.col("lang")), datePublished=_quoted(F.col("published_time")), dateModified=_quoted(F.col("modified_time")),
-        image=_quoted(F.col("image")), isBasedOn=_quoted(F.col("canonical")), publisher=F.concat(F.lit('{"@type":"Organization","name":'), _quoted(F.col("site_name")), F.lit("}")), author=_ref(F.col("person")), mainEntity=_ref(F.col("main_id")), hasPart=F.when(F.size("tops") > 0, _refs(F.col("tops"))),
+        url=quoted(F.col("final_url")), name=quoted(F.col("title")), description=quoted(F.col("description")), inLanguage=quoted(F.col("lang")), datePublished=quoted(F.col("published_time")), dateModified=quoted(F.col("modified_time")),
+        image=quoted(F.col("image")), isBasedOn=quoted(F.col("canonical")), publisher=F.concat(F.lit('{"@type":"Organization","name":'), quoted(F.col("site_name")), F.lit("}")), author=_ref(F.col("person")), mainEntity=_ref(F.col("main")), hasPart=F.when(F.size(F.coalesce("first", none)) > 0, _refs(F.col("first"))),
     )
-    web = m.select("page_id", F.lit(0).alias("k"), F.lit(0).alias("o"), F.concat(F.col("base"), F.lit("#webpage")).alias("id"), F.lit("WebPage").alias("type"), w_pairs.alias("pairs"))
-    persons = m.filter("person IS NOT NULL").select("page_id", F.lit(3).alias("k"), F.lit(0).alias("o"), F.col("person").alias("id"), F.lit("Person").alias("type"), _pairs(name=_quoted(F.col("author"))).alias("pairs"))
-    raw = F.from_json("props", "map<string,string>")
-    embedded = linked.select("page_id", F.lit(2).alias("k"), F.col("node_ord").alias("o"), F.coalesce("id", F.concat(F.lit("_:anon"), F.col("node_ord").cast("string"))).alias("id"), F.element_at("types", 1).alias("type"), F.transform(F.filter(F.map_entries(raw), lambda e: ~e["key"].isin("@id", "@type")), lambda e: F.struct(e["key"].alias("prop"), F.when(e["value"].rlike(r"^[\[{]"), e["value"]).otherwise(_quoted(e["value"])).alias("value"))).alias("pairs"))
-    every = web
-    for part in (section_rows, block_rows, embedded, persons):
-        every = every.unionByName(part)
-    order = Window.partitionBy("page_id").orderBy("k", "o", "id")
-    every = every.withColumn("node_ord", F.row_number().over(order) - 1)
-    typed = F.concat(F.array(F.struct(F.lit("@type").alias("prop"), _quoted(F.col("type")).alias("value"))), F.col("pairs"))
-    return every.select("page_id", "node_ord", "id", F.posexplode(typed).alias("prop_ord", "p")).select("page_id", "node_ord", "id", "prop_ord", "p.prop", "p.value")
+    web = F.array(_node(0, F.lit(0), F.concat(base, F.lit("#webpage")), F.lit("WebPage"), w_pairs))
+    author = F.filter(F.array(_node(3, F.lit(0), F.col("person"), F.lit("Person"), _pairs(name=quoted(F.col("author"))))), lambda n: n["id"].isNotNull())
+    # sections stand before the blocks they hold
+    content = F.array_sort(F.concat(F.transform("sections", section), F.col("nodes")), lambda x, y: F.when(x["o"] < y["o"], -1).when(x["o"] > y["o"], 1).otherwise(0))
+    every = F.concat(web, content, F.transform("linked", linked_node), author)
+    flat = rows.select("page_id", F.posexplode(every).alias("node_ord", "n"))
+    typed = F.concat(F.array(F.struct(F.lit("@type").alias("prop"), quoted(F.col("n.type")).alias("value"))), F.col("n.pairs"))
+    return flat.select("page_id", "node_ord", F.col("n.id").alias("id"), F.posexplode(typed).alias("prop_ord", "p")).select("page_id", "node_ord", "id", "prop_ord", "p.prop", "p.value").filter("value IS NOT NULL")
 
 
 def merge_nodes(pairs: DataFrame) -> DataFrame:
@@ -155,8 +179,8 @@ def merge_nodes(pairs: DataFrame) -> DataFrame:
 
 def graph_documents(merged: DataFrame) -> DataFrame:
     """(page_id, n_nodes, document): the nodes of each page as one JSON-LD text."""
-    member = F.concat(_quoted(F.col("prop")), F.lit(":"), F.col("value"))
+    member = F.concat(quoted(F.col("prop")), F.lit(":"), F.col("value"))
     nodes = merged.groupBy("page_id", "id", "node_ord").agg(F.array_sort(F.collect_list(F.struct("from_ord", "prop_ord", member.alias("m")))).alias("x"))
-    said = F.concat(F.when(F.col("id").startswith("_:anon"), F.lit("{")).otherwise(F.concat(F.lit('{"@id":'), _quoted(F.col("id")), F.lit(","))), F.array_join(F.transform("x", lambda x: x["m"]), ","), F.lit("}"))
+    said = F.concat(F.when(F.col("id").startswith("_:anon"), F.lit("{")).otherwise(F.concat(F.lit('{"@id":'), quoted(F.col("id")), F.lit(","))), F.array_join(F.transform("x", lambda x: x["m"]), ","), F.lit("}"))
     rows = nodes.groupBy("page_id").agg(F.count("*").alias("n_nodes"), F.array_sort(F.collect_list(F.struct("node_ord", said.alias("s")))).alias("g"))
     return rows.select("page_id", "n_nodes", F.concat(F.lit(f'{{"@context":{CONTEXT},"@graph":['), F.array_join(F.transform("g", lambda x: x["s"]), ","), F.lit("]}")).alias("document"))

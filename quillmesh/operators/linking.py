@@ -97,5 +97,5 @@ def entity_nodes(links: DataFrame, kb_entities: DataFrame, lang: str = "en", mos
 
 
 def with_entities(nodes: DataFrame, entities: DataFrame) -> DataFrame:
-    """Entities that no page has as a node of its own."""
-    return entities.join(nodes.select("id").distinct(), "id", "left_anti")
+    """Entities (page_id, id) that their page has no node of."""
+    return entities.join(nodes.select("page_id", "id").distinct(), ["page_id", "id"], "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.functions.hashing import fnv1a
+from quillmesh.functions.hashing import fnv1a, fnv1a_expr
 from quillmesh.functions.text import trimmed
 from quillmesh.operators.classify import LABELS, block_text
 
@@ -36,33 +36,40 @@ def wrapped(md: Column, kind: Column, id_: Column) -> Column:
     return F.concat(F.lit(f"<!-- {MARK}:"), kind, F.lit(":"), id_, F.lit(" -->\n"), md, F.lit(f"\n<!-- /{MARK}:"), kind, F.lit(":"), id_, F.lit(" -->"))
 
 
-def block_markdown() -> Column:
-    """A block's markdown from its columns."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    get = lambda c: F.coalesce(F.col(c), F.lit(""))
-    item = lambda x, i: F.concat(F.when(F.col("ordered"), F.concat((i + 1).cast("string"), F.lit("."))).otherwise(F.lit("-")), F.lit(" "), F.when(x["href"].isNull(), x["text"]).otherwise(F.concat(F.lit("["), F.coalesce(x["text"], F.lit("")), F.lit("]("), x["href"], F.lit(")"))))
+def block_markdown(get=F.col) -> Column:
+    """A block's markdown from its columns (or, by ``get``, its fields)."""
+    text = F.coalesce(get("text"), F.lit(""))
+    said = lambda c: F.coalesce(get(c), F.lit(""))
+    item = lambda x, i: F.concat(F.when(get("ordered"), F.concat((i + 1).cast("string"), F.lit("."))).otherwise(F.lit("-")), F.lit(" "), F.when(x["href"].isNull(), x["text"]).otherwise(F.concat(F.lit("["), F.coalesce(x["text"], F.lit("")), F.lit("]("), x["href"], F.lit(")"))))
     row = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
-    table = F.array_join(F.concat(F.array(row(F.col("headers")), row(F.transform("headers", lambda _: F.lit("---")))), F.transform("rows", row)), "\n")
+    table = F.array_join(F.concat(F.array(row(get("headers")), row(F.transform(get("headers"), lambda _: F.lit("---")))), F.transform(get("rows"), row)), "\n")
     return (
-        F.when(F.col("type") == "heading", F.concat(F.repeat(F.lit("#"), F.coalesce(F.col("level"), F.lit(1))), F.lit(" "), text))
-        .when(F.col("type") == "code", F.concat(F.lit("```"), get("language"), F.lit("\n"), get("code"), F.lit("\n```")))
-        .when(F.col("type") == "blockquote", F.concat(F.lit("> "), text))
-        .when(F.col("type") == "image", F.concat(F.lit("!["), get("alt"), F.lit("]("), get("src"), F.lit(")")))
-        .when(F.col("type") == "link", F.concat(F.lit("["), text, F.lit("]("), get("href"), F.lit(")")))
-        .when(F.col("type") == "list", F.array_join(F.transform("items", item), "\n"))
-        .when((F.col("type") == "table") & (F.size("headers") > 0), table)
-        .when(F.col("type") == "table", F.lit(""))
+        F.when(get("type") == "heading", F.concat(F.repeat(F.lit("#"), F.coalesce(get("level"), F.lit(1))), F.lit(" "), text))
+        .when(get("type") == "code", F.concat(F.lit("```"), said("language"), F.lit("\n"), said("code"), F.lit("\n```")))
+        .when(get("type") == "blockquote", F.concat(F.lit("> "), text))
+        .when(get("type") == "image", F.concat(F.lit("!["), said("alt"), F.lit("]("), said("src"), F.lit(")")))
+        .when(get("type") == "link", F.concat(F.lit("["), text, F.lit("]("), said("href"), F.lit(")")))
+        .when(get("type") == "list", F.array_join(F.transform(get("items"), item), "\n"))
+        .when((get("type") == "table") & (F.size(get("headers")) > 0), table)
+        .when(get("type") == "table", F.lit(""))
         .otherwise(text)
     )
 
 
-def marked_markdown(marked: DataFrame) -> DataFrame:
-    """(page_id, body): blocks in order, wanted ones between marker comments, blanks left out."""
-    md = block_markdown()
-    kind, id_ = F.col("classification"), F.element_at(F.split("marker", "-"), -1)
-    said = F.when(F.col("marker").isNotNull() & kind.isNotNull(), wrapped(md, kind, id_)).otherwise(md)
-    rows = marked.filter("type <> 'group'").withColumn("_md", md).filter(trimmed(F.col("_md")) != "").select("page_id", F.struct("ord", said.alias("md")).alias("x"))
-    return rows.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["md"]), "\n\n").alias("body"))
+def marked(classified: Column, labels: list[str]) -> Column:
+    """An array of classified blocks with marker (word-label-id) where the label is wanted."""
+    key = lambda b: fnv1a_expr(F.concat(b["classification"], F.lit(":"), block_text(lambda c: b[c])))
+    return F.transform(classified, lambda b: b.withField("marker", F.when(b["classification"].isin(labels), F.concat_ws("-", F.lit(MARK), b["classification"], key(b)))))
+
+
+def marked_markdown(marked_blocks: Column) -> Column:
+    """The text of an array of marked blocks: in order, wanted ones between marker comments, blanks left out."""
+
+    def said(b: Column) -> Column:
+        md = block_markdown(lambda c: b[c])
+        return F.when(trimmed(md) == "", None).when(b["marker"].isNotNull(), wrapped(md, b["classification"], F.element_at(F.split(b["marker"], "-"), -1))).otherwise(md)
+
+    return F.array_join(F.array_compact(F.transform(F.filter(marked_blocks, lambda b: b["type"] != "group"), said)), "\n\n")
 
 
 def parse_markers(frame: DataFrame, text_col: str) -> DataFrame:

@@ -67,33 +67,38 @@ def frameworks(html: Column) -> Column:
     return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in rules]))
 
 
-def metadata(facts: DataFrame, pages: DataFrame, robots_sitemaps: DataFrame | None = None) -> DataFrame:
-    """One row of metadata for each page; absent values are null.
+def metadata(facts: DataFrame, *keep: str) -> DataFrame:
+    """One row of metadata for each row of facts, which carry the page's HTML; absent values are null.
 
-    ``robots_sitemaps`` (page_id, sitemap) overrides the page's own sitemap link.
+    A column ``robots_sitemap`` overrides the page's own sitemap link.  Where ``site_kind`` is set and the
+    content came from site data, the record has the title (else that of the page's title tag), the
+    framework and the fetch alone.  Columns in ``keep`` are carried.
     """
     base = F.col("final_url")
-    html = pages.select(F.col("page_id").alias("_id"), F.col("html").alias("_html"))
-    rows = facts.join(html, facts["page_id"] == html["_id"]).drop("_id")
     nonempty = lambda c: F.when(F.size(c) > 0, c)
-    out = rows.select(
-        "page_id", "url", "final_url", "status", "content_type",
-        F.coalesce(meta("og:title"), F.nullif(F.col("title_tag"), F.lit("")), meta("title"), F.col("recovered_title")).alias("title"),
-        F.coalesce(meta("og:description"), meta("description"), meta("twitter:description")).alias("description"),
-        meta("og:site_name").alias("site_name"), F.coalesce(meta("author"), meta("article:author")).alias("author"),
-        F.coalesce(meta("article:published_time"), meta("date")).alias("published_time"), meta("article:modified_time").alias("modified_time"),
-        F.nullif(F.col("lang"), F.lit("")).alias("lang"), resolve_url(link("canonical"), base).alias("canonical"),
-        resolve_url(F.coalesce(meta("og:image"), meta("twitter:image")), base).alias("image"),
-        F.coalesce(*[resolve_url(link(r), base) for r in ("icon", "shortcut icon", "apple-touch-icon")], resolve_url(F.lit("/favicon.ico"), base)).alias("favicon"),
-        meta("og:type").alias("type"), meta("og:locale").alias("locale"),
-        F.coalesce(resolve_url(link("sitemap"), base), resolve_or_null(F.lit("/sitemap.xml"), base)).alias("sitemap"), resolve_or_null(F.lit("/robots.txt"), base).alias("robots"),
-        nonempty(F.col("redirects")).alias("redirects"), nonempty(frameworks(F.col("_html"))).alias("frameworks"),
-        nonempty(prefixed("og:")).alias("og"), nonempty(prefixed("twitter:", by_name=True)).alias("twitter"), nonempty(F.col("jsonld")).alias("jsonld"), "engine",
+    robots = F.col("robots_sitemap") if "robots_sitemap" in facts.columns else F.lit(None).cast("string")
+    site = F.coalesce("from_site", F.lit(False)) if "site_kind" in facts.columns else None
+    read = {
+        "title": F.coalesce(meta("og:title"), F.nullif(F.col("title_tag"), F.lit("")), meta("title"), F.col("recovered_title")),
+        "description": F.coalesce(meta("og:description"), meta("description"), meta("twitter:description")),
+        "site_name": meta("og:site_name"), "author": F.coalesce(meta("author"), meta("article:author")),
+        "published_time": F.coalesce(meta("article:published_time"), meta("date")), "modified_time": meta("article:modified_time"),
+        "lang": F.nullif(F.col("lang"), F.lit("")), "canonical": resolve_url(link("canonical"), base),
+        "image": resolve_url(F.coalesce(meta("og:image"), meta("twitter:image")), base),
+        "favicon": F.coalesce(*[resolve_url(link(r), base) for r in ("icon", "shortcut icon", "apple-touch-icon")], resolve_url(F.lit("/favicon.ico"), base)),
+        "type": meta("og:type"), "locale": meta("og:locale"),
+        "sitemap": F.coalesce(resolve_url(link("sitemap"), base), resolve_or_null(F.lit("/sitemap.xml"), base)), "robots": resolve_or_null(F.lit("/robots.txt"), base),
+        "frameworks": nonempty(frameworks(F.col("html"))), "og": nonempty(prefixed("og:")), "twitter": nonempty(prefixed("twitter:", by_name=True)), "jsonld": nonempty(F.col("jsonld")),
+    }
+    if site is not None:
+        of_site = {"title": F.coalesce(F.col("recovered_title"), F.nullif(F.regexp_extract("html", "<title>([^<]+)</title>", 1), F.lit(""))), "frameworks": F.array("site_kind")}
+        read = {k: F.when(site, of_site.get(k, F.lit(None))).otherwise(v) for k, v in read.items()}
+    read["sitemap"] = F.coalesce(robots, read["sitemap"])
+    names = [k for k in read if k not in ("frameworks", "og", "twitter", "jsonld")]
+    return facts.select(
+        "page_id", "url", "final_url", "status", "content_type", *[read[k].alias(k) for k in names], nonempty(F.col("redirects")).alias("redirects"),
+        *[read[k].alias(k) for k in ("frameworks", "og", "twitter", "jsonld")], "engine", *keep,
     )
-    if robots_sitemaps is not None:
-        more = robots_sitemaps.select("page_id", F.col("sitemap").alias("_s"))
-        out = out.join(more, "page_id", "left").withColumn("sitemap", F.coalesce("_s", "sitemap")).drop("_s")
-    return out
 
 
 #: keys of a metadata record, in their order, and the columns that hold them

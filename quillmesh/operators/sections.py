@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,6 +38,11 @@ def with_section(blocks: DataFrame, page: str = "page_id") -> DataFrame:
     return blocks.withColumn("section_ord", F.coalesce(F.last(head, ignorenulls=True).over(w), F.lit(-1)))
 
 
+def flat_blocks(blocks: Column) -> Column:
+    """An array of blocks as a snapshot holds them; see ``flattened``."""
+    return F.filter(blocks, lambda b: (b["type"] != "group") & ~((b["type"] == "heading") & (b["depth"] == 0)))
+
+
 def flattened(blocks: DataFrame) -> DataFrame:
     """The blocks that a snapshot holds: no groups, and no headings of sections (those inside groups stay)."""
     return blocks.filter("type <> 'group' AND NOT (type = 'heading' AND depth = 0)")

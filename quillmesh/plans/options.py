@@ -9,7 +9,7 @@ from quillmesh.functions.urls import normalized
 from quillmesh.operators.markers import marker_filter
 
 FORMATS = ("markdown", "json", "html", "text", "toon", "raw", "graph")
-LINKS, IMAGES, CACHES = ("inline", "referenced", "discard"), ("inline", "alt-only", "discard"), ("default", "bypass", "force")
+LINKS, IMAGES, CACHES = ("inline", "referenced", "discard"), ("keep", "alt-only", "discard"), ("default", "bypass", "force")
 #: query parameters that belong to a read and not to the page that is read
 RESERVED = ("url", "format", "selector", "frontmatter", "links", "images", "ua", "timeout", "cache", "marker", "classify", "track")
 
@@ -57,7 +57,7 @@ class ReadOptions:
     selector: str | None = None
     frontmatter: bool = True
     links: str = "inline"
-    images: str = "inline"
+    images: str = "keep"
     ua: str | None = None
     timeout: int = 15_000
     cache: str = "default"
@@ -81,6 +81,7 @@ class GraphOptions:
     claims: bool = True
     lang: str | None = None
     selector: str | None = None
+    classify: bool = False
 
     def __post_init__(self):
         if not 0 <= self.limit <= 15:

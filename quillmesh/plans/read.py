@@ -1,10 +1,15 @@
-"""Whole reads: pages to bodies in a format, graphs, diffs, robots and sitemaps."""
+"""Whole reads: pages to bodies in a format.
+
+A page is parsed once and stays one row: metadata, classification, markers and bodies are expressions
+over that row, so rows that repeat a page, or have no page_id, are rows like others.
+"""
 
 from __future__ import annotations
 
 import json
 
 import pandas as pd
+import pyarrow as pa
 import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,21 +18,23 @@ from pyspark.sql.types import StringType
 from quillmesh import __version__
 from quillmesh.functions.text import is_static
 from quillmesh.operators import classify as C
-from quillmesh.operators import diff as D
 from quillmesh.operators import discovery as N
-from quillmesh.operators import graph as K
-from quillmesh.operators import linking as L
 from quillmesh.operators import markers as I
+from quillmesh.operators.markdown_blocks import markdown_blocks
 from quillmesh.operators.metadata import metadata, record
-from quillmesh.operators.sections import flattened, section_tree, with_section
-from quillmesh.plans.options import CrawlOptions, DiffOptions, GraphOptions, ReadOptions
+from quillmesh.operators.sections import flat_blocks, with_section
+from quillmesh.plans.options import ReadOptions
 from quillmesh.plans.toon import toon
-from quillmesh.sources.pages import ParseOptions, is_html, jsonld_nodes, page_blocks, page_facts, page_markdown, reconstructed, with_fetch_columns
+from quillmesh.sources.pages import BLOCK, ParseOptions, is_html, parse_pages, with_fetch_columns
+
+OUT = ("page_id", "final_url", "status", "redirects", "engine", "format", "body", "error")
+#: the names of a block's columns in JSON
+NAMES = {"type": "type", "level": "level", "text": "text", "href": "href", "src": "src", "alt": "alt", "language": "language", "code": "code", "ordered": "ordered", "items": "items", "headers": "headers", "rows": "rows", "tag_name": "tagName", "html_id": "id", "html_class": "class", "classification": "classification", "confidence": "confidence", "marker": "marker"}
 
 
 def info() -> dict:
     """What the engine offers."""
-    return {"name": "quillmesh", "version": __version__, "reads": ["markdown", "json", "html", "text", "toon", "raw"], "markers": list(C.LABELS), "plans": ["read_pages", "build_graph", "diff_pages", "parse_robots", "parse_sitemaps"]}
+    return {"name": "quillmesh", "version": __version__, "reads": ["markdown", "json", "html", "text", "toon", "raw", "graph"], "markers": list(C.LABELS), "plans": ["read_pages", "cached_reads", "build_graph", "diff_pages", "diff_stored", "parse_robots", "parse_sitemaps"]}
 
 
 @F.pandas_udf(StringType())
@@ -44,192 +51,163 @@ def frontmatter(rec: Column) -> Column:
     return F.concat(F.lit("---\n"), _yaml(rec), F.lit("\n---\n\n"))
 
 
-def _nested(rows: pd.DataFrame) -> list:
-    """Section trees with their blocks, from flat rows of one page in order."""
+def _nested(rows: list[dict]) -> list:
+    """Section trees with their blocks, from a page's blocks in order."""
     root: list = []
-    nodes: dict = {}
-    sections: dict = {}
-    for r in rows.sort_values("ord").itertuples(index=False):
-        block = json.loads(r.block)
-        nodes[r.ord] = block
-        if block.get("type") == "group":
-            block["children"] = []
-        if r.parent_ord == r.parent_ord and r.parent_ord is not None:
-            nodes[int(r.parent_ord)]["children"].append(block)
-            continue
-        if r.depth == 0 and block.get("type") == "heading":
-            section = sections[r.ord] = {"heading": block.get("text"), "level": block.get("level"), "content": [], "children": []}
-            up = r.section_parent
-            (sections[int(up)]["children"] if up == up and up is not None else root).append(section)
+    groups: dict = {}
+    open_: list = []  # sections that a deeper heading would belong to
+    content = None
+    for r in rows:
+        block, place = r["block"], r["place"]
+        if block["type"] == "group":
+            block["children"] = groups[place["ord"]] = []
+        if place.get("parent_ord") is not None:
+            groups[place["parent_ord"]].append(block)
+        elif block["type"] == "heading":
+            content = []
+            section = {"heading": block.get("text"), "level": block["level"], "content": content, "children": []}
+            while open_ and open_[-1]["level"] >= block["level"]:
+                open_.pop()
+            (open_[-1]["children"] if open_ else root).append(section)
+            open_.append(section)
         else:
-            if r.section_ord not in sections:
-                sections[r.section_ord] = {"heading": None, "level": 0, "content": [], "children": []}
-                root.append(sections[r.section_ord])
-            sections[r.section_ord]["content"].append(block)
+            if content is None:
+                content = []
+                root.append({"heading": None, "level": 0, "content": content, "children": []})
+            content.append(block)
     return root
 
 
-def content_trees(blocks: DataFrame) -> DataFrame:
-    """(page_id, content): each page's section tree as JSON; one page's rows meet in one task."""
-    names = {"type": "type", "level": "level", "text": "text", "href": "href", "src": "src", "alt": "alt", "language": "language", "code": "code", "ordered": "ordered", "items": "items", "headers": "headers", "rows": "rows", "tag_name": "tagName", "html_id": "id", "html_class": "class", "classification": "classification", "confidence": "confidence", "marker": "marker"}
-    own = [F.col(c).alias(n) for c, n in names.items() if c in blocks.columns]
-    rows = with_section(blocks)
-    parents = section_tree(blocks).select("page_id", F.col("section_ord").alias("ord"), F.col("parent_ord").alias("section_parent"))
-    flat = rows.join(parents, ["page_id", "ord"], "left").select("page_id", "ord", "parent_ord", "depth", "section_ord", "section_parent", F.to_json(F.struct(*own)).alias("block"))
-
-    def build(key, rows):
-        return pd.DataFrame({"page_id": [key[0]], "content": [json.dumps(_nested(rows), ensure_ascii=False, separators=(",", ":"))]})
-
-    return flat.groupBy("page_id").applyInPandas(build, "page_id long, content string")
-
-
-def companions(pages: DataFrame, resources: DataFrame | None) -> DataFrame | None:
-    if resources is None:
-        return None
-    return N.with_companions(pages, resources).select("page_id", F.col("robots_sitemap").alias("sitemap"))
-
+def with_content(rows: DataFrame, *more: str) -> DataFrame:
+    """Adds ``content``, the section tree as JSON, in place of ``blocks``; ``more`` names fields beyond the parsed ones."""
+    own = [f.split(" ")[0] for f in BLOCK.split(", ")]
+    fields = [(c, n) for c, n in NAMES.items() if c in own or c in more]
+    row = lambda b: F.struct(F.struct(*[b[c].alias(n) for c, n in fields]).alias("block"), F.struct(b["ord"].alias("ord"), b["parent_ord"].alias("parent_ord")).alias("place"))
+    flat = rows.select(*[c for c in rows.columns if c != "blocks"], F.to_json(F.transform("blocks", row)).alias("content"))
 
-def classified_blocks(pages: DataFrame, parse: ParseOptions, meta: DataFrame, facts: DataFrame) -> DataFrame:
-    return C.classify(page_blocks(pages, parse), C.linked_hints(jsonld_nodes(facts)), meta.select("page_id", "author", "published_time"))
+    def nest(batches):
+        for batch in batches:
+            trees = [json.dumps(_nested(json.loads(b)) if b is not None else [], ensure_ascii=False, separators=(",", ":")) for b in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(trees, pa.string())], names=batch.schema.names)
 
+    return flat.mapInArrow(nest, flat.schema)
 
-def site_data(pages: DataFrame, resources: DataFrame) -> DataFrame:
-    """(page_id, site): content rebuilt from the data files that static site generators publish.
 
-    Of page data at its usual place, and of quoted asset files in document order, the first that
-    gives content.
-    """
-    page_data = F.concat(F.regexp_extract("final_url", r"^https?://[^/?#]+", 0), F.lit("/page-data"), F.regexp_replace(F.regexp_extract("final_url", r"^https?://[^/?#]+([^?#]*)", 1), "/?$", "/"), F.lit("page-data.json"))
-    gatsby = F.col("html").contains("___gatsby") | F.col("html").contains("/page-data/")
-    assets = F.array_distinct(F.regexp_extract_all("html", F.lit(r'"(/assets/[^"]+\.json)"'), F.lit(1)))
+def site_files(pages: DataFrame) -> DataFrame:
+    """Adds ``site_kind`` and ``wanted``: the data files that a static site generator publishes for the page."""
     origin = F.regexp_extract("final_url", r"^https?://[^/?#]+", 0)
-    docusaurus = F.lower("html").contains("docusaurus")
-    wanted = F.concat(F.when(gatsby, F.array(page_data)).otherwise(F.array().cast("array<string>")), F.when(docusaurus & ~gatsby, F.transform(assets, lambda a: F.concat(origin, a))).otherwise(F.array().cast("array<string>")))
-    rows = pages.select("page_id", F.posexplode(wanted).alias("pos", "url"))
-    found = reconstructed(rows.join(N.fetched(resources).select("url", "body"), "url"), "body").filter("best IS NOT NULL")
-    return found.groupBy("page_id").agg(F.min_by("best", "pos").alias("site"))
+    path = F.regexp_replace(F.regexp_extract("final_url", r"^https?://[^/?#]+([^?#]*)", 1), "/?$", "/")
+    gatsby = F.col("html").contains('id="___gatsby"') | F.col("html").contains("gatsby-")
+    docusaurus = F.col("html").contains("docusaurus") | F.col("html").contains('generator" content="Docusaurus')
+    assets = F.array_distinct(F.regexp_extract_all("html", F.lit(r'"(/assets/[^"]+\.json)"'), F.lit(1)))
+    kind = F.when(is_html(F.col("content_type")), F.when(gatsby, "Gatsby").when(docusaurus, "Docusaurus"))
+    none = F.array().cast("array<string>")
+    wanted = F.when(F.col("site_kind") == "Gatsby", F.array(F.concat(origin, F.lit("/page-data"), path, F.lit("page-data.json")))).when(F.col("site_kind") == "Docusaurus", F.transform(assets, lambda a: F.concat(origin, a))).otherwise(none)
+    return pages.withColumn("site_kind", kind).withColumn("wanted", wanted)
 
 
-def read_pages(pages: DataFrame, options: ReadOptions = ReadOptions(), resources: DataFrame | None = None, rendered: DataFrame | None = None) -> DataFrame:
-    """(page_id, final_url, status, redirects, engine, format, body, error), a row for each page.
+def with_site_data(pages: DataFrame, resources: DataFrame | None) -> DataFrame:
+    """Adds site_kind and site, the bodies of a page's data files in order; other pages take no part in the join."""
+    if resources is None:
+        return pages.withColumns({"site_kind": F.lit(None).cast("string"), "site": F.lit(None).cast("array<string>")})
+    found = site_files(pages)
+    key = [F.col("final_url").alias("_u"), F.xxhash64("html").alias("_h")]
+    asked = found.filter(F.size("wanted") > 0).select(*key, "wanted").distinct().select("_u", "_h", F.posexplode("wanted").alias("pos", "url"))
+    bodies = N.one_each(resources.filter("status = 200"), "url", "body")
+    sites = asked.join(bodies, "url").groupBy("_u", "_h").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "body"))), lambda x: x["body"]).alias("site"))
+    plain = found.filter(F.size(F.coalesce("wanted", F.array().cast("array<string>"))) == 0).withColumn("site", F.lit(None).cast("array<string>"))
+    joined = found.filter(F.size("wanted") > 0).join(sites, (F.col("final_url") == F.col("_u")) & (F.xxhash64("html") == F.col("_h")), "left").drop("_u", "_h")
+    return plain.unionByName(joined).drop("wanted")
+
+
+def rendered_pages(rendered: DataFrame, with_blocks: bool) -> DataFrame:
+    """(url, content, title, description, md_blocks), one row a url: pages rendered elsewhere, as markdown and as blocks."""
+    more = {c: F.lit(None).cast("string") for c in ("title", "description") if c not in rendered.columns}
+    rows = N.one_each(rendered.withColumns(more).filter("content <> ''"), "url", "content", "title", "description")
+    if not with_blocks:
+        return rows
+    found = markdown_blocks(rows, "url", "content").withColumns({"depth": F.lit(0), "parent_ord": F.lit(None).cast("int")})
+    found = with_section(found, "id")
+    missing = {c: F.lit(None).cast(t) for c, t in (f.split(" ", 1) for f in BLOCK.split(", ")) if c not in found.columns}
+    listed = found.withColumns(missing).groupBy("id").agg(F.array_sort(F.collect_list(F.struct(*[F.col(f.split(" ", 1)[0]).cast(f.split(" ", 1)[1]).alias(f.split(" ", 1)[0]) for f in BLOCK.split(", ")]))).alias("md_blocks"))
+    return rows.join(listed.withColumnRenamed("id", "url"), "url", "left")
+
+
+def content_rows(pages: DataFrame, parse: ParseOptions, want: tuple[str, ...], resources: DataFrame | None = None, rendered: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Parsed pages with what the network tables add: site data, robots sitemaps, rendered pages (``fallback``)."""
+    pages = with_site_data(with_fetch_columns(pages), resources)
+    pages = N.with_companions(pages, resources) if resources is not None else pages.withColumn("robots_sitemap", F.lit(None).cast("string"))
+    if rendered is not None:
+        want = (*want, "text", "html")
+    rows = parse_pages(pages, parse, want, ("site_kind", "robots_sitemap", *keep))
+    if rendered is None:
+        return rows.withColumns({"fallback": F.lit(None).cast("string")})
+    blocks = "blocks" in want
+    found = rendered_pages(rendered, blocks)
+    found = found.select(F.col("url").alias("_u"), F.col("content").alias("_c"), F.col("title").alias("_t"), F.col("description").alias("_d"), *["md_blocks"] * blocks)
+    thin = ~is_static(F.trim(F.coalesce("text_content", F.lit(""))), F.coalesce("body_html", F.lit("")))
+    # pages with content of their own look for an address that no page has, each another one
+    rows = rows.withColumn("_k", F.when(thin, F.col("url")).otherwise(F.concat(F.lit("\n"), F.xxhash64("url", "page_id").cast("string"))))
+    rows = rows.join(found, F.col("_k") == F.col("_u"), "left")
+    hit = F.col("_u").isNotNull()
+    new = {"fallback": F.when(hit, F.col("_c")), "engine": F.when(hit, "rendered").otherwise(F.col("engine")), "text_content": F.coalesce("_c", "text_content"), "body_html": F.when(hit, F.concat(F.lit("<pre>"), "_c", F.lit("</pre>"))).otherwise(F.col("body_html"))}
+    if blocks:
+        new["blocks"] = F.when(hit, F.coalesce("md_blocks", F.array().cast(rows.schema["blocks"].dataType))).otherwise(F.col("blocks"))
+    return rows.withColumns(new).withColumnsRenamed({"_t": "rendered_title", "_d": "rendered_description"}).drop("_k", "_u", "_c", "md_blocks")
+
+
+def described(rows: DataFrame, *keep: str) -> DataFrame:
+    """Metadata of content rows; a rendered page's own title and description win."""
+    more = ["rendered_title", "rendered_description"] if "rendered_title" in rows.columns else []
+    out = metadata(rows, *keep, *more)
+    for c in ("title", "description") if more else ():
+        out = out.withColumn(c, F.coalesce(F.nullif(F.col(f"rendered_{c}"), F.lit("")), c))
+    return out.drop(*more)
+
+
+def _others(pages: DataFrame, format_: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Bodies that aren't HTML, as they are."""
+    raw = with_fetch_columns(pages).filter(~is_html(F.col("content_type")))
+    return raw.select("page_id", "final_url", "status", "redirects", F.lit("raw").alias("engine"), F.lit(format_).alias("format"), F.col("html").alias("body"), F.lit(None).cast("string").alias("error"), *keep)
+
+
+def read_pages(pages: DataFrame, options: ReadOptions = ReadOptions(), resources: DataFrame | None = None, rendered: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(page_id, final_url, status, redirects, engine, format, body, error), a row for each row of pages.
 
     ``resources`` (url, status, content_type, location, body) stands for the network: robots files and
-    site data are looked up there.  ``rendered`` (url, content) holds markdown of pages rendered
-    elsewhere, for those without content of their own.  Bodies that aren't HTML come back as they are.
+    site data are looked up there.  ``rendered`` (url, content and, if known, title and description)
+    holds markdown of pages rendered elsewhere, for those without content of their own.  Whatever a
+    page's content comes from, every format shows it.  Bodies that aren't HTML come back as they are;
+    graphs are of HTML pages alone.  Columns of pages named in ``keep`` are carried.
     """
-    pages = with_fetch_columns(pages)
-    head = pages.select("page_id", "final_url", "status", "redirects", F.lit(options.format).alias("format"))
     if options.format == "raw":
-        return head.join(pages.select("page_id", F.lit("raw").alias("engine"), F.col("html").alias("body"), F.lit(None).cast("string").alias("error")), "page_id")
+        return with_fetch_columns(pages).select("page_id", "final_url", "status", "redirects", F.lit("raw").alias("engine"), F.lit("raw").alias("format"), F.col("html").alias("body"), F.lit(None).cast("string").alias("error"), *keep)
+    if options.format == "graph":
+        from quillmesh.plans.graph import graph_bodies
+
+        return graph_bodies(pages, options, resources, rendered, keep)
     parse = ParseOptions(options.selector, options.links, options.images)
-    facts = page_facts(pages, parse)
-    base = facts.select("page_id", "engine", "text_content", "body_html", "error")
-    if resources is not None:
-        base = base.join(site_data(pages, resources), "page_id", "left").select("page_id", F.when(F.col("site").isNotNull(), "json-reconstructor").otherwise(F.col("engine")).alias("engine"), F.coalesce(F.col("site.text"), "text_content").alias("text_content"), F.coalesce(F.col("site.html"), "body_html").alias("body_html"), "error")
-    base = base.withColumn("fallback", F.lit(None).cast("string"))
-    if rendered is not None:
-        other = pages.select("page_id", "final_url").join(rendered.select(F.col("url").alias("final_url"), F.col("content").alias("_c")), "final_url").select("page_id", "_c")
-        thin = ~is_static(F.coalesce("text_content", F.lit("")), F.coalesce("body_html", F.lit("")))
-        base = base.join(other, "page_id", "left").withColumn("fallback", F.when(thin, F.col("_c"))).drop("_c").withColumn("engine", F.when(F.col("fallback").isNotNull(), "rendered").otherwise(F.col("engine")))
-    if options.format == "text":
-        body = base.select("page_id", "engine", F.coalesce("fallback", "text_content").alias("body"), "error")
-    elif options.format == "html":
-        body = base.select("page_id", "engine", F.coalesce(F.concat(F.lit("<pre>"), "fallback", F.lit("</pre>")), "body_html").alias("body"), "error")
+    enrich = bool(options.marker) or options.classify and options.format != "markdown"
+    want = {"text": ("text",), "html": ("html",), "markdown": ("facts", "linked", "blocks") if options.marker else ("facts", "markdown")}.get(options.format, ("facts", "linked", "blocks") if enrich else ("facts", "blocks"))
+    rows = content_rows(pages, parse, want, resources, rendered, keep)
+    if options.format in ("text", "html"):
+        body = rows.withColumn("body", F.col("text_content" if options.format == "text" else "body_html"))
     else:
-        meta = metadata(facts, pages, companions(pages, resources))
-        rec = meta.select("page_id", record().alias("rec"))
+        kept = [c for c in ("linked", "blocks", "body_markdown", "fallback", "error", *keep) if c in rows.columns]
+        meta = described(rows, *kept).withColumn("rec", record())
+        if enrich:
+            hints = C.linked_hints(F.col("linked"))
+            meta = meta.withColumn("hints", hints).withColumn("blocks", C.classified(F.col("blocks"), F.col("hints"), F.col("author"), F.col("published_time")))
+        if options.marker:
+            meta = meta.withColumn("blocks", I.marked(F.col("blocks"), list(options.marker)))
         if options.format == "markdown":
-            if options.marker:
-                marked = I.assign_markers(flattened(classified_blocks(pages, parse, meta, facts)), list(options.marker))
-                said = I.marked_markdown(marked).withColumnRenamed("body", "md")
-            else:
-                said = page_markdown(pages, parse).withColumnRenamed("body_markdown", "md")
-            md = F.coalesce("fallback", "md", F.lit(""))
-            whole = F.concat(frontmatter(F.col("rec")), md, F.lit("\n")) if options.frontmatter else F.concat(md, F.lit("\n"))
-            body = base.join(rec, "page_id").join(said, "page_id", "left").select("page_id", "engine", whole.alias("body"), "error")
+            own = I.marked_markdown(flat_blocks(F.col("blocks"))) if options.marker else F.coalesce("fallback", "body_markdown")
+            md = F.concat(F.coalesce(own, F.lit("")), F.lit("\n"))
+            body = meta.withColumn("body", F.concat(frontmatter(F.col("rec")), md) if options.frontmatter else md)
         else:
-            blocks = classified_blocks(pages, parse, meta, facts) if options.classify or options.marker else page_blocks(pages, parse)
-            if options.marker:
-                blocks = I.assign_markers(blocks, list(options.marker))
-            trees = content_trees(blocks)
-            value = F.concat(F.lit('{"metadata":'), F.col("rec"), F.lit(',"content":'), F.coalesce("content", F.lit("[]")), F.lit("}"))
-            body = base.join(rec, "page_id").join(trees, "page_id", "left").select("page_id", "engine", (value if options.format == "json" else _toon(value)).alias("body"), "error")
-    other = pages.filter(~is_html(F.col("content_type"))).select("page_id", F.lit("raw").alias("engine"), F.col("html").alias("body"), F.lit(None).cast("string").alias("error"))
-    return head.join(body.unionByName(other), "page_id")
-
-
-def build_graph(pages: DataFrame, options: GraphOptions = GraphOptions(), kb_labels: DataFrame | None = None, kb_entities: DataFrame | None = None) -> DataFrame:
-    """(page_id, n_nodes, document, n_linked) for every HTML page, as JSON-LD."""
-    pages = with_fetch_columns(pages)
-    parse = ParseOptions(options.selector)
-    facts = page_facts(pages, parse)
-    meta = metadata(facts, pages)
-    linked = jsonld_nodes(facts)
-    merged = K.merge_nodes(K.graph_pairs(meta, classified_blocks(pages, parse, meta, facts), linked))
-    links = None
-    if options.link_entities and kb_labels is not None:
-        links = L.resolve(L.candidates(node_rows(merged), options.limit), kb_labels)
-        same = links.select("page_id", "id", F.lit("sameAs").alias("prop"), F.lit(1 << 20).alias("prop_ord"), F.concat(F.lit(f'"{L.ENTITY}'), "qid", F.lit('"')).alias("value"))
-        places = merged.select("page_id", "id", "node_ord", F.col("node_ord").alias("from_ord")).distinct()
-        merged = merged.unionByName(same.join(places, ["page_id", "id"]))
-        if options.claims and kb_entities is not None:
-            told = L.entity_nodes(links, kb_entities, options.lang or "en")
-            rows = links.select("page_id", F.concat(F.lit(L.ENTITY), "qid").alias("id")).distinct().join(told, "id")
-            value = lambda x: F.when(F.size(x) == 1, F.to_json(F.struct(x[0].alias("v")))).otherwise(F.to_json(F.struct(x.alias("v"))))
-            bare = lambda c: F.regexp_replace(c, r'^\{"v":(.*)\}$', "$1")
-            props = F.concat(F.array_compact(F.array(F.when(F.col("label").isNotNull(), F.struct(F.lit("rdfs:label").alias("prop"), F.array("label").alias("values"))), F.when(F.col("label").isNotNull(), F.struct(F.lit("skos:prefLabel").alias("prop"), F.array("label").alias("values"))), F.when(F.col("definition").isNotNull(), F.struct(F.lit("skos:definition").alias("prop"), F.array("definition").alias("values"))))), "claims")
-            rows = rows.select("page_id", "id", F.posexplode(props).alias("prop_ord", "p"))
-            far = F.lit(1 << 30)
-            merged = merged.unionByName(rows.select("page_id", far.alias("node_ord"), "id", "p.prop", "prop_ord", bare(value(F.col("p.values"))).alias("value"), far.alias("from_ord")))
-    out = K.graph_documents(merged)
-    if links is None:
-        return out.withColumn("n_linked", F.lit(0).cast("long"))
-    counts = links.groupBy("page_id").agg(F.count("*").alias("n_linked"))
-    return out.join(counts, "page_id", "left").withColumn("n_linked", F.coalesce("n_linked", F.lit(0).cast("long")))
-
-
-def node_rows(merged: DataFrame) -> DataFrame:
-    """Merged properties as one row a node, for entity linking."""
-    text = lambda p: F.max(F.when((F.col("prop") == p) & F.col("value").startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), "value", F.lit("}")), "$.v")))
-    many = lambda p: F.max(F.when(F.col("prop") == p, F.when(F.col("value").startswith("["), F.from_json("value", "array<string>")).otherwise(F.array(F.get_json_object(F.concat(F.lit('{"v":'), "value", F.lit("}")), "$.v")))))
-    return merged.groupBy("page_id", "node_ord", "id").agg(many("@type").alias("types"), text("name").alias("name"), text("headline").alias("headline"), text("skos:prefLabel").alias("pref_label"), text("rdfs:label").alias("rdf_label"), text("text").alias("text"), many("sameAs").alias("same_as"))
-
-
-def diff_pages(previous: DataFrame, current: DataFrame, options: DiffOptions = DiffOptions()) -> DataFrame:
-    """(url, body) with the changes from one table of pages to another, joined by url."""
-    parse = ParseOptions(options.selector)
-    sides = []
-    for pages in (previous, current):
-        blocks = flattened(page_blocks(with_fetch_columns(pages), parse))
-        sides.append(D.keyed(C.classify(blocks) if options.classify else blocks))
-    found = D.changes(*sides)
-    if options.output == "unified":
-        return D.unified(found)
-    shown = F.when(F.col("change") != "unchanged", F.struct("change_ord", F.to_json(F.struct(F.col("change").alias("type"), "classification", "before", "after")).alias("j")))
-    rows = found.groupBy("url").agg(F.array_sort(F.collect_list(shown)).alias("x"), *[F.count_if(F.col("change") == k).alias(k) for k in ("added", "removed", "changed", "unchanged")])
-    return rows.select("url", F.concat(F.lit('{"summary":'), F.to_json(F.struct("added", "removed", "changed", "unchanged")), F.lit(',"changes":['), F.array_join(F.transform("x", lambda x: x["j"]), ","), F.lit("]}")).alias("body"))
-
-
-def parse_robots(pages: DataFrame, resources: DataFrame) -> DataFrame:
-    """(origin, sitemaps, host, rules, error): each site's robots file."""
-    from quillmesh.functions.urls import url_origin
-
-    sites = pages.select(url_origin(F.col("url")).alias("origin")).distinct()
-    bodies = sites.join(N.fetched(resources).select(F.col("url").alias("_u"), "body"), F.col("_u") == F.concat("origin", F.lit("/robots.txt")), "left").drop("_u")
-    rules = N.robots_rules(bodies).groupBy("origin").agg(F.array_sort(F.collect_list(F.struct("rule", "agent", "allow", "disallow", "crawl_delay"))).alias("rules"))
-    out = bodies.select("origin", F.when(F.col("body").isNull(), "no robots.txt").alias("error"))
-    return out.join(N.robots_sites(bodies), "origin", "left").join(rules, "origin", "left")
-
-
-def parse_sitemaps(pages: DataFrame, resources: DataFrame, options: CrawlOptions = CrawlOptions()) -> DataFrame:
-    """(origin, sitemap_url, sitemap, children, error): each site's best sitemap."""
-    from quillmesh.functions.urls import url_origin
-
-    sites = pages.select(url_origin(F.col("url")).alias("origin")).distinct()
-    robots = sites.join(N.fetched(resources).select(F.col("url").alias("_u"), "body"), F.col("_u") == F.concat("origin", F.lit("/robots.txt"))).select("origin", "body")
-    best = N.best_sitemaps(N.sitemap_candidates(sites, robots), resources)
-    out = sites.join(best, "origin", "left").withColumn("error", F.when(F.col("sitemap_url").isNull(), "no sitemap"))
-    if options.expand:
-        kids = N.expand_indexes(best, resources, options.limit).groupBy("origin").agg(F.array_sort(F.collect_list(F.struct("pos", "child_url", "urls"))).alias("children"))
-        return out.join(kids, "origin", "left")
-    return out.withColumn("children", F.lit(None).cast("array<struct<pos:int,child_url:string,urls:array<string>>>"))
+            more = ("classification", "confidence") * enrich + ("marker",) * bool(options.marker)
+            told = with_content(meta.select("page_id", "final_url", "status", "redirects", "engine", "error", *keep, "rec", "blocks"), *more)
+            value = F.concat(F.lit('{"metadata":'), F.col("rec"), F.lit(',"content":'), F.col("content"), F.lit("}"))
+            body = told.withColumn("body", value if options.format == "json" else _toon(value))
+    done = body.withColumn("format", F.lit(options.format)).select(*[F.coalesce("redirects", F.array().cast("array<string>")).alias(c) if c == "redirects" else c for c in OUT], *keep)
+    return done.unionByName(_others(pages, options.format, keep))

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import re
 
-from quillmesh.sources.emit import Style, markdown, own_rows
+from quillmesh.sources.emit import Style, absolute, markdown, own_rows
 from quillmesh.sources.html import Node
 
 GROUPING = frozenset("p h1 h2 h3 h4 h5 h6 ul ol table blockquote pre div section article main header footer aside nav details summary".split())
 _LINK = re.compile(r"\[([^\]]+)\]\(([^)]+)\)")
-SCALARS = ("level", "text", "href", "src", "alt", "language", "code", "ordered", "items", "headers", "rows", "tag_name", "html_id", "html_class")
 
 
 def _link_or_text(text: str) -> dict:
@@ -61,19 +60,29 @@ def _block(node: Node, style: Style) -> dict | None:
 
 
 def block_rows(root: Node, style: Style) -> list[dict]:
-    """Rows with ord (preorder), parent_ord (null at the top) and depth; a group without content is left out."""
+    """Rows with ord (preorder), parent_ord (null at the top), depth and section_ord; a group without content is left out.
+
+    ``section_ord`` is that of the last heading at the top level, -1 before any.
+    """
     out: list[dict] = []
+    section = -1
 
     def visit(child, parent: int | None, depth: int) -> bool:
+        nonlocal section
         if isinstance(child, str):
             text = child.strip()
             if text:
-                out.append({"type": "paragraph", "text": text, "ord": len(out), "parent_ord": parent, "depth": depth})
+                out.append({"type": "paragraph", "text": text, "ord": len(out), "parent_ord": parent, "depth": depth, "section_ord": section})
             return bool(text)
         block = _block(child, style)
         if block is None:
             return False
-        row = block | {"ord": len(out), "parent_ord": parent, "depth": depth, "html_id": child.get("id") or None, "html_class": child.get("class") or None}
+        if depth == 0 and block["type"] == "heading":
+            section = len(out)
+        row = block | {"ord": len(out), "parent_ord": parent, "depth": depth, "section_ord": section, "html_id": child.get("id") or None, "html_class": child.get("class") or None}
+        for kind in ("href", "src"):
+            if block.get(kind):
+                row[f"{kind}_url"] = absolute(block[kind], style)
         out.append(row)
         if block["type"] == "group":
             held = [visit(c, row["ord"], depth + 1) for c in child.children]

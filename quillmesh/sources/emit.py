@@ -10,10 +10,9 @@ import re
 from dataclasses import dataclass
 
 from quillmesh.functions.urls import resolve
-from quillmesh.sources.html import Node
+from quillmesh.sources.html import BLOCKS, Node
 
 REMOVED = frozenset("script style noscript iframe form button".split())
-BLOCKS = frozenset("address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 # Signs of markdown that a text must not set by chance.
 _SPECIAL = ((re.compile(r"([\\*`\[\]_])"), r"\\\1"), (re.compile(r"^(-|\+ |=+|>|~~~)"), r"\\\1"), (re.compile(r"^(#{1,6}) "), r"\\\1 "), (re.compile(r"^(\d+)\. "), r"\1\\. "))
 
@@ -24,10 +23,10 @@ class Style:
 
     base: str = ""
     links: str = "inline"  # inline, referenced (written inline), discard
-    images: str = "inline"  # inline, alt-only, discard
+    images: str = "keep"  # keep, alt-only, discard
 
 
-def _absolute(href: str, style: Style) -> str:
+def absolute(href: str, style: Style) -> str:
     return resolve(href, style.base) or href
 
 
@@ -60,7 +59,7 @@ def inline(node: Node | str, style: Style) -> str:
         if style.images == "alt-only":
             return alt.strip()
         src = node.get("src")
-        return f"![{re.sub(r'[\[\]\n]', ' ', alt).strip()}]({_absolute(src, style)})" if src else ""
+        return f"![{re.sub(r'[\[\]\n]', ' ', alt).strip()}]({absolute(src, style)})" if src else ""
     if tag == "code":
         raw = re.sub(r"\r?\n|\r", " ", node.text())
         if not raw:
@@ -85,7 +84,7 @@ def inline(node: Node | str, style: Style) -> str:
             return inner
         title = node.get("title")
         quoted = f' "{title.replace(chr(34), chr(92) + chr(34))}"' if title else ""
-        return f"[{inner.strip() if inner.strip() else inner}]({_absolute(href, style)}{quoted})"
+        return f"[{inner.strip() if inner.strip() else inner}]({absolute(href, style)}{quoted})"
     return inner
 
 
@@ -129,7 +128,7 @@ def _paragraphs(node: Node, style: Style, tight: bool = False) -> list[str]:
             out.append(text)
 
     for child in node.children:
-        if isinstance(child, str) or child.tag not in BLOCKS and not any(n.tag in BLOCKS for n in child.walk()):
+        if isinstance(child, str) or child.tag not in BLOCKS and not child.spread:
             line.append(inline(child, style))
             continue
         if child.tag in REMOVED:

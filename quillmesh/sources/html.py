@@ -2,7 +2,8 @@
 
 Tag soup is mended by few rules: a paragraph's start tag closes an open paragraph with all inline
 elements in it, list items, table rows and cells close their like, void elements hold nothing, end
-tags without a start are passed over, and the end of the text closes all.
+tags without a start are passed over, and the end of the text closes all.  Elements deeper than
+``DEEPEST`` become siblings, as in browsers, so walks that recurse stay bounded.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
+DEEPEST = 512
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEAD = frozenset("title meta link script style base noscript template".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -17,11 +19,17 @@ _ALIKE = {"li": ({"li"}, {"ul", "ol"}), "tr": ({"tr", "td", "th"}, {"table"}), "
 _STOPS_P = frozenset("body html div section article main header footer aside nav td th li table blockquote details form button figure".split())
 
 
+BLOCKS = frozenset("address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+_PRUNED = frozenset("script style noscript iframe".split())
+
+
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    """An element; ``spread`` says whether a block element stands anywhere below it."""
+
+    __slots__ = ("tag", "attrs", "children", "parent", "spread")
 
     def __init__(self, tag: str, attrs: dict | None = None, parent: "Node | None" = None):
-        self.tag, self.attrs, self.children, self.parent = tag, attrs or {}, [], parent
+        self.tag, self.attrs, self.children, self.parent, self.spread = tag, attrs or {}, [], parent, False
 
     def get(self, name: str) -> str | None:
         return self.attrs.get(name)
@@ -67,7 +75,7 @@ class _Builder(HTMLParser):
 
     def _place(self, tag: str) -> Node:
         if len(self.open) > 1:
-            return self.open[-1]
+            return self.open[min(len(self.open) - 1, DEEPEST)]
         if not self.begun and tag in HEAD:
             return self.head
         self.begun = True
@@ -94,6 +102,10 @@ class _Builder(HTMLParser):
         parent = self._place(tag)
         node = Node(tag, own, parent)
         parent.children.append(node)
+        if tag in BLOCKS:
+            while parent is not None and not parent.spread and parent.tag not in _PRUNED:
+                parent.spread = True
+                parent = parent.parent
         if tag not in VOID:
             self.open.append(node)
 
@@ -141,7 +153,7 @@ def prune(root: Node) -> None:
 def _dropped(n: Node) -> bool:
     if n.tag == "script":
         return n.get("id") != "__NEXT_DATA__" and n.get("type") != "application/ld+json"
-    return n.tag in ("style", "noscript", "iframe")
+    return n.tag in _PRUNED
 
 
 _SIMPLE = re.compile(r"""([a-zA-Z][\w-]*|\*)|\#([\w-]+)|\.([\w-]+)|\[\s*([\w:-]+)\s*(?:([~^$*]?=)\s*(?:"([^"]*)"|'([^']*)'|([^\]\s]+)))?\s*\]|:not\(([^)]*)\)""", re.X)
@@ -204,17 +216,15 @@ _ESCAPE = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;"})
 def inner_html(node: Node) -> str:
     """The markup of what an element holds."""
     out: list[str] = []
-
-    def write(n: Node) -> None:
-        for c in n.children:
-            if isinstance(c, str):
-                out.append(c if n.tag in ("script", "style") else c.translate(_ESCAPE))
-            else:
-                attrs = "".join(f' {k}="{v.replace("&", "&amp;").replace(chr(34), "&quot;")}"' for k, v in c.attrs.items())
-                out.append(f"<{c.tag}{attrs}>")
-                if c.tag not in VOID:
-                    write(c)
-                    out.append(f"</{c.tag}>")
-
-    write(node)
+    todo: list = [(c, node.tag) for c in reversed(node.children)]
+    while todo:
+        x, inside = todo.pop()
+        if isinstance(x, str):
+            out.append(x if inside in ("script", "style", None) else x.translate(_ESCAPE))
+            continue
+        attrs = "".join(f' {k}="{v.replace("&", "&amp;").replace(chr(34), "&quot;")}"' for k, v in x.attrs.items())
+        out.append(f"<{x.tag}{attrs}>")
+        if x.tag not in VOID:
+            todo.append((f"</{x.tag}>", None))  # markup, written as it is
+            todo.extend((c, x.tag) for c in reversed(x.children))
     return "".join(out)

@@ -1,23 +1,42 @@
-"""The parse stage: every page's HTML is read once, in Arrow batches, into facts and block rows."""
+"""The parse stage: every page's HTML becomes one tree, in Arrow batches, from which facts, text, blocks and markdown are read.
+
+A plan names what it wants and gets it on the page's own row, so nothing is joined back to a page.
+"""
 
 from __future__ import annotations
 
 import json
 import re
+import sys
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from quillmesh.sources.blocks import SCALARS, block_rows
+from quillmesh.sources.blocks import block_rows
 from quillmesh.sources.emit import Style, markdown
-from quillmesh.sources.html import inner_html, parse_html, prune, select_first
+from quillmesh.sources.html import DEEPEST, inner_html, parse_html, prune, select_first
 from quillmesh.sources.reconstruct import loads, reconstruct, sentences, space_out
 
-FACTS = "page_id long, url string, final_url string, status int, content_type string, redirects array<string>, lang string, title_tag string, meta_tags array<struct<property:string,name:string,content:string>>, links array<struct<rel:string,href:string>>, script_srcs array<string>, inline_scripts string, element_ids array<string>, has_astro boolean, has_cloak boolean, generator string, jsonld array<string>, engine string, text_content string, body_html string, recovered_title string, error string"
-BLOCKS = "page_id long, url string, ord int, parent_ord int, depth int, type string, level int, text string, href string, src string, alt string, language string, code string, ordered boolean, items array<struct<text:string,href:string>>, headers array<string>, rows array<array<string>>, tag_name string, html_id string, html_class string, error string"
+BLOCK = "ord int, parent_ord int, depth int, section_ord int, type string, level int, text string, href string, src string, alt string, language string, code string, ordered boolean, items array<struct<text:string,href:string>>, headers array<string>, rows array<array<string>>, tag_name string, html_id string, html_class string, href_url string, src_url string"
+#: what a plan can ask for, with the columns that it gets; engine and error come always
+WANTS = {
+    "facts": "lang string, title_tag string, meta_tags array<struct<property:string,name:string,content:string>>, links array<struct<rel:string,href:string>>, script_srcs array<string>, inline_scripts string, element_ids array<string>, has_astro boolean, has_cloak boolean, generator string, jsonld array<string>, recovered_title string",
+    "linked": "linked array<struct<id:string,types:array<string>,props:string>>",
+    "text": "text_content string",
+    "html": "body_html string",
+    "blocks": f"blocks array<struct<{re.sub(r'(\w+) ', r'\1:', BLOCK).replace(', ', ',')}>>",
+    "markdown": "body_markdown string",
+}
+CARRIED = ("page_id", "url", "final_url", "status", "content_type", "redirects", "html")
 HTML_TYPE = "text/html; charset=utf-8"
+#: bytes of HTML that are parsed before rows are handed on
+CHUNK_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -26,7 +45,7 @@ class ParseOptions:
 
     selector: str | None = None
     links: str = "inline"
-    images: str = "inline"
+    images: str = "keep"
 
 
 def load_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,11 +74,6 @@ def _target(root, selector: str | None):
     return found or next(n for n in root.children if n.tag == "body")
 
 
-def _opened(html: str, options: ParseOptions):
-    root = parse_html(space_out(html))
-    return root, _target(root, options.selector)
-
-
 def recovered(html: str, root) -> tuple[str, str, str] | None:
     """(html, text, title) from hydration data, for pages that show next to no text.
 
@@ -96,109 +110,154 @@ def recovered(html: str, root) -> tuple[str, str, str] | None:
     return best
 
 
-def content_of(html: str, options: ParseOptions):
-    """(root before pruning, content html or None for the tree's own, node to read, text, engine, recovered title)."""
-    root, _ = _opened(html, options)
-    facts = root
-    body = parse_html(space_out(html))
-    prune(body)
-    node = _target(body, options.selector)
-    text = node.text().strip()
-    if len(text) < 100:
-        found = recovered(html, root)
+def _facts_of(root) -> dict:
+    """What metadata and framework rules need of a tree that isn't pruned yet."""
+    metas, links, srcs, inline, ids, linked, generator, title_tag = [], [], [], [], [], [], "", None
+    astro = cloak = False
+    for n in root.walk():
+        if n.get("id"):
+            ids.append(n.get("id"))
+        astro |= n.tag == "astro-island"
+        cloak |= n.get("v-cloak") is not None
+        if n.tag == "meta":
+            metas.append({"property": n.get("property"), "name": n.get("name"), "content": n.get("content")})
+            if n.get("name") == "generator" and not generator:
+                generator = (n.get("content") or "").lower()
+        elif n.tag == "link":
+            links.append({"rel": n.get("rel"), "href": n.get("href")})
+        elif n.tag == "title" and title_tag is None:
+            title_tag = n.text().strip()
+        elif n.tag == "script":
+            kept = n.get("id") == "__NEXT_DATA__" or n.get("type") == "application/ld+json"
+            body = "".join(c for c in n.children if isinstance(c, str))
+            if kept and n.get("src"):
+                srcs.append(n.get("src"))
+            if kept and body:
+                inline.append(body)
+            if n.get("type") == "application/ld+json" and body:
+                linked.append(body)
+    return {"lang": root.get("lang"), "title_tag": title_tag or None, "meta_tags": metas, "links": links, "script_srcs": srcs, "inline_scripts": "\n".join(inline), "element_ids": ids, "has_astro": astro, "has_cloak": cloak, "generator": generator, "jsonld": linked}
+
+
+def linked_nodes(texts: list[str]) -> list[dict]:
+    """Linked-data objects of a page: arrays and @graph opened, by id once."""
+    seen: set = set()
+    out = []
+    todo = [v for v in map(loads, reversed(texts)) if v is not None]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, list):
+            todo.extend(reversed(x))
+        elif isinstance(x, dict) and isinstance(x.get("@graph"), list):
+            todo.append(x["@graph"])
+        elif isinstance(x, dict):
+            own = {k: v for k, v in x.items() if k != "@context"}
+            id_ = own.get("@id") if isinstance(own.get("@id"), str) else None
+            if id_ and id_ in seen:
+                continue
+            seen.add(id_)
+            kind = own.get("@type")
+            kinds = [str(k) if not isinstance(k, dict) else "Thing" for k in (kind if isinstance(kind, list) else [kind] if kind else [])]
+            out.append({"id": id_, "types": kinds, "props": json.dumps(own, ensure_ascii=False, separators=(",", ":"))})
+    return out
+
+
+def site_content(bodies) -> dict | None:
+    """Content from the first of a site's data files that gives any."""
+    for body in bodies or []:
+        found = reconstruct(loads(body))
         if found:
-            return facts, found[0], _target(parse_html(found[0]), None), found[1], "json-reconstructor", found[2]
-    return facts, None, node, text, "dom", ""
+            return found
+    return None
 
 
-def page_facts(pages: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame:
-    """One row for each page that is HTML: what metadata, framework rules and text need."""
-
-    def facts(row) -> dict:
-        html = row.html or ""
-        root, own_html, node, text, engine, title = content_of(html, options)
-        metas, links, srcs, inline, ids, linked, generator, title_tag = [], [], [], [], [], [], "", None
-        astro = cloak = False
-        for n in root.walk():
-            if n.get("id"):
-                ids.append(n.get("id"))
-            astro |= n.tag == "astro-island"
-            cloak |= n.get("v-cloak") is not None
-            if n.tag == "meta":
-                metas.append({"property": n.get("property"), "name": n.get("name"), "content": n.get("content")})
-                if n.get("name") == "generator" and not generator:
-                    generator = (n.get("content") or "").lower()
-            elif n.tag == "link":
-                links.append({"rel": n.get("rel"), "href": n.get("href")})
-            elif n.tag == "title" and title_tag is None:
-                title_tag = n.text().strip()
-            elif n.tag == "script":
-                kept = n.get("id") == "__NEXT_DATA__" or n.get("type") == "application/ld+json"
-                body = "".join(c for c in n.children if isinstance(c, str))
-                if kept and n.get("src"):
-                    srcs.append(n.get("src"))
-                if kept and body:
-                    inline.append(body)
-                if n.get("type") == "application/ld+json" and body:
-                    linked.append(body)
-        return {"lang": root.get("lang"), "title_tag": title_tag or None, "meta_tags": metas, "links": links, "script_srcs": srcs, "inline_scripts": "\n".join(inline), "element_ids": ids, "has_astro": astro, "has_cloak": cloak, "generator": generator, "jsonld": linked, "engine": engine, "text_content": _cleaned(text), "body_html": own_html if own_html is not None else inner_html(node), "recovered_title": title or None, "error": None}
-
-    names = [c.strip().split(" ")[0] for c in re.split(r",(?![^<]*>)", FACTS)]
-    blank = dict.fromkeys(names)
+def parse_page(html: str, base: str, options: ParseOptions, want, site=None) -> dict:
+    """The wanted columns of one page.  ``site`` holds the bodies of its site's data files, which come before its own content."""
+    root = parse_html(space_out(html))
+    out = _facts_of(root) if "facts" in want or "linked" in want else {}
+    if "linked" in want:
+        out["linked"] = linked_nodes(out["jsonld"])
+    prune(root)
+    node = _target(root, options.selector)
+    text, own_html, engine, title = node.text().strip(), None, "dom", ""
+    found = site_content(site)
+    if found:
+        own_html, text, title = found["html"], found["text"], found["title"]
+    elif len(text) < 100:
+        hydrated = recovered(html, root)
+        if hydrated:
+            own_html, text, title = hydrated
+    if own_html is not None:
+        engine = "json-reconstructor"
+        if "blocks" in want or "markdown" in want:
+            node = _target(parse_html(own_html), None)
+    style = Style(base, options.links, options.images)
+    out |= {"engine": engine, "recovered_title": title or None, "from_site": bool(found)}
+    if "text" in want:
+        out["text_content"] = _cleaned(text)
+    if "html" in want:
+        out["body_html"] = own_html if own_html is not None else inner_html(node)
+    if "blocks" in want:
+        out["blocks"] = block_rows(node, style)
+    if "markdown" in want:
+        out["body_markdown"] = markdown(node, style)
+    return out
+
+
+def parse_pages(pages: DataFrame, options: ParseOptions = ParseOptions(), want: tuple[str, ...] = ("facts", "text"), keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of pages that is HTML: the fetch columns, ``keep``, engine, error and what is wanted (see WANTS).
+
+    Each page is parsed once.  A page that can't be parsed stays a row with its error; null HTML is an
+    empty page; rows that repeat a page, or have no page_id, are rows like others.  A column ``site``
+    (array of JSON texts), if there is one, is the page's site data.
+    """
+    given = [*CARRIED, *[c for c in keep if c not in CARRIED]]
+    if "site" in pages.columns and "site" not in given:
+        given.append("site")
+    slim = pages.filter(is_html(F.col("content_type"))).select(*given)
+    new = StructType.fromDDL(", ".join([WANTS[w] for w in WANTS if w in want] + ["engine string", "from_site boolean", "error string"]))
+    schema = StructType([*slim.schema.fields, *new.fields])
+    fields = list(to_arrow_schema(new))
+    at = {c: k for k, c in enumerate(given)}
 
     def run(batches):
-        for batch in batches:
-            rows = []
-            for row in batch.itertuples(index=False):
-                try:
-                    own = facts(row)
-                except Exception as e:  # a page that can't be parsed stays a row
-                    own = {"error": f"{type(e).__name__}: {e}"}
-                rows.append(blank | {c: getattr(row, c) for c in ("page_id", "url", "final_url", "status", "content_type", "redirects")} | own)
-            yield pd.DataFrame(rows, columns=names)
-
-    slim = pages.filter(is_html(F.col("content_type"))).select("page_id", "url", "final_url", "status", "content_type", "redirects", "html")
-    return slim.mapInPandas(run, FACTS)
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * DEEPEST))
+        for whole in batches:
+            sizes = pa.compute.fill_null(pa.compute.binary_length(whole.column(at["html"])), 0).to_pylist()
+            i = 0
+            while i < whole.num_rows:
+                j, held = i, 0
+                while j < whole.num_rows and (j == i or held + sizes[j] <= CHUNK_BYTES):
+                    held += sizes[j]
+                    j += 1
+                batch = whole.slice(i, j - i)
+                i = j
+                sites = batch.column(at["site"]).to_pylist() if "site" in at else [None] * batch.num_rows
+                rows = []
+                for html, final, url, site in zip(*[batch.column(at[c]).to_pylist() for c in ("html", "final_url", "url")], sites):
+                    try:
+                        rows.append(parse_page(html or "", final or url or "", options, want, site) | {"error": None})
+                    except Exception as e:  # a page that can't be parsed stays a row
+                        rows.append({"engine": None, "error": f"{type(e).__name__}: {e}"})
+                new_columns = [pa.array([r.get(f.name) for r in rows], f.type) for f in fields]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *new_columns], names=[*given, *[f.name for f in fields]])
+
+    return slim.mapInArrow(run, schema)
 
 
-def page_blocks(pages: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame:
-    """Typed blocks of every HTML page: one row each, ``ord`` in document order, groups by ``parent_ord``."""
-    names = [c.strip().split(" ")[0] for c in re.split(r",(?![^<]*>)", BLOCKS)]
-    blank = dict.fromkeys(("parent_ord", *SCALARS, "error"))
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for row in batch.itertuples(index=False):
-                own = {"page_id": row.page_id, "url": row.url}
-                try:
-                    _, _, node, _, _, _ = content_of(row.html or "", options)
-                    rows += [blank | own | b for b in block_rows(node, Style(row.final_url or row.url or "", options.links, options.images))]
-                except Exception as e:
-                    rows.append(blank | own | {"ord": 0, "depth": 0, "type": None, "error": f"{type(e).__name__}: {e}"})
-            out = pd.DataFrame(rows, columns=names).astype(object)
-            yield out.where(out.notna(), None)
-
-    slim = pages.filter(is_html(F.col("content_type"))).select("page_id", "url", "final_url", "html")
-    return slim.mapInPandas(run, BLOCKS)
+def page_facts(pages: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame:
+    """What metadata, framework rules and text need, with the page's HTML."""
+    return parse_pages(pages, options, ("facts", "linked", "text"))
 
 
-def page_markdown(pages: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame:
-    """(page_id, body_markdown) of every HTML page."""
+def exploded(parsed: DataFrame, *keep: str) -> DataFrame:
+    """A row for each block of ``blocks``, with page_id, url and the kept columns."""
+    return parsed.select("page_id", "url", *keep, F.explode("blocks").alias("_b")).select("page_id", "url", *keep, "_b.*")
 
-    def run(batches):
-        for batch in batches:
-            said = []
-            for html, url in zip(batch["html"], batch["final_url"]):
-                try:
-                    _, _, node, _, _, _ = content_of(html or "", options)
-                    said.append(markdown(node, Style(url or "", options.links, options.images)))
-                except Exception:
-                    said.append(None)
-            yield pd.DataFrame({"page_id": batch["page_id"], "body_markdown": pd.Series(said, dtype=object)})
 
-    slim = pages.filter(is_html(F.col("content_type"))).select("page_id", "final_url", "html")
-    return slim.mapInPandas(run, "page_id long, body_markdown string")
+def page_blocks(pages: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame:
+    """Typed blocks of every HTML page: one row each, ``ord`` in document order, groups by ``parent_ord``."""
+    return exploded(parse_pages(pages, options, ("blocks",)))
 
 
 def reconstructed(frame: DataFrame, json_col: str) -> DataFrame:
@@ -214,40 +273,5 @@ def reconstructed(frame: DataFrame, json_col: str) -> DataFrame:
 
 
 def jsonld_nodes(facts: DataFrame) -> DataFrame:
-    """(page_id, node_ord, id, type, types, props): linked-data objects, arrays and @graph opened, by id once a page."""
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for page, raw in zip(batch["page_id"], batch["jsonld"]):
-                seen: set = set()
-                n = 0
-                todo = []
-                for text in raw if raw is not None else []:
-                    value = loads(text)
-                    if value is not None:
-                        todo.append(value)
-                todo.reverse()
-                while todo:
-                    x = todo.pop()
-                    if isinstance(x, list):
-                        todo.extend(reversed(x))
-                        continue
-                    if not isinstance(x, dict):
-                        continue
-                    if isinstance(x.get("@graph"), list):
-                        todo.append(x["@graph"])
-                        continue
-                    own = {k: v for k, v in x.items() if k != "@context"}
-                    id_ = own.get("@id") if isinstance(own.get("@id"), str) else None
-                    if id_:
-                        if id_ in seen:
-                            continue
-                        seen.add(id_)
-                    kind = own.get("@type")
-                    kinds = [str(k) if not isinstance(k, dict) else "Thing" for k in (kind if isinstance(kind, list) else [kind] if kind else [])]
-                    rows.append((page, n, id_, kinds, json.dumps(own, ensure_ascii=False, separators=(",", ":"))))
-                    n += 1
-            yield pd.DataFrame(rows, columns=["page_id", "node_ord", "id", "types", "props"])
-
-    return facts.select("page_id", "jsonld").mapInPandas(run, "page_id long, node_ord int, id string, types array<string>, props string")
+    """(page_id, node_ord, id, types, props): the linked-data objects of ``linked`` as rows."""
+    return facts.select("page_id", F.posexplode("linked").alias("node_ord", "x")).select("page_id", "node_ord", "x.id", "x.types", "x.props")

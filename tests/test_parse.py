@@ -7,7 +7,10 @@ import pytest
 from quillmesh.functions.hashing import fnv1a_text
 from quillmesh.functions.urls import canonical, normalized, resolve
 from quillmesh.plans.options import DiffOptions, GraphOptions, OptionError, ReadOptions, flag, parse_options, split_request
-from quillmesh.plans.read import build_graph, diff_pages, info, parse_robots, parse_sitemaps, read_pages
+from quillmesh.plans.crawl import parse_robots, parse_sitemaps
+from quillmesh.plans.diff import diff_pages
+from quillmesh.plans.graph import build_graph
+from quillmesh.plans.read import info, read_pages
 from quillmesh.plans.toon import toon
 from quillmesh.sources.blocks import block_rows
 from quillmesh.sources.emit import Style, markdown

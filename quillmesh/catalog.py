@@ -13,6 +13,7 @@ from quillmesh.functions import patterns as P
 from quillmesh.functions import text as T
 from quillmesh.functions import urls as U
 from quillmesh.functions.hashing import block_key, content_hash, fnv1a, snapshot_key
+from quillmesh.golden import RICH_BODIES
 from quillmesh.operators import classify as C
 from quillmesh.operators import diff as D
 from quillmesh.operators import discovery as N
@@ -528,3 +529,54 @@ def diff_kinds(spark, sf_dir):
     out = D.changes(before, after)
     said = F.when(F.col("change") != "changed", F.coalesce("after", "before"))
     return out.select("change", said.alias("said"), "classification")
+
+
+# -- whole pages of every kind of block --------------------------------------------------------------
+_RICH = """<html lang="en"><head><title>T</title><meta name="author" content="Ann Lee"><meta name="description" content="D"></head><body><p id="i" class="c d">by Ann Lee</p><h1>A <em>b</em></h1><div><section><h2>in</h2><p><img src="i.png" alt="x"></p></section><p><a href="/l">go</a></p></div><blockquote>q *r*</blockquote><pre class="language-py">x = 1\ny</pre><ol><li>a</li><li><a href="/u">b</a></li></ol><table><tr><th>h</th><th>k</th></tr><tr><td>1|2</td><td>$5</td></tr></table><h2>Second</h2>loose text<img src="/j.png"><p>call 555-123-4567, 4/5</p><h2>Third</h2></body></html>"""
+
+
+def _rich(spark):
+    return spark.createDataFrame([(1, "https://x.org/d/p#f", _RICH)], "page_id long, url string, html string")
+
+
+@query("SELECT * FROM (VALUES (0, NULL, 0, -1, 'paragraph', 'by Ann Lee', NULL, 'i', 'c d'), (1, NULL, 0, 1, 'heading', 'A _b_', '1', NULL, NULL), (2, NULL, 0, 1, 'group', NULL, 'div', NULL, NULL), (3, 2, 1, 1, 'group', NULL, 'section', NULL, NULL), (4, 3, 2, 1, 'heading', 'in', '2', NULL, NULL), (5, 3, 2, 1, 'image', 'x', 'i.png', NULL, NULL), (6, 2, 1, 1, 'link', 'go', '/l', NULL, NULL), (7, NULL, 0, 1, 'blockquote', 'q \\*r\\*', NULL, NULL, NULL), (8, NULL, 0, 1, 'code', 'x = 1' || chr(10) || 'y', 'py', NULL, 'language-py'), (9, NULL, 0, 1, 'list', 'a|b(https://x.org/u)', 'true', NULL, NULL), (10, NULL, 0, 1, 'table', 'h|k;1|2|$5', NULL, NULL, NULL), (11, NULL, 0, 11, 'heading', 'Second', '2', NULL, NULL), (12, NULL, 0, 11, 'paragraph', 'loose text', NULL, NULL, NULL), (13, NULL, 0, 11, 'image', '', '/j.png', NULL, NULL), (14, NULL, 0, 11, 'paragraph', 'call 555-123-4567, 4/5', NULL, NULL, NULL), (15, NULL, 0, 15, 'heading', 'Third', '2', NULL, NULL)) AS t(ord, parent_ord, depth, section_ord, type, said, detail, html_id, html_class)".replace("\\\\", "\\"))
+def block_forms(spark, sf_dir):
+    """Every kind of block, nested groups, sections and the page's own ids and classes."""
+    items = F.array_join(F.transform("items", lambda i: F.concat(i["text"], F.coalesce(F.concat(F.lit("("), i["href"], F.lit(")")), F.lit("")))), "|")
+    table = F.array_join(F.concat(F.array(F.array_join("headers", "|")), F.transform("rows", lambda r: F.array_join(r, "|"))), ";")
+    said = F.coalesce("text", "code", "alt", F.when(F.col("type") == "list", items), F.when(F.col("type") == "table", table))
+    detail = F.coalesce(F.col("level").cast("string"), "tag_name", "src", "href", "language", F.col("ordered").cast("string"))
+    return page_blocks(with_fetch_columns(_rich(spark))).select("ord", "parent_ord", "depth", "section_ord", "type", said.alias("said"), detail.alias("detail"), "html_id", "html_class")
+
+
+@query("SELECT * FROM (VALUES (0, 'by Ann Lee', 'author', 0.9::DOUBLE), (1, 'A _b_', 'heading', 1), (4, 'in', 'heading', 1), (5, 'x', 'image', 1), (6, 'go', 'link', 0.9), (7, 'q \\*r\\*', 'paragraph', 0.5), (8, 'x = 1' || chr(10) || 'y', 'code', 1), (9, 'a b', 'list', 0.8), (10, 'h k 1|2 $5', 'pricing', 0.7), (11, 'Second', 'heading', 1), (12, 'loose text', 'paragraph', 0.5), (14, 'call 555-123-4567, 4/5', 'rating', 0.75), (15, 'Third', 'heading', 1)) AS t(ord, said, classification, confidence)".replace("\\\\", "\\"))
+def classify_forms(spark, sf_dir):
+    """The label of every kind of block, in the page's own row; blank ones have none."""
+    rows = metadata(parse_pages(with_fetch_columns(_rich(spark)), want=("facts", "linked", "blocks")), "linked", "blocks")
+    rows = rows.withColumn("blocks", C.classified(F.col("blocks"), C.linked_hints(F.col("linked")), F.col("author"), F.col("published_time")))
+    blocks = exploded(rows).filter("classification IS NOT NULL")
+    return blocks.select("ord", C.block_text().alias("said"), "classification", "confidence")
+
+
+_BODIES = "SELECT * FROM (VALUES " + ", ".join("('" + k + "', '" + v.replace("'", "''") + "')" for k, v in RICH_BODIES.items()) + ") AS t(form, body)"
+
+
+@query(_BODIES)
+def read_forms(spark, sf_dir):
+    """The rich page in every format, and as marked markdown."""
+    marked = ReadOptions(marker=("pricing", "rating", "author"), frontmatter=False)
+    every = read_pages(_rich(spark), marked).select(F.lit("marked").alias("form"), "body")
+    for f in ("markdown", "json", "html", "text", "toon", "graph"):
+        every = every.unionByName(read_pages(_rich(spark), ReadOptions(format=f, classify=True)).select(F.col("format").alias("form"), "body"))
+    return every
+
+
+@query("SELECT * FROM (VALUES ('added', 2), ('removed', 1), ('unchanged', 10)) AS t(change, n)")
+def snapshot_diff_forms(spark, sf_dir):
+    """The rich page against its stored snapshot, after an edit and an added paragraph."""
+    at = lambda day: F.lit(f"2024-01-{day} 00:00:00").cast("timestamp")
+    kept = D.snapshots(flattened(page_blocks(with_fetch_columns(_rich(spark)))), at("01"))
+    edited = _RICH.replace("loose text", "other text<p>more</p>")
+    now = flattened(page_blocks(with_fetch_columns(spark.createDataFrame([(1, "https://x.org/d/p#f", edited)], "page_id long, url string, html string"))))
+    found = D.changes(D.stored_blocks(D.live_snapshots(kept, at("20"))), D.keyed(now))
+    return found.groupBy("change").agg(F.count("*").cast("int").alias("n"))

@@ -8,7 +8,8 @@ from quillmesh.functions.hashing import fnv1a_text
 from quillmesh.functions.urls import canonical, normalized, resolve
 from quillmesh.plans.options import DiffOptions, GraphOptions, OptionError, ReadOptions, flag, parse_options, split_request
 from quillmesh.plans.crawl import parse_robots, parse_sitemaps
-from quillmesh.plans.diff import diff_pages
+from quillmesh.plans.cache import cached_reads, upsert_cache
+from quillmesh.plans.diff import diff_pages, diff_stored, track_pages
 from quillmesh.plans.graph import build_graph
 from quillmesh.plans.read import info, read_pages
 from quillmesh.plans.toon import toon
@@ -197,3 +198,124 @@ def test_crawl(spark):
     none = spark.createDataFrame([], res.schema)
     assert parse_robots(p, none).first().error == "no robots.txt"
     assert parse_sitemaps(p, none).first().error == "no sitemap"
+
+
+RES = "url string, status int, content_type string, location string, body string"
+
+
+def test_equal_rows_and_rows_without_an_id_stay_rows(spark):
+    rows = [(1, "https://x.org/1", "<h1>A</h1><p>text</p>")] * 3 + [(None, "https://x.org/2", "<p>other</p>"), (5, "https://x.org/5", None)]
+    p = spark.createDataFrame(rows, "page_id long, url string, html string")
+    res = spark.createDataFrame([("https://x.org/robots.txt", 200, "text/plain", None, "Sitemap: https://x.org/s.xml")] * 2, RES)
+    for f in ("raw", "markdown", "json", "html", "text", "toon"):
+        out = read_pages(p, ReadOptions(format=f), resources=res).collect()
+        assert sorted(str(r.page_id) for r in out) == ["1", "1", "1", "5", "None"], f
+        assert len({r.body for r in out if r.page_id == 1}) == 1
+    assert "sitemap: https://x.org/s.xml" in read_pages(p, resources=res).filter("page_id = 1").first().body
+    assert sorted(str(r.page_id) for r in build_graph(p).collect()) == ["1", "5", "None"]
+    assert sorted(str(r.page_id) for r in read_pages(p, ReadOptions(format="graph")).collect()) == ["1", "1", "1", "5", "None"]
+
+
+def test_content_from_elsewhere_shows_in_every_format(spark):
+    p = pages(spark, '<div id="___gatsby"></div><title>Raw</title>', "<p>tiny")
+    site = spark.createDataFrame([("https://x.org/page-data/0/page-data.json", 200, "application/json", None, json.dumps({"html": "<h1>Site</h1><p>" + "w " * 60 + "</p><p>b</p><p>c</p>"}))], RES)
+    rendered = spark.createDataFrame([("https://x.org/1", "# Shown\n\ntext by Ann\n- a\n- b", "New title")], "url string, content string, title string")
+    got = {f: {r.page_id: r for r in read_pages(p, ReadOptions(format=f, frontmatter=False, classify=True), resources=site, rendered=rendered).collect()} for f in ("markdown", "json", "html", "text", "toon", "graph")}
+    assert {r[0].engine for f, r in got.items() if f != "graph"} == {"json-reconstructor"} and {r[1].engine for f, r in got.items() if f != "graph"} == {"rendered"}
+    assert got["markdown"][0].body.startswith("# Site") and got["markdown"][1].body.startswith("# Shown")
+    one, two = json.loads(got["json"][0].body), json.loads(got["json"][1].body)
+    assert (one["metadata"]["title"], one["metadata"]["frameworks"]) == ("Raw", ["Gatsby"]) and "favicon" not in one["metadata"]
+    assert one["content"][0]["heading"] == "Site"
+    assert two["metadata"]["title"] == "New title"
+    assert two["content"] == [{"heading": "Shown", "level": 1, "content": [{"type": "paragraph", "text": "text by Ann", "classification": "author", "confidence": 0.6}, {"type": "list", "ordered": False, "items": [{"text": "a"}, {"text": "b"}], "classification": "list", "confidence": 0.8}], "children": []}]
+    assert got["html"][1].body == "<pre># Shown\n\ntext by Ann\n- a\n- b</pre>"
+    assert got["toon"][1].body.startswith("metadata:")
+    assert [n.get("name") for n in json.loads(got["graph"][0].body)["@graph"]][:2] == ["Raw", "Site"]
+
+
+def test_images(spark):
+    p = pages(spark, '<p>a <img src="/i.png" alt="x [y]"> b</p>')
+    got = {k: read_pages(p, ReadOptions(frontmatter=False, images=k)).first().body for k in ("keep", "alt-only", "discard")}
+    assert got == {"keep": "a ![x y](https://x.org/i.png) b\n", "alt-only": "a x [y] b\n", "discard": "a b\n"}
+    with pytest.raises(OptionError):
+        ReadOptions(images="inline")
+
+
+def test_deep_pages_keep_their_content(spark):
+    p = pages(spark, "<div>" * 5000 + "<p>deep</p>" + "</div>" * 5000 + "<p>after</p>")
+    for f in ("markdown", "json", "html", "text"):
+        row = read_pages(p, ReadOptions(format=f, frontmatter=False)).first()
+        assert row.error is None and "deep" in row.body and "after" in row.body
+
+
+def test_linked_nodes_have_each_property_once(spark):
+    html = '<html><head><script type="application/ld+json">{"@id":"#b","@type":"Place","sameAs":"https://e.org/b","text":"Berlin city"}</script><script type="application/ld+json">{"@id":"http://www.wikidata.org/entity/Q64","@type":"Thing"}</script></head><body></body></html>'
+    kb = spark.createDataFrame([("Berlin city", 1, "Q64", "Berlin", "label")], "search_label string, rank int, qid string, label string, match_type string")
+    entities = spark.createDataFrame([("Q64", {"en": "Berlin"}, {}, [])], "qid string, labels map<string,string>, descriptions map<string,string>, claims array<struct<property:string,rank:int,type:string,value:string>>")
+    row = build_graph(pages(spark, html), GraphOptions(), kb, entities).first()
+    nodes = json.loads(row.document, object_pairs_hook=list)
+    graph = dict(nodes)["@graph"]
+    assert all(len({k for k, _ in n}) == len(n) for n in graph)
+    (place,) = [dict(n) for n in graph if dict(n).get("@id") == "#b"]
+    assert place["sameAs"] == ["https://e.org/b", "http://www.wikidata.org/entity/Q64"] and place["name"] == "Berlin"
+    assert sum(dict(n).get("@id") == "http://www.wikidata.org/entity/Q64" for n in graph) == 1
+
+
+def test_tracked_pages_and_stored_snapshots(spark):
+    from pyspark.sql import functions as F
+
+    at = lambda d: F.lit(f"2024-01-{d:02d} 00:00:00").cast("timestamp")
+    a, b = pages(spark, "<p>one</p><p>two</p>"), pages(spark, "<p>one</p><p>three</p>")
+    kept = track_pages(a, None, at(1))
+    assert track_pages(b, kept, at(2), ReadOptions()).collect() == kept.collect()
+    body, after = diff_stored(b, kept, at(3))
+    text = body.first().body
+    assert "--- 2024-01-01T00:00:00.000" in text and "+three" in text and "-two" in text
+    assert [str(r.fetched_at)[:10] for r in after.collect()] == ["2024-01-03"]
+    value = json.loads(diff_stored(b, after, at(4), DiffOptions(output="json", update=False))[0].first().body)
+    assert value["summary"] == {"added": 0, "removed": 0, "changed": 0, "unchanged": 2}
+    late = F.lit("2024-03-01 00:00:00").cast("timestamp")
+    assert json.loads(diff_stored(b, after, late, DiffOptions(output="json"))[0].first().body)["summary"]["added"] == 2
+    assert diff_stored(b, after, late, DiffOptions(update=False))[1].collect() == after.collect()
+
+
+def test_cached_reads(spark):
+    from pyspark.sql import functions as F
+
+    at = lambda m: F.lit(f"2024-01-01 00:{m:02d}:00").cast("timestamp")
+    p, text = pages(spark, "<p>one</p>", "<p>two</p>"), ReadOptions(format="text")
+    first = cached_reads(p.filter("page_id = 0"), None, at(0), text)
+    cache = upsert_cache(None, first, at(0))
+    rows = {r.page_id: r for r in cached_reads(p, cache, at(1), text).collect()}
+    assert {k: (r.cache, r.body) for k, r in rows.items()} == {0: ("HIT", "one"), 1: ("MISS", "two")}
+    assert {r.cache for r in cached_reads(p, cache, at(9), text).collect()} == {"MISS"}
+    assert {r.cache for r in cached_reads(p, cache, at(1), ReadOptions()).collect()} == {"MISS"}
+    assert {r.cache for r in cached_reads(p, cache, at(1), ReadOptions(format="text", cache="bypass")).collect()} == {"MISS"}
+    assert upsert_cache(cache, cached_reads(p, cache, at(6), text), at(6)).count() == 2
+
+
+def test_sitemaps_linked_from_home_pages(spark):
+    p = spark.createDataFrame([(1, "https://x.org/", '<link rel="sitemap" href="/own.xml">'), (2, "https://y.org/p", "<p>no")], "page_id long, url string, html string")
+    res = spark.createDataFrame([("https://x.org/own.xml", 200, "text/xml", None, "<urlset><url><loc>https://x.org/a</loc></url></urlset>")], RES)
+    rows = {r.origin: r for r in parse_sitemaps(p, res).collect()}
+    assert rows["https://x.org"].sitemap_url == "https://x.org/own.xml" and rows["https://x.org"].code == 200 and rows["https://x.org"].body.startswith("<urlset>")
+    assert rows["https://y.org"].code == 404 and parse_robots(p, res).filter("code = 404").count() == 2
+
+
+TRACES = {
+    "Next.js": '<script src="/_next/static/a.js"></script>', "Nuxt": '<div id="__nuxt"></div>', "Gatsby": '<div id="gatsby-focus-wrapper"></div>', "Remix": '<meta name="__remix-server" content="1">', "Astro": "<astro-island></astro-island>",
+    "Angular": '<div ng-version="17"></div>', "Vue.js": "<div data-v-1a2b></div>", "Svelte": "<b>__sveltekit</b>", "React": '<div data-reactroot=""></div>', "Webpack": '<script id="__NEXT_DATA__">webpackChunk</script>',
+    "Vite": '<script type="application/ld+json" src="/@vite/client"></script>', "Parcel": '<script type="application/ld+json">parcelRequire</script>', "WordPress": '<img src="/wp-content/a.png">', "Shopify": '<img src="//cdn.shopify.com/a">', "Wix": '<img src="//static.wixstatic.com/a">',
+    "Squarespace": '<img src="//a.squarespace.com/b">', "Webflow": '<i class="x w-nav"></i>', "Docusaurus": '<meta name="generator" content="Docusaurus v3">', "Hugo": '<meta name="generator" content="Hugo 0.1">', "Jekyll": '<meta name="generator" content="Jekyll">',
+    "Eleventy": '<meta name="generator" content="Eleventy">', "MkDocs": '<meta name="generator" content="mkdocs">', "Tailwind CSS": '<i class="flex px-2 py-3">x</i>', "Bootstrap": '<link href="/bootstrap.min.css">',
+}
+
+
+def test_framework_rules(spark):
+    from quillmesh.operators.metadata import metadata
+
+    rows = metadata(page_facts(with_fetch_columns(pages(spark, *TRACES.values(), "<p>plain")))).select("page_id", "frameworks").orderBy("page_id").collect()
+    assert rows[-1].frameworks is None
+    for (name, _), row in zip(TRACES.items(), rows):
+        extra = {"Webpack": {"Next.js"}}.get(name, set())
+        assert set(row.frameworks) == {name} | extra, name

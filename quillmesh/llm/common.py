@@ -174,6 +174,13 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def refuse_clash(given: list[str], added: list[str]) -> None:
+    """A table that already has a column which an operator adds is refused, with the names."""
+    both = [c for c in added if c in given]
+    if both:
+        raise ValueError(f"the table already has columns that are added here: {', '.join(both)}; rename them first")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

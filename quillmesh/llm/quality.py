@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quillmesh.llm.common import U64, documents, hash_spans, settled, slices, text_buffer, word_spans
+from quillmesh.llm.common import U64, documents, hash_spans, refuse_clash, settled, slices, text_buffer, word_spans
 
 CHUNK_BYTES = 1 << 20
 #: labelled rows that the models are trained on, the first by a hash of the id
@@ -234,7 +234,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 
 def evidence(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """Adds _junk and _toxic, the models' chances, to every row; all columns are carried."""
+    """Adds _junk and _toxic, the models' chances, to every row; all columns are carried, and clashing names refused."""
+    refuse_clash(docs.columns, ["_junk", "_toxic"])
     at = docs.schema.fieldNames().index(text_col)
     schema = StructType([*docs.schema.fields]).add("_junk", "double").add("_toxic", "double")
 
@@ -298,8 +299,10 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     don't count, and of repeated ids one does.  Without any labelled row every document has even odds
     and is kept.  A null, empty or blank text has even odds of junk.  Null hosts and paths are sites
     like others.  Repeated rows each count as a document and get the same figures.  A row is kept if
-    its quality is at least ``threshold``.  An empty table gives an empty result.
+    its quality is at least ``threshold``.  An empty table gives an empty result.  A table with columns
+    called like the added ones is refused with a ValueError.
     """
+    refuse_clash(docs.columns, ["_junk", "_toxic", "_site_prior", "_quality", "_keep"])
     model = train(docs, labels, id_col=id_col, text_col=text_col, limit=limit)
     clean = (1 - F.col("_junk")) * (1 - F.col("_toxic"))
     slim = evidence(docs.select(F.col(host_col).alias("host"), F.col(path_col).alias("path"), F.col(text_col).alias("text")), model).select("host", "path", clean.alias("p"))

@@ -22,6 +22,7 @@ from quillmesh.llm.common import (
     hash_spans,
     id_key,
     line_spans,
+    refuse_clash,
     shards_for,
     slices,
     text_buffer,
@@ -84,9 +85,10 @@ def remove_repeats(docs: DataFrame, *, unit: str = "words", window: int = 20, pr
 
     A null text has no units and stays null; an empty text has no words, or one empty line.  A null
     id comes before all others.  Rows of the same id and start don't count as earlier than one
-    another, so repeated rows of one id are kept alike.  Other columns are carried untouched,
-    whatever their names.  An empty table gives an empty result.
+    another, so repeated rows of one id are kept alike.  Other columns are carried untouched; those
+    called like an added one are refused with a ValueError.  An empty table gives an empty result.
     """
+    refuse_clash(keep_columns or [id_col], ["n_units", "n_removed", "kept_sha256"] + ["kept_text"] * with_text)
     total = text_bytes(docs, text_col)
     n_blocks = shards_for(total, block_bytes)
     mean_unit = 6 if unit == "words" else 200

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import U64, documents, settled, slices, text_buffer, word_spans
+from quillmesh.llm.common import U64, documents, refuse_clash, settled, slices, text_buffer, word_spans
 from quillmesh.llm.components import components
 from quillmesh.llm.gray_index import HALF, STEP, Router, lead_within, linked, turned
 
@@ -58,8 +58,13 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGL
 
 
 def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds ``fp`` (bigint, the bits of the fingerprint) to the kept columns."""
+    """Adds ``fp`` (bigint, the bits of the fingerprint) to the kept columns; a kept column fp is refused with a ValueError.
+
+    A text without words, null or empty, has fingerprint zero; repeated rows have the same; an empty
+    table gives an empty result.
+    """
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
+    refuse_clash(keep, ["fp"])
     slim = docs.select(*[F.col(c).alias(f"c{i}_") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("_text"))
 
     def run(batches):

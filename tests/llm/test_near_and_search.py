@@ -205,6 +205,34 @@ def test_classifier_finds_toxic_rows_of_each_language(spark, data):
     assert np.mean([r["_keep"] for r in rows if r.q == 1 and r.t == 0]) > 0.98
 
 
+def test_posterior_against_plain_sums(spark):
+    from quillmesh.llm.quality import posterior, site_priors
+
+    rng = random.Random(12)
+    rows = [(f"h{rng.randrange(4)}", rng.choice(["en", "de", None]), min(0.99, max(0.01, rng.gauss(0.6 + 0.1 * k % 0.3, 0.2)))) for k in range(400)]
+    found = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, host string, path string, p double")
+    got = {r.k: (r.site_prior, r.quality) for r in posterior(found, site_priors(found)).collect()}
+    hosts, paths = {}, {}
+    for h, q, p in rows:
+        hosts.setdefault(h, []).append(p)
+        paths.setdefault((h, q), []).append(p)
+    n, total, squares = len(rows), sum(p for *_, p in rows), sum(p * p for *_, p in rows)
+    mean = total / n
+    between = {name: sum(len(g) * np.mean(g) ** 2 for g in groups.values()) for name, groups in (("h", hosts), ("p", paths))}
+
+    def precision(groups, b, centre):
+        inside = (squares - b) / (n - groups)
+        spread = ((b - centre) / (groups - 1) - inside) / (n / groups)
+        return float(np.clip(mean * (1 - mean) / spread - 1, 10, 1e6)) if spread > 1e-12 else 1e6
+
+    k_host, k_path = precision(len(hosts), between["h"], n * mean**2), precision(len(paths), between["p"], between["h"])
+    logit = lambda x: np.log(x / (1 - x))
+    for k, (h, q, p) in enumerate(rows):
+        host = (k_host * mean + sum(hosts[h]) - p) / (k_host + len(hosts[h]) - 1)
+        path = (k_path * host + sum(paths[h, q]) - p) / (k_path + len(paths[h, q]) - 1)
+        assert got[k] == pytest.approx((path, 1 / (1 + np.exp(-(logit(p) - logit(mean) + logit(path))))), rel=1e-6)
+
+
 def test_classifier_edges(spark):
     ddl = "doc_id long, text string, source string, lang string, quality int"
     docs = spark.createDataFrame([(1, None, None, None, 1), (2, "", "a", "en", 2), (3, "some text", "a", "en", 3), (3, "some text", "a", "en", 3)], ddl)

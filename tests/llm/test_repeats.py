@@ -110,3 +110,23 @@ def test_symbols_agree_inside_equal_windows():
         inside = (lo >= at) & (hi <= at + 60)
         found.append({(int(n), int(a) - at, int(b) - at) for n, a, b in zip(name[inside], lo[inside], hi[inside])})
     assert found[0] == found[1] and len(found[0]) > 10
+
+
+def test_clashing_columns_are_refused(spark):
+    import pytest
+
+    from quillmesh.llm.line_dedup import line_dedup
+    from quillmesh.llm.quality import classify
+    from quillmesh.llm.simhash import fingerprints
+    from quillmesh.llm.substring_dedup import substring_dedup
+
+    docs = spark.createDataFrame([(1, "a b", "x", "en")], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for run in (
+        lambda: line_dedup(docs.withColumnRenamed("lang", "kept_text"), keep_columns=["doc_id", "kept_text"]),
+        lambda: substring_dedup(docs.withColumnRenamed("lang", "n_removed"), keep_columns=["doc_id", "n_removed"]),
+        lambda: classify(docs.withColumn("_quality", docs.doc_id), labels),
+        lambda: fingerprints(docs.withColumnRenamed("lang", "fp")),
+    ):
+        with pytest.raises(ValueError):
+            run()

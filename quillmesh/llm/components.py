@@ -28,7 +28,8 @@ def _rehung(edges: DataFrame, *, large: bool) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of an edge; root is the smallest node reachable.
 
-    ``edges`` has two columns of one ordered type; loops and repeated edges do no harm.  Each round is
+    ``edges`` has two columns of one ordered type; loops and repeated edges do no harm, edges with a null end
+    are passed over, and an empty table gives an empty result.  Each round is
     written to the checkpoint folder; two numbers a round reach the driver.
     """
     a, b = edges.columns

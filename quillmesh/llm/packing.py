@@ -3,7 +3,7 @@
 Every document is cut into full sequences and one rest.  Rests are counted by length class, at most
 a few hundred numbers whatever the corpus.  On these the driver solves the cutting-stock linear
 program: columns are patterns of classes that fill a sequence, priced by a knapsack over the duals.
-Patterns are rounded down, what is left is packed best fit, short rests are counted by the token and
+Patterns are rounded down, what is left is packed the largest first, short rests are counted by the token and
 fill the room that patterns leave and then sequences of their own, and the pieces of each class, ranked over
 the whole corpus, take the slots that the patterns hold for their class.
 """
@@ -87,7 +87,11 @@ def _best_pattern(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[flo
 
 
 def cutting_stock(sizes: list[int], demand: list[int], room: int, rounds: int = 3000) -> list[tuple[dict[int, int], int]]:
-    """Patterns ({size: count}, times) that hold exactly ``demand`` pieces of each size."""
+    """Patterns ({size: count}, times) that hold exactly ``demand`` pieces of each size.
+
+    After ``rounds`` new columns the linear program is taken as it stands: the plan still holds every piece,
+    with a little more padding.
+    """
     size, need = np.array(sizes, np.int64), np.array(demand, np.float64)
     m = len(size)
     if not m:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmesh.llm import bpe, line_dedup, packing, quality, secret_scan, sharding, simhash, substring_dedup, vector_search
+from quillmesh.llm import alignment, best_fit, bpe, hard_negatives, line_dedup, packing, quality, secret_scan, sharding, simhash, substring_dedup, vector_search
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_nearest": vector_search.nearest_query,
     "op9_sharding": sharding.query,
     "op10_quality": quality.query,
+    "op11_alignment": alignment.query,
+    "op12_hard_negatives": hard_negatives.query,
+    "op13_best_fit": best_fit.query,
 }
 ORACLES = {
     "op1_substring_dedup": substring_dedup.SQL,
     "op3_line_dedup": line_dedup.SQL,
     "op6_top_k": vector_search.TOP_K_SQL,
     "op9_sharding": sharding.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
 }

@@ -9,7 +9,6 @@ Whole slices of texts are aligned at once, since a text's end is a cut like othe
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm.bpe import OffsetTable, each_text
 from quillmesh.llm.byte_codec import byte_vocabulary, piece_vocabulary, public_path
-from quillmesh.llm.common import checkpoint_dir, documents, refuse_clash
+from quillmesh.llm.common import documents, refuse_clash, written
 
 #: pairs of ids up to which their counts are sent to every executor (some 20 bytes each); beyond, links are shuffled
 SENT_PAIRS = 2_000_000
@@ -164,13 +163,9 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_id",
     pair and shuffled to the counts.
     """
     refuse_clash([id_col], [*RESULTS, "links", "pair", "n", "best", "_row"])
-    spark = docs.sparkSession
-    folder = f"{checkpoint_dir(spark)}/alignment-{uuid.uuid4().hex}"
-    linked(docs, a_path, b_path, id_col=id_col, text_col=text_col).withColumn("_row", F.monotonically_increasing_id()).write.parquet(f"{folder}/links")
-    rows = spark.read.parquet(f"{folder}/links")
+    rows = written(linked(docs, a_path, b_path, id_col=id_col, text_col=text_col).withColumn("_row", F.monotonically_increasing_id()), "alignment-links")
     links = rows.select("_row", F.explode("links").alias("pair"))
-    pair_counts(links).write.parquet(f"{folder}/counts")
-    counts = spark.read.parquet(f"{folder}/counts")
+    counts = written(pair_counts(links), "alignment-counts")
     if counts.count() <= sent_pairs:
         scored = links.withColumn("_k", F.lit(1)).join(F.broadcast(counts), "pair")
     else:

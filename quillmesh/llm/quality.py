@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quillmesh.llm.common import U64, documents, hash_spans, refuse_clash, settled, slices, text_buffer, word_spans
+from quillmesh.llm.common import U64, documents, hash_spans, refuse_clash, settled, slices, text_buffer, word_spans, written
 
 CHUNK_BYTES = 1 << 20
 #: labelled rows that the models are trained on, the first by a hash of the id
@@ -157,11 +157,18 @@ def lexicon_figures(rows, buckets, style, lexicon, weight) -> np.ndarray:
     return np.stack([np.minimum(count, 4), top, np.minimum(np.bincount(found, weights=gain, minlength=n), 20)], axis=1)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int, id_col: str) -> DataFrame:
-    """At most ``limit`` labelled documents; the sample of labels is bounded, so it is broadcast."""
-    own = labels.select(F.col(id_col), F.col("quality"), F.col("toxic")).filter(f"{id_col} IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").dropDuplicates([id_col])
+def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, quality, toxic) of at most ``limit`` labelled ids, one row each.
+
+    Of an id's labels the lowest quality and the highest toxic count, of its rows the text that is first in
+    order, so no order of rows decides.  The sample of labels is bounded, so it is broadcast; texts that
+    repeat an id are reduced where they are read.
+    """
+    own = labels.filter(f"{id_col} IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
+    own = own.groupBy(id_col).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     own = own.orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)).limit(limit)
-    return docs.join(F.broadcast(own), id_col)
+    texts = docs.join(F.broadcast(own.select(id_col)), id_col, "left_semi").groupBy(id_col).agg(F.min(text_col).alias(text_col))
+    return texts.join(F.broadcast(own), id_col)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_LABELS) -> Model:
@@ -170,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     All rows give the lexicon.  Its weight as evidence comes from each fold's figures under the lexicon
     of the other folds, so a word that a few rows hold by chance isn't trusted for those rows' sake.
     """
-    sample = settled(labelled_sample(docs.select(id_col, F.col(text_col).cast("string").alias("_t")), labels, limit, id_col).select(id_col, "_t", "quality", "toxic"))
+    sample = settled(labelled_sample(docs.select(id_col, F.col(text_col).cast("string").alias("_t")), labels, limit, id_col, "_t").select(id_col, "_t", "quality", "toxic"))
 
     def gather(batches):
         for whole in batches:
@@ -292,11 +299,11 @@ def posterior(found: DataFrame, sites: DataFrame) -> DataFrame:
     return joined.withColumns({"site_prior": path, "quality": 1 / (1 + F.exp(-moved))}).drop("_host", "_path", "n", "s", "hn", "hs", "mean", "k_host", "k_path")
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = THRESHOLD, limit: int = MAX_LABELS) -> DataFrame:
-    """All rows and columns of ``docs``, with _junk, _toxic, _site_prior, _quality and _keep.
+def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = THRESHOLD, limit: int = MAX_LABELS, carry: list[str] | None = None) -> DataFrame:
+    """All rows and columns of ``docs`` (or the columns to ``carry``), with _junk, _toxic, _site_prior, _quality and _keep.
 
     ``labels`` holds the id, quality (1 good, 0 junk) and toxic (1 toxic); rows with a null among them
-    don't count, and of repeated ids one does.  Without any labelled row every document has even odds
+    don't count, and of an id's labels the lowest quality and the highest toxic do.  Without any labelled row every document has even odds
     and is kept.  A null, empty or blank text has even odds of junk.  Null hosts and paths are sites
     like others.  Repeated rows each count as a document and get the same figures.  A row is kept if
     its quality is at least ``threshold``.  An empty table gives an empty result.  A table with columns
@@ -305,15 +312,15 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     refuse_clash(docs.columns, ["_junk", "_toxic", "_site_prior", "_quality", "_keep"])
     model = train(docs, labels, id_col=id_col, text_col=text_col, limit=limit)
     clean = (1 - F.col("_junk")) * (1 - F.col("_toxic"))
-    slim = evidence(docs.select(F.col(host_col).alias("host"), F.col(path_col).alias("path"), F.col(text_col).alias("text")), model).select("host", "path", clean.alias("p"))
-    sites = site_priors(slim)
-    columns = docs.columns
+    columns = docs.columns if carry is None else carry
     own = docs.select(*[F.col(c).alias(f"c{i}_") for i, c in enumerate(columns)], F.col(text_col).alias("text"), F.col(host_col).alias("host"), F.col(path_col).alias("path"))
-    judged = posterior(evidence(own, model).withColumn("p", clean).drop("text"), sites)
+    # texts are scored once; what they give is read for the sites' sums and again for the rows
+    scored = written(evidence(own, model).withColumn("p", clean).drop("text"), "quality")
+    judged = posterior(scored, site_priors(scored.select("host", "path", "p")))
     return judged.select(*[F.col(f"c{i}_").alias(c) for i, c in enumerate(columns)], "_junk", "_toxic", F.col("site_prior").alias("_site_prior"), F.col("quality").alias("_quality"), (F.col("quality") >= threshold).alias("_keep"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "source", "lang")
-    out = classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=["doc_id", "source", "lang"])
     return out.select("doc_id", F.col("source").alias("host"), F.col("lang").alias("path"), F.col("_junk").alias("junk"), F.col("_toxic").alias("toxic"), F.col("_site_prior").alias("site_prior"), F.col("_quality").alias("quality"), F.col("_keep").cast("int").alias("keep"))

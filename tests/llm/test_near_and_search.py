@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from quillmesh.llm import registry, similar
 from quillmesh.llm.components import components
-from quillmesh.llm.quality import classify
+from quillmesh.llm.quality import classify, labelled_sample
 from quillmesh.llm.sharding import assign_shards, write_shards
 from quillmesh.llm.similar import similar_groups
 from quillmesh.llm.simhash import near_groups, near_links
@@ -326,3 +326,30 @@ def test_near_duplicates_stage_keeps_one_row_of_a_group(spark):
     same = corpus_pipeline.near_duplicates(spark, docs.filter("doc_id = 5 AND lang = 'a'").limit(2), "").collect()
     assert len(same) == 1
     assert len(corpus_pipeline.near_duplicates(spark, docs.filter("doc_id = 5").limit(2), "").collect()) == 1
+
+
+def test_pages_of_one_template_lose_no_link(spark):
+    """Two of a template's hundred words are changed in each text: most pairs are too different, and all share buckets."""
+    r = random.Random(1)
+    texts = []
+    for k in range(600):
+        words = [f"w{i}" for i in range(100)]
+        for p in r.sample(range(100), 2):
+            words[p] = f"x{k}_{p}"
+        texts.append(" ".join(words))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(96)} for t in texts]
+    pairs = [(b, a) for a in range(600) for b in range(a) if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))]
+    got = {x["doc_id"]: x["component_id"] for x in similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(pairs) > 400 and sum(got[a] == got[b] for a, b in pairs) >= 0.99 * len(pairs)
+    want = roots(600, pairs)
+    assert sum(got[k] != want[k] for k in range(600)) <= 6
+
+
+def test_labelled_rows_are_bounded_and_do_not_depend_on_order(spark):
+    docs = spark.createDataFrame([(7, f"text {k}") for k in range(5000)] + [(8, None), (9, "nine")], "doc_id long, t string").repartition(4)
+    rows = [(7, 1, 0), (7, 0, 1), (8, 1, 0), (9, 1, 1), (9, None, 0), (None, 1, 0), (10, 1, 0)]
+    for labels in (rows, rows[::-1]):
+        frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1)
+        found = sorted(map(tuple, labelled_sample(docs, frame, 10, "doc_id", "t").select("doc_id", "t", "quality", "toxic").collect()))
+        assert found == [(7, "text 0", 0, 1), (8, None, 1, 0), (9, "nine", 1, 1)]
+    assert labelled_sample(docs, frame, 2, "doc_id", "t").count() <= 2

@@ -6,6 +6,8 @@ that the tables don't show, have their known results as SQL values.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,13 +22,19 @@ from quillmesh.operators import discovery as N
 from quillmesh.operators import graph as K
 from quillmesh.operators import linking as L
 from quillmesh.operators import markers as I
+from quillmesh.operators.asof import asof_join, snapshots_as_of
+from quillmesh.operators.chains import ends
+from quillmesh.operators.containment import contained
 from quillmesh.operators.markdown_blocks import markdown_blocks
 from quillmesh.operators.metadata import metadata, record
 from quillmesh.operators.sections import flattened, section_tree
+from quillmesh.operators.settling import shared_folder
 from quillmesh.plans.options import GraphOptions, ReadOptions, cache_key, request_headers, resolve_agent
 from quillmesh.plans.graph import build_graph
 from quillmesh.plans.read import read_pages
+from quillmesh.plans.store import SnapshotStore
 from quillmesh.sources.pages import exploded, jsonld_nodes, load_pages, page_blocks, page_facts, parse_pages, reconstructed, with_fetch_columns
+from quillmesh.streaming.snapshots import block_changes, with_state_store
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -342,6 +350,103 @@ def diff_unified(spark, sf_dir):
     return D.unified(D.changes(*_word_sides(spark, sf_dir)))
 
 
+# -- histories: as-of joins, stored and streamed snapshots, chains, containment -----------------------
+@query("SELECT a.event_id, b.event_id AS previous_id, b.value AS previous_value FROM events AS a ASOF LEFT JOIN (SELECT user_id, event_type, ts, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY ALL) AS b ON a.user_id = b.user_id AND a.event_type = b.event_type AND a.ts > b.ts")
+def asof_previous_event(spark, sf_dir):
+    """For each event the latest earlier one of its user and type."""
+    e = _table(spark, sf_dir, "events")
+    out = asof_join(e, e, ["user_id", "event_type"], "ts", "ts", {"event_id": "previous_id", "value": "previous_value"}, strict=True, tie="event_id")
+    return out.select("event_id", "previous_id", "previous_value")
+
+
+@query("SELECT a.event_id, CASE WHEN b.ts >= a.ts - INTERVAL 2 DAYS THEN b.event_id END AS purchase_id FROM events AS a ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY ALL) AS b ON a.user_id = b.user_id AND a.ts >= b.ts")
+def asof_recent_purchase(spark, sf_dir):
+    """For each event its user's latest purchase up to then, if not over two days old."""
+    e = _table(spark, sf_dir, "events")
+    return asof_join(e, e.filter("event_type = 'purchase'"), ["user_id"], "ts", "ts", {"event_id": "purchase_id"}, tie="event_id", within="2 DAYS").select("event_id", "purchase_id")
+
+
+@query("WITH s AS (SELECT CAST(conv_id AS VARCHAR) AS url, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * turn AS t, left(sha256(text), 32) AS h FROM conversations), q AS (SELECT CAST(user_id AS VARCHAR) AS url, event_id, ts FROM events) SELECT q.event_id, CASE WHEN s.t >= q.ts - INTERVAL 3 DAYS THEN s.h END AS content_hash FROM q ASOF LEFT JOIN s ON q.url = s.url AND q.ts >= s.t")
+def snapshot_as_of_event(spark, sf_dir):
+    """Turns of conversations as daily snapshots that live three days; each event asks for its user's live one."""
+    turns = _table(spark, sf_dir, "conversations")
+    taken = F.timestamp_add("DAY", F.col("turn"), F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    history = turns.select(F.col("conv_id").cast("string").alias("url"), taken.alias("fetched_at"), content_hash(F.col("text")).alias("content_hash"))
+    asked = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("url"), F.col("ts").alias("at"), "event_id")
+    return snapshots_as_of(asked, history, days=3).select("event_id", "content_hash")
+
+
+@query("SELECT item_id, doc_id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text) WHERE benchmark.text <> ''")
+def benchmark_in_documents(spark, sf_dir):
+    """Benchmark texts that documents hold whole."""
+    return contained(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"), needle_id="item_id", needle="text", text_id="doc_id", text="text")
+
+
+@query(f"SELECT item_id, doc_id, ord FROM benchmark JOIN {_LINES} ON contains(line, benchmark.text) WHERE benchmark.text <> ''")
+def benchmark_in_lines(spark, sf_dir):
+    """Benchmark texts that single lines hold."""
+    lines = _lines(spark, sf_dir).select(F.struct("doc_id", F.col("ord").cast("long").alias("ord")).alias("place"), "line")
+    return contained(_table(spark, sf_dir, "benchmark"), lines, needle_id="item_id", needle="text", text_id="place", text="line").select("item_id", "place.doc_id", "place.ord")
+
+
+@query("SELECT lang, page_id FROM (SELECT DISTINCT lang FROM documents) JOIN pages ON contains(url, lang)")
+def langs_in_urls(spark, sf_dir):
+    """Short needles, found by their letters: language codes in addresses."""
+    langs = _table(spark, sf_dir, "documents").select("lang", F.col("lang").alias("said")).distinct()
+    return contained(langs, _table(spark, sf_dir, "pages"), needle_id="lang", needle="said", text_id="page_id", text="url")
+
+
+_NEXT = f"m AS (SELECT url AS u, lead(url) OVER (PARTITION BY {_ORIGIN} ORDER BY page_id) AS v FROM (SELECT url, min(page_id) AS page_id FROM pages GROUP BY url))"
+
+
+def _next_pages(spark, sf_dir):
+    """Each page leads to the next one of its site."""
+    pages = _table(spark, sf_dir, "pages").groupBy("url").agg(F.min("page_id").alias("page_id"))
+    order = Window.partitionBy(F.regexp_extract("url", "^https?://[^/?#]+", 0)).orderBy("page_id")
+    return pages.select(F.col("url").alias("u"), F.lead("url").over(order).alias("to"))
+
+
+@query(f"WITH RECURSIVE {_NEXT}, r AS (SELECT u, u AS p, CAST(0 AS BIGINT) AS hops FROM m UNION ALL SELECT r.u, m.v, hops + 1 FROM r JOIN m ON m.u = r.p AND m.v IS NOT NULL) SELECT u AS url, arg_max(p, hops) AS last_url, max(hops) AS hops FROM r GROUP BY u")
+def site_chain_ends(spark, sf_dir):
+    """The last page of each page's site and how many pages on it is, by pointer doubling."""
+    return ends(_next_pages(spark, sf_dir)).select(F.col("u").alias("url"), F.col("end").alias("last_url"), "hops")
+
+
+@query(f"WITH RECURSIVE {_NEXT}, r AS (SELECT u, u AS p, 0 AS hops, CAST([] AS VARCHAR[]) AS redirects FROM m UNION ALL SELECT r.u, m.v, hops + 1, list_append(redirects, r.p) FROM r JOIN m ON m.u = r.p AND m.v IS NOT NULL WHERE hops < 10) SELECT u AS url, arg_max(p, hops) AS final_url, CASE WHEN max(hops) = 10 THEN 502 ELSE 200 END AS status, array_to_string(arg_max(redirects, hops), ' ') AS redirects, CASE WHEN max(hops) = 10 THEN 'too many redirects' END AS error FROM r GROUP BY u")
+def site_redirects(spark, sf_dir):
+    """Pages that redirect to the next one of their site; ten hops are an error."""
+    table = _next_pages(spark, sf_dir).select(F.col("u").alias("url"), F.when(F.col("to").isNull(), 200).otherwise(302).alias("status"), F.col("to").alias("location"))
+    return N.chase_redirects(table.select("url"), table).select("url", "final_url", "status", F.array_join("redirects", " ").alias("redirects"), "error")
+
+
+@query(ORACLES["snapshot_upsert"])
+def snapshot_store_update(spark, sf_dir):
+    """Each user's last even event stored, then the last odd one: only buckets of new urls are written again."""
+    e = _table(spark, sf_dir, "events")
+    store = SnapshotStore(spark, f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}", buckets=16)
+    for odd in (0, 1):
+        rows = e.filter(F.col("event_id") % 2 == odd).groupBy(F.col("user_id").cast("string").alias("url")).agg(F.max_by(F.struct(F.col("ts").alias("fetched_at"), F.col("event_id").cast("string").alias("content_hash")), F.struct("ts", "event_id")).alias("x"))
+        store.upsert(rows.select("url", "x.*"))
+    return store.table()
+
+
+@query("""WITH w AS (SELECT conv_id, turn, min(turn) OVER (PARTITION BY conv_id) AS first, unnest(string_split(text, ' ')) AS word FROM conversations), d AS (SELECT DISTINCT conv_id, turn, word FROM w),
+t AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM (SELECT DISTINCT conv_id, turn FROM conversations)),
+j AS (SELECT t.conv_id, t.turn, d.word, 1 AS now, 0 AS was FROM t JOIN d ON d.conv_id = t.conv_id AND d.turn = t.turn UNION ALL SELECT t.conv_id, t.turn, d.word, 0, 1 FROM t JOIN d ON d.conv_id = t.conv_id AND d.turn = t.before),
+s AS (SELECT conv_id, turn, word, max(now) AS now, max(was) AS was FROM j GROUP BY ALL)
+SELECT CAST(conv_id AS VARCHAR) AS url, turn, count(*) FILTER (WHERE was = 0) AS added, count(*) FILTER (WHERE now = 0) AS removed, count(*) FILTER (WHERE now = 1 AND was = 1) AS unchanged FROM s GROUP BY conv_id, turn""")
+def stream_word_changes(spark, sf_dir):
+    """Conversations as a stream of fetches, a word as a block: what each turn adds, drops and keeps of the turn before."""
+    source = _table(spark, sf_dir, "conversations")
+    turns = with_state_store(spark).readStream.schema(source.schema).parquet(f"{sf_dir}/conversations.parque[t]")  # a pattern, as streams don't read single files
+    words = turns.select(F.col("conv_id").cast("string").alias("url"), F.timestamp_add("DAY", F.col("turn"), F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("fetched_at"), F.posexplode(F.split("text", " ", -1)).alias("ord", "content"))
+    blocks = words.select("url", "fetched_at", F.col("ord").cast("long").alias("ord"), F.col("content").alias("key"), "content", F.lit(None).cast("string").alias("classification"))
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    block_changes(blocks).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    counts = [F.count_if(F.col("change") == k).alias(k) for k in ("added", "removed", "unchanged")]
+    return spark.read.parquet(f"{folder}/out").groupBy("url", F.datediff("fetched_at", F.lit("2024-01-01")).cast("long").alias("turn")).agg(*counts)
+
+
 # -- fixtures ----------------------------------------------------------------------------------------
 def _values(spark: SparkSession, rows: str, names: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t({names})")

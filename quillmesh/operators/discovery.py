@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions.text import trimmed
 from quillmesh.functions.urls import resolve_or_null, url_origin
+from quillmesh.operators.chains import paths
 
 # Where sitemaps usually are.
 SITEMAP_PATHS = ("/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/sitemap/sitemap.xml", "/wp-sitemap.xml", "/sitemap.txt")
@@ -109,22 +110,20 @@ def expand_indexes(best: DataFrame, resources: DataFrame, most: int = MOST_CHILD
 
 
 def chase_redirects(requests: DataFrame, resources: DataFrame, most: int = MOST_REDIRECTS) -> DataFrame:
-    """(url, final_url, status, redirects, error): every request followed hop by hop.
+    """(url, final_url, status, redirects, error): every request followed to its end.
 
     ``most`` recorded hops are an error, even if the last one landed.  An address that isn't in the
-    table is a failed fetch (502).  Where a redirect leads is worked out once for each address; a hop is
-    a lookup in that table, broadcast if it is short, in which requests that landed find nothing.
+    table is a failed fetch (502).  Where a redirect leads is worked out once for each address, and whole
+    paths by doubling, so requests are joined once, however far they are sent.
     """
     known = one_each(resources, "url", "status", "location")
     moves = known.filter(F.col("status").isin(*REDIRECTS) & (F.coalesce("location", F.lit("")) != ""))
     moves = moves.select(F.col("url").alias("_u"), F.coalesce(resolve_or_null(F.col("location"), F.col("url")), "location").alias("_to"))
-    moves = F.broadcast(moves) if moves.count() <= BROADCAST_ROWS else moves
-    state = requests.select("url", F.col("url").alias("at"), F.array().cast("array<string>").alias("redirects"), F.lit(True).alias("open"))
-    for _ in range(most):
-        ask = F.when(F.col("open"), F.col("at")).otherwise(F.concat(F.lit("\n"), "url"))
-        hop = state.join(moves, ask == F.col("_u"), "left")
-        moved = F.col("_u").isNotNull()
-        state = hop.select("url", F.coalesce("_to", "at").alias("at"), F.when(moved, F.array_append("redirects", F.col("at"))).otherwise(F.col("redirects")).alias("redirects"), moved.alias("open"))
+    led = paths(moves.select(F.col("_u").alias("u"), F.col("_to").alias("to")), most)
+    state = looked_up(requests.select("url"), F.col("url"), led.withColumnRenamed("u", "_u"), "_u").withColumn("path", F.coalesce("path", F.array().cast("array<string>")))
+    hops = F.size("path")
+    asked = F.slice(F.concat(F.array("url"), "path"), F.lit(1), hops)
+    state = state.select("url", F.coalesce(F.try_element_at("path", F.lit(-1)), "url").alias("at"), asked.alias("redirects"), (hops >= most).alias("open"))
     ends = state.join(known.select(F.col("url").alias("_u"), F.col("status").alias("_s")), F.col("at") == F.col("_u"), "left")
     error = F.when(F.col("open"), "too many redirects").when(F.col("_s").isNull(), "fetch failed")
     return ends.select("url", F.col("at").alias("final_url"), F.when(error.isNull(), F.col("_s")).otherwise(502).alias("status"), "redirects", error.alias("error"))

@@ -26,14 +26,18 @@ def fetch_hashes(pages: DataFrame, fetched_at=None) -> DataFrame:
     return pages.select("url", content_hash(text_content(F.col("html"))).alias("content_hash"), at.alias("fetched_at"))
 
 
-def change_stream(fetches: DataFrame, days: int = SNAPSHOT_DAYS) -> DataFrame:
+def change_stream(fetches: DataFrame, days: int = SNAPSHOT_DAYS, late: str = "1 hour") -> DataFrame:
     """added, changed or unchanged for every fetch, by the last hash kept for its url.
 
-    A hash older than ``days`` at the next fetch has expired: the page counts as added again.
+    A hash older than ``days`` at the next fetch has expired: the page counts as added again.  When the
+    watermark, ``late`` behind the latest fetch, passes that age, the hash is removed from the state.
     """
     kept_for = pd.Timedelta(days=days)
 
     def step(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         last, when = state.get if state.exists else (None, None)
         rows = pd.concat(list(batches)).sort_values("fetched_at", kind="stable")
         out = []
@@ -41,7 +45,12 @@ def change_stream(fetches: DataFrame, days: int = SNAPSHOT_DAYS) -> DataFrame:
             known = last is not None and pd.Timestamp(at) - pd.Timestamp(when) <= kept_for
             out.append((key[0], at, "added" if not known else "unchanged" if last == h else "changed", h))
             last, when = h, at
-        state.update((last, pd.Timestamp(when).to_pydatetime()))
+        expires = int((pd.Timestamp(when) + kept_for).value // 1_000_000)
+        if expires > state.getCurrentWatermarkMs():
+            state.update((last, pd.Timestamp(when).to_pydatetime()))
+            state.setTimeoutTimestamp(expires)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["url", "fetched_at", "change", "content_hash"])
 
-    return fetches.groupBy("url").applyInPandasWithState(step, _OUT, _STATE, "append", "NoTimeout")
+    return fetches.withWatermark("fetched_at", late).groupBy("url").applyInPandasWithState(step, _OUT, _STATE, "append", "EventTimeTimeout")

@@ -112,23 +112,58 @@ def linked_node(n: Column, i: Column) -> Column:
     return _node(2, i, F.coalesce(n["id"], F.concat(F.lit("_:anon"), i.cast("string"))), F.try_element_at(n["types"], F.lit(1)), pairs)
 
 
-def sections_of(blocks: Column) -> Column:
-    """array(ord, level, heading, parent, place) of a page's sections; ``parent`` is the nearest earlier heading of a smaller level.
-
-    Blocks before any heading make one section without a heading, of level 0 and ord -1.  ``place``
-    counts earlier sections of the same parent.
-    """
-    tops = F.filter(blocks, lambda b: b["depth"] == 0)
-    heads = F.transform(F.filter(tops, lambda b: b["type"] == "heading"), lambda b: F.struct(b["ord"].alias("ord"), b["level"].alias("level"), b["text"].alias("heading")))
-    loose = F.exists(tops, lambda b: (b["type"] != "heading") & (b["section_ord"] == -1))
-    first = F.struct(F.lit(-1).alias("ord"), F.lit(0).alias("level"), F.lit(None).cast("string").alias("heading"))
-    every = F.when(loose, F.concat(F.array(first), heads)).otherwise(heads)
-    above = lambda s: F.when(s["level"] > 0, F.try_element_at(F.filter(heads, lambda h: (h["ord"] < s["ord"]) & (h["level"] < s["level"])), F.lit(-1))["ord"])
-    return F.transform(every, lambda s: F.struct(s["ord"].alias("ord"), s["level"].alias("level"), s["heading"].alias("heading"), above(s).alias("parent")))
+def with_sections(rows: DataFrame) -> DataFrame:
+    """Adds ``sections``, an array of (ord, level, heading, above, place, at, until, last) of each page's sections in order.
 
+    ``rows`` hold ``tops``, the blocks outside groups.  A section's parent is the nearest earlier heading of a
+    smaller level: ``above`` is its index in the array, null without one, and ``place`` counts earlier sections of
+    the same parent.  Its own blocks are those of ``tops`` from index ``at`` to before ``until``, the sections
+    below it those up to index ``last``.  Blocks before any heading make one section without a heading, of level
+    0 and ord -1.
 
-def graph_pairs(rows: DataFrame) -> DataFrame:
-    """(page_id, node_ord, id, prop, prop_ord, value): all nodes of each page before merging.
+    One fold keeps the open headings, at most one a level, as a stack; a second one from the end keeps where each
+    level was met last.  So a page of many headings takes time in proportion to them.
+    """
+    said = lambda b, i: F.struct(b["ord"].alias("ord"), b["level"].alias("level"), b["text"].alias("heading"), (b["type"] == "heading").alias("head"), i.alias("i"))
+    rows = rows.withColumn("_heads", F.filter(F.transform("tops", said), lambda x: x["head"]))
+    loose = F.coalesce(F.try_element_at("_heads", F.lit(1))["i"], F.size("tops")) > 0
+    first = F.struct(F.lit(-1).alias("ord"), F.lit(0).alias("level"), F.lit(None).cast("string").alias("heading"), F.lit(True).alias("head"), F.lit(-1).alias("i"))
+    rows = rows.withColumn("_heads", F.when(loose, F.concat(F.array(first), "_heads")).otherwise(F.col("_heads")))
+    open_ = "array<struct<k:int,level:int,n:int>>"
+    start = F.struct(F.array().cast(open_).alias("stack"), F.lit(0).alias("roots"), F.array().cast("array<struct<above:int,place:int>>").alias("out"))
+
+    def step(state, x):
+        # headings that the new one does not close, and with the last of them counting one section more
+        stay = F.filter(state["stack"], lambda y: (y["level"] < x["level"]) & (x["level"] > 0))
+        top = F.try_element_at(stay, F.lit(-1))
+        counted = F.transform(stay, lambda y: F.struct(y["k"].alias("k"), y["level"].alias("level"), F.when(y["k"] == top["k"], y["n"] + 1).otherwise(y["n"]).alias("n")))
+        own = F.struct(F.size(state["out"]).alias("k"), x["level"].alias("level"), F.lit(0).alias("n"))
+        pushed = F.when(x["level"] > 0, F.array_append(counted, own)).otherwise(counted)
+        placed = F.struct(top["k"].alias("above"), F.coalesce(top["n"], state["roots"]).alias("place"))
+        return F.struct(pushed.alias("stack"), (state["roots"] + top["k"].isNull().cast("int")).alias("roots"), F.array_append(state["out"], placed).alias("out"))
+
+    size = F.size("_heads")
+    none = F.struct(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda _: size).alias("next"), F.array().cast("array<int>").alias("out"))
+
+    def back(state, x):
+        k = size - 1 - F.size(state["out"])
+        last = F.array_min(F.slice(state["next"], F.lit(1), x["level"] + 1))
+        return F.struct(F.transform(state["next"], lambda y, i: F.when(i == x["level"], k).otherwise(y)).alias("next"), F.array_append(state["out"], last).alias("out"))
+
+    rows = rows.withColumns({
+        "_up": F.aggregate("_heads", start, step, lambda state: state["out"]),
+        "_down": F.reverse(F.aggregate(F.reverse("_heads"), none, back, lambda state: state["out"])),
+    })
+    rows = rows.withColumn("_zip", F.arrays_zip("_heads", "_up", "_down"))
+    until = lambda i: F.coalesce(F.try_element_at("_heads", i + 2)["i"], F.size("tops"))
+    section = lambda z, i: F.struct(*[z["_heads"][c].alias(c) for c in ("ord", "level", "heading")], z["_up"]["above"].alias("above"), z["_up"]["place"].alias("place"), (z["_heads"]["i"] + 1).alias("at"), until(i).alias("until"), F.when(z["_heads"]["level"] > 0, z["_down"]).otherwise(i + 1).alias("last"))
+    return rows.withColumn("sections", F.when(F.size("_heads") == 0, F.array().cast("array<struct<ord:int,level:int,heading:string,above:int,place:int,at:int,until:int,last:int>>")).otherwise(F.transform("_zip", section))).drop("_up", "_down", "_zip", "_heads")
+
+
+def graph_pairs(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(page_id, node_ord, id, prop, prop_ord, value, and the kept columns): all nodes of each page before merging.
+
+    A page without blocks, as one that can't be parsed, has one row without an id.
 
     ``rows`` are metadata rows that carry a page's blocks (with classification, if any) and linked data,
     so a page's nodes are built in its own row.  Order: the page, its sections and blocks, linked data,
@@ -139,20 +174,22 @@ def graph_pairs(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("base", document_base(F.coalesce("final_url", "url")))
     if "classification" not in rows.schema["blocks"].dataType.elementType.names:
         rows = rows.withColumn("blocks", F.transform("blocks", lambda b: b.withField("classification", F.lit(None).cast("string"))))
-    tops = F.filter("blocks", lambda b: (b["depth"] == 0) & (b["type"] != "heading"))
-    rows = rows.withColumn("tops", F.transform(tops, lambda b: b.withField("said", block_text(lambda c: b[c])))).withColumn("sections", sections_of(F.col("blocks")))
+    rows = rows.withColumn("tops", F.transform(F.filter("blocks", lambda b: b["depth"] == 0), lambda b: b.withField("said", block_text(lambda c: b[c]))))
+    rows = with_sections(rows)
     own = lambda b: F.coalesce(b["classification"], b["type"])
-    rows = rows.withColumn("nodes", F.transform("tops", lambda b: block_node(b, F.concat_ws(":", own(b), fnv1a_expr(b["said"])), base)))
-    place = lambda s: F.size(F.filter("sections", lambda x: x["parent"].eqNullSafe(s["parent"]) & (x["ord"] < s["ord"])))
+    rows = rows.withColumn("nodes", F.transform("tops", lambda b: F.when(b["type"] != "heading", block_node(b, F.concat_ws(":", own(b), fnv1a_expr(b["said"])), base))))
     label = lambda s: F.when(F.coalesce(s["heading"], F.lit("")) != "", fnv1a_expr(s["heading"])).otherwise("preamble")
-    sid = lambda s: F.concat(base, F.lit("#section-l"), s["level"].cast("string"), F.lit("-"), label(s), F.lit("-"), place(s).cast("string"))
-    rows = rows.withColumn("sections", F.transform("sections", lambda s: s.withField("sid", sid(s))))
-    held = lambda s: F.concat(F.transform(F.filter(F.arrays_zip("tops", "nodes"), lambda x: x["tops"]["section_ord"] == s["ord"]), lambda x: x["nodes"]["id"]), F.transform(F.filter("sections", lambda x: x["parent"] == s["ord"]), lambda x: x["sid"]))
-    above = lambda s: F.coalesce(F.try_element_at(F.filter("sections", lambda x: x["ord"] == s["parent"]), F.lit(1))["sid"], F.concat(base, F.lit("#webpage")))
+    sid = lambda s: F.concat(base, F.lit("#section-l"), s["level"].cast("string"), F.lit("-"), label(s), F.lit("-"), s["place"].cast("string"))
+    rows = rows.withColumn("sids", F.transform("sections", sid)).withColumn("ids", F.transform("nodes", lambda n: n["id"]))
+    # a section's blocks stand together, and the sections below it do
+    below = lambda i, s: F.filter(F.slice("_both", i + 2, s["last"] - i - 1), lambda x: x["sections"]["above"] == i)
+    held = lambda i, s: F.concat(F.slice("ids", s["at"] + 1, s["until"] - s["at"]), F.transform(below(i, s), lambda x: x["sids"]))
+    above = lambda s: F.coalesce(F.try_element_at("sids", s["above"] + 1), F.concat(base, F.lit("#webpage")))
     title = lambda s: quoted(F.nullif(s["heading"], F.lit("")))
-    section = lambda s: _node(1, s["ord"], s["sid"], F.lit("WebPageElement"), _pairs(isPartOf=_ref(above(s)), name=title(s), headline=title(s), position=F.when(s["level"] > 0, s["level"].cast("string")), hasPart=_refs(held(s))))
+    section = lambda s, i: _node(1, s["ord"], F.element_at("sids", i + 1), F.lit("WebPageElement"), _pairs(isPartOf=_ref(above(s)), name=title(s), headline=title(s), position=F.when(s["level"] > 0, s["level"].cast("string")), hasPart=_refs(F.element_at("held", i + 1))))
+    rows = rows.withColumn("_both", F.arrays_zip("sections", "sids")).withColumn("held", F.transform("sections", lambda s, i: held(i, s)))
     person = F.when(F.col("author").isNotNull(), F.concat(base, F.lit("#person-"), fnv1a_expr(F.col("author"))))
-    rows = rows.withColumns({"person": person, "main": main_id(F.col("linked")), "first": F.transform(F.filter("sections", lambda s: s["parent"].isNull()), lambda s: s["sid"])})
+    rows = rows.withColumns({"person": person, "main": main_id(F.col("linked")), "first": F.transform(F.filter("_both", lambda x: x["sections"]["above"].isNull()), lambda x: x["sids"])})
     w_pairs = _pairs(
         url=quoted(F.col("final_url")), name=quoted(F.col("title")), description=quoted(F.col("description")), inLanguage=quoted(F.col("lang")), datePublished=quoted(F.col("published_time")), dateModified=quoted(F.col("modified_time")),
         image=quoted(F.col("image")), isBasedOn=quoted(F.col("canonical")), publisher=F.concat(F.lit('{"@type":"Organization","name":'), quoted(F.col("site_name")), F.lit("}")), author=_ref(F.col("person")), mainEntity=_ref(F.col("main")), hasPart=F.when(F.size(F.coalesce("first", none)) > 0, _refs(F.col("first"))),
@@ -160,11 +197,12 @@ def graph_pairs(rows: DataFrame) -> DataFrame:
     web = F.array(_node(0, F.lit(0), F.concat(base, F.lit("#webpage")), F.lit("WebPage"), w_pairs))
     author = F.filter(F.array(_node(3, F.lit(0), F.col("person"), F.lit("Person"), _pairs(name=quoted(F.col("author"))))), lambda n: n["id"].isNotNull())
     # sections stand before the blocks they hold
-    content = F.array_sort(F.concat(F.transform("sections", section), F.col("nodes")), lambda x, y: F.when(x["o"] < y["o"], -1).when(x["o"] > y["o"], 1).otherwise(0))
+    content = F.array_sort(F.concat(F.transform("sections", section), F.filter("nodes", lambda n: n["id"].isNotNull())), lambda x, y: F.when(x["o"] < y["o"], -1).when(x["o"] > y["o"], 1).otherwise(0))
     every = F.concat(web, content, F.transform("linked", linked_node), author)
-    flat = rows.select("page_id", F.posexplode(every).alias("node_ord", "n"))
+    flat = rows.select("page_id", *keep, F.posexplode_outer(every).alias("node_ord", "n"))
     typed = F.concat(F.array(F.struct(F.lit("@type").alias("prop"), quoted(F.col("n.type")).alias("value"))), F.col("n.pairs"))
-    return flat.select("page_id", "node_ord", F.col("n.id").alias("id"), F.posexplode(typed).alias("prop_ord", "p")).select("page_id", "node_ord", "id", "prop_ord", "p.prop", "p.value").filter("value IS NOT NULL")
+    pairs = flat.select("page_id", "node_ord", F.col("n.id").alias("id"), *keep, F.posexplode_outer(typed).alias("prop_ord", "p"))
+    return pairs.select("page_id", "node_ord", "id", "prop_ord", "p.prop", "p.value", *keep).filter("value IS NOT NULL OR id IS NULL")
 
 
 def merge_nodes(pairs: DataFrame) -> DataFrame:

@@ -67,6 +67,14 @@ def frameworks(html: Column) -> Column:
     return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in rules]))
 
 
+def spread_jsonld(texts: Column) -> Column:
+    """The objects of linked data scripts as JSON texts: what isn't JSON is passed over, an array gives its elements."""
+    good = F.filter(texts, lambda j: F.try_parse_json(j).isNotNull())
+    whole = lambda j: F.when(F.ltrim(j).startswith("["), j).otherwise(F.concat(F.lit("["), j, F.lit("]")))
+    each = F.transform(good, lambda j: F.from_json(whole(j), "array<string>", {"allowSingleQuotes": "false"}))
+    return F.filter(F.flatten(F.filter(each, lambda x: x.isNotNull())), lambda x: x.startswith("{") | x.startswith("["))
+
+
 def metadata(facts: DataFrame, *keep: str) -> DataFrame:
     """One row of metadata for each row of facts, which carry the page's HTML; absent values are null.
 
@@ -88,7 +96,7 @@ def metadata(facts: DataFrame, *keep: str) -> DataFrame:
         "favicon": F.coalesce(*[resolve_url(link(r), base) for r in ("icon", "shortcut icon", "apple-touch-icon")], resolve_url(F.lit("/favicon.ico"), base)),
         "type": meta("og:type"), "locale": meta("og:locale"),
         "sitemap": F.coalesce(resolve_url(link("sitemap"), base), resolve_or_null(F.lit("/sitemap.xml"), base)), "robots": resolve_or_null(F.lit("/robots.txt"), base),
-        "frameworks": nonempty(frameworks(F.col("html"))), "og": nonempty(prefixed("og:")), "twitter": nonempty(prefixed("twitter:", by_name=True)), "jsonld": nonempty(F.col("jsonld")),
+        "frameworks": nonempty(frameworks(F.col("html"))), "og": nonempty(prefixed("og:")), "twitter": nonempty(prefixed("twitter:", by_name=True)), "jsonld": nonempty(spread_jsonld(F.col("jsonld"))),
     }
     if site is not None:
         of_site = {"title": F.coalesce(F.col("recovered_title"), F.nullif(F.regexp_extract("html", "<title>([^<]+)</title>", 1), F.lit(""))), "frameworks": F.array("site_kind")}

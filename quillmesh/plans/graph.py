@@ -8,41 +8,45 @@ from pyspark.sql import functions as F
 from quillmesh.operators import classify as C
 from quillmesh.operators import graph as K
 from quillmesh.operators import linking as L
+from quillmesh.operators.settling import settled
 from quillmesh.plans.options import GraphOptions, ReadOptions
 from quillmesh.plans.read import _others, content_rows, described
-from quillmesh.sources.pages import ParseOptions, with_fetch_columns
+from quillmesh.sources.pages import ParseOptions, is_html, with_fetch_columns
 
 #: places of properties and nodes that linking adds, after all others
 _LATER, _LAST = 1 << 20, 1 << 30
 
 
 def build_graph(pages: DataFrame, options: GraphOptions = GraphOptions(), kb_labels: DataFrame | None = None, kb_entities: DataFrame | None = None, resources: DataFrame | None = None, rendered: DataFrame | None = None) -> DataFrame:
-    """(page_id, n_nodes, document, n_linked) for every HTML page, as JSON-LD.
+    """(page_id, n_nodes, document, n_linked, engine, error) for every HTML page, as JSON-LD.
 
     Nodes are merged by id, linked to the knowledge base, joined by the linked entities, and merged
     again.  Rows that are equal in page_id, url and HTML are one page; a null page_id is one like others.
+    A page that can't be parsed has its error and no document.  Pages are parsed once: their nodes, slim rows, are
+    settled, and all that linking asks of them is read from these.
     """
     page = F.struct("page_id", F.md5(F.concat_ws("\n", "url", F.coalesce("html", F.lit("")))).alias("h"))
     keyed = with_fetch_columns(pages).withColumn("page_id", page)
-    rows = described(content_rows(keyed, ParseOptions(options.selector), ("facts", "linked", "blocks"), resources, rendered), "blocks", "linked")
+    rows = described(content_rows(keyed, ParseOptions(options.selector), ("facts", "linked", "blocks"), resources, rendered), "blocks", "linked", "error")
     if options.classify:
         rows = rows.withColumn("hints", C.linked_hints(F.col("linked"))).withColumn("blocks", C.classified(F.col("blocks"), F.col("hints"), F.col("author"), F.col("published_time")))
-    merged = K.merge_nodes(K.graph_pairs(rows.filter("blocks IS NOT NULL")))
+    pairs = settled(K.graph_pairs(rows, ("engine", "error")))
+    told = pairs.groupBy("page_id").agg(F.max("engine").alias("engine"), F.max("error").alias("error"))
+    merged = K.merge_nodes(pairs.filter("id IS NOT NULL"))
     links = None
     if options.link_entities and kb_labels is not None and options.limit:
+        merged = settled(merged)
         nodes = node_rows(merged)
         links = L.resolve(L.candidates(nodes, options.limit), kb_labels)
         merged = with_links(merged, nodes, links)
         if options.claims and kb_entities is not None:
             merged = merged.unionByName(entity_pairs(merged, links, kb_entities, options.lang or "en"))
         merged = K.merge_nodes(merged)
-    out = K.graph_documents(merged)
-    if links is None:
-        counted = out.withColumn("n_linked", F.lit(0).cast("long"))
-    else:
-        counts = links.groupBy("page_id").agg(F.count("*").alias("n_linked"))
-        counted = out.join(counts, "page_id", "left").withColumn("n_linked", F.coalesce("n_linked", F.lit(0).cast("long")))
-    return counted.withColumn("page_id", F.col("page_id.page_id"))
+    out = told.join(K.graph_documents(merged), "page_id", "left")
+    if links is not None:
+        out = out.join(links.groupBy("page_id").agg(F.count("*").alias("n_linked")), "page_id", "left")
+    counts = [F.coalesce(F.col(c) if c in out.columns else F.lit(None), F.lit(0).cast("long")).alias(c) for c in ("n_nodes", "n_linked")]
+    return out.select(F.col("page_id.page_id").alias("page_id"), counts[0], "document", counts[1], "engine", "error")
 
 
 def graph_bodies(pages: DataFrame, options: ReadOptions, resources: DataFrame | None = None, rendered: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -51,8 +55,9 @@ def graph_bodies(pages: DataFrame, options: ReadOptions, resources: DataFrame |
     key = lambda: F.md5(F.concat_ws("\n", "url", F.coalesce("html", F.lit(""))))
     graph = build_graph(given.withColumn("page_id", key()), GraphOptions(link_entities=False, selector=options.selector, classify=options.classify or bool(options.marker)), resources=resources, rendered=rendered)
     html = given.withColumn("_k", key())
-    bodies = graph.select(F.col("page_id").alias("_k"), F.col("document").alias("body"))
-    done = html.join(bodies, "_k").select("page_id", "final_url", "status", "redirects", F.lit("dom").alias("engine"), F.lit("graph").alias("format"), "body", F.lit(None).cast("string").alias("error"), *keep)
+    bodies = graph.select(F.col("page_id").alias("_k"), F.col("document").alias("body"), F.col("engine").alias("_engine"), F.col("error").alias("_error"))
+    html = html.filter(is_html(F.col("content_type")))
+    done = html.join(bodies, "_k", "left").select("page_id", "final_url", "status", "redirects", F.col("_engine").alias("engine"), F.lit("graph").alias("format"), "body", F.col("_error").alias("error"), *keep)
     return done.unionByName(_others(given, "graph", keep))
 
 

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillmesh.functions.hashing import fnv1a_text
 from quillmesh.functions.urls import canonical, normalized, resolve
@@ -11,12 +12,13 @@ from quillmesh.plans.crawl import parse_robots, parse_sitemaps
 from quillmesh.plans.cache import cached_reads, upsert_cache
 from quillmesh.plans.diff import diff_pages, diff_stored, track_pages
 from quillmesh.plans.graph import build_graph
-from quillmesh.plans.read import info, read_pages
+from quillmesh.operators.graph import graph_pairs
+from quillmesh.plans.read import content_rows, described, info, read_pages
 from quillmesh.plans.toon import toon
 from quillmesh.sources.blocks import block_rows
 from quillmesh.sources.emit import Style, markdown
 from quillmesh.sources.html import parse_html, prune, select_first
-from quillmesh.sources.pages import page_blocks, page_facts, with_fetch_columns
+from quillmesh.sources.pages import ParseOptions, page_blocks, page_facts, with_fetch_columns
 from quillmesh.sources.reconstruct import reconstruct, score_text, sentences
 
 
@@ -319,3 +321,58 @@ def test_framework_rules(spark):
     for (name, _), row in zip(TRACES.items(), rows):
         extra = {"Webpack": {"Next.js"}}.get(name, set())
         assert set(row.frameworks) == {name} | extra, name
+
+
+def test_graphs_of_long_failing_and_rendered_pages(spark):
+    """A page of many headings, sections as a plain walk finds them; one that can't be parsed stays a row; engines are kept."""
+    import json
+    import random
+
+    r = random.Random(3)
+    levels = [r.randrange(1, 7) for _ in range(400)]
+    html = "<p>pre</p>" + "".join(f"<h{x}>h{k}</h{x}><p>t{k}</p>" for k, x in enumerate(levels))
+    doc = json.loads(build_graph(pages(spark, html)).first()["document"])
+    nodes = {n["@id"]: n for n in doc["@graph"]}
+    sections = [n for n in doc["@graph"] if "#section-l" in n["@id"]]
+    assert len(sections) == 401
+    above, children = {}, {}
+    for k, x in enumerate(levels):
+        up = next((j for j in range(k - 1, -1, -1) if levels[j] < x), None)
+        above[k] = up
+        children.setdefault(up, []).append(k)
+    ids = {int(n["name"][1:]): n["@id"] for n in sections if "name" in n}
+    web = next(n for n in doc["@graph"] if n["@id"].endswith("#webpage"))
+    assert [x["@id"] for x in web["hasPart"]["@list"]][1:] == [ids[k] for k in children[None]]
+    for k, i in ids.items():
+        assert nodes[i]["isPartOf"]["@id"] == (web["@id"] if above[k] is None else ids[above[k]])
+        held = [x["@id"] for x in nodes[i]["hasPart"]["@list"]]
+        assert [x for x in held if "#section-l" in x] == [ids[j] for j in children.get(k, [])]
+        assert [nodes[x]["text"] for x in held if "#block" in x] == [f"t{k}"]
+        own = children[above[k]].index(k) + (above[k] is None)  # the preamble is a section of the page, too
+        assert i.endswith(f"-{own}")
+
+    rows = spark.createDataFrame([(1, "https://x.org/a", "<p>short</p>", 200), (2, "https://x.org/b", None, 200)], "page_id long, url string, html string, status int")
+    rendered = spark.createDataFrame([("https://x.org/a", "# From elsewhere\n\ntext")], "url string, content string")
+    got = {r["page_id"]: r for r in read_pages(rows, ReadOptions(format="graph"), rendered=rendered).collect()}
+    assert got[1]["engine"] == "rendered" and "From elsewhere" in got[1]["body"] and got[1]["error"] is None
+    assert got[2]["engine"] == "dom" and got[2]["body"] is not None
+    # a page that can't be parsed has no blocks: one row tells of it
+    parsed = described(content_rows(pages(spark, "<p>x</p>"), ParseOptions(), ("facts", "linked", "blocks")), "blocks", "linked", "error")
+    kind = parsed.schema["blocks"].dataType.simpleString()
+    lost = graph_pairs(parsed.withColumns({"blocks": F.expr(f"CAST(NULL AS {kind})"), "error": F.lit("E: x")}), ("engine", "error")).collect()
+    assert [(r["id"], r["error"]) for r in lost] == [(None, "E: x")]
+
+
+def test_a_linked_graph_parses_each_page_once(spark):
+    kb = spark.createDataFrame([("A", 1, "Q1", "A", "label")], "search_label string, rank int, qid string, label string, match_type string")
+    frame = build_graph(pages(spark, "<h1>A</h1><p>text</p>"), GraphOptions(), kb, None)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan  # the parse stage ran before, once, and its nodes are read from the checkpoint
+    assert frame.count() == 1
+
+
+def test_bad_linked_data_is_passed_over_in_reads(spark):
+    html = '<head><script type="application/ld+json">{bad</script><script type="application/ld+json">[{"@type":"A", "n": 1},{"@type":"B"}]</script></head><p>x</p>'
+    row = read_pages(pages(spark, html), ReadOptions(format="json")).first()
+    assert row["error"] is None and '"jsonld":[{"@type":"A","n":1},{"@type":"B"}]' in row["body"]
+    assert "jsonld" not in read_pages(pages(spark, '<head><script type="application/ld+json">{bad</script></head><p>x</p>'), ReadOptions(format="json")).first()["body"]

@@ -2,6 +2,7 @@
 
 import pytest
 
+import known_results
 from quillmesh import catalog
 
 #: queries that don't read the tables may have few rows; these may be empty at the smallest size
@@ -14,6 +15,11 @@ def test_same_as_sql(name, spark, data, same_as_sql):
     assert n > 0 or name in MAY_BE_EMPTY
 
 
+@pytest.mark.parametrize("name", sorted(known_results.QUERIES))
+def test_known_results(name, spark, data, same_as_sql):
+    assert same_as_sql(known_results.QUERIES[name](spark, data), known_results.ORACLES[name]) > 0
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_has_rows(name, spark, data):
     assert catalog.QUERIES[name](spark, data).limit(5).count() > 0

@@ -183,6 +183,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(folder)
 
 
+def joined_in_parts(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, many: int = 100_000, most: int = 200_000) -> DataFrame:
+    """``rows`` joined with ``table``, which holds each key once; keys of over ``many`` rows are dealt over several tasks.
+
+    ``counts`` (key, c) tells how many rows have each key.  At most rows / ``many`` keys are crowded; they are
+    broadcast up to ``most`` of them.  ``rows`` must be settled.
+    """
+    crowded = counts.filter(F.col("c") > many).select(key, F.ceil(F.col("c") / many).cast("int").alias("_parts"))
+    n = crowded.count()
+    if not n:
+        return rows.join(table, key)
+    crowded = F.broadcast(crowded) if n <= most else crowded
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = rows.join(crowded, key, "left").withColumn("_part", F.pmod(F.monotonically_increasing_id(), parts).cast("int")).drop("_parts")
+    copies = table.join(crowded, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(copies, [key, "_part"]).drop("_part")
+
+
 def refuse_clash(given: list[str], added: list[str]) -> None:
     """A table that already has a column which an operator adds is refused, with the names."""
     both = [c for c in added if c in given]

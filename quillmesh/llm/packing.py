@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmesh.llm.bpe import coding, default_vocabulary, each_text
-from quillmesh.llm.common import documents, settled
+from quillmesh.llm.common import documents, refuse_clash, settled
 
 SIZE = 2048
 END_ID = 1
@@ -206,16 +206,17 @@ def pack(docs: DataFrame, path: str, *, size: int = SIZE, end_id: int = END_ID,
 
     Returned per piece: the id, start, length, ids_crc32, doc_tokens, sequence_id and offset (and ids
     if asked for).  A null or empty text is the end token alone.  Repeated rows are packed as
-    documents of their own, a null id as any other; columns besides id and text are not carried.  An
-    empty table gives an empty result.  Only the histogram reaches the driver: size / grain counts and
+    documents of their own, a null id as any other; columns besides id and text are not carried; an id
+    column called as a returned one is refused with a ValueError.  An empty table gives an empty result.  Only the histogram reaches the driver: size / grain counts and
     size / SHORT for short pieces.
     """
+    refuse_clash([id_col], ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids", "rank"])
     pieces = token_pieces(docs, path, size=size, end_id=end_id, id_col=id_col, text_col=text_col, with_ids=with_ids)
-    pieces = settled(pieces.withColumn("_class", class_of(F.col("length"), size, grain)))
+    pieces = settled(pieces.withColumns({"_class": class_of(F.col("length"), size, grain), "_row": F.monotonically_increasing_id()}))
     histogram = {r["_class"]: r["n"] for r in pieces.groupBy("_class").agg(F.count("*").alias("n")).collect()}
     slots = _slots(plan_of(histogram, size, grain))
-    keys = ["start", id_col, "ids_crc32"]
-    placed = ranked(pieces, "_class", keys, sum(histogram.values()))
+    # a row's number decides its bucket and rank, so that rows which are equal throughout are spread as well
+    placed = ranked(pieces, "_class", ["_row"], sum(histogram.values())).drop("_row")
 
     def place(batches):
         for batch in batches:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import U64, documents, refuse_clash, settled, slices, text_buffer, word_spans
+from quillmesh.llm.common import U64, documents, joined_in_parts, refuse_clash, settled, slices, text_buffer, word_spans
 from quillmesh.llm.components import components
 from quillmesh.llm.gray_index import HALF, STEP, Router, lead_within, linked, turned
 
@@ -150,16 +150,18 @@ def near_groups(docs: DataFrame, *, shingle: int = SHINGLE, within: int = WITHIN
     Equal fingerprints count as one node, so copies are never paired.  A text without words (null,
     empty or blank) has fingerprint zero and is linked like any other; fewer words than a shingle
     make one shingle.  Null ids are never a component's id unless all its ids are null.  Repeated rows
-    come back as they are; other columns are not carried; an empty table gives an empty result.
+    come back as they are; other columns are not carried; an id column called as a returned one is refused
+    with a ValueError; an empty table gives an empty result.
     """
+    refuse_clash([id_col], ["fp", "node", "root", "component_id", "c"])
     rows = settled(fingerprints(docs.select(id_col, text_col), shingle=shingle, text_col=text_col))
-    nodes = settled(rows.groupBy("fp").agg(F.min(id_col).alias("_first")))
+    nodes = settled(rows.groupBy("fp").agg(F.min(id_col).alias("_first"), F.count("*").alias("c")))
     roots = components(near_links(nodes.select("fp"), within=within, shard=shard))
     known = roots.join(nodes, roots["node"] == nodes["fp"]).select("fp", "root", "_first")
     lowest = known.groupBy("root").agg(F.min("_first").alias("_least"))
     inside = known.select("fp", "root").join(lowest, "root").select("fp", "_least")
     named = nodes.join(inside, "fp", "left").select("fp", F.coalesce("_least", "_first").alias("component_id"))
-    return rows.join(named, "fp").select(id_col, "fp", "component_id")
+    return joined_in_parts(rows, named, "fp", nodes).select(id_col, "fp", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,8 +23,8 @@ from quillmesh.llm.common import U64, mix64
 
 #: bytes that a cell holds for its queries and their lists
 CELL_BYTES = 256 << 20
-#: columns of the grid; lists of each column are merged, so more columns mean more lists
-COLUMNS = 12
+#: bytes of candidates that a cell reads, and fewest columns, so that few candidates still make several tasks
+COLUMN_BYTES, COLUMNS = 256 << 20, 12
 #: candidates of one block on the way, and the sides of a tile
 CANDIDATES, TILE, ASKING = 1024, 2048, 1024
 #: queries whose lists travel together, and lists that one step of the tree merges
@@ -331,7 +331,7 @@ def _answers(lists: tuple, k: int):
         yield pa.RecordBatch.from_arrays([pa.array(q[row[live]]), pa.array(rank[live].astype(np.int32)), pa.array(v[live]), pa.array(score[live])], names=["query_id", "rank", "vec_id", "score"])
 
 
-def grid_search(vectors: DataFrame, *, modulus: int, k: int, measure: str, id_col: str = "vec_id", vector_col: str = "embedding", cell_bytes: int = CELL_BYTES, columns: int = COLUMNS) -> DataFrame:
+def grid_search(vectors: DataFrame, *, modulus: int, k: int, measure: str, id_col: str = "vec_id", vector_col: str = "embedding", cell_bytes: int = CELL_BYTES, columns: int | None = None) -> DataFrame:
     """Each query's k best among all other rows: query_id, rank (from 1), vec_id, score.
 
     Queries are the rows whose id is divisible by ``modulus``.  ``measure`` is "product" (inner product
@@ -342,13 +342,17 @@ def grid_search(vectors: DataFrame, *, modulus: int, k: int, measure: str, id_co
     one another's.  A query without candidates has no rows; an empty table gives an empty result; other
     columns, whatever their names, are not carried.  Products are ranked by their exact value; only what
     is shown of one past a long is held to the ends of its range.
+
+    A cell holds its queries, up to ``cell_bytes`` with their lists, and reads about COLUMN_BYTES of candidates.
     """
     whole = measure == "product"
     kind = np.int64 if whole else np.float64
     each = 2 if whole else 5 if isinstance(vectors.schema[vector_col].dataType.elementType, FloatType) else 9
     slim = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vector_col).alias("e"))
     asks = F.col("i") % modulus == 0
-    size = slim.agg(F.count_if(asks).alias("n"), F.sum(F.when(asks & F.col("e").isNotNull(), F.size("e"))).alias("b")).first()
+    size = slim.agg(F.count_if(asks).alias("n"), F.sum(F.when(asks & F.col("e").isNotNull(), F.size("e"))).alias("b"), F.sum(F.when(F.col("e").isNotNull(), F.size("e"))).alias("all")).first()
+    # as many columns as keep what one cell reads bounded, whatever the number of candidates
+    columns = columns or max(COLUMNS, -(-each * int(size["all"] or 0) // COLUMN_BYTES))
     held = each * int(size["b"] or 0) + (40 + 16 * (k + 1)) * int(size["n"] or 0)
     n_rows = max(1, -(-held // cell_bytes))
     n_together = max(1, -(-int(size["n"] or 0) // n_rows // TOGETHER))

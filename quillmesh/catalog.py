@@ -24,6 +24,7 @@ from quillmesh.operators import markers as I
 from quillmesh.operators.asof import asof_join, snapshots_as_of
 from quillmesh.operators.chains import ends
 from quillmesh.operators.containment import contained
+from quillmesh.operators.json_walk import best_texts, json_leaves, scored_texts
 from quillmesh.operators.markdown_blocks import markdown_blocks
 from quillmesh.operators.metadata import metadata, record
 from quillmesh.operators.sections import flattened, section_tree
@@ -296,6 +297,39 @@ def reconstruct_score(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", T.content_score(F.coalesce("text", F.lit(""))).alias("s")).select("doc_id", "s.kind", "s.score")
 
 
+# -- JSON of any shape, walked in the JVM --------------------------------------------------------------
+_LEAF_TYPES = "CASE t.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'number' END"
+_DOCUMENT_JSON = "SELECT doc_id, json_object('id', doc_id, 'meta', json_object('lang', lang, 'from site', source), 'content', json_object('body', text, 'parts', string_split(text, chr(10)))) AS j FROM documents"
+_JSON_TEXTS = f"""SELECT doc_id, path, text, CASE WHEN n >= 50 AND o > 2 AND c > 2 THEN 'html' WHEN n >= 50 AND m > 10 THEN 'markdown' ELSE 'text' END AS form,
+CASE WHEN n < 50 THEN 0 WHEN o > 2 AND c > 2 THEN n + 10 * o WHEN m > 10 THEN n + m WHEN w > 5 THEN n ELSE 0 END AS plain, k
+FROM (SELECT doc_id, path, text, k, {_COUNTS} FROM (SELECT d.doc_id, t.fullkey AS path, t.key AS k, t.atom->>'$' AS text FROM ({_DOCUMENT_JSON}) AS d, json_tree(d.j) AS t WHERE t.type = 'VARCHAR'))"""
+_JSON_SCORED = f"SELECT doc_id, path, form, CAST(plain + CASE WHEN plain > 0 AND k = 'body' THEN 1000 ELSE 0 END AS BIGINT) AS score, md5(text) AS value_md5 FROM ({_JSON_TEXTS})"
+
+
+@query(f"SELECT e.event_id, t.fullkey AS path, {_LEAF_TYPES} AS kind, t.atom->>'$' AS value FROM events AS e, json_tree(e.props) AS t WHERE t.atom IS NOT NULL OR t.type = 'NULL'")
+def event_props_leaves(spark, sf_dir):
+    return json_leaves(_table(spark, sf_dir, "events").select("event_id", "props"), "props").select("event_id", "path", "kind", "value")
+
+
+def _document_texts(spark, sf_dir):
+    """Documents as JSON records: a whole text under a well-known key, its lines in an array."""
+    parts = F.struct(F.col("text").alias("body"), F.split("text", "\n", -1).alias("parts"))
+    record = F.struct(F.col("doc_id").alias("id"), F.struct("lang", F.col("source").alias("from site")).alias("meta"), parts.alias("content"))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.to_json(record, {"ignoreNullFields": "false"}).alias("j"))
+    return scored_texts(json_leaves(rows, "j"))
+
+
+@query(_JSON_SCORED)
+def document_json_texts(spark, sf_dir):
+    """Every text of the records by its path, with its score as content."""
+    return _document_texts(spark, sf_dir).select("doc_id", "path", "form", "score", F.md5("value").alias("value_md5"))
+
+
+@query(f"SELECT doc_id, path, form, score, value_md5 FROM ({_JSON_SCORED}) WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, path) = 1")
+def document_json_best(spark, sf_dir):
+    return best_texts(_document_texts(spark, sf_dir), "doc_id").select("doc_id", "path", "form", "score", F.md5("value").alias("value_md5"))
+
+
 # -- sections, merges, snapshots and diffs over other tables -----------------------------------------
 @query("""WITH b AS (SELECT o_custkey AS page_id, o_orderkey AS ord, CAST((o_orderkey * 7 + o_custkey) % 6 AS INTEGER) + 1 AS level FROM orders),
 p AS (SELECT b.page_id, b.ord AS section_ord, max(a.ord) AS parent_ord, any_value(b.level) AS level FROM b LEFT JOIN b AS a ON a.page_id = b.page_id AND a.ord < b.ord AND a.level < b.level GROUP BY b.page_id, b.ord)

@@ -28,6 +28,7 @@ from quillmesh.operators.json_walk import best_texts, json_leaves, scored_texts
 from quillmesh.operators.markdown_blocks import markdown_blocks
 from quillmesh.operators.metadata import metadata, record
 from quillmesh.operators.sections import flattened, section_tree
+from quillmesh.operators.sketches import estimates, rolled_up, sketched
 from quillmesh.operators.settling import shared_folder
 from quillmesh.plans.options import GraphOptions, ReadOptions, cache_key, request_headers, resolve_agent
 from quillmesh.plans.graph import build_graph
@@ -128,6 +129,24 @@ def link_target_counts(spark, sf_dir):
     return _links(spark, sf_dir).groupBy("href").agg(F.count("*").alias("n_links"), F.countDistinct("page_id").alias("n_pages"))
 
 
+_HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*["']([^"'>]*)["']"""
+_SITE_LINKS = f"SELECT regexp_extract(url, '^https?://(?:[^/?#]*\\.)?([^./?#]+\\.[^./?#]+)(?:[/?#]|$)', 1) AS domain, {_ORIGIN} AS site, unnest(regexp_extract_all(html, '{_HREF.replace(chr(39), chr(39) * 2)}', 1)) AS href FROM pages"
+
+
+@query(f"""WITH l AS ({_SITE_LINKS}), c AS (SELECT domain, site, href, count(*) AS k FROM l GROUP BY ALL),
+s AS (SELECT domain, site, 0 AS level, sum(k) AS n, count(*) AS n_distinct, max(k) AS most FROM c GROUP BY ALL UNION ALL SELECT domain, NULL, 1, sum(k), count(*), max(k) FROM (SELECT domain, href, sum(k) AS k FROM c GROUP BY ALL) GROUP BY domain UNION ALL SELECT NULL, NULL, 2, sum(k), count(*), max(k) FROM (SELECT href, sum(k) AS k FROM c GROUP BY ALL))
+SELECT domain, site, CAST(level AS INTEGER) AS level, CAST(n AS BIGINT) AS n, CAST(n_distinct AS BIGINT) AS n_distinct, CAST(most AS BIGINT) AS most FROM s""")
+def site_link_sketches(spark, sf_dir):
+    """Links, distinct targets and the heaviest one's links of sites, domains and the whole, by merged sketches.
+
+    Sketches are exact while a group has few targets, as the SQL states it; beyond, within their errors.
+    """
+    domain = F.regexp_extract("url", r"^https?://(?:[^/?#]*\.)?([^./?#]+\.[^./?#]+)(?:[/?#]|$)", 1).alias("domain")
+    found = F.regexp_extract_all("html", F.lit(_HREF), F.lit(1))
+    links = load_pages(spark, sf_dir).select(domain, F.regexp_extract("url", "^https?://[^/?#]+", 0).alias("site"), F.posexplode(found).alias("pos", "href"))
+    return estimates(rolled_up(sketched(links, ["domain", "site"], "href", "pos"), ["domain", "site"]), top=1).select("domain", "site", "level", "n", "n_distinct", F.col("heavy")[0]["count"].alias("most"))
+
+
 @query("SELECT page_id, CAST(len(regexp_extract_all(html, '<li>')) AS BIGINT) AS n_items FROM pages WHERE contains(html, '<ul>')")
 def nav_list_blocks(spark, sf_dir):
     lists = page_blocks(load_pages(spark, sf_dir)).filter("type = 'list'")

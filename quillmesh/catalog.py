@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmesh import catalog_made
-from quillmesh.functions import patterns as P
+from quillmesh import page_sql as S
 from quillmesh.functions import text as T
 from quillmesh.functions import urls as U
 from quillmesh.functions.hashing import block_key, content_hash, fnv1a, snapshot_key
@@ -159,7 +159,7 @@ def page_headings(spark, sf_dir):
     return heads.select("page_id", "level", F.regexp_replace("text", r"\\(.)", "$1").alias("heading"))
 
 
-@query()
+@query(S.BLOCKS)
 def page_blocks_flat(spark, sf_dir):
     """Every block of every page as a flat row."""
     return page_blocks(load_pages(spark, sf_dir)).select("page_id", "ord", "parent_ord", "depth", "type", "level", "text", "href", "tag_name")
@@ -183,22 +183,22 @@ def sitemap_candidates(spark, sf_dir):
     return N.sitemap_candidates(sites, robots).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query()
+@query(S.MARKDOWN)
 def page_markdown(spark, sf_dir):
     return read_pages(load_pages(spark, sf_dir), ReadOptions(format="markdown")).select("page_id", "engine", "body")
 
 
-@query()
+@query(S.JSON)
 def page_json(spark, sf_dir):
     return read_pages(load_pages(spark, sf_dir), ReadOptions(format="json", classify=True)).select("page_id", "engine", "body")
 
 
-@query()
+@query(S.TOON)
 def page_toon(spark, sf_dir):
     return read_pages(load_pages(spark, sf_dir), ReadOptions(format="toon")).select("page_id", "engine", "body")
 
 
-@query()
+@query(S.MARKED)
 def page_marked_markdown(spark, sf_dir):
     return read_pages(load_pages(spark, sf_dir), ReadOptions(marker=("paragraph", "list", "author"))).select("page_id", "body")
 
@@ -213,29 +213,25 @@ def page_raw(spark, sf_dir):
     return read_pages(load_pages(spark, sf_dir), ReadOptions(format="raw")).select("page_id", "engine", "body")
 
 
-@query()
+@query(S.GRAPH)
 def page_graph(spark, sf_dir):
     return build_graph(load_pages(spark, sf_dir), GraphOptions(link_entities=False))
 
 
-@query()
+@query(S.SNAPSHOTS)
 def page_snapshots(spark, sf_dir):
     blocks = flattened(page_blocks(load_pages(spark, sf_dir)))
     return D.snapshots(blocks, F.lit("2024-01-01 00:00:00").cast("timestamp")).drop("blocks")
 
 
-@query()
+@query(S.RECORDS)
 def page_metadata_record(spark, sf_dir):
     return metadata(page_facts(load_pages(spark, sf_dir))).select("page_id", record().alias("record"))
 
 
 # -- lines of documents as blocks --------------------------------------------------------------------
 _LINES = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS ord FROM documents)"
-_LABEL = (
-    "CASE WHEN regexp_matches(t, '{price}') THEN 'pricing' WHEN regexp_matches(t, '{date}') THEN 'date' WHEN regexp_matches(t, '{rating}') THEN 'rating'"
-    " WHEN regexp_matches(t, '{email}') OR regexp_matches(t, '{phone}') THEN 'contact' WHEN regexp_matches(t, '{author}') AND length(t) < 120 THEN 'author'"
-    " WHEN regexp_matches(t, '{product}') THEN 'product' ELSE 'paragraph' END"
-).format(**{k: v.replace("'", "''") for k, v in P.SQL.items()})
+_LABEL = S.LABEL
 _LABELLED = f"(SELECT doc_id, ord, line, {_LABEL} AS label FROM (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS t FROM {_LINES}) WHERE t <> '')"
 
 
@@ -270,7 +266,7 @@ def top_labels(spark, sf_dir):
     return rows.withColumn("rank", F.row_number().over(order)).filter("rank <= 2")
 
 
-_FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({0}, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: ((xor(h, c)) * 16777619) & 4294967295)"
+_FNV = S.FNV
 
 
 @query(f"SELECT doc_id, ord, 'paragraph:' || CASE WHEN line = '' THEN '811c9dc5' ELSE lpad(to_hex({_FNV.format('line')}), 8, '0') END AS block_key FROM {_LINES}".replace("to_hex(", "printf('%08x', "))
@@ -397,7 +393,7 @@ def diff_summary(spark, sf_dir):
     return D.summary(D.changes(*_word_sides(spark, sf_dir)))
 
 
-@query()
+@query(S.UNIFIED)
 def diff_unified(spark, sf_dir):
     return D.unified(D.changes(*_word_sides(spark, sf_dir)))
 

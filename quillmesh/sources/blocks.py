@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 from quillmesh.sources.emit import Style, absolute, markdown, own_rows
 from quillmesh.sources.html import Node
@@ -29,8 +30,9 @@ def _leaf(node: Node, style: Style) -> dict | None:
     return _link_or_text(said) if said and node.tag not in ("script", "style") else None
 
 
-def _block(node: Node, style: Style) -> dict | None:
+def _block(node: Node, style: Style, want: frozenset[str] | None = None) -> dict | None:
     tag = node.tag
+    read = lambda *columns: want is None or not want.isdisjoint(columns)
     if re.fullmatch("h[1-6]", tag):
         return {"type": "heading", "level": int(tag[1]), "text": markdown(node, style)}
     if tag == "p":
@@ -45,10 +47,14 @@ def _block(node: Node, style: Style) -> dict | None:
         return {"type": "code", "language": found[1] if found else "", "code": node.text().strip()}
     if tag == "img":
         return {"type": "image", "src": node.get("src") or "", "alt": node.get("alt") or ""}
+    if tag in ("ul", "ol") and not read("items"):
+        return {"type": "list", "ordered": tag == "ol"}
     if tag in ("ul", "ol"):
         own = [n for n in node.walk() if n.tag == "li" and n.parent is not None and n.parent.closest("ul", "ol") is node]
         items = [_link_or_text(markdown(li, style)) for li in own]
         return {"type": "list", "ordered": tag == "ol", "items": [{"text": x["text"], "href": x.get("href")} for x in items]}
+    if tag == "table" and not read("headers", "rows"):
+        return {"type": "table"}
     if tag == "table":
         rows = own_rows(node)
         said = [[markdown(c, style) for c in r] for r in rows]
@@ -59,38 +65,46 @@ def _block(node: Node, style: Style) -> dict | None:
     return _leaf(node, style)
 
 
-def block_rows(root: Node, style: Style) -> list[dict]:
-    """Rows with ord (preorder), parent_ord (null at the top), depth and section_ord; a group without content is left out.
+def stream_blocks(root: Node, style: Style, want: frozenset[str] | None = None) -> Iterator[dict]:
+    """Rows with ord (preorder), parent_ord (null at the top), depth and section_ord, one after the other.
 
-    ``section_ord`` is that of the last heading at the top level, -1 before any.
+    A group comes out just before its first block, so one without content is left out.  ``section_ord`` is that
+    of the last heading at the top level, -1 before any.  With ``want``, what only other columns need isn't read.
     """
-    out: list[dict] = []
-    section = -1
-
-    def visit(child, parent: int | None, depth: int) -> bool:
-        nonlocal section
+    n, section = 0, -1
+    open_: list = [(iter(root.children), None)]  # what is left of each open element, and the row of its group
+    while open_:
+        child = next(open_[-1][0], None)
+        if child is None:
+            open_.pop()
+            continue
+        depth = len(open_) - 1
         if isinstance(child, str):
-            text = child.strip()
-            if text:
-                out.append({"type": "paragraph", "text": text, "ord": len(out), "parent_ord": parent, "depth": depth, "section_ord": section})
-            return bool(text)
-        block = _block(child, style)
-        if block is None:
-            return False
-        if depth == 0 and block["type"] == "heading":
-            section = len(out)
-        row = block | {"ord": len(out), "parent_ord": parent, "depth": depth, "section_ord": section, "html_id": child.get("id") or None, "html_class": child.get("class") or None}
-        for kind in ("href", "src"):
-            if block.get(kind):
-                row[f"{kind}_url"] = absolute(block[kind], style)
-        out.append(row)
-        if block["type"] == "group":
-            held = [visit(c, row["ord"], depth + 1) for c in child.children]
-            if not any(held):
-                out.pop()
-                return False
-        return True
+            row = {"type": "paragraph", "text": child.strip()} if child.strip() else None
+        else:
+            row = _block(child, style, want)
+        if row is None:
+            continue
+        row["depth"] = depth
+        if isinstance(child, Node):
+            row |= {"html_id": child.get("id") or None, "html_class": child.get("class") or None}
+            for kind in ("href", "src"):
+                if row.get(kind) and (want is None or f"{kind}_url" in want):
+                    row[f"{kind}_url"] = absolute(row[kind], style)
+        if row["type"] == "group":
+            open_.append((iter(child.children), row))
+            continue
+        if depth == 0 and row["type"] == "heading":
+            section = n
+        above = None
+        for one in [g for _, g in open_[1:]] + [row]:
+            if "ord" not in one:
+                one |= {"ord": n, "parent_ord": above, "section_ord": section}
+                n += 1
+                yield one
+            above = one["ord"]
 
-    for child in root.children:
-        visit(child, None, 0)
-    return out
+
+def block_rows(root: Node, style: Style) -> list[dict]:
+    """All rows of a page."""
+    return list(stream_blocks(root, style))

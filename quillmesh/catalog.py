@@ -35,6 +35,7 @@ from quillmesh.plans.graph import build_graph
 from quillmesh.plans.read import read_pages
 from quillmesh.plans.store import SnapshotStore
 from quillmesh.sources.block_table import register_block_table, with_block_table
+from quillmesh.sources.page_files import read_page_files, write_page_files
 from quillmesh.sources.pages import exploded, jsonld_nodes, load_pages, page_blocks, page_facts, parse_pages, reconstructed, with_fetch_columns
 from quillmesh.streaming.snapshots import block_changes, with_state_store
 
@@ -494,6 +495,16 @@ def snapshot_store_update(spark, sf_dir):
     return store.table()
 
 
+@query("SELECT page_id, url, md5(html) AS html_md5 FROM pages")
+def page_files_round_trip(spark, sf_dir):
+    """Pages of two kinds of address written one after the other by the page data source, and all read back."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    path = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    for secure in (True, False):
+        write_page_files(pages.filter(F.coalesce(F.col("url").startswith("https://"), F.lit(False)) == secure), path)
+    return read_page_files(spark, path).select("page_id", "url", F.md5("html").alias("html_md5"))
+
+
 @query("""WITH w AS (SELECT conv_id, turn, min(turn) OVER (PARTITION BY conv_id) AS first, unnest(string_split(text, ' ')) AS word FROM conversations), d AS (SELECT DISTINCT conv_id, turn, word FROM w),
 t AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM (SELECT DISTINCT conv_id, turn FROM conversations)),
 j AS (SELECT t.conv_id, t.turn, d.word, 1 AS now, 0 AS was FROM t JOIN d ON d.conv_id = t.conv_id AND d.turn = t.turn UNION ALL SELECT t.conv_id, t.turn, d.word, 0, 1 FROM t JOIN d ON d.conv_id = t.conv_id AND d.turn = t.before),

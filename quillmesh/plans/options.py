@@ -64,6 +64,7 @@ class ReadOptions:
     marker: tuple[str, ...] | None = None
     classify: bool = False
     track: bool = False
+    bare_references: bool = True
 
     def __post_init__(self):
         _one_of("format", self.format, FORMATS)
@@ -172,7 +173,7 @@ def cache_key(request: str, options: ReadOptions | GraphOptions) -> str:
     else:
         pairs["_format"] = options.format
         default = ReadOptions()
-        for name in ("selector", "links", "images", "ua", "timeout"):
+        for name in ("selector", "links", "images", "ua", "timeout", "bare_references"):
             if getattr(options, name) != getattr(default, name):
                 pairs["_" + name] = str(getattr(options, name))
         if not options.frontmatter:

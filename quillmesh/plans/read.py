@@ -186,7 +186,7 @@ def read_pages(pages: DataFrame, options: ReadOptions = ReadOptions(), resources
         from quillmesh.plans.graph import graph_bodies
 
         return graph_bodies(pages, options, resources, rendered, keep)
-    parse = ParseOptions(options.selector, options.links, options.images)
+    parse = ParseOptions(options.selector, options.links, options.images, options.bare_references)
     enrich = bool(options.marker) or options.classify and options.format != "markdown"
     want = {"text": ("text",), "html": ("html",), "markdown": ("facts", "linked", "blocks") if options.marker else ("facts", "markdown")}.get(options.format, ("facts", "linked", "blocks") if enrich else ("facts", "blocks"))
     rows = content_rows(pages, parse, want, resources, rendered, keep)

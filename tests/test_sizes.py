@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from quillmesh import made_pages
+from quillmesh import catalog, made_pages
+from quillmesh.sources.pages import ParseOptions, parse_page
 
 
 def test_pages_of_a_small_file_are_dealt_out(spark, data, monkeypatch):
@@ -11,3 +12,14 @@ def test_pages_of_a_small_file_are_dealt_out(spark, data, monkeypatch):
     for frame in (made_pages.product_pages(spark, data), made_pages.made_rows(spark, data, "customer", "raw", [("@K",), ("b",)])):
         counts = [r["count"] for r in frame.groupBy(F.spark_partition_id()).count().collect()]
         assert len(counts) >= 4 and max(counts) <= 3 * min(counts)
+
+
+def test_references_cut_short(spark, tmp_path):
+    """Titles cut inside a reference: &amp without a semicolon is read in whole reads, not in titles, headings and texts."""
+    html = "<html lang='en'><title>A &amp; B&amp</title><body><h1>A &amp; B&amp</h1><p>a&b &amp;&am x &lt</p><script type='application/ld+json'>{'a':'b&c'}</script></body></html>".replace("'", '"')
+    spark.createDataFrame([(1, "https://x.org/a", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    title, heading = (catalog.QUERIES[q](spark, str(tmp_path)).collect()[0] for q in ("page_title_lang", "page_headings"))
+    assert title["title"] == heading["heading"] == "A & B&amp"
+    assert {catalog.QUERIES[q](spark, str(tmp_path)).collect()[0][c] for q, c in (("page_text", "body"), ("page_parsed_text", "text_content"))} == {"A & B&ampa&b &&am x &lt"}
+    assert parse_page(html, "", ParseOptions(), ("facts",))["title_tag"] == "A & B&"
+    assert parse_page(html, "", ParseOptions(bare_references=False), ("facts",))["jsonld"] == ['{"a":"b&c"}']

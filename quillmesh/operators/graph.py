@@ -176,7 +176,8 @@ def graph_pairs(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         rows = rows.withColumn("blocks", F.transform("blocks", lambda b: b.withField("classification", F.lit(None).cast("string"))))
     rows = rows.withColumn("tops", F.transform(F.filter("blocks", lambda b: b["depth"] == 0), lambda b: b.withField("said", block_text(lambda c: b[c]))))
     rows = with_sections(rows)
-    own = lambda b: F.coalesce(b["classification"], b["type"])
+    labelled = "label" in rows.schema["blocks"].dataType.elementType.names
+    own = lambda b: F.coalesce(*[b["label"]] * labelled, b["classification"], b["type"])
     rows = rows.withColumn("nodes", F.transform("tops", lambda b: F.when(b["type"] != "heading", block_node(b, F.concat_ws(":", own(b), fnv1a_expr(b["said"])), base))))
     label = lambda s: F.when(F.coalesce(s["heading"], F.lit("")) != "", fnv1a_expr(s["heading"])).otherwise("preamble")
     sid = lambda s: F.concat(base, F.lit("#section-l"), s["level"].cast("string"), F.lit("-"), label(s), F.lit("-"), s["place"].cast("string"))

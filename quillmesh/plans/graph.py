@@ -30,6 +30,8 @@ def build_graph(pages: DataFrame, options: GraphOptions = GraphOptions(), kb_lab
     rows = described(content_rows(keyed, ParseOptions(options.selector), ("facts", "linked", "blocks"), resources, rendered), "blocks", "linked", "error")
     if options.classify:
         rows = rows.withColumn("hints", C.linked_hints(F.col("linked"))).withColumn("blocks", C.classified(F.col("blocks"), F.col("hints"), F.col("author"), F.col("published_time")))
+    elif options.labelled_ids:
+        rows = rows.withColumn("blocks", F.transform(C.classified(F.col("blocks")), lambda b: b.withField("label", b["classification"]).dropFields("classification", "confidence")))
     pairs = settled(K.graph_pairs(rows, ("engine", "error")))
     told = pairs.groupBy("page_id").agg(F.max("engine").alias("engine"), F.max("error").alias("error"))
     merged = K.merge_nodes(pairs.filter("id IS NOT NULL"))

@@ -83,6 +83,7 @@ class GraphOptions:
     lang: str | None = None
     selector: str | None = None
     classify: bool = False
+    labelled_ids: bool = False  # whether a block's id names its label by the rules, though nodes aren't classified
 
     def __post_init__(self):
         if not 0 <= self.limit <= 15:

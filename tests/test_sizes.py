@@ -23,3 +23,11 @@ def test_references_cut_short(spark, tmp_path):
     assert {catalog.QUERIES[q](spark, str(tmp_path)).collect()[0][c] for q, c in (("page_text", "body"), ("page_parsed_text", "text_content"))} == {"A & B&ampa&b &&am x &lt"}
     assert parse_page(html, "", ParseOptions(), ("facts",))["title_tag"] == "A & B&"
     assert parse_page(html, "", ParseOptions(bare_references=False), ("facts",))["jsonld"] == ['{"a":"b&c"}']
+
+
+def test_ids_of_a_graph_name_labels(spark, tmp_path):
+    """A paragraph that the rules call an author's keeps the type of a page's element, but its id names the label."""
+    html = "<html><body><p>By Ann Lee</p></body></html>"
+    spark.createDataFrame([(1, "https://x.org/a", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    document = catalog.QUERIES["page_graph"](spark, str(tmp_path)).collect()[0]["document"]
+    assert "#block-author-" in document and '"Person"' not in document

@@ -25,7 +25,7 @@ from quillmesh.operators.metadata import metadata, record
 from quillmesh.operators.sections import flat_blocks, with_section
 from quillmesh.plans.options import ReadOptions
 from quillmesh.plans.toon import toon
-from quillmesh.sources.pages import BLOCK, ParseOptions, is_html, parse_pages, with_fetch_columns
+from quillmesh.sources.pages import BLOCK, ParseOptions, is_html, parse_pages, slices, with_fetch_columns
 
 OUT = ("page_id", "final_url", "status", "redirects", "engine", "format", "body", "error")
 #: the names of a block's columns in JSON
@@ -86,7 +86,7 @@ def with_content(rows: DataFrame, *more: str) -> DataFrame:
     flat = rows.select(*[c for c in rows.columns if c != "blocks"], F.to_json(F.transform("blocks", row)).alias("content"))
 
     def nest(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, whole.num_columns - 1)):
             trees = [json.dumps(_nested(json.loads(b)) if b is not None else [], ensure_ascii=False, separators=(",", ":")) for b in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(trees, pa.string())], names=batch.schema.names)
 

@@ -1,9 +1,11 @@
 """What must hold so that work spreads and stays bounded as tables grow."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillmesh import catalog, made_pages
 from quillmesh.functions.text import trimmed
+from quillmesh.sources import pages
 from quillmesh.sources.pages import ParseOptions, parse_page
 
 
@@ -44,3 +46,11 @@ def test_lines_are_trimmed_once(spark, data):
 def test_trimmed_takes_wide_spaces(spark):
     said = spark.createDataFrame([("\u00a0\u3000 a b\t\ufeff\n",), (" \u2003",), ("x",), (None,)], "c string").select(trimmed(F.col("c")).alias("c"))
     assert [r["c"] for r in said.collect()] == ["a b", "", "x", None]
+
+
+def test_slices_are_bounded(monkeypatch):
+    """Python turns a batch into objects in parts of bounded size; rows keep their order, and a long row is a part of its own."""
+    monkeypatch.setattr(pages, "CHUNK_BYTES", 10)
+    batch = pa.RecordBatch.from_pydict({"k": [1, 2, 3, 4, 5], "t": ["abcd", "efgh", None, "x" * 40, "y" * 9]})
+    parts = list(pages.slices(batch, 1))
+    assert [p.column(0).to_pylist() for p in parts] == [[1, 2, 3], [4], [5]]

@@ -77,7 +77,7 @@ class Router:
         return tuple(np.concatenate(x) for x in zip(*out))
 
 
-class _Unions:
+class Unions:
     """Labels of components; the smallest place in each is its label."""
 
     def __init__(self, n: int):
@@ -117,7 +117,7 @@ def linked(members: np.ndarray, visitors: np.ndarray, half: int, depth: int, wit
     order = np.argsort(gray_rank(turned_members), kind="stable")
     sorted_bits = turned_members[order]
     queries = np.concatenate([sorted_bits, turned(visitors, half)])
-    unions = _Unions(len(queries))
+    unions = Unions(len(queries))
     levels = list(range(depth, 64, STEP))[1:] + [64] if depth < 64 else [64]
     starts, ends, patterns = [], [], []
     for d in levels:

@@ -4,9 +4,12 @@ Pairs to look at come from two indexes.  SimHash fingerprints that the Gray-orde
 closest copies.  Minima of the shingles under many orders, taken in bands, give the rest: two sets of
 similarity 4/5 agree in all minima of some band with probability 0.9996.  What a bucket of either
 index holds is tied to one member of the bucket and not paired among itself, so there are fewer pairs
-than entries; in small buckets all that is still apart is paired.  Sets of larger buckets that are still
-apart, as those of one template are, get longer and more bands of minima, level by level, which break
-such buckets up.  Every pair is held against the whole sets, so what is linked is always similar enough.
+than entries; in small buckets all that is still apart is paired.  Larger buckets that still hold sets
+apart, as those of one template do, make clusters by the sets that they share, and all sets of a cluster
+are held against each other, block by block.  Only sets of very large clusters get longer and more bands
+of minima first, level by level, which break such clusters up; what is left of these at the last level is
+held against each other in the same way, whatever its size.  Every pair is held against the whole sets,
+so what is linked is always similar enough.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm.common import U64, hash_spans, joined_in_parts, mix64, refuse_clash, settled, slices, text_buffer, word_spans
 from quillmesh.llm.components import components
+from quillmesh.llm.gray_index import Unions
 from quillmesh.llm.simhash import fingerprints_of, near_links
 
 SHINGLE = 5
@@ -31,9 +35,14 @@ PARTS = 16
 #: of the first level with probability 0.99999, of the second with 0.9996; sets of similarity 2/3 with a chance
 #: of 0.039 and 0.0077 a band
 DEEPER = ((64, 8), (110, 12))
-#: sets of a bucket up to which those still apart are all held against each other; members that they
-#: are held against in a larger one
+#: sets of a bucket up to which those still apart are paired one by one; members that they are held against
+#: first in a larger one
 SMALL, LOOKS = 32, 2
+#: sets of a cluster of larger buckets up to which it isn't broken up before all are held against each other;
+#: sets and bytes of a block of a cluster
+WHOLE, BLOCK, BLOCK_BYTES = 16_000, 500, 4 << 20
+#: sets of a block that share a shingle, up to which they are counted pair by pair; shingles counted at once above it
+FEW, COLUMNS = 8, 2048
 #: pairs of one set that meet in one task
 TOGETHER = 2000
 #: sets of which one part of a table holds what belongs to them
@@ -219,6 +228,76 @@ def still_apart(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.join(parts, ["key", "part"], "left_semi")
 
 
+def clusters(crowded: DataFrame) -> DataFrame:
+    """(node, n, cluster, blocks): the sets of larger buckets; those that are joined by shared buckets are one cluster."""
+    first = crowded.groupBy("key").agg(F.min("node").alias("first"))
+    parts = first.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    named = components(crowded.join(parts, ["key", "part"]).select("node", "first").distinct())
+    own = crowded.select("node", "n").distinct().join(named.select("node", F.col("root").alias("cluster")), "node")
+    sizes = own.groupBy("cluster").agg(F.count("*").alias("c"), F.sum("n").alias("total"))
+    blocks = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(4 * F.col("total") / BLOCK_BYTES)).cast("int").alias("blocks")
+    return own.join(sizes.select("cluster", "c", blocks), "cluster").select("node", "n", "cluster", "c", "blocks")
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of the left shares with each of the right."""
+    n, m = len(left), len(right)
+    values = np.concatenate([*left, *right])
+    row = np.repeat(np.arange(n + m), [len(x) for x in (*left, *right)])
+    order = np.lexsort((row, values))
+    values, row = values[order], row[order]
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    once = new.copy()
+    once[1:] |= row[1:] != row[:-1]
+    row, starts = row[once], np.flatnonzero(new[once])
+    sizes = np.diff(np.append(starts, len(row)))
+    out = np.zeros(n * m, np.int64)
+    for size in range(2, FEW + 1):
+        at = starts[sizes == size]
+        for i in range(size):
+            for j in range(i + 1, size):
+                a, b = row[at + i], row[at + j]  # in order, so a set of the left comes first
+                good = (a < n) & (b >= n)
+                out += np.bincount(a[good] * m + (b[good] - n), minlength=n * m)
+    out = out.reshape(n, m)
+    wide = np.flatnonzero(sizes > FEW)
+    for k in range(0, len(wide), COLUMNS):
+        some = wide[k : k + COLUMNS]
+        held_by = np.zeros((n + m, len(some)), np.float32)
+        size = sizes[some]
+        column = np.repeat(np.arange(len(some)), size)
+        held_by[row[np.repeat(starts[some] - np.cumsum(size) + size, size) + np.arange(size.sum())], column] = 1
+        out += (held_by[:n] @ held_by[n:].T).astype(np.int64)
+    return out
+
+
+def block_links(sets: DataFrame) -> DataFrame:
+    """(a, b) that connect what is similar in each cluster, of (node, cluster, blocks, body).
+
+    Sets are dealt to a cluster's blocks, and each two blocks meet in a group of their own.  Of a group's
+    similar sets each is tied to the first that it reaches, so there are no more rows than sets.
+    """
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    copies = sets.withColumn("own", own).select("node", "cluster", "own", "body", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pairs = copies.select("cluster", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "body")
+
+    def run(table: pa.Table) -> pa.Table:
+        nodes, own = table.column("node").to_numpy(), table.column("own").to_numpy()
+        bodies = [np.frombuffer(x.as_buffer(), np.uint32) for chunk in table.column("body").chunks for x in chunk]
+        low = np.flatnonzero(own == table.column("low")[0].as_py())
+        high = np.flatnonzero(own == table.column("high")[0].as_py())
+        size = np.array([len(b) for b in bodies])
+        same = shared_counts([bodies[i] for i in low], [bodies[i] for i in high])
+        a, b = np.nonzero((DOWN + UP) * same >= UP * (size[low][:, None] + size[high][None, :]))
+        unions = Unions(len(nodes))
+        unions.join(low[a], high[b])
+        tied = np.flatnonzero(unions.label != np.arange(len(nodes)))
+        return pa.table({"a": nodes[unions.label[tied]], "b": nodes[tied]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return pairs.groupBy("cluster", "low", "high").applyInArrow(run, "a long, b long")
+
+
 def held(pairs: DataFrame, docs: DataFrame, shingle: int, parts: int) -> DataFrame:
     """The pairs (a, b) whose whole sets have the similarity; a set in many pairs meets them in many tasks."""
     needed = settled(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().coalesce(parts))
@@ -276,10 +355,16 @@ def similar_groups(docs: DataFrame, *, shingle: int = SHINGLE, id_col: str = "do
             pairs = pairs.unionByName(more)
             links = settled(links.unionByName(held(more, slim, shingle, parts)).coalesce(parts))
             roots = settled(components(links).coalesce(parts))
-        if depth == len(DEEPER):
+        crowded = settled(still_apart(apart.filter(F.col("c") > SMALL).drop("root"), roots).coalesce(parts))
+        if crowded.isEmpty():
             break
-        large = settled(apart.filter(F.col("c") > SMALL).select("node").distinct().coalesce(parts))
-        if large.isEmpty():
+        grouped = settled(clusters(crowded).coalesce(parts))
+        now = grouped if depth == len(DEEPER) else grouped.filter(F.col("c") <= WHOLE)
+        if not now.isEmpty():
+            links = settled(links.unionByName(block_links(now.join(bodies_of(now.select("node"), slim, shingle, parts), "node"))).coalesce(parts))
+            roots = settled(components(links).coalesce(parts))
+        large = settled(grouped.filter(F.col("c") > WHOLE).select("node").coalesce(parts))
+        if depth == len(DEEPER) or large.isEmpty():
             break
         # each set brings its root along, so that its many keys need not look for it
         rooted = deep_keys(bodies_of(large, slim, shingle, parts), *DEEPER[depth]).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -353,3 +353,38 @@ def test_labelled_rows_are_bounded_and_do_not_depend_on_order(spark):
         found = sorted(map(tuple, labelled_sample(docs, frame, 10, "doc_id", "t").select("doc_id", "t", "quality", "toxic").collect()))
         assert found == [(7, "text 0", 0, 1), (8, None, 1, 0), (9, "nine", 1, 1)]
     assert labelled_sample(docs, frame, 2, "doc_id", "t").count() <= 2
+
+
+def template_texts(n, seed=1):
+    """Two of a template's hundred words are changed in each text."""
+    r = random.Random(seed)
+    texts = []
+    for k in range(n):
+        words = [f"w{i}" for i in range(100)]
+        for p in r.sample(range(100), 2):
+            words[p] = f"x{k}_{p}"
+        texts.append(" ".join(words))
+    return texts
+
+
+@pytest.mark.parametrize("whole", [16_000, 0])
+def test_crowded_buckets_lose_no_link(spark, monkeypatch, whole):
+    """Sets that share only large buckets are all held against each other, at once or after longer bands; few copies of them are made."""
+    monkeypatch.setattr(similar, "WHOLE", whole)
+    monkeypatch.setattr(similar, "BLOCK", 150)
+    monkeypatch.setattr(similar, "DEEPER", ((8, 1),))
+    texts = template_texts(600)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(96)} for t in texts]
+    want = roots(600, [(b, a) for a in range(600) for b in range(a) if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))])
+    got = {x["doc_id"]: x["component_id"] for x in similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(600)] == want
+
+
+def test_shared_counts_against_sets(monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(similar, "COLUMNS", 7)
+    sets = [np.unique(rng.integers(0, 90, rng.integers(0, 60))).astype(np.uint32) for _ in range(40)]
+    sets[3] = np.unique(np.append(rng.integers(1000, 4000, 200), [5, 6])).astype(np.uint32)
+    left, right = sets[:25], sets[25:]
+    assert similar.shared_counts(left, right).tolist() == [[len(np.intersect1d(x, y)) for y in right] for x in left]
+    assert similar.shared_counts(left, left).tolist() == [[len(np.intersect1d(x, y)) for y in left] for x in left]

@@ -1,6 +1,7 @@
 """The parse stage on golden pages: soup, blocks, markdown, hydration, bad input."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,8 +18,11 @@ from quillmesh.plans.read import content_rows, described, info, read_pages
 from quillmesh.plans.toon import toon
 from quillmesh.sources.blocks import block_rows
 from quillmesh.sources.emit import Style, markdown
+from quillmesh.made_pages import PRODUCT
+from quillmesh.operators import classify as C
+from quillmesh.sources import html as H
 from quillmesh.sources.html import parse_html, prune, select_first
-from quillmesh.sources.pages import ParseOptions, page_blocks, page_facts, with_fetch_columns
+from quillmesh.sources.pages import ParseOptions, page_blocks, page_facts, parse_pages, with_fetch_columns
 from quillmesh.sources.reconstruct import reconstruct, score_text, sentences
 
 
@@ -376,3 +380,37 @@ def test_bad_linked_data_is_passed_over_in_reads(spark):
     row = read_pages(pages(spark, html), ReadOptions(format="json")).first()
     assert row["error"] is None and '"jsonld":[{"@type":"A","n":1},{"@type":"B"}]' in row["body"]
     assert "jsonld" not in read_pages(pages(spark, '<head><script type="application/ld+json">{bad</script></head><p>x</p>'), ReadOptions(format="json")).first()["body"]
+
+
+def as_lists(node):
+    return [node.tag, node.attrs, node.spread, [c if isinstance(c, str) else as_lists(c) for c in node.children]]
+
+
+def by_tokenizer(html):
+    builder = H._Builder()
+    builder.feed(html)
+    builder.close()
+    return builder.root
+
+
+def test_plain_markup_gives_the_tokenizers_tree():
+    """Plain pages are read by one pattern, odd ones are left to the tokenizer; made of random pieces, both give one tree."""
+    pieces = ["<p>", "</p>", "<P class='a b'>", "<a href=\"/x?a=1&b=2\">", "<a href='/y' Href=\"z\" hidden>", "</a>", "<br/>", "<img src=\"a>b\" />", "text &amp; more", "&lt", "&copy x", " \n", "<", "<>", "a < b", "</ p>", "<!-- c -- d -->", "<!-- c -->", "<!-->", "<!--->", "<!---->", "<!-- x --!>", "<!DOCTYPE html>", "<!doctype x [", "<?php x ?>", "<script>", "</script>", "<script>a && b</script>", "<script>if (a<b) '</p>'</script>", "<script src='s'/>", "<style>p > a {}</style>", "<title>", "</title>", "<title>A &amp; B</title>", "<title>a <b>c</b></title>", "<textarea>x &lt; y</textarea>", "<textarea><p></textarea>", "<iframe>x & &amp;</iframe>", "<noscript><p>x</p></noscript>", "<xmp>&amp;</xmp>", "<div", " id=x>", "<div id=x>", "<td data-a='1' a:b=\"2\">", "<table><tr>", "</table>", "<x-y>", "<é>", "<p\x0bx>", "<p a=\"1\"b=\"2\">", "<p / a>", "<svg><![CDATA[x]]></svg>", "</body>", "<html lang='en'>", "<body>", "<head>", "</p x>", "</p\n>", "é\x00", "&", "&#x41;", "&#65", "<plaintext>", "<li>", "</li/>"]
+    rng = random.Random(4)
+    plain = 0
+    for _ in range(30_000):
+        html = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 9)))
+        assert as_lists(H.parse_html(html)) == as_lists(by_tokenizer(html)), html
+        plain += H._plain(html) is not None
+    assert plain > 3_000
+    assert H._plain(PRODUCT) is not None and as_lists(H._plain(PRODUCT)) == as_lists(by_tokenizer(PRODUCT))
+
+
+def test_what_is_the_pages_own_is_computed_once_a_page(spark):
+    """Hints, author and time are bound before blocks are gone through, so that their expressions don't stand in the loop."""
+    rows = parse_pages(with_fetch_columns(spark.createDataFrame([(1, "https://x.org/a", PRODUCT)], "page_id long, url string, html string")), want=("facts", "linked", "blocks"))
+    rows = rows.withColumn("hints", C.linked_hints(F.col("linked")))
+    plan = rows.select(C.classified(F.col("blocks"), F.col("hints"), F.col("page_id").cast("string")).alias("b"))._jdf.queryExecution().optimizedPlan().toString()
+    loops = plan[plan.index("transform(") :]
+    # the outermost loop goes through one struct, in which the hints are
+    assert "hints, filter(flatten(" in loops[loops.rindex("array(struct(") :]

@@ -7,6 +7,7 @@ over that row, so rows that repeat a page, or have no page_id, are rows like oth
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 import pyarrow as pa
@@ -37,9 +38,22 @@ def info() -> dict:
     return {"name": "quillmesh", "version": __version__, "reads": ["markdown", "json", "html", "text", "toon", "raw", "graph"], "markers": list(C.LABELS), "plans": ["read_pages", "cached_reads", "build_graph", "diff_pages", "diff_stored", "parse_robots", "parse_sitemaps"]}
 
 
+#: signs, and keys that are long or empty, that the C writer, where there is one, puts otherwise than the plain one
+_C_DUMPER = getattr(yaml, "CSafeDumper", None)
+_OTHERWISE = re.compile(r'[^ -~]|\\[^"\\/]|"(?:|(?:[^"\\]|\\.){100,})"\s*:')
+
+
+def yaml_text(rec: str) -> str:
+    """A JSON record as YAML; the C writer takes those that it writes as the plain one does, most by far."""
+    value = json.loads(rec)
+    if _C_DUMPER is None or _OTHERWISE.search(rec):
+        return yaml.safe_dump(value, sort_keys=False, allow_unicode=True, width=float("inf")).rstrip()
+    return yaml.dump(value, Dumper=_C_DUMPER, sort_keys=False, allow_unicode=True, width=1 << 30).rstrip()
+
+
 @F.pandas_udf(StringType())
 def _yaml(records: pd.Series) -> pd.Series:
-    return records.map(lambda r: None if r is None else yaml.safe_dump(json.loads(r), sort_keys=False, allow_unicode=True, width=float("inf")).rstrip())
+    return records.map(lambda r: None if r is None else yaml_text(r))
 
 
 @F.pandas_udf(StringType())

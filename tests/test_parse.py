@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+import yaml
 from pyspark.sql import functions as F
 
 from quillmesh.functions.hashing import fnv1a_text
@@ -14,6 +15,7 @@ from quillmesh.plans.cache import cached_reads, upsert_cache
 from quillmesh.plans.diff import diff_pages, diff_stored, track_pages
 from quillmesh.plans.graph import build_graph
 from quillmesh.operators.graph import graph_pairs
+from quillmesh.plans import read as R
 from quillmesh.plans.read import content_rows, described, info, read_pages
 from quillmesh.plans.toon import toon
 from quillmesh.sources.blocks import block_rows
@@ -414,3 +416,27 @@ def test_what_is_the_pages_own_is_computed_once_a_page(spark):
     loops = plan[plan.index("transform(") :]
     # the outermost loop goes through one struct, in which the hints are
     assert "hints, filter(flatten(" in loops[loops.rindex("array(struct(") :]
+
+
+def test_yaml_by_either_writer():
+    """Records come out as the plain writer has them; the C writer takes most."""
+    pieces = [" ", "  ", "a", "b c", ": ", ":", "#", " #", "- ", "-", "'", '"', "\\", "\n", "\t", "\r", "{", "}", "[", "]", ",", "&", "*", "!", "|", ">", "%", "@", "`", "?", "? ", "=", "~", "null", "yes", "No", "1", "1.5", "1e3", "0x1F", "2024-05-06", "12:30", "---", "...", "<<", "\u00e9", "\u2028", "\U0001f600", "\ufeff", "\x7f", "\x00", "word " * 30, "x" * 130]
+    rng = random.Random(8)
+
+    def value(depth):
+        kind = rng.randint(0, 9 if depth else 5)
+        said = "".join(rng.choice(pieces if rng.random() < 0.5 else pieces[:44]) for _ in range(rng.randint(0, 4)))
+        if kind > 7:
+            return [value(depth - 1) for _ in range(rng.randint(0, 3))]
+        if kind > 5:
+            return {"".join(rng.choice(pieces) for _ in range(rng.randint(0, 3))): value(depth - 1) for _ in range(rng.randint(0, 3))}
+        return rng.choice([None, True, 3, -2.5, 1e20, 1e-7]) if kind == 5 else said
+
+    quick = 0
+    for _ in range(8_000):
+        v = {"a": value(3), "".join(rng.choice(pieces[:44]) for _ in range(2)): value(2)}
+        rec = json.dumps(v, ensure_ascii=rng.random() < 0.5)
+        assert R.yaml_text(rec) == yaml.safe_dump(v, sort_keys=False, allow_unicode=True, width=float("inf")).rstrip()
+        quick += not R._OTHERWISE.search(rec)
+    assert quick > 1_500
+    assert R._C_DUMPER is None or not R._OTHERWISE.search('{"title":"a: b \\"c\\"","n":[1,{"x":null}]}')

@@ -8,6 +8,7 @@ import yaml
 from pyspark.sql import functions as F
 
 from quillmesh.functions.hashing import fnv1a_text
+from quillmesh.functions.text import EDGE
 from quillmesh.functions.urls import canonical, normalized, resolve
 from quillmesh.plans.options import DiffOptions, GraphOptions, OptionError, ReadOptions, flag, parse_options, split_request
 from quillmesh.plans.crawl import parse_robots, parse_sitemaps
@@ -22,6 +23,7 @@ from quillmesh.sources.blocks import block_rows
 from quillmesh.sources.emit import Style, markdown
 from quillmesh.made_pages import PRODUCT
 from quillmesh.operators import classify as C
+from quillmesh.operators import metadata as M
 from quillmesh.sources import html as H
 from quillmesh.sources.html import parse_html, prune, select_first
 from quillmesh.sources.pages import ParseOptions, page_blocks, page_facts, parse_pages, with_fetch_columns
@@ -440,3 +442,21 @@ def test_yaml_by_either_writer():
         quick += not R._OTHERWISE.search(rec)
     assert quick > 1_500
     assert R._C_DUMPER is None or not R._OTHERWISE.search('{"title":"a: b \\"c\\"","n":[1,{"x":null}]}')
+
+
+def test_traces_in_classes_are_those_of_the_whole_page(spark):
+    """Classes are taken out of a page once; each rule finds in them what its pattern finds in the page, and is computed once."""
+    pieces = ['class="', '"', "class=", "class='", "flex", " flex ", "inflex", "bg-red-5", "text-a-1", "min-h-screen", "space-x-", "x-space-x-1", "rounded-a", "px-2", "py-3", "astro-A", "sqs-", "w-a", "w-1", "data-v-0", "data-v-g", "svelte-a", "xclass=\"svelte-b", "\n", "<p ", ">", "=", "_"]
+    rng = random.Random(5)
+    found = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 14))) for _ in range(3_000)]
+    frame = spark.createDataFrame([(h,) for h in found], "html string")
+    tails = [rf"{EDGE}flex{EDGE}", rf"{EDGE}bg-[a-z]+-[0-9]", rf"{EDGE}space-x-", rf"{EDGE}px-[0-9]", "astro-[a-zA-Z0-9]", "sqs-", "w-[a-z]"]
+    for x in tails:
+        same = F.col("html").rlike(f'class="[^"]*{x}') == M.class_runs(F.col("html")).rlike(x)
+        assert frame.filter(same).count() == len(found), x
+        assert 0 < frame.filter(M.class_runs(F.col("html")).rlike(x)).count() < len(found)
+    facts = parse_pages(with_fetch_columns(spark.createDataFrame([(1, "https://x.org/a", PRODUCT)], "page_id long, url string, html string")), want=("facts",))
+    out = M.metadata(facts).select("frameworks", "jsonld")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("wp-content/") == 1 and plan.count("[^\"]*") <= 2
+    assert out.first()["frameworks"] == ["Hugo", "Tailwind CSS"]

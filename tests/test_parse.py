@@ -3,6 +3,7 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 import yaml
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ from quillmesh.made_pages import PRODUCT
 from quillmesh.operators import classify as C
 from quillmesh.operators import metadata as M
 from quillmesh.sources import html as H
+from quillmesh.sources import pages as P
 from quillmesh.sources.html import parse_html, prune, select_first
 from quillmesh.sources.pages import ParseOptions, page_blocks, page_facts, parse_pages, with_fetch_columns
 from quillmesh.sources.reconstruct import reconstruct, score_text, sentences
@@ -460,3 +462,31 @@ def test_traces_in_classes_are_those_of_the_whole_page(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("wp-content/") == 1 and plan.count("[^\"]*") <= 2
     assert out.first()["frameworks"] == ["Hugo", "Tailwind CSS"]
+
+
+def test_elements_are_known_without_a_walk(monkeypatch):
+    """The elements of a tree come in the order of a walk, also of soup; facts and pruning walk no more."""
+    pieces = ["<title>a", "</title>", "<meta name='a' content='b'>", "<head>", "</head>", "<body id='b'>", "</body>", "</html>", "<p>", "</p>", "<div id='d'>", "</div>", "<script>x</script>", "<script>", "<noscript><style>y</style>", "<iframe>", "text", " ", "<table><tr><td>", "</table>", "<li>", "<link rel='r' href='h'>", "<i v-cloak>", "<!-- c -->", "&amp", "<" ]
+    rng = random.Random(9)
+
+    def pruned(root):
+        for node in [root, *root.walk()]:
+            node.children = [c for c in node.children if not (isinstance(c, H.Node) and H._dropped(c))]
+        return as_lists(root)
+
+    for html in [PRODUCT, "<b>" * 700 + "<p>" + "</b>" * 3 + "<i>x" * 9, *("".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) for _ in range(5_000))]:
+        root, elements = H.parse_elements(html)
+        assert [id(n) for n in elements] == [id(n) for n in root.walk()], html
+        H.prune(root, elements)
+        if html.count("<b>") < 100:
+            assert as_lists(root) == pruned(H.parse_html(html)), html
+    monkeypatch.setattr(H.Node, "walk", lambda self: pytest.fail("walked"))
+    root, elements = H.parse_elements(PRODUCT)
+    assert P._facts_of(root, elements)["element_ids"] and not H.prune(root, elements)
+
+
+def test_lists_of_structs_in_arrow():
+    kind = pa.list_(pa.field("element", pa.struct([("a", pa.string()), ("b", pa.list_(pa.struct([("c", pa.int32())])))])))
+    for values in ([], [None], [[]], [None, [{"a": "x"}, {"b": [{"c": 1}, {}]}], [], [{"b": []}, {"a": None, "b": None}], None], [[None, {"a": "y"}]]):
+        assert P.arrow_of(values, kind).equals(pa.array(values, kind)) and P.arrow_of(values, kind).type == kind
+        P.arrow_of(values, kind).validate(full=True)

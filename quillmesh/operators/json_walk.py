@@ -82,5 +82,6 @@ def best_texts(scored: DataFrame, by: str) -> DataFrame:
 
     Rows of one ``by``, null too, count together; those whose texts all score 0 have none.  The winner of each task is kept before the shuffle.
     """
-    best = F.min_by(F.struct("path", "form", "score", "value"), F.struct((-F.col("score")).alias("s"), F.col("path").alias("p")))
-    return scored.filter("score > 0").groupBy(by).agg(best.alias("_b")).select(by, "_b.*")
+    # no filter on the score: pushed below the scoring, it would score each text twice more
+    best = F.min_by(F.struct("path", "form", "score", "value"), F.when(F.col("score") > 0, F.struct((-F.col("score")).alias("s"), F.col("path").alias("p"))))
+    return scored.groupBy(by).agg(best.alias("_b")).filter("_b IS NOT NULL").select(by, "_b.*")

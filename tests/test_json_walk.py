@@ -1,12 +1,16 @@
 """Leaves of JSON against a plain recursive walk, and the best text of a row."""
 
 import json
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from quillmesh.functions.text import content_score
 from quillmesh.operators.json_walk import best_texts, json_leaves, nesting, scored_texts
+from quillmesh.sources.reconstruct import score_text
 
 SCHEMA = "id long, j string"
 ODD = ['{"a": {"b c": [1, "x"]}, "d": "y", "e": {}, "f": null, "g": [[], [true]]}', '"top"', "[]", "7", "null", "bad{", "[[[[", "", None, '{"t": "a \\"[{\\" b\\\\"}', '{"q\\"r": 1, "": 2, "é": 3, "1a": 4}', '{"a": 1, "a": 2}']
@@ -112,3 +116,25 @@ def test_no_python_in_the_plan(spark, data, capsys):
     catalog.QUERIES["document_json_best"](spark, data).explain("formatted")
     plan = capsys.readouterr().out
     assert "Python" not in plan and "Arrow" not in plan and plan.count("Scan parquet") == 2  # once in the tree, once in the details
+
+
+def test_texts_are_scored_once(spark):
+    """The best text of a row scores each text in one place of the plan; rows whose texts all score 0 have none."""
+    rows = spark.createDataFrame([(1, '{"a":"' + "word " * 20 + '","b":"x"}'), (2, '{"a":"x"}'), (None, '{"body":"' + "long " * 20 + '"}')], "k long, j string")
+    best = best_texts(scored_texts(json_leaves(rows, "j", depth=1)), "k")
+    assert sorted((r["k"] or 0, r["path"]) for r in best.collect()) == [(0, "$.body"), (1, "$.a")]
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert all("regexp_extract_all" not in line for line in plan.splitlines() if line.strip(" +-:").startswith("Filter"))
+    assert sum("regexp_extract_all" in line for line in plan.splitlines()) == 1
+
+
+def test_scores_without_signs_are_those_of_the_patterns(spark):
+    """Texts without a pattern's signs aren't searched for it; scores are those of the parse stage's own rule."""
+    pieces = ["<p>", "</p>", "<", "</", "# a", "\n", "\n## b\n", "[a](b)", "](", "**b**", "**", "- x", "word ", "é ", ">", "<1>", "#"]
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 40))) for _ in range(1_500)]
+    out = spark.createDataFrame([(t,) for t in texts], "t string").select("t", content_score(F.col("t")).alias("s"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains" in plan or "contains(" in plan.lower()
+    for r in out.collect():
+        assert (r["s"]["kind"], r["s"]["score"]) == score_text(r["t"]), r["t"]

@@ -13,7 +13,7 @@ from quillmesh.sources.pages import parse_pages, with_fetch_columns
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CHANGES = "url string, fetched_at timestamp, change_ord int, change string, key string, classification string, before string, after string"
-_BLOCK = "ord long, content string, classification string"
+_SNAPSHOT = "fetched_at timestamp, blocks array<struct<key:string,ord:bigint,content:string,classification:string>>"
 
 
 def with_state_store(spark: SparkSession) -> SparkSession:
@@ -37,25 +37,24 @@ def _absent(x) -> bool:
 
 
 class BlockChanges(StatefulProcessor):
-    """Of one url: its last snapshot as a map of block keys, when that was taken, and a timer to forget both."""
+    """Of one url: its last snapshot, as one value with the time it was taken, and a timer to forget it.
+
+    A map of blocks would ask the state store once for each block; all of them are read at every fetch anyway.
+    """
 
     def __init__(self, days: int):
         self.kept_for = pd.Timedelta(days=days)
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.blocks = handle.getMapState("blocks", "key string", _BLOCK)
-        self.taken = handle.getValueState("taken", "fetched_at timestamp")
+        self.snapshot = handle.getValueState("snapshot", _SNAPSHOT)
 
     def _last(self):
         """(when, {key: (ord, content, classification)}) of the snapshot; (None, {}) without one."""
-        if not self.taken.exists():
+        kept = self.snapshot.get()
+        if kept is None:
             return None, {}
-        return pd.Timestamp(self.taken.get()[0]), {k[0]: tuple(v) for k, v in self.blocks.iterator()}
-
-    def _forget(self) -> None:
-        self.blocks.clear()
-        self.taken.clear()
+        return pd.Timestamp(kept[0]), {b[0]: tuple(b[1:]) for b in kept[1]}
 
     def handleInputRows(self, key, rows, timerValues):
         every = pd.concat(list(rows))
@@ -80,19 +79,14 @@ class BlockChanges(StatefulProcessor):
                 out.append((key[0], at, n, change, k, label, before and before[1], after and after[1]))
             known, when = now, at
         if out:
-            for k in last.keys() - known.keys():
-                self.blocks.removeKey((k,))
-            for k, v in known.items():
-                if last.get(k) != v:
-                    self.blocks.updateValue((k,), v)
-            self.taken.update((when.to_pydatetime(),))
+            self.snapshot.update((when.to_pydatetime(), [(k, *v) for k, v in known.items()]))
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(int((when + self.kept_for).value // 1_000_000))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES.split(", ")]).astype({"change_ord": "int32"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self._forget()
+        self.snapshot.clear()
         return iter(())
 
     def close(self) -> None:

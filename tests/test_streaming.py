@@ -94,3 +94,14 @@ def test_state_shrinks_when_snapshots_expire(state_store, tmp_path):
     assert full >= 30 and feed.kept < full / 5
     # and a forgotten page comes back as new
     assert [r[3] for r in feed.send(("u3", day(21, 1), "<p>3</p><p>two</p>"))] == ["added", "added"]
+
+
+def test_a_snapshot_is_one_value_of_the_state():
+    """Not an entry for each block: the state store is asked once a fetch, whatever the page holds."""
+    from unittest.mock import MagicMock
+
+    from quillmesh.streaming.snapshots import BlockChanges
+
+    handle = MagicMock()
+    BlockChanges(30).init(handle)
+    assert handle.getValueState.call_count == 1 and not handle.getMapState.called

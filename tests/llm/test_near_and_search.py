@@ -388,3 +388,22 @@ def test_shared_counts_against_sets(monkeypatch):
     left, right = sets[:25], sets[25:]
     assert similar.shared_counts(left, right).tolist() == [[len(np.intersect1d(x, y)) for y in right] for x in left]
     assert similar.shared_counts(left, left).tolist() == [[len(np.intersect1d(x, y)) for y in left] for x in left]
+
+
+def test_words_of_labelled_rows_stay_out_of_the_driver(spark, data, monkeypatch):
+    """The models see every labelled row, but the driver gets a few numbers of each, however long its text is."""
+    from quillmesh.llm.quality import train
+
+    frame, most = type(spark.range(0)), []
+    for name in ("collect", "toPandas", "toArrow"):
+
+        def spied(self, *a, _f=getattr(frame, name), _name=name, **b):
+            out = _f(self, *a, **b)
+            rows = out if _name == "collect" else out.values.tolist() if _name == "toPandas" else [tuple(r.values()) for r in out.to_pylist()]
+            most.append(max((sum(len(x) if isinstance(x, (bytes, bytearray, str)) else 8 for x in r) for r in rows), default=0))
+            return out
+
+        monkeypatch.setattr(frame, name, spied)
+    model = train(*[spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/{t}.parquet") for t in ("documents", "labels")])
+    assert len(model.lexicon) and len(model.junk[0]) == 32 and len(model.toxic[0]) == 4
+    assert max(most) <= 200, most

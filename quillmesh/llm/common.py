@@ -170,6 +170,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
+def lean(run):
+    """A function over Arrow batches that has Arrow's pool give back at the end what it has freed: workers wait for their next task with it otherwise."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return whole
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Computed once into the shared checkpoint folder; lineage ends there."""
     checkpoint_dir(df.sparkSession)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quillmesh.llm.common import U64, documents, hash_spans, refuse_clash, settled, slices, text_buffer, word_spans, written
+from quillmesh.llm.common import U64, documents, hash_spans, lean, refuse_clash, settled, slices, text_buffer, word_spans, written
 
 CHUNK_BYTES = 1 << 20
 #: labelled rows that the models are trained on, the first by a hash of the id
@@ -190,7 +190,7 @@ def gathered(slim: DataFrame, lexica: list[tuple[np.ndarray, np.ndarray]]) -> tu
                     figures[own] = lexicon_figures(at, np.concatenate(words).astype(np.int64), style[own], lexicon, weight)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([r.tobytes() for r in x], pa.binary()) for x in (style, figures)]], names=["quality", "toxic", "style", "figures"])
 
-    rows = slim.mapInArrow(told, "quality int, toxic int, style binary, figures binary").toArrow()
+    rows = slim.mapInArrow(lean(told), "quality int, toxic int, style binary, figures binary").toArrow()
     style, figures = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.float64).reshape(-1, n) for c, n in (("style", STYLE), ("figures", 3)))
     return style, figures, rows.column("quality").to_numpy(), rows.column("toxic").to_numpy()
 
@@ -216,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
                     names=["i", "quality", "toxic", "style", "words"],
                 )
 
-    slim = settled(sample.mapInArrow(gather, "i long, quality int, toxic int, style binary, words binary"))
+    slim = settled(sample.mapInArrow(lean(gather), "i long, quality int, toxic int, style binary, words binary"))
     fold = F.pmod(F.xxhash64("i", F.lit(5)), F.lit(FOLDS)).cast("int").alias("fold")
 
     def bags(batches):
@@ -227,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
                 words, n = np.unique(np.concatenate(own), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(words), *[pa.array(np.full(len(words), x, np.int32)) for x in (fold_, want)], pa.array(n.astype(np.int64))], names=["word", "fold", "toxic", "n"])
 
-    counts = slim.select(fold, "toxic", "words").mapInArrow(bags, "word int, fold int, toxic int, n long")
+    counts = slim.select(fold, "toxic", "words").mapInArrow(lean(bags), "word int, fold int, toxic int, n long")
 
     def tally(toxic: int, without: int):
         return F.sum(F.when((F.col("toxic") == toxic) & (F.col("fold") != without), F.col("n")).otherwise(0))
@@ -270,7 +270,7 @@ def evidence(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
                 junk, toxic = model.chances(*text_buffer(batch.column(at)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(junk), pa.array(toxic)], names=[*batch.schema.names, "_junk", "_toxic"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def _logit(p):

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from quillmesh.llm.automaton import compile_rules
-from quillmesh.llm.common import documents, slices, text_buffer
+from quillmesh.llm.common import documents, lean, slices, text_buffer
 
 CHUNK_BYTES = 2 << 20
 LANE_BYTES = 512
@@ -226,7 +226,7 @@ def secret_scan(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, text_col: s
                     rows = [[{"kind": rules[r].kind, "start": a, "end": b} for r, a, b in _positions(body[offsets[k] : offsets[k + 1]], own)] if own else [] for k, own in enumerate(spans)]
                     yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(rows, kind)], names=[*[batch.schema.names[c] for c in kept], spans_col])
 
-    return docs.mapInArrow(run, out_ddl)
+    return docs.mapInArrow(lean(run), out_ddl)
 
 
 def _redacted(raw: bytes, spans: list[tuple[int, int, int]], rules: tuple[Rule, ...]) -> bytes:
@@ -257,4 +257,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
             shas = pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in own], pa.string())
             yield pa.RecordBatch.from_arrays([ids, *counts, shas, pa.array([",".join(x) for x in said], pa.string())], names=["doc_id", *[f"n_{k}" for k in base], "base_sha256", "spans"])
 
-    return found.mapInArrow(digest, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return found.mapInArrow(lean(digest), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

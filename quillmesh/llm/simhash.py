@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import U64, documents, joined_in_parts, refuse_clash, settled, slices, text_buffer, word_spans
+from quillmesh.llm.common import U64, documents, joined_in_parts, lean, refuse_clash, settled, slices, text_buffer, word_spans
 from quillmesh.llm.components import components
 from quillmesh.llm.gray_index import HALF, STEP, Router, lead_within, linked, turned
 
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE, text_col: str = "te
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp.view(np.int64))], names=[*batch.schema.names[:-1], "fp"])
 
     ddl = ", ".join([f"c{i}_ {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)] + ["fp long"])
-    return slim.mapInArrow(run, ddl).select(*[F.col(f"c{i}_").alias(c) for i, c in enumerate(keep)], "fp")
+    return slim.mapInArrow(lean(run), ddl).select(*[F.col(f"c{i}_").alias(c) for i, c in enumerate(keep)], "fp")
 
 
 def _directory(distinct: DataFrame, shard: int) -> list[dict[int, list[int]]]:
@@ -140,7 +140,7 @@ def near_links(distinct: DataFrame, *, within: int = WITHIN, shard: int = SHARD)
         moved = np.flatnonzero(label != np.arange(len(label)))
         return pa.table({"a": both[moved].view(np.int64), "b": both[label[moved]].view(np.int64)})
 
-    routed = distinct.select("fp").mapInArrow(route, "half int, depth int, prefix long, home boolean, fp long")
+    routed = distinct.select("fp").mapInArrow(lean(route), "half int, depth int, prefix long, home boolean, fp long")
     return routed.groupBy("half", "depth", "prefix").applyInArrow(within_shard, "a long, b long")
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import U64, hash_spans, joined_in_parts, mix64, refuse_clash, settled, slices, text_buffer, word_spans
+from quillmesh.llm.common import U64, hash_spans, joined_in_parts, lean, mix64, refuse_clash, settled, slices, text_buffer, word_spans
 from quillmesh.llm.components import components
 from quillmesh.llm.gray_index import Unions
 from quillmesh.llm.simhash import fingerprints_of, near_links
@@ -120,7 +120,7 @@ def deep_keys(sets: DataFrame, bands: int, minima: int) -> DataFrame:
                 listed = pa.ListArray.from_arrays(pa.array((np.arange(len(rows) + 1) * bands).astype(np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(r) for r in rows], pa.int64()), listed], names=["node", "n", "keys"])
 
-    return sets.filter(F.octet_length("body") > 0).select("node", "body").mapInArrow(run, "node long, n long, keys array<long>")
+    return sets.filter(F.octet_length("body") > 0).select("node", "body").mapInArrow(lean(run), "node long, n long, keys array<long>")
 
 
 def _marks(docs: DataFrame, shingle: int) -> DataFrame:
@@ -140,7 +140,7 @@ def _marks(docs: DataFrame, shingle: int) -> DataFrame:
                 fp = fingerprints_of(data, offsets, shingle)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(set_names(h, bounds).view(np.int64)), pa.array(np.diff(bounds)), listed, pa.array(fp.view(np.int64))], names=["_id", "node", "n", "keys", "fp"])
 
-    return docs.mapInArrow(run, f"_id {docs.schema['_id'].dataType.simpleString()}, node long, n long, keys array<long>, fp long")
+    return docs.mapInArrow(lean(run), f"_id {docs.schema['_id'].dataType.simpleString()}, node long, n long, keys array<long>, fp long")
 
 
 def _bodies(docs: DataFrame, shingle: int) -> DataFrame:
@@ -155,7 +155,7 @@ def _bodies(docs: DataFrame, shingle: int) -> DataFrame:
                 body = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((4 * bounds).astype(np.int32)), pa.py_buffer(short)])
                 yield pa.RecordBatch.from_arrays([pa.array(set_names(h, bounds).view(np.int64)), body], names=["node", "body"])
 
-    return docs.select("_text").mapInArrow(run, "node long, body binary")
+    return docs.select("_text").mapInArrow(lean(run), "node long, body binary")
 
 
 def _fit(pairs: DataFrame) -> DataFrame:
@@ -322,7 +322,7 @@ def held(pairs: DataFrame, docs: DataFrame, shingle: int, parts: int) -> DataFra
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(lean(run), "a long, b long")
 
 
 def similar_groups(docs: DataFrame, *, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -407,3 +407,20 @@ def test_words_of_labelled_rows_stay_out_of_the_driver(spark, data, monkeypatch)
     model = train(*[spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/{t}.parquet") for t in ("documents", "labels")])
     assert len(model.lexicon) and len(model.junk[0]) == 32 and len(model.toxic[0]) == 4
     assert max(most) <= 200, most
+
+
+def test_workers_give_freed_memory_back(monkeypatch):
+    """The pool gives back what it has freed once all batches are through, and these come as they are."""
+    import types
+
+    import pyarrow as pa
+
+    from quillmesh.llm.common import lean
+
+    done = []
+    monkeypatch.setattr(pa, "default_memory_pool", lambda: types.SimpleNamespace(release_unused=lambda: done.append(len(seen))))
+    seen = []
+    for x in lean(lambda batches: (2 * b for b in batches))(iter([1, 2, 3])):
+        seen.append(x)
+        assert not done
+    assert seen == [2, 4, 6] and done == [3]

@@ -209,7 +209,8 @@ def graph_pairs(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 def merge_nodes(pairs: DataFrame) -> DataFrame:
     """Of nodes with one id the first value of each property, at the place of the first."""
     order = F.struct("node_ord", "prop_ord")
-    merged = pairs.groupBy("page_id", "id", "prop").agg(F.min_by("value", order).alias("value"), F.min(order).alias("at"))
+    # dealt out once, by page: all that follows, to the page's document, finds its rows together
+    merged = pairs.repartition("page_id").groupBy("page_id", "id", "prop").agg(F.min_by("value", order).alias("value"), F.min(order).alias("at"))
     first = Window.partitionBy("page_id", "id")
     return merged.select("page_id", F.min(F.col("at.node_ord")).over(first).alias("node_ord"), "id", "prop", F.col("at.prop_ord").alias("prop_ord"), "value", F.col("at.node_ord").alias("from_ord"))
 

@@ -27,12 +27,6 @@ def keyed(blocks: DataFrame) -> DataFrame:
     return blocks.withColumns({"key": block_key(F.coalesce("classification", "type"), block_text()), "content": block_content()})
 
 
-def unique_keys(rows: DataFrame, group: list[str]) -> DataFrame:
-    """Of repeated keys the last content, at the first place."""
-    last = F.max_by(F.struct("content", "classification"), "ord").alias("x")
-    return rows.groupBy(*group, "key").agg(F.min("ord").alias("ord"), last).select(*group, "key", "ord", "x.content", "x.classification")
-
-
 def changes(previous: DataFrame, current: DataFrame, group: str = "url") -> DataFrame:
     """(group, change_ord, change, classification, before, after) for added, changed, unchanged and removed keys.
 
@@ -40,11 +34,20 @@ def changes(previous: DataFrame, current: DataFrame, group: str = "url") -> Data
     order, then what was removed in the order of the previous one.  An edited text has another key, so
     it is one removal and one addition; only blocks keyed by less than their content can be changed.
     """
-    p = unique_keys(previous, [group]).select(F.col(group).alias("_g"), F.col("key").alias("_k"), F.col("ord").alias("p_ord"), F.col("content").alias("before"), F.col("classification").alias("p_class"), F.lit(True).alias("had"))
-    c = unique_keys(current, [group]).select(group, "key", F.col("ord").alias("c_ord"), F.col("content").alias("after"), F.col("classification").alias("c_class"), F.lit(True).alias("has"))
-    both = c.join(p, (c[group] == p["_g"]) & (c["key"] == p["_k"]), "full_outer")
+    # both sides are dealt out once, by group: the keys of a group stand together, and so do its changes
+    names = (group, "key", "ord", "content", "classification")
+    rows = previous.select(*names, F.lit(False).alias("_now")).unionByName(current.select(*names, F.lit(True).alias("_now"))).repartition(group)
+    alone = F.when(F.col(group).isNull(), F.col("_now")).alias("_alone")  # no group is like another
+
+    def side(now: bool, mark: str) -> list[Column]:
+        """Of repeated keys the last content, at the first place."""
+        place = F.when(F.col("_now") == now, F.col("ord"))
+        return [F.min(place).alias(f"{mark}_ord"), F.max_by(F.struct("content", "classification"), place).alias(mark), F.max(F.when(F.col("_now") == now, True)).alias("has" if now else "had")]
+
+    both = rows.groupBy(group, "key", alone).agg(*side(False, "p"), *side(True, "c"))
+    both = both.select(group, "key", "had", "has", F.col("p.content").alias("before"), F.col("c.content").alias("after"), "p_ord", "c_ord", F.coalesce("c.classification", "p.classification").alias("classification"))
     kind = F.when(F.col("had").isNull(), "added").when(F.col("has").isNull(), "removed").when(F.col("before") != F.col("after"), "changed").otherwise("unchanged")
-    out = both.select(F.coalesce(group, "_g").alias(group), F.coalesce("key", "_k").alias("key"), kind.alias("change"), F.coalesce("c_class", "p_class").alias("classification"), "before", "after", "c_ord", "p_ord")
+    out = both.select(group, "key", kind.alias("change"), "classification", "before", "after", "c_ord", "p_ord")
     order = Window.partitionBy(group).orderBy(F.col("c_ord").isNull(), "c_ord", "p_ord")
     return out.withColumn("change_ord", F.row_number().over(order) - 1).drop("c_ord", "p_ord")
 

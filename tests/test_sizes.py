@@ -54,3 +54,27 @@ def test_slices_are_bounded(monkeypatch):
     batch = pa.RecordBatch.from_pydict({"k": [1, 2, 3, 4, 5], "t": ["abcd", "efgh", None, "x" * 40, "y" * 9]})
     parts = list(pages.slices(batch, 1))
     assert [p.column(0).to_pylist() for p in parts] == [[1, 2, 3], [4], [5]]
+
+
+def _dealt(frame) -> int:
+    return frame._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(")
+
+
+def test_changes_and_nodes_are_dealt_out_once(spark):
+    """Both sides of a comparison by their group, a graph's nodes by their page: nothing that follows deals them out again."""
+    from quillmesh.operators import diff as D
+    from quillmesh.operators import graph as K
+
+    ddl = "url string, key string, ord int, content string, classification string"
+    before = spark.createDataFrame([("u", "a", 0, "x", "p"), ("u", "b", 1, "y", None), ("u", "b", 3, "z", None), (None, "a", 0, "x", None)], ddl)
+    after = spark.createDataFrame([("u", "b", 0, "z", "q"), ("u", "c", 1, "n", None), ("w", "a", None, None, None), (None, "a", 0, "x", None)], ddl)
+    found = D.changes(before, after)
+    assert _dealt(found) == 1
+    assert {(r.url, r.change_ord, r.key, r.change, r.classification, r.before, r.after) for r in found.collect()} == {
+        ("u", 0, "b", "unchanged", "q", "z", "z"), ("u", 1, "c", "added", None, None, "n"), ("u", 2, "a", "removed", "p", "x", None),
+        ("w", 0, "a", "added", None, None, None), (None, 0, "a", "added", None, None, "x"), (None, 1, "a", "removed", None, "x", None),
+    }
+    pairs = spark.createDataFrame([(1, 0, "a", "@type", 0, '"T"'), (1, 0, "a", "name", 1, '"x"'), (1, 2, "a", "name", 1, '"y"'), (2, 0, "b", "@type", 0, '"T"')], "page_id long, node_ord int, id string, prop string, prop_ord int, value string")
+    documents = K.graph_documents(K.merge_nodes(pairs))
+    assert _dealt(documents) == 1
+    assert sorted((r.page_id, r.n_nodes, r.document.partition('"@graph":')[2]) for r in documents.collect()) == [(1, 1, '[{"@id":"a","@type":"T","name":"x"}]}'), (2, 1, '[{"@id":"b","@type":"T"}]}')]

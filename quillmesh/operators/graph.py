@@ -45,7 +45,7 @@ def _pairs(**props: Column) -> Column:
 
 def quoted(c: Column) -> Column:
     """A string as a JSON value."""
-    return F.when(c.isNotNull(), F.regexp_replace(F.to_json(F.struct(c.alias("v"))), r'^\{"v":(.*)\}$', "$1"))
+    return F.when(c.isNotNull(), F.btrim(F.to_json(F.array(c)), F.lit("[]")))  # what is left begins and ends with a quotation mark
 
 
 def json_values(values: Column) -> Column:
@@ -160,10 +160,8 @@ def with_sections(rows: DataFrame) -> DataFrame:
     return rows.withColumn("sections", F.when(F.size("_heads") == 0, F.array().cast("array<struct<ord:int,level:int,heading:string,above:int,place:int,at:int,until:int,last:int>>")).otherwise(F.transform("_zip", section))).drop("_up", "_down", "_zip", "_heads")
 
 
-def graph_pairs(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(page_id, node_ord, id, prop, prop_ord, value, and the kept columns): all nodes of each page before merging.
-
-    A page without blocks, as one that can't be parsed, has one row without an id.
+def with_nodes(rows: DataFrame) -> DataFrame:
+    """Adds ``every``, an array of all nodes of a page before merging; null for a page without blocks, as one that can't be parsed.
 
     ``rows`` are metadata rows that carry a page's blocks (with classification, if any) and linked data,
     so a page's nodes are built in its own row.  Order: the page, its sections and blocks, linked data,
@@ -198,14 +196,72 @@ def graph_pairs(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     web = F.array(_node(0, F.lit(0), F.concat(base, F.lit("#webpage")), F.lit("WebPage"), w_pairs))
     author = F.filter(F.array(_node(3, F.lit(0), F.col("person"), F.lit("Person"), _pairs(name=quoted(F.col("author"))))), lambda n: n["id"].isNotNull())
     # sections stand before the blocks they hold
-    content = F.array_sort(F.concat(F.transform("sections", section), F.filter("nodes", lambda n: n["id"].isNotNull())), lambda x, y: F.when(x["o"] < y["o"], -1).when(x["o"] > y["o"], 1).otherwise(0))
-    every = F.concat(web, content, F.transform("linked", linked_node), author)
-    flat = rows.select("page_id", *keep, F.posexplode_outer(every).alias("node_ord", "n"))
-    typed = F.concat(F.array(F.struct(F.lit("@type").alias("prop"), quoted(F.col("n.type")).alias("value"))), F.col("n.pairs"))
-    pairs = flat.select("page_id", "node_ord", F.col("n.id").alias("id"), *keep, F.posexplode_outer(typed).alias("prop_ord", "p"))
+    placed = F.transform(F.concat(F.transform("sections", section), F.filter("nodes", lambda n: n["id"].isNotNull())), lambda n, i: F.struct(n["o"], i.alias("i"), n.alias("n")))
+    content = F.transform(F.sort_array(placed), lambda x: x["n"])
+    return rows.withColumn("every", F.concat(web, content, F.transform("linked", linked_node), author))
+
+
+def _typed(n: Column) -> Column:
+    """A node's properties, its type first."""
+    return F.concat(F.array(F.struct(F.lit("@type").alias("prop"), quoted(n["type"]).alias("value"))), n["pairs"])
+
+
+def graph_pairs(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(page_id, node_ord, id, prop, prop_ord, value, and the kept columns): all nodes of each page before merging (see ``with_nodes``).
+
+    A page without blocks, as one that can't be parsed, has one row without an id.
+    """
+    flat = with_nodes(rows).select("page_id", *keep, F.posexplode_outer("every").alias("node_ord", "n"))
+    pairs = flat.select("page_id", "node_ord", F.col("n.id").alias("id"), *keep, F.posexplode_outer(_typed(F.col("n"))).alias("prop_ord", "p"))
     return pairs.select("page_id", "node_ord", "id", "prop_ord", "p.prop", "p.value", *keep).filter("value IS NOT NULL OR id IS NULL")
 
 
+def node_props(nodes: Column) -> Column:
+    """array(id, prop, node_ord, prop_ord, value) of an array of nodes: what ``graph_pairs`` has as rows, in the page's own row."""
+    of = lambda n, i: F.transform(_typed(n), lambda p, j: F.struct(n["id"].alias("id"), p["prop"].alias("prop"), i.alias("node_ord"), j.alias("prop_ord"), p["value"].alias("value")))
+    return F.filter(F.flatten(F.transform(nodes, of)), lambda x: x["value"].isNotNull() & x["id"].isNotNull())
+
+
+def _bound(c: Column, f) -> Column:
+    """``f`` of a column that is computed once, though ``f`` names it at many places."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
+def page_document(props: Column) -> Column:
+    """struct(n_nodes, document): properties of a page's nodes (see ``node_props``) merged as by ``merge_nodes`` and ``graph_documents``, without a shuffle.
+
+    Sorting brings the properties of a node together, the first value of each in front, so no step is quadratic.
+    """
+    before = lambda x, i, c: F.get(x, i - 1)[c]
+    member = lambda y: F.concat(quoted(y["prop"]), F.lit(":"), y["value"])
+
+    def of_first(x):
+        """Of properties by id, name and place: the first of each name, by id and place."""
+        kept = F.filter(x, lambda y, i: (i == 0) | (before(x, i, "id") != y["id"]) | (before(x, i, "prop") != y["prop"]))
+        return F.sort_array(F.transform(kept, lambda y: F.struct(y["id"], y["node_ord"], y["prop_ord"], member(y).alias("m"))))
+
+    def heads(x):
+        """Where each node begins."""
+        return F.filter(F.transform(x, lambda y, i: F.when((i == 0) | (before(x, i, "id") != y["id"]), F.struct(y["node_ord"], i.alias("at"), y["id"]))), lambda h: h.isNotNull())
+
+    def told(x, hs):
+        said = lambda h, k: F.concat(opened(h["id"]), F.array_join(F.transform(F.slice(x, h["at"] + 1, F.coalesce(F.get(hs, k + 1)["at"], F.size(x)) - h["at"]), lambda y: y["m"]), ","), F.lit("}"))
+        nodes = F.sort_array(F.transform(hs, lambda h, k: F.struct(h["node_ord"], said(h, k).alias("s"))))
+        return F.when(F.size(hs) > 0, F.struct(F.size(hs).cast("long").alias("n_nodes"), document(F.transform(nodes, lambda n: n["s"])).alias("document")))
+
+    return _bound(F.sort_array(props), lambda x: _bound(of_first(x), lambda y: _bound(heads(y), lambda hs: told(y, hs))))
+
+
+def opened(id_: Column) -> Column:
+    """The beginning of a node; one without an id of its own doesn't tell it."""
+    return F.when(id_.startswith("_:anon"), F.lit("{")).otherwise(F.concat(F.lit('{"@id":'), quoted(id_), F.lit(",")))
+
+
+def document(nodes: Column) -> Column:
+    """The JSON-LD text of a page's nodes."""
+    return F.concat(F.lit(f'{{"@context":{CONTEXT},"@graph":['), F.array_join(nodes, ","), F.lit("]}"))
+
+
 def merge_nodes(pairs: DataFrame) -> DataFrame:
     """Of nodes with one id the first value of each property, at the place of the first."""
     order = F.struct("node_ord", "prop_ord")
@@ -219,6 +275,6 @@ def graph_documents(merged: DataFrame) -> DataFrame:
     """(page_id, n_nodes, document): the nodes of each page as one JSON-LD text."""
     member = F.concat(quoted(F.col("prop")), F.lit(":"), F.col("value"))
     nodes = merged.groupBy("page_id", "id", "node_ord").agg(F.array_sort(F.collect_list(F.struct("from_ord", "prop_ord", member.alias("m")))).alias("x"))
-    said = F.concat(F.when(F.col("id").startswith("_:anon"), F.lit("{")).otherwise(F.concat(F.lit('{"@id":'), quoted(F.col("id")), F.lit(","))), F.array_join(F.transform("x", lambda x: x["m"]), ","), F.lit("}"))
+    said = F.concat(opened(F.col("id")), F.array_join(F.transform("x", lambda x: x["m"]), ","), F.lit("}"))
     rows = nodes.groupBy("page_id").agg(F.count("*").alias("n_nodes"), F.array_sort(F.collect_list(F.struct("node_ord", said.alias("s")))).alias("g"))
-    return rows.select("page_id", "n_nodes", F.concat(F.lit(f'{{"@context":{CONTEXT},"@graph":['), F.array_join(F.transform("g", lambda x: x["s"]), ","), F.lit("]}")).alias("document"))
+    return rows.select("page_id", "n_nodes", document(F.transform("g", lambda x: x["s"])).alias("document"))

@@ -22,44 +22,48 @@ def build_graph(pages: DataFrame, options: GraphOptions = GraphOptions(), kb_lab
 
     Nodes are merged by id, linked to the knowledge base, joined by the linked entities, and merged
     again.  Rows that are equal in page_id, url and HTML are one page; a null page_id is one like others.
-    A page that can't be parsed has its error and no document.  Pages are parsed once: their nodes, slim rows, are
-    settled, and all that linking asks of them is read from these.
+    A page that can't be parsed has its error and no document.  Pages are parsed once: without linking their nodes
+    meet once, by page; else these, slim rows, are settled, and all that linking asks of them is read from these.
     """
     page = F.struct("page_id", F.md5(F.concat_ws("\n", "url", F.coalesce("html", F.lit("")))).alias("h"))
-    keyed = with_fetch_columns(pages).withColumn("page_id", page)
-    rows = described(content_rows(keyed, ParseOptions(options.selector), ("facts", "linked", "blocks"), resources, rendered), "blocks", "linked", "error")
-    if options.classify:
-        rows = rows.withColumn("hints", C.linked_hints(F.col("linked"))).withColumn("blocks", C.classified(F.col("blocks"), F.col("hints"), F.col("author"), F.col("published_time")))
-    elif options.labelled_ids:
-        rows = rows.withColumn("blocks", F.transform(C.classified(F.col("blocks")), lambda b: b.withField("label", b["classification"]).dropFields("classification", "confidence")))
-    pairs = settled(K.graph_pairs(rows, ("engine", "error")))
-    told = pairs.groupBy("page_id").agg(F.max("engine").alias("engine"), F.max("error").alias("error"))
-    merged = K.merge_nodes(pairs.filter("id IS NOT NULL"))
+    rows = graph_rows(with_fetch_columns(pages).withColumn("page_id", page), options, resources, rendered)
     links = None
-    if options.link_entities and kb_labels is not None and options.limit:
-        merged = settled(merged)
+    if not (options.link_entities and kb_labels is not None and options.limit):
+        told = K.with_nodes(rows).groupBy("page_id").agg(F.max("engine").alias("engine"), F.max("error").alias("error"), F.flatten(F.collect_list(K.node_props(F.col("every")))).alias("props"))
+        out = told.withColumn("x", K.page_document(F.col("props"))).select("page_id", "engine", "error", "x.n_nodes", "x.document")
+    else:
+        pairs = settled(K.graph_pairs(rows, ("engine", "error")))
+        told = pairs.groupBy("page_id").agg(F.max("engine").alias("engine"), F.max("error").alias("error"))
+        merged = settled(K.merge_nodes(pairs.filter("id IS NOT NULL")))
         nodes = node_rows(merged)
         links = L.resolve(L.candidates(nodes, options.limit), kb_labels)
         merged = with_links(merged, nodes, links)
         if options.claims and kb_entities is not None:
             merged = merged.unionByName(entity_pairs(merged, links, kb_entities, options.lang or "en"))
         merged = K.merge_nodes(merged)
-    out = told.join(K.graph_documents(merged), "page_id", "left")
-    if links is not None:
-        out = out.join(links.groupBy("page_id").agg(F.count("*").alias("n_linked")), "page_id", "left")
+        # never broadcast: Spark guesses the size of documents from that of the tables that pages are made of
+        out = told.join(K.graph_documents(merged).hint("merge"), "page_id", "left")
+        out = out.join(links.groupBy("page_id").agg(F.count("*").alias("n_linked")).hint("merge"), "page_id", "left")
     counts = [F.coalesce(F.col(c) if c in out.columns else F.lit(None), F.lit(0).cast("long")).alias(c) for c in ("n_nodes", "n_linked")]
     return out.select(F.col("page_id.page_id").alias("page_id"), counts[0], "document", counts[1], "engine", "error")
 
 
+def graph_rows(pages: DataFrame, options: GraphOptions, resources: DataFrame | None, rendered: DataFrame | None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Metadata rows with all that nodes are made of."""
+    rows = described(content_rows(pages, ParseOptions(options.selector), ("facts", "linked", "blocks"), resources, rendered, keep), "blocks", "linked", "error", *keep)
+    if options.classify:
+        rows = rows.withColumn("hints", C.linked_hints(F.col("linked"))).withColumn("blocks", C.classified(F.col("blocks"), F.col("hints"), F.col("author"), F.col("published_time")))
+    elif options.labelled_ids:
+        rows = rows.withColumn("blocks", F.transform(C.classified(F.col("blocks")), lambda b: b.withField("label", b["classification"]).dropFields("classification", "confidence")))
+    return rows
+
+
 def graph_bodies(pages: DataFrame, options: ReadOptions, resources: DataFrame | None = None, rendered: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Reads in format graph: a row for each page, its body the graph, without a knowledge base."""
+    """Reads in format graph: a row for each page, its body the graph, without a knowledge base; a page stays one row, so nothing is joined to it."""
     given = with_fetch_columns(pages)
-    key = lambda: F.md5(F.concat_ws("\n", "url", F.coalesce("html", F.lit(""))))
-    graph = build_graph(given.withColumn("page_id", key()), GraphOptions(link_entities=False, selector=options.selector, classify=options.classify or bool(options.marker)), resources=resources, rendered=rendered)
-    html = given.withColumn("_k", key())
-    bodies = graph.select(F.col("page_id").alias("_k"), F.col("document").alias("body"), F.col("engine").alias("_engine"), F.col("error").alias("_error"))
-    html = html.filter(is_html(F.col("content_type")))
-    done = html.join(bodies, "_k", "left").select("page_id", "final_url", "status", "redirects", F.col("_engine").alias("engine"), F.lit("graph").alias("format"), "body", F.col("_error").alias("error"), *keep)
+    rows = graph_rows(given, GraphOptions(link_entities=False, selector=options.selector, classify=options.classify or bool(options.marker)), resources, rendered, keep)
+    own = K.page_document(K.node_props(F.col("every")))["document"]
+    done = K.with_nodes(rows).select("page_id", "final_url", "status", F.coalesce("redirects", F.array().cast("array<string>")).alias("redirects"), "engine", F.lit("graph").alias("format"), own.alias("body"), "error", *keep)
     return done.unionByName(_others(given, "graph", keep))
 
 

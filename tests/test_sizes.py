@@ -78,3 +78,30 @@ def test_changes_and_nodes_are_dealt_out_once(spark):
     documents = K.graph_documents(K.merge_nodes(pairs))
     assert _dealt(documents) == 1
     assert sorted((r.page_id, r.n_nodes, r.document.partition('"@graph":')[2]) for r in documents.collect()) == [(1, 1, '[{"@id":"a","@type":"T","name":"x"}]}'), (2, 1, '[{"@id":"b","@type":"T"}]}')]
+
+
+def test_bodies_of_graphs_are_made_in_the_page_s_row(spark, data):
+    """Spark takes a table of a few MB for its pages' documents too, and would send these to the driver to join them."""
+    frame = catalog.QUERIES["part_graph"](spark, data)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "HashJoin" not in plan and "SortMergeJoin" not in plan and _dealt(frame) == 0
+
+
+def test_nodes_merge_alike_in_a_row_and_over_rows(spark):
+    """An id that comes back, properties that do, nodes without an id, a type or a value, and separators of lines in a text."""
+    from quillmesh.operators import graph as K
+
+    ddl = "page_id long, every array<struct<k:int,o:int,id:string,type:string,pairs:array<struct<prop:string,value:string>>>>"
+    a = (1, 1, "a", "T", [("name", '"x"'), ("more", "1")])
+    pages = [
+        (1, [(0, 0, "z", "W", []), a, (2, 0, "b", None, [("name", None)]), (2, 1, "a", "U", [("name", '"y"'), ("last", "2")]), (2, 2, "_:anon2", "V", [("name", '"z"')]), (3, 0, None, "P", [("name", '"n"')]), (3, 0, "b", None, [("q", "3")])]),
+        (2, [a, a]), (3, []), (4, None), (5, [(0, 0, None, "P", [])]), (6, [(0, 0, " \x85\"]", "W", [])]),
+    ]
+    rows = spark.createDataFrame(pages, ddl)
+    mine = {r.page_id: (r.x.n_nodes, r.x.document) for r in rows.select("page_id", K.page_document(K.node_props(F.col("every"))).alias("x")).collect() if r.x}
+    flat = rows.select("page_id", F.posexplode("every").alias("node_ord", "n"))
+    pairs = flat.select("page_id", "node_ord", "n.id", F.posexplode(K._typed(F.col("n"))).alias("prop_ord", "p")).select("page_id", "node_ord", "id", "prop_ord", "p.*").filter("value IS NOT NULL AND id IS NOT NULL")
+    assert mine == {r.page_id: (r.n_nodes, r.document) for r in K.graph_documents(K.merge_nodes(pairs)).collect()}
+    graph = {k: v[1].partition('"@graph":')[2] for k, v in mine.items()}
+    assert graph[1] == '[{"@id":"z","@type":"W"},{"@id":"a","@type":"T","name":"x","more":1,"last":2},{"@type":"V","name":"z"},{"@id":"b","q":3}]}'
+    assert graph[6] == '[{"@id":" \x85\\"]","@type":"W"}]}' and sorted(graph) == [1, 2, 6]

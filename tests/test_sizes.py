@@ -105,3 +105,13 @@ def test_nodes_merge_alike_in_a_row_and_over_rows(spark):
     graph = {k: v[1].partition('"@graph":')[2] for k, v in mine.items()}
     assert graph[1] == '[{"@id":"z","@type":"W"},{"@id":"a","@type":"T","name":"x","more":1,"last":2},{"@type":"V","name":"z"},{"@id":"b","q":3}]}'
     assert graph[6] == '[{"@id":" \x85\\"]","@type":"W"}]}' and sorted(graph) == [1, 2, 6]
+
+
+def test_part_labels_heeds_the_time(spark, data):
+    """Each of a page's stages shows in its labels: the time beats the author, and that the linked data."""
+    from collections import Counter
+
+    frame = catalog.QUERIES["part_labels"](spark, data)
+    found = Counter((r.classification, r.confidence) for r in frame.select("classification", "confidence").collect())
+    parts = spark.read.parquet(f"{data}/part.parquet").count()
+    assert found["date", 0.9] == found["author", 0.9] == parts and found["product", 0.95] == 2 * parts

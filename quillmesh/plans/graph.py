@@ -50,7 +50,7 @@ def build_graph(pages: DataFrame, options: GraphOptions = GraphOptions(), kb_lab
 
 def graph_rows(pages: DataFrame, options: GraphOptions, resources: DataFrame | None, rendered: DataFrame | None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Metadata rows with all that nodes are made of."""
-    rows = described(content_rows(pages, ParseOptions(options.selector), ("facts", "linked", "blocks"), resources, rendered, keep), "blocks", "linked", "error", *keep)
+    rows = described(content_rows(pages, ParseOptions(options.selector, bare_references=options.bare_references), ("facts", "linked", "blocks"), resources, rendered, keep), "blocks", "linked", "error", *keep)
     if options.classify:
         rows = rows.withColumn("hints", C.linked_hints(F.col("linked"))).withColumn("blocks", C.classified(F.col("blocks"), F.col("hints"), F.col("author"), F.col("published_time")))
     elif options.labelled_ids:
@@ -61,7 +61,7 @@ def graph_rows(pages: DataFrame, options: GraphOptions, resources: DataFrame | N
 def graph_bodies(pages: DataFrame, options: ReadOptions, resources: DataFrame | None = None, rendered: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Reads in format graph: a row for each page, its body the graph, without a knowledge base; a page stays one row, so nothing is joined to it."""
     given = with_fetch_columns(pages)
-    rows = graph_rows(given, GraphOptions(link_entities=False, selector=options.selector, classify=options.classify or bool(options.marker)), resources, rendered, keep)
+    rows = graph_rows(given, GraphOptions(link_entities=False, selector=options.selector, classify=options.classify or bool(options.marker), bare_references=options.bare_references), resources, rendered, keep)
     own = K.page_document(K.node_props(F.col("every")))["document"]
     done = K.with_nodes(rows).select("page_id", "final_url", "status", F.coalesce("redirects", F.array().cast("array<string>")).alias("redirects"), "engine", F.lit("graph").alias("format"), own.alias("body"), "error", *keep)
     return done.unionByName(_others(given, "graph", keep))

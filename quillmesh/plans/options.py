@@ -64,7 +64,7 @@ class ReadOptions:
     marker: tuple[str, ...] | None = None
     classify: bool = False
     track: bool = False
-    bare_references: bool = True
+    bare_references: bool | tuple[str, ...] = True  # see sources.pages.ParseOptions
 
     def __post_init__(self):
         _one_of("format", self.format, FORMATS)
@@ -84,6 +84,7 @@ class GraphOptions:
     selector: str | None = None
     classify: bool = False
     labelled_ids: bool = False  # whether a block's id names its label by the rules, though nodes aren't classified
+    bare_references: bool | tuple[str, ...] = True
 
     def __post_init__(self):
         if not 0 <= self.limit <= 15:

@@ -171,7 +171,7 @@ def cache_key(request: str, options: ReadOptions | GraphOptions) -> str:
     pairs = dict(parse_qsl(parts.query, keep_blank_values=True))
     if isinstance(options, GraphOptions):
         pairs["_format"] = "graph"
-        pairs |= {k: v for k, v in (("_selector", options.selector), ("_link", None if options.link_entities else "0"), ("_limit", str(options.limit) if options.limit != 8 else None), ("_claims", None if options.claims else "0")) if v}
+        pairs |= {k: v for k, v in (("_selector", options.selector), ("_link", None if options.link_entities else "0"), ("_limit", str(options.limit) if options.limit != 8 else None), ("_claims", None if options.claims else "0"), ("_bare_references", None if options.bare_references is True else str(options.bare_references))) if v}
     else:
         pairs["_format"] = options.format
         default = ReadOptions()

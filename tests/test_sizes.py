@@ -147,3 +147,10 @@ def test_cut_references_of_whole_reads_are_those_of_their_sql(name, spark, tmp_p
     theirs = base.execute(catalog.ORACLES[name]).df()
     said = [sorted(tuple(_cell(v) for v in r) for r in x[sorted(mine.columns)].itertuples(index=False)) for x in (mine, theirs)]
     assert said[0] == said[1] and len(mine) >= len(rows)
+
+
+def test_cached_graphs_differ_by_their_references():
+    from quillmesh.plans.options import GraphOptions, cache_key
+
+    keys = [cache_key("https://x.org/a", GraphOptions(bare_references=b)) for b in (True, False, ("amp",))]
+    assert len(set(keys)) == 3 and keys[0] == cache_key("https://x.org/a", GraphOptions())
